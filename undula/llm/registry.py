@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from undula.llm import chat, mixing, secrets, topk
+from undula.llm import chat, mixing, secrets, simhash, topk
 
 
 def queries() -> dict:
-    found = {f.__name__: f for f in (mixing.op5_mixing, secrets.op6_secrets, chat.op8_chat, topk.op9_topk)}
+    found = {f.__name__: f for f in (simhash.op1_simhash, mixing.op5_mixing, secrets.op6_secrets, chat.op8_chat, topk.op9_topk)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
