@@ -5,8 +5,9 @@ ledger records which (blob, rule, rule version) triples were scanned and what
 was found, so a run scans only the triples it has not seen, each blob once
 however many paths hold it, and joins the findings back to all paths.
 
-Only digests are shuffled to find the distinct blobs; a blob's text moves once,
-and only if some rule has not seen it.  Scanning is a pure function of the text.
+Only digests are shuffled to find the distinct blobs.  Where what is to be scanned
+or what is not is a short list, that list goes to the texts; else the texts of
+distinct blobs are shuffled once.  Scanning is a pure function of the text.
 
 Defined results: a null text is the empty text; offsets are code points, end
 exclusive; spans of one kind never overlap; repeated rows are separate rows of
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 
 from undula.llm.common import checkpoint
 
+#: Up to so many copies (a digest and an id each) their list is broadcast; beyond, texts are joined by shuffle.
+BROADCAST_COPIES = 500_000
+
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -86,9 +90,17 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, *, conte
     if ledger is not None:
         todo = todo.join(ledger.select("blob", "rule", "version"), ["blob", "rule", "version"], "left_anti")
     todo = todo.groupBy("blob", "id").agg(F.array_sort(F.collect_list("rule")).alias("rules"))  # at most one of each rule
-    todo = todo.select(F.col("blob").alias("_blob"), F.col("id").alias("_id"), "rules")
-    work = held.join(todo, (F.col("blob") == F.col("_blob")) & F.col("id").eqNullSafe(F.col("_id"))).select("blob", "content", "rules")
-    fresh = checkpoint(work.mapInPandas(scan_blobs, LEDGER)).dropDuplicates(["blob", "rule"])
+    todo = checkpoint(todo.select(F.col("blob").alias("_blob"), F.col("id").alias("_id"), "rules"))
+    one = (F.col("blob") == F.col("_blob")) & F.col("id").eqNullSafe(F.col("_id"))
+    if ledger is None:  # all rules for all blobs
+        copies = checkpoint(addressed.join(todo, one, "left_anti").distinct().select(F.col("blob").alias("_blob"), F.col("id").alias("_id")))
+        if copies.count() <= BROADCAST_COPIES:
+            work = held.join(F.broadcast(copies), one, "left_anti").withColumn("rules", F.array(*(F.lit(k) for k in sorted(RULES))))
+        else:
+            work = held.join(todo, one)
+    else:
+        work = held.join(F.broadcast(todo) if todo.count() <= BROADCAST_COPIES else todo, one)
+    fresh = checkpoint(work.select("blob", "content", "rules").mapInPandas(scan_blobs, LEDGER)).dropDuplicates(["blob", "rule"])
     return addressed, fresh if ledger is None else ledger.unionByName(fresh)
 
 
