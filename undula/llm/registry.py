@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from undula.llm import chat, decontaminate, html_text, mixing, pii, secrets, simhash, topk
+from undula.llm import chat, decontaminate, html_text, mixing, pii, quality, secrets, simhash, topk, toxicity
 
 
 def queries() -> dict:
-    found = {f.__name__: f for f in (simhash.op1_simhash, html_text.op2_html, pii.op3_pii, decontaminate.op4_decontaminate, mixing.op5_mixing, secrets.op6_secrets, chat.op8_chat, topk.op9_topk)}
+    found = {f.__name__: f for f in (simhash.op1_simhash, html_text.op2_html, pii.op3_pii, decontaminate.op4_decontaminate, mixing.op5_mixing, secrets.op6_secrets, quality.op7_quality, chat.op8_chat, topk.op9_topk, toxicity.op10_toxicity)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 

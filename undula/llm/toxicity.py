@@ -67,7 +67,8 @@ def _in_positives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for text in batch["text"]:
             seen.update(unit_counts(text).keys())
-    yield pd.DataFrame({"unit": list(seen), "n": list(seen.values())}, columns=["unit", "n"]).astype({"n": "int64"})
+    if seen:
+        yield pd.DataFrame({"unit": list(seen), "n": list(seen.values())})
 
 
 def _counts_of(known: dict[str, int]):
