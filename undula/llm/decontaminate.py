@@ -223,17 +223,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage; rows are filtered where they are read."""
-    spark = docs.sparkSession
     for index in _pieces(benchmark, item_col, item_text_col):
-        shared = spark.sparkContext.broadcast(index)
+        docs = docs.filter(_clean(docs.sparkSession.sparkContext.broadcast(index))(F.col(text_col)))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(text: pd.Series, shared=shared) -> pd.Series:
-            texts = [normalized(t) for t in text]
-            return pd.Series([not m for a, b in _batches(texts) for m in shared.value.matches(texts[a:b])], dtype=bool)
 
-        docs = docs.filter(clean(F.col(text_col)))
-    return docs
+def _clean(shared):
+    @F.pandas_udf("boolean")
+    def clean(text: pd.Series) -> pd.Series:
+        texts = [normalized(t) for t in text]
+        return pd.Series([not m for a, b in _batches(texts) for m in shared.value.matches(texts[a:b])], dtype=bool)
+
+    return clean
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
