@@ -61,18 +61,21 @@ RULES = {
     "jwt": (1, _spans(_JWT)),
 }
 BASE = ("assign", "access", "hex")
-LEDGER = "blob string, rule string, version int, found array<struct<start:int,end:int>>"
+LEDGER = "blob string, rule string, version int, found array<int>"  # found: start, end, start, end ...
+SLICE = 500  # blobs whose findings are sent at once
 
 
 def scan_blobs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(blob, content, rules) -> a ledger row for each blob and rule; rules: the names to apply."""
     for batch in batches:
-        rows = []
-        for blob, content, names in zip(batch["blob"], batch["content"], batch["rules"]):
-            for name in names:
-                version, find = RULES[name]
-                rows.append((blob, name, version, [{"start": a, "end": b} for a, b in find(content)]))
-        yield pd.DataFrame(rows, columns=["blob", "rule", "version", "found"])
+        for at in range(0, len(batch), SLICE):
+            cut = batch.iloc[at : at + SLICE]
+            rows = []
+            for blob, content, names in zip(cut["blob"], cut["content"], cut["rules"]):
+                for name in names:
+                    version, find = RULES[name]
+                    rows.append((blob, name, version, [x for span in find(content) for x in span]))
+            yield pd.DataFrame(rows, columns=["blob", "rule", "version", "found"])
 
 
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, *, content_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -110,7 +113,7 @@ def findings_by_path(addressed: DataFrame, ledger: DataFrame) -> DataFrame:
     versions = F.create_map(*(F.lit(x) for k, (v, _) in RULES.items() for x in (k, v)))
     spans = (
         ledger.filter((F.size("found") > 0) & (F.col("version") == F.element_at(versions, F.col("rule"))))
-        .select("blob", "rule", F.explode("found").alias("f"))
+        .select("blob", "rule", F.explode(F.transform(F.sequence(F.lit(0), F.size("found") - 1, F.lit(2)), lambda k: F.struct(F.get("found", k).alias("start"), F.get("found", k + 1).alias("end")))).alias("f"))
         .groupBy("blob")
         .agg(F.array_sort(F.collect_list(F.struct(F.col("f.start").alias("start"), F.array_position(kinds, F.col("rule")).alias("place"), F.col("f.end").alias("end"), F.col("rule").alias("kind")))).alias("spans"))
     )
