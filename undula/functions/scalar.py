@@ -64,7 +64,7 @@ def extension(path: Column) -> Column:
 
 def slug(text: Column) -> Column:
     """Lower case, runs of other characters turned into one dash, none at the ends."""
-    return F.trim(F.lit("-"), F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"))
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def safe_name(name: Column, default: str = "file") -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("spectral", "timeline", "pairwise")
+MODULES = ("spectral", "timeline", "pairwise", "catalog")
 
 
 def _all(name: str) -> dict:
