@@ -56,16 +56,16 @@ def hysteresis_events(df: DataFrame, over: str, threshold: float, *, companions:
     return events.withColumn("frames", F.col("last") - F.col("first") + 1).drop("island")
 
 
-def stable_runs(df: DataFrame, value: str, tolerance: float, *, file: str = "file", order: str = "frame", least: int = 1) -> DataFrame:
+def stable_runs(df: DataFrame, value: str, tolerance: float, *, also: tuple[str, ...] = (), file: str = "file", order: str = "frame", least: int = 1) -> DataFrame:
     """Runs in which each value is within a relative ``tolerance`` of the one before; nulls part runs.
 
-    (file, run, first, last, frames, median)
+    (file, run, first, last, frames, median, and the medians of the columns ``also``)
     """
     w = W.partitionBy(file).orderBy(order)
     before = F.lag(value).over(w)
     starts = F.when(before.isNull() | (F.abs(F.col(value) - before) / F.greatest(before, F.lit(1.0)) >= tolerance), 1).otherwise(0)
     marked = df.withColumn("_start", starts).filter(F.col(value).isNotNull()).withColumn("run", F.sum("_start").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    runs = marked.groupBy(file, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("frames"), F.percentile(value, 0.5).alias("median"))
+    runs = marked.groupBy(file, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("frames"), F.percentile(value, 0.5).alias("median"), *(F.percentile(c, 0.5).alias(c) for c in also))
     return runs.filter(F.col("frames") >= least)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("spectral", "timeline", "pairwise", "catalog")
+MODULES = ("spectral", "timeline", "pairwise", "catalog", "audio")
 
 
 def _all(name: str) -> dict:
