@@ -72,47 +72,47 @@ def mix_sources(
     added = ("size", "source_size", "target", "repeats", "taken")
     docs = docs.drop(*(c for c in docs.columns if c in added and c not in (id_col, text_col, source_col)))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    sized = checkpoint(docs.select(F.col(source_col).alias("_source"), digest.alias("_digest"), word_count(F.col(text_col)).alias("_size")))
+    sized = checkpoint(docs.select(F.col(source_col).alias("__u_source"), digest.alias("_digest"), word_count(F.col(text_col)).alias("_size")))
 
-    per_source = sized.groupBy("_source").agg(F.sum("_size").alias("source_size"))
-    place = F.row_number().over(W.orderBy(F.col("_source").asc_nulls_last())) - 1
+    per_source = sized.groupBy("__u_source").agg(F.sum("_size").alias("source_size"))
+    place = F.row_number().over(W.orderBy(F.col("__u_source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
     filled = water_fill(per_source.withColumn("_w", weight), size="source_size", weight="_w", max_epochs=max_epochs).drop("_w")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     filled = checkpoint(
-        filled.withColumn("_whole", F.least(F.floor(ratio), F.lit(max_epochs)).cast("long")).withColumn("_want", F.greatest(F.lit(0.0), F.col("target") - F.col("_whole") * F.col("source_size")))
+        filled.withColumn("__u_whole", F.least(F.floor(ratio), F.lit(max_epochs)).cast("long")).withColumn("_want", F.greatest(F.lit(0.0), F.col("target") - F.col("__u_whole") * F.col("source_size")))
     )
 
     # The bucket of digests in which each source's fraction ends, then the last digest of that bucket that still belongs to it.
     bucketed = sized.withColumn("_bucket", F.substring("_digest", 1, 3))
-    running = W.partitionBy("_source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    running = W.partitionBy("__u_source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     ends = (
-        bucketed.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_words"))
+        bucketed.groupBy("__u_source", "_bucket").agg(F.sum("_size").alias("_words"))
         .withColumn("_base", F.coalesce(F.sum("_words").over(running), F.lit(0)))
-        .join(filled.select(F.col("_source").alias("_s"), "_want"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
+        .join(filled.select(F.col("__u_source").alias("_s"), "_want"), F.col("__u_source").eqNullSafe(F.col("_s"))).drop("_s")
         .filter((F.col("_base") <= F.col("_want")) & (F.col("_want") < F.col("_base") + F.col("_words")))
-        .select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), "_base", "_want")
+        .select(F.col("__u_source").alias("_s"), F.col("_bucket").alias("_b"), "_base", "_want")
     )
     inside = W.partitionBy("_s").orderBy("_digest").rangeBetween(W.unboundedPreceding, W.currentRow)
     same = W.partitionBy("_s", "_digest")
     last = (
-        bucketed.join(ends, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+        bucketed.join(ends, F.col("__u_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
         .withColumn("_mid", F.col("_base") + F.sum("_size").over(inside) - F.sum("_size").over(same) / 2)
-        .groupBy("_s", "_b").agg(F.max(F.when(F.col("_mid") <= F.col("_want"), F.col("_digest"))).alias("_last"))
-        .select("_s", F.coalesce("_last", "_b").alias("_last"))
+        .groupBy("_s", "_b").agg(F.max(F.when(F.col("_mid") <= F.col("_want"), F.col("_digest"))).alias("__u_last"))
+        .select("_s", F.coalesce("__u_last", "_b").alias("__u_last"))
     )
     plan = checkpoint(
-        filled.join(last, F.col("_source").eqNullSafe(F.col("_s")), "left").select("_source", "source_size", "target", "_whole", F.coalesce("_last", F.lit("")).alias("_last"))
+        filled.join(last, F.col("__u_source").eqNullSafe(F.col("_s")), "left").select("__u_source", "source_size", "target", "__u_whole", F.coalesce("__u_last", F.lit("")).alias("__u_last"))
     )
     plan = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
 
-    repeats = F.col("_whole") + F.when(digest <= F.col("_last"), 1).otherwise(0)
+    repeats = F.col("__u_whole") + F.when(digest <= F.col("__u_last"), 1).otherwise(0)
     return (
-        docs.join(plan, F.col(source_col).eqNullSafe(F.col("_source")))
+        docs.join(plan, F.col(source_col).eqNullSafe(F.col("__u_source")))
         .withColumn("size", word_count(F.col(text_col)))
         .withColumn("repeats", repeats)
         .withColumn("taken", F.col("size") * F.col("repeats"))
-        .drop("_source", "_whole", "_last")
+        .drop("__u_source", "__u_whole", "__u_last")
     )
 
 

@@ -213,17 +213,17 @@ def pseudonym(match: Column, key: str) -> Column:
 def pseudonymize(docs: DataFrame, *, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with the personal data in ``text_col`` replaced; ``count_col``: a column for the number of values replaced."""
     text = F.col(text_col)
-    some = text.rlike("[0-9]{2}|@")  # most texts hold neither and are not searched further
+    some = text.rlike("[0-9][0-9.]|@")  # every pattern needs one of these; most texts hold neither
     pattern = F.lit(ANY)
-    out = docs.withColumn("_found", F.when(some, F.regexp_extract_all(text, pattern, F.lit(0))))
-    out = out.withColumn("_made", F.transform("_found", lambda m: pseudonym(m, key)))
-    out = out.withColumn("_parts", F.when(F.size("_found") > 0, F.split(text, ANY, -1)))
+    out = docs.withColumn("__u_found", F.when(some, F.regexp_extract_all(text, pattern, F.lit(0))))
+    out = out.withColumn("__u_made", F.transform("__u_found", lambda m: pseudonym(m, key)))
+    out = out.withColumn("__u_parts", F.when(F.size("__u_found") > 0, F.split(text, ANY, -1)))
     # the text before the first match, then each pseudonym with the text behind it
-    rest = F.slice("_parts", F.lit(2), F.size("_made"))
-    joined = F.concat(F.col("_parts")[0], F.array_join(F.zip_with("_made", rest, lambda m, p: F.concat(m, p)), ""))
+    rest = F.slice("__u_parts", F.lit(2), F.size("__u_made"))
+    joined = F.concat(F.col("__u_parts")[0], F.array_join(F.zip_with("__u_made", rest, lambda m, p: F.concat(m, p)), ""))
     if count_col:
-        out = out.withColumn(count_col, F.coalesce(F.size(F.filter(F.zip_with("_found", "_made", lambda a, b: a != b), lambda x: x)), F.lit(0)).cast("long"))
-    out = out.withColumn(text_col, F.when(F.size("_found") > 0, joined).otherwise(text)).drop("_found", "_made", "_parts")
+        out = out.withColumn(count_col, F.coalesce(F.size(F.filter(F.zip_with("__u_found", "__u_made", lambda a, b: a != b), lambda x: x)), F.lit(0)).cast("long"))
+    out = out.withColumn(text_col, F.when(F.size("__u_found") > 0, joined).otherwise(text)).drop("__u_found", "__u_made", "__u_parts")
     return out.withColumn("n_chars", F.length(text_col).cast("long")) if "n_chars" in docs.columns and text_col == "text" else out
 
 

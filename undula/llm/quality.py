@@ -161,24 +161,24 @@ def select_quality(
     score = importance(ratios)
 
     def key(id_: str):
-        return F.floor((F.col("_score") + _noise(id_, seed, temperature)) / F.lit(UNIT)).cast("long")
+        return F.floor((F.col("__u_score") + _noise(id_, seed, temperature)) / F.lit(UNIT)).cast("long")
 
-    scored = docs.withColumn("_score", score(F.col(text_col)))
-    keys = checkpoint(scored.select(F.col(id_col).cast("long").alias("id"), "_score").withColumn("key", key("id")))
+    scored = docs.withColumn("__u_score", score(F.col(text_col)))
+    keys = checkpoint(scored.select(F.col(id_col).cast("long").alias("id"), "__u_score").withColumn("key", key("id")))
     if k is None:
-        known = keys.join(F.broadcast(drawn), F.col("id") == F.col("_id")).select("_score", "_label").toPandas()  # at most ``sample`` ids
-        cut = best_cut(known["_score"].to_numpy(), known["_label"].to_numpy() == 1, clean_weight)
-        k = keys.filter(F.col("_score") >= F.lit(cut)).count() if np.isfinite(cut) else keys.count()
-    out = scored if score_col is None else scored.withColumn(score_col, F.col("_score"))
+        known = keys.join(F.broadcast(drawn), F.col("id") == F.col("_id")).select("__u_score", "_label").toPandas()  # at most ``sample`` ids
+        cut = best_cut(known["__u_score"].to_numpy(), known["_label"].to_numpy() == 1, clean_weight)
+        k = keys.filter(F.col("__u_score") >= F.lit(cut)).count() if np.isfinite(cut) else keys.count()
+    out = scored if score_col is None else scored.withColumn(score_col, F.col("__u_score"))
     if k >= keys.count():
-        return out.drop("_score")
+        return out.drop("__u_score")
     if k <= 0:
-        return out.filter(F.lit(False)).drop("_score")
+        return out.filter(F.lit(False)).drop("__u_score")
     least, above = kth_largest(keys, "key", k)
     ties = keys.filter((F.col("key") == least)).select((-F.coalesce("id", F.lit(0))).alias("id"))
     last = -kth_largest(ties, "id", k - above)[0]
     chosen = (key(id_col) > least) | ((key(id_col) == least) & (F.coalesce(F.col(id_col), F.lit(0)) <= last))
-    return out.filter(chosen).drop("_score")
+    return out.filter(chosen).drop("__u_score")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

@@ -347,8 +347,8 @@ def wide_links(prints: DataFrame, lead: int, tries: int, sure: int, maybe: int)
 def of_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
     """Semi or anti join of ``docs`` with a table of distinct ids, broadcast only if they are few."""
     few = ids.count() <= BROADCAST_IDS
-    ids = ids.withColumnRenamed(ids.columns[0], "_id")
-    return docs.join(F.broadcast(ids) if few else ids, docs[id_col] == ids["_id"], how)
+    ids = ids.withColumnRenamed(ids.columns[0], "__u_id")
+    return docs.join(F.broadcast(ids) if few else ids, F.col(id_col) == F.col("__u_id"), how)
 
 
 def shingle_sets(docs: DataFrame, *, words: int, id_col: str, text_col: str) -> DataFrame:
