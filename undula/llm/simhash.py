@@ -18,9 +18,12 @@ no more than its links need, and a star of links per component leaves the task.
 
 ``near_duplicates`` is the same for shingle similarity, which 64 bits can tell
 only roughly: at a similarity of 0.8, fingerprints differ in about 15 % of their
-bits.  It takes wider fingerprints (signed random sums of the shingle set), as
-many tries as reach pairs at the wanted similarity with the wanted recall, takes
-pairs whose distance leaves no doubt, and checks the shingle sets of the rest.
+bits.  It takes wider fingerprints (signed random sums of the shingle set) and as
+many tries as reach pairs at the wanted similarity with the wanted recall.  What
+they link within a budget with room for chance forms candidate groups.  Inside a
+group the shingle sets decide: groups are cut into blocks, each pair of blocks is
+a unit of work, and a unit compares only documents it has not linked yet.  So a
+group of any size is spread over units, and what is sent is rows, not pairs.
 
 Defined results: a null text is empty; texts without words have fingerprint zero
 and are linked like any other; repeated rows and rows with one id get one
@@ -286,62 +289,98 @@ def bit_rate(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-COMPARED = 8  # words of a fingerprint that travel with a row
+COMPARED = 4  # words of a fingerprint that travel with a row of a trie
+BLOCK = 512  # documents in a block of a candidate group
 
 
-def wide_links(prints: DataFrame, lead: int, tries: int, sure: int, maybe: int) -> DataFrame:
-    """(rep, w0 ...) -> (sure boolean, a, b): stars over pairs within ``sure`` bits, and all other pairs within ``maybe`` bits."""
+def _within(w: np.ndarray, a: np.ndarray, b: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows whose differing bits, added up word by word, stay within ``budget``, and those bits."""
+    bits = np.zeros(len(a), np.int64)
+    for j in range(w.shape[1]):
+        bits += np.bitwise_count(w[a, j] ^ w[b, j])
+        live = bits <= budget
+        a, b, bits = a[live], b[live], bits[live]
+    return a, b, bits
+
+
+def _block_pairs(start: np.ndarray, end: np.ndarray, side: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows inside the intervals, about ``size`` at a time, by squares of ``side`` rows."""
+    big = end - start > 1
+    n = -(-(end[big] - start[big]) // side)
+    lo = np.repeat(start[big], n) + side * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    hi = np.minimum(lo + side, np.repeat(end[big], n))
+    last = np.repeat(np.cumsum(n), n)
+    i, j = _expand(np.arange(len(lo)), np.arange(len(lo)) + 1, np.arange(len(lo)), last)
+    total = np.cumsum((hi[i] - lo[i]) * (hi[j] - lo[j]))
+    for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(total // size)) + 1) if len(i) else ():
+        a, b = _expand(lo[i[part]], hi[i[part]], lo[j[part]], hi[j[part]])
+        yield a[a < b], b[a < b]
+
+
+def wide_links(prints: DataFrame, lead: int, tries: int, budget: int) -> DataFrame:
+    """(rep, w0 ...) -> links (a, b) with the components of the pairs that some trie brings together and whose first words differ within ``budget``."""
     each = 64 // lead
-    keys = F.array(*(F.struct(F.lit(t).alias("trie"), F.shiftrightunsigned(F.shiftleft(F.col(f"w{t // each}"), lead * (t % each)), 64 - lead).alias("lead")) for t in range(tries)))
+    keys = F.array(*(F.struct(F.lit(t).alias("trie"), F.shiftrightunsigned(F.shiftleft(F.col(f"w{t // each}"), lead * (t % each)), 64 - lead).cast("int").alias("lead")) for t in range(tries)))
     cols = [f"w{j}" for j in range(COMPARED)]
-    rows = prints.select("rep", *cols, F.inline(keys))
-    leaf = 1 << 21
-
-    def compare(w, a, b):
-        """Pairs of rows whose differing bits, added up word by word, stay within ``maybe``, and those bits."""
-        bits = np.zeros(len(a), np.int64)
-        for j in range(COMPARED):
-            bits += np.bitwise_count(w[a, j] ^ w[b, j])
-            # what random bits could still spare: a pair that far over the rate of ``maybe`` so early is beyond it
-            live = bits <= (maybe if j == COMPARED - 1 else min(maybe, maybe * (j + 1) / COMPARED + 6 * math.sqrt(8 * (j + 1))))
-            a, b, bits = a[live], b[live], bits[live]
-        return a, b, bits
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _in_groups(batches, ["trie", "lead"], 1 << 17):
             w = group[cols].to_numpy(np.int64).view(np.uint64)
-            rep = group["rep"].to_numpy(np.int64)
             first = _starts(group["trie"].to_numpy(), group["lead"].to_numpy())
-            last = np.append(first[1:], len(rep))
-            links = _Links(len(rep))
-            rest: list[tuple[np.ndarray, np.ndarray]] = []
-            big = last - first > 1
-            lo, hi = first[big], last[big]
-            # blocks of rows against blocks of rows of one subtrie, so that the pairs of a large subtrie come in pieces
-            side = 1024
-            pl, ph, ql, qh = [], [], [], []
-            for x, y in zip(lo, hi):
-                cut = list(range(x, y, side)) + [y]
-                for i in range(len(cut) - 1):
-                    for j in range(i, len(cut) - 1):
-                        pl.append(cut[i]), ph.append(cut[i + 1]), ql.append(cut[j]), qh.append(cut[j + 1])
-            pl, ph, ql, qh = (np.array(x, np.int64) for x in (pl, ph, ql, qh))
-            size = np.cumsum((ph - pl) * (qh - ql))
-            for part in np.split(np.arange(len(pl)), np.flatnonzero(np.diff(size // leaf)) + 1) if len(pl) else ():
-                a, b = _expand(pl[part], ph[part], ql[part], qh[part])
-                up = a < b
-                a, b, bits = compare(w, a[up], b[up])
-                links.join(a[bits <= sure], b[bits <= sure])
-                differ = (bits > sure) & (links.label[a] != links.label[b])
-                rest.append((a[differ], b[differ]))
-            star = _star(links.label, rep)
-            a, b = (np.concatenate([x[k] for x in rest]) if rest else np.zeros(0, np.int64) for k in (0, 1))
-            differ = links.label[a] != links.label[b]
-            a, b = rep[a[differ]], rep[b[differ]]
-            yield pd.concat([star.assign(sure=True), pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b), "sure": False})])[["sure", "a", "b"]]
+            links = _Links(len(group))
+            for a, b in _block_pairs(first, np.append(first[1:], len(group)), 1024, 1 << 21):
+                apart = links.label[a] != links.label[b]
+                a, b, _ = _within(w, a[apart], b[apart], budget)
+                links.join(a, b)
+            yield _star(links.label, group["rep"].to_numpy(np.int64))
 
+    rows = prints.select("rep", *cols, F.inline(keys))
     dealt = rows.repartition(partitions(prints.sparkSession), "trie", "lead").sortWithinPartitions("trie", "lead")
-    return dealt.mapInPandas(run, "sure boolean, a long, b long")
+    return dealt.mapInPandas(run, "a long, b long")
+
+
+def checked_links(groups: DataFrame, prints: DataFrame, sets: DataFrame, similarity: float, budget: int, n_words: int) -> DataFrame:
+    """Candidate groups (node, component) -> links (a, b) with the components of the pairs whose shingle sets are similar enough.
+
+    A member goes to a unit for each block of its group, so a group of n is n / BLOCK rows a member.
+    """
+    cols = [f"w{j}" for j in range(n_words)]
+    size = groups.groupBy("component").agg(F.count("*").alias("n"))
+    member = groups.join(size, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    units = member.select("component", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    units = units.select("component", "node", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    held = sets.join(prints.select(F.col("rep").alias("id"), *cols), "id")
+    rows = units.join(held, F.col("node") == F.col("id")).select("component", "p", "q", "own", "node", "shingles", *cols)
+
+    def similar(x: np.ndarray, y: np.ndarray) -> bool:
+        if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+            return False
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        return shared >= similarity * (len(x) + len(y) - shared)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _in_groups(batches, ["component", "p", "q"], 1 << 11):
+            w = group[cols].to_numpy(np.int64).view(np.uint64)
+            own, p, q = (group[c].to_numpy() for c in ("own", "p", "q"))
+            shingles = group["shingles"].to_list()
+            first = _starts(group["component"].to_numpy(), p, q)
+            links = _Links(len(group))
+            for a, b in _block_pairs(first, np.append(first[1:], len(group)), 256, 1 << 20):
+                cross = (p[a] == q[a]) | (own[a] != own[b])
+                a, b, bits = _within(w, a[cross], b[cross], budget)
+                order = np.argsort(bits, kind="stable")
+                a, b = a[order], b[order]
+                at, step = 0, 256
+                while at < len(a):  # the closest first; what they link needs no check any more
+                    x, y = a[at : at + step], b[at : at + step]
+                    apart = np.flatnonzero(links.label[x] != links.label[y])
+                    good = [k for k in apart.tolist() if similar(shingles[x[k]], shingles[y[k]])]
+                    links.join(x[good], y[good])
+                    at += step
+            yield _star(links.label, group["node"].to_numpy(np.int64))
+
+    dealt = rows.repartition(partitions(groups.sparkSession), "component", "p", "q").sortWithinPartitions("component", "p", "q")
+    return dealt.mapInPandas(run, "a long, b long")
 
 
 def of_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
@@ -373,24 +412,16 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     prints = checkpoint(wide_fingerprints(docs, 64 * n_words, words=words, id_col=id_col, text_col=text_col))
     columns = [f"w{j}" for j in range(n_words)]
     reps = checkpoint(prints.groupBy("x0", "x1").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in columns)))
-    rate, bits = bit_rate(similarity), 64 * COMPARED
-    spread = math.sqrt(rate * (1 - rate) / bits)
-    links = checkpoint(wide_links(reps.filter("rep IS NOT NULL"), lead, tries, int(bits * (rate - 2 * spread)), int(bits * (rate + 2.5 * spread))))
-    stars = links.filter("sure").select("a", "b").distinct()
-    near = components(stars)
-
-    # Pairs in doubt count only between components; then their shingle sets are compared.
-    at = near.select(F.col("node").alias("n"), F.col("component").alias("c"))
-    doubt = links.filter("NOT sure").select("a", "b").distinct()
-    doubt = doubt.join(at, F.col("a") == F.col("n"), "left").withColumn("ca", F.coalesce("c", "a")).drop("n", "c")
-    doubt = doubt.join(at, F.col("b") == F.col("n"), "left").withColumn("cb", F.coalesce("c", "b")).drop("n", "c")
-    doubt = checkpoint(doubt.filter("ca <> cb").select("a", "b"))
-    asked = doubt.select(F.col("a").alias("_id")).union(doubt.select("b")).distinct()
-    sets = checkpoint(shingle_sets(of_ids(docs, asked, id_col, "left_semi"), words=words, id_col=id_col, text_col=text_col).dropDuplicates(["id"]))
-    both = doubt.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("p")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("q")), "b")
-    shared = F.size(F.array_intersect("p", "q"))
-    checked = both.filter(shared >= F.lit(similarity) * (F.size("p") + F.size("q") - shared)).select("a", "b")
-    found = components(checkpoint(stars.union(checked)))
+    rate = bit_rate(similarity)
+
+    def budget(words_: int, spreads: float) -> int:
+        bits = 64 * words_
+        return math.ceil(bits * rate + spreads * math.sqrt(bits * rate * (1 - rate)))
+
+    known = reps.filter("rep IS NOT NULL")
+    groups = checkpoint(components(checkpoint(wide_links(known, lead, tries, budget(COMPARED, 2.5)))))
+    sets = shingle_sets(of_ids(docs, groups.select("node"), id_col, "left_semi"), words=words, id_col=id_col, text_col=text_col).dropDuplicates(["id"])
+    found = components(checkpoint(checked_links(groups, known, sets, similarity, budget(n_words, 3.0), n_words)))
     labels = reps.join(found, reps["rep"] == found["node"], "left").select("x0", "x1", F.coalesce("component", "rep").alias("component"))
     return prints.join(labels, ["x0", "x1"]).select("id", "component")
 
