@@ -152,7 +152,8 @@ def _by_conversation(batches: Iterator[pd.DataFrame], start, add, end) -> Iterat
                     done.append(end(current, state))
                 current, state = conv, start()
             add(state, row)
-        yield pd.DataFrame(done)
+        if done:
+            yield pd.DataFrame(done)
     if state is not None:
         yield pd.DataFrame([end(current, state)])
 

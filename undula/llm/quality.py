@@ -65,9 +65,9 @@ def features(text: str | None) -> np.ndarray:
 
 
 def labelled(labels: DataFrame, column: str, *, id_col: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
-    """At most ``sample`` rows (id, label), one for each id."""
+    """At most ``sample`` rows (id, label, fold 0 or 1), one for each id.  Fold 0 makes the target model, fold 1 the cut."""
     rows = labels.filter(F.col(id_col).isNotNull() & F.col(column).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(column).cast("int").alias("_label"))
-    return rows.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    return rows.orderBy(F.xxhash64("_id"), "_id").limit(sample).withColumn("_fold", F.pmod(F.xxhash64(F.lit(1), "_id"), F.lit(2)).cast("int"))
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,7 +84,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def log_ratios(docs: DataFrame, sample: DataFrame, *, id_col: str, text_col: str) -> np.ndarray:
     """For each bucket the log of its probability in target text over that in all text; add-one smoothing."""
-    good = F.broadcast(sample.filter("_label = 1").select("_id"))
+    good = F.broadcast(sample.filter("_label = 1 AND _fold = 0").select("_id"))
     marked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(good, F.col("id") == F.col("_id"), "left")
     counted = marked.select("text", F.col("_id").isNotNull().alias("target")).mapInPandas(_count, "model int, bucket int, n long")
     counts = np.ones((2, BUCKETS))
@@ -166,7 +166,7 @@ def select_quality(
     scored = docs.withColumn("__u_score", score(F.col(text_col)))
     keys = checkpoint(scored.select(F.col(id_col).cast("long").alias("id"), "__u_score").withColumn("key", key("id")))
     if k is None:
-        known = keys.join(F.broadcast(drawn), F.col("id") == F.col("_id")).select("__u_score", "_label").toPandas()  # at most ``sample`` ids
+        known = keys.join(F.broadcast(drawn.filter("_fold = 1")), F.col("id") == F.col("_id")).select("__u_score", "_label").toPandas()  # at most ``sample`` ids
         cut = best_cut(known["__u_score"].to_numpy(), known["_label"].to_numpy() == 1, clean_weight)
         k = keys.filter(F.col("__u_score") >= F.lit(cut)).count() if np.isfinite(cut) else keys.count()
     out = scored if score_col is None else scored.withColumn(score_col, F.col("__u_score"))

@@ -65,20 +65,24 @@ LEDGER = "blob string, rule string, version int, found array<int>"  # found: sta
 SLICE = 500  # blobs whose findings are sent at once
 
 
-def scan_blobs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(blob, content, rules) -> a ledger row for each blob and rule; rules: the names to apply."""
-    for batch in batches:
-        for at in range(0, len(batch), SLICE):
-            cut = batch.iloc[at : at + SLICE]
-            rows = []
-            for blob, content, names in zip(cut["blob"], cut["content"], cut["rules"]):
-                for name in names:
-                    version, find = RULES[name]
-                    rows.append((blob, name, version, [x for span in find(content) for x in span]))
-            yield pd.DataFrame(rows, columns=["blob", "rule", "version", "found"])
-
-
-def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, *, content_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def scanner(rules: dict):
+    """(blob, content, names of rules to apply) -> a ledger row for each blob and rule."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                cut = batch.iloc[at : at + SLICE]
+                rows = []
+                for blob, content, names in zip(cut["blob"], cut["content"], cut["rules"]):
+                    for name in names:
+                        version, find = rules[name]
+                        rows.append((blob, name, version, [x for span in find(content) for x in span]))
+                yield pd.DataFrame(rows, columns=["blob", "rule", "version", "found"])
+
+    return scan
+
+
+def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, *, rules: dict = RULES, content_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """``versions``: a row for each version of each path, told apart by ``id_col``.
 
     Returns (addressed, ledger): the ids with their blob, and the ledger with the rows of this run added.
@@ -88,8 +92,8 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, *, conte
     held = versions.select(F.col(id_col).alias("id"), content.alias("content")).withColumn("blob", F.sha2(F.col("content").cast("binary"), 256))
     addressed = checkpoint(held.select("id", "blob"))
 
-    rules = F.array(*(F.struct(F.lit(k).alias("rule"), F.lit(v).alias("version")) for k, (v, _) in RULES.items()))
-    todo = addressed.groupBy("blob").agg(F.min("id").alias("id")).select("blob", "id", F.inline(rules))
+    asked = F.array(*(F.struct(F.lit(k).alias("rule"), F.lit(v).alias("version")) for k, (v, _) in rules.items()))
+    todo = addressed.groupBy("blob").agg(F.min("id").alias("id")).select("blob", "id", F.inline(asked))
     if ledger is not None:
         todo = todo.join(ledger.select("blob", "rule", "version"), ["blob", "rule", "version"], "left_anti")
     todo = todo.groupBy("blob", "id").agg(F.array_sort(F.collect_list("rule")).alias("rules"))  # at most one of each rule
@@ -98,19 +102,19 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, *, conte
     if ledger is None:  # all rules for all blobs
         copies = checkpoint(addressed.join(todo, one, "left_anti").distinct().select(F.col("blob").alias("_blob"), F.col("id").alias("_id")))
         if copies.count() <= BROADCAST_COPIES:
-            work = held.join(F.broadcast(copies), one, "left_anti").withColumn("rules", F.array(*(F.lit(k) for k in sorted(RULES))))
+            work = held.join(F.broadcast(copies), one, "left_anti").withColumn("rules", F.array(*(F.lit(k) for k in sorted(rules))))
         else:
             work = held.join(todo, one)
     else:
         work = held.join(F.broadcast(todo) if todo.count() <= BROADCAST_COPIES else todo, one)
-    fresh = checkpoint(work.select("blob", "content", "rules").mapInPandas(scan_blobs, LEDGER)).dropDuplicates(["blob", "rule"])
+    fresh = checkpoint(work.select("blob", "content", "rules").mapInPandas(scanner(rules), LEDGER)).dropDuplicates(["blob", "rule"])
     return addressed, fresh if ledger is None else ledger.unionByName(fresh)
 
 
-def findings_by_path(addressed: DataFrame, ledger: DataFrame) -> DataFrame:
+def findings_by_path(addressed: DataFrame, ledger: DataFrame, *, rules: dict = RULES) -> DataFrame:
     """A row for each id: the spans of all its findings under the current rule versions, by start, then kind as listed."""
-    kinds = F.array(*map(F.lit, RULES))
-    versions = F.create_map(*(F.lit(x) for k, (v, _) in RULES.items() for x in (k, v)))
+    kinds = F.array(*map(F.lit, rules))
+    versions = F.create_map(*(F.lit(x) for k, (v, _) in rules.items() for x in (k, v)))
     spans = (
         ledger.filter((F.size("found") > 0) & (F.col("version") == F.element_at(versions, F.col("rule"))))
         .select("blob", "rule", F.explode(F.transform(F.sequence(F.lit(0), F.size("found") - 1, F.lit(2)), lambda k: F.struct(F.get("found", k).alias("start"), F.get("found", k + 1).alias("end")))).alias("f"))
