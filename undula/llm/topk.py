@@ -18,7 +18,8 @@ Defined results: a vector that is null or holds null or non-finite components
 takes no part, nor does a row without id; a row is not its own candidate, nor is
 another row with the same id; ids repeated among the queries are answered once
 (from the row whose vector sorts first); vectors of unlike length are padded by
-zeros; fewer candidates than k give all; an empty table gives an empty result.
+zeros; fewer candidates than k give all; scores have to fit a long; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
