@@ -98,7 +98,8 @@ def _totals_of(known: dict[str, int]):
 def label_model(votes: np.ndarray, gold: np.ndarray | None, *, rounds: int = 30) -> tuple[np.ndarray, dict]:
     """Posterior probability of class 1 for each row of 0/1 votes, and the estimates.
 
-    A voter's likelihood ratio counts with the weight 1 / (1 + sum of its positive correlations with others within the classes).
+    A voter's likelihood ratio counts with the weight 1 / (1 + sum of its absolute correlations with others within the classes):
+    a voter that fires when others do not repeats their evidence as one that fires with them does.
     """
     n, m = votes.shape
     v = votes.astype(np.float64)
@@ -113,7 +114,7 @@ def label_model(votes: np.ndarray, gold: np.ndarray | None, *, rounds: int = 30)
             centred = v - np.outer(post, fires1) - np.outer(1 - post, fires0)
             cov = centred.T @ centred / n
             sd = np.sqrt(np.diag(cov)) + 1e-9
-            corr = np.clip(cov / np.outer(sd, sd), 0, 1)
+            corr = np.clip(np.abs(cov / np.outer(sd, sd)), 0, 1)
             np.fill_diagonal(corr, 0)
             weight = 1 / (1 + corr.sum(axis=1))
         ratio1, ratio0 = np.log(fires1 / fires0), np.log((1 - fires1) / (1 - fires0))
