@@ -95,6 +95,28 @@ def _totals_of(known: dict[str, int]):
     return run
 
 
+class _Sparse:
+    """Products with a 0/1 matrix, from the places of its ones."""
+
+    def __init__(self, dense: np.ndarray):
+        self.dense = dense
+        self.row, self.col = np.nonzero(dense)
+
+    def by_row(self, y: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, y[self.col], len(self.dense))
+
+    def by_col(self, y: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, y[self.row], self.dense.shape[1])
+
+    def together(self, rows: int = 2048) -> np.ndarray:
+        """How often two columns are 1 in one row; a block of rows at a time."""
+        out = np.zeros((self.dense.shape[1],) * 2)
+        for at in range(0, len(self.dense), rows):
+            part = self.dense[at : at + rows].astype(np.float32)
+            out += part.T @ part
+        return out
+
+
 def label_model(votes: np.ndarray, gold: np.ndarray | None, *, rounds: int = 30) -> tuple[np.ndarray, dict]:
     """Posterior probability of class 1 for each row of 0/1 votes, and the estimates.
 
@@ -102,23 +124,24 @@ def label_model(votes: np.ndarray, gold: np.ndarray | None, *, rounds: int = 30)
     a voter that fires when others do not repeats their evidence as one that fires with them does.
     """
     n, m = votes.shape
-    v = votes.astype(np.float64)
-    post = np.clip(v[:, :-1].mean(axis=1) * 5, 0.02, 0.9) if gold is None else np.where(gold == 1, 0.95, 0.05)
+    v = _Sparse(votes)
+    post = np.clip(votes[:, :-1].mean(axis=1) * 5, 0.02, 0.9) if gold is None else np.where(gold == 1, 0.95, 0.05)
     weight = np.ones(m)
     annotator = 0.5
     for k in range(rounds):
         prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
-        fires1 = (post @ v + 0.5) / (post.sum() + 1)
-        fires0 = ((1 - post) @ v + 0.5) / ((1 - post).sum() + 1)
+        fires1 = (v.by_col(post) + 0.5) / (post.sum() + 1)
+        fires0 = (v.by_col(1 - post) + 0.5) / ((1 - post).sum() + 1)
         if k in (2, rounds // 2):
-            centred = v - np.outer(post, fires1) - np.outer(1 - post, fires0)
-            cov = centred.T @ centred / n
-            sd = np.sqrt(np.diag(cov)) + 1e-9
+            classes, fires = np.stack([post, 1 - post]), np.stack([fires1, fires0])
+            cross = np.stack([v.by_col(c) for c in classes]).T @ fires
+            cov = (v.together() - cross - cross.T + fires.T @ (classes @ classes.T) @ fires) / n
+            sd = np.sqrt(np.maximum(np.diag(cov), 0)) + 1e-9
             corr = np.clip(np.abs(cov / np.outer(sd, sd)), 0, 1)
             np.fill_diagonal(corr, 0)
             weight = 1 / (1 + corr.sum(axis=1))
         ratio1, ratio0 = np.log(fires1 / fires0), np.log((1 - fires1) / (1 - fires0))
-        log_odds = np.log(prior / (1 - prior)) + v @ (weight * ratio1) + (1 - v) @ (weight * ratio0)
+        log_odds = np.log(prior / (1 - prior)) + v.by_row(weight * (ratio1 - ratio0)) + (weight * ratio0).sum()
         if gold is not None:
             right1 = np.clip((post * (gold == 1)).sum() / post.sum(), 0.6, 0.99)
             right0 = np.clip(((1 - post) * (gold == 0)).sum() / (1 - post).sum(), 0.6, 0.995)
@@ -129,14 +152,15 @@ def label_model(votes: np.ndarray, gold: np.ndarray | None, *, rounds: int = 30)
 
 
 def logistic(x: np.ndarray, target: np.ndarray, *, decay: float = 1e-3, rounds: int = 400, rate: float = 0.5) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression on soft labels (Adam, full batch)."""
+    """Weights and bias of a logistic regression of 0/1 features on soft labels (Adam, full batch)."""
     w, b = np.zeros(x.shape[1]), 0.0
+    ones = _Sparse(x)
     m = np.zeros(x.shape[1] + 1)
     s = np.zeros(x.shape[1] + 1)
     for k in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(ones.by_row(w) + b, -30, 30)))
         err = p - target
-        g = np.append(x.T @ err / len(x) + decay * w, err.mean())
+        g = np.append(ones.by_col(err) / len(x) + decay * w, err.mean())
         m = 0.9 * m + 0.1 * g
         s = 0.99 * s + 0.01 * g * g
         step = rate / (1 + k / 50) * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-8)
@@ -170,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_co
     chosen = {u: k for k, u in enumerate(dict.fromkeys([names[k] for k in chosen] + [u for u in INSULTS]))}
 
     held = texts.mapInPandas(_counts_of(chosen), "label int, unit array<int>, n array<int>").toPandas()  # at most ``sample`` rows of chosen entries
-    x = np.zeros((len(held), len(chosen) * LEVELS), np.float32)
+    x = np.zeros((len(held), len(chosen) * LEVELS), np.uint8)
     for k, (us, ns) in enumerate(zip(held["unit"], held["n"])):
         for u, c in zip(us, ns):
             x[k, u * LEVELS : u * LEVELS + c] = 1
@@ -181,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_co
         return {"units": chosen, "weights": w.reshape(-1, LEVELS), "bias": -3.0}
     fired = x.sum(axis=0)
     use = fired >= 3
-    votes = np.concatenate([x[:, use], (x.sum(axis=1) == 0)[:, None]], axis=1)
+    votes = np.concatenate([x[:, use], (x.sum(axis=1) == 0)[:, None].astype(np.uint8)], axis=1)
     post, _ = label_model(votes, gold)
     w, b = logistic(x, post)
     return {"units": chosen, "weights": w.reshape(-1, LEVELS), "bias": float(b)}
