@@ -34,6 +34,21 @@ def test_pages(name):
     assert main_text(html) == want
 
 
+RAW_CASES = {
+    "less than in script": "<script>if(a<b){x()}</script>",
+    "loop in script": "<SCRIPT type='module'>for(i=0;i<n;i++){s='<p'}</SCRIPT >",
+    "comment in script": "<script>if(a<!--b){}</script>",
+    "style": "<style>/* a<b */ p{}</style>",
+    "textarea": "<textarea>x <b 'y</textarea>",
+    "noscript": "<noscript><img src='x</noscript>",
+}
+
+
+@pytest.mark.parametrize("name", RAW_CASES)
+def test_raw_text_ends_at_its_own_end_tag(name):
+    assert main_text(f"<body>{RAW_CASES[name]}<article><p>Text, all of it.</p><p>More a{RAW_CASES[name]}b.</p></article></body>") == "Text, all of it.\nMore ab."
+
+
 def test_long_page_is_whole():
     paragraphs = [f"Paragraph {k}, with words." for k in range(5000)]
     html = "<article>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article>"

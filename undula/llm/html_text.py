@@ -33,6 +33,9 @@ _WORDS = re.compile(r"[A-Za-z]+")
 
 #: Elements whose content is data or not shown.
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea select option title head".split())
+#: Those of them whose content is text, not markup.
+RAW_TEXT = ("script", "style", "noscript", "iframe", "textarea", "title")
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|$)", re.IGNORECASE) for tag in RAW_TEXT}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -60,7 +63,8 @@ def blocks_of(html: str) -> list[Block]:
     blocks: list[Block] = []
     stack: list[tuple[str, str, bool, tuple[int, ...]]] = [("", "", False, (0,))]  # tag, path, within an aside, numbers from the root
     made, current, links, skip = 0, None, 0, ""
-    for m in _TOKEN.finditer(html):
+    tokens = _TOKEN.finditer(html)
+    while (m := next(tokens, None)) is not None:
         token = m[0]
         if token[0] != "<" or token == "<":
             if skip:
@@ -89,6 +93,9 @@ def blocks_of(html: str) -> list[Block]:
             # nothing inside counts; "head" ends at "body" too, in case it is never closed
             if not token.endswith("/>") and tag != "head":
                 skip = tag
+                if tag in RAW_TEXT:  # a '<' in it opens no tag; only its own end tag ends it
+                    end = _ENDS[tag].search(html, m.end())
+                    tokens = _TOKEN.finditer(html, end.start() if end else len(html))
             continue
         if tag in INLINE:
             if tag == "a":
