@@ -49,6 +49,25 @@ def test_raw_text_ends_at_its_own_end_tag(name):
     assert main_text(f"<body>{RAW_CASES[name]}<article><p>Text, all of it.</p><p>More a{RAW_CASES[name]}b.</p></article></body>") == "Text, all of it.\nMore ab."
 
 
+WRAPPERS = ["content has-sidebar", "page-with-sidebar", "no-comments", "search-results", "post-share", "hasSidebar"]
+
+
+@pytest.mark.parametrize("words", WRAPPERS)
+def test_wrapper_with_an_aside_word_keeps_its_article(words):
+    side = "<div class='sidebar'><p>More, here.</p></div><div id='comments'><p>Nice, very nice.</p></div>"
+    paragraphs = "<p>First para, with some text; and more of it.</p><p>Second para, also long enough, as it is.</p>"
+    want = "First para, with some text; and more of it.\nSecond para, also long enough, as it is."
+    for inner in (f"<article>{paragraphs}</article>{side}", f"<main>{paragraphs}</main>{side}", f"<main><div class='search-results'><article>{paragraphs}</article></div></main>", f"<div class='text'>{paragraphs}</div>{side}"):
+        assert main_text(f"<body><nav><a href=x>X</a></nav><div class='{words}'>{inner}</div><footer>(c)</footer></body>") == want
+
+
+def test_asides_stay_out_beside_a_text():
+    side = "<div class='comments'><article><p>Nice, very nice indeed.</p></article></div>"
+    for tag in ("article", "div"):
+        assert main_text(f"<body><{tag}><p>The text itself, of some length.</p></{tag}>{side}</body>") == "The text itself, of some length."
+    assert main_text(f"<main><article><p>Short, text.</p>{side * 3}</article></main>") == "Short, text."
+
+
 def test_long_page_is_whole():
     paragraphs = [f"Paragraph {k}, with words." for k in range(5000)]
     html = "<article>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article>"

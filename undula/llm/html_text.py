@@ -7,6 +7,8 @@ ratio and the punctuation ratio of the paths are smoothed over page order and
 multiplied, and paths at or above a threshold of the page's own mean are
 content.  The subtree that holds most of their weight is the article; inside it
 all blocks stay but those under tags or class words that name something else.
+A class word does not count on a wrapper: an element that holds the page's
+articles, or far more content than all that no such word covers.
 
 Defined results: a null page is empty; a page without content gives an empty
 text; unclosed and truncated markup is read as far as it goes; repeated rows are
@@ -50,18 +52,18 @@ ASIDE_WORDS = frozenset(
 
 
 class Block:
-    __slots__ = ("path", "text", "tags", "linked", "aside", "nodes")
+    __slots__ = ("path", "text", "tags", "linked", "aside", "worded", "nodes")
 
-    def __init__(self, path, nodes, aside):
-        self.path, self.nodes, self.aside = path, nodes, aside
+    def __init__(self, path, nodes, aside, worded):
+        self.path, self.nodes, self.aside, self.worded = path, nodes, aside, worded
         self.text: list[str] = []
         self.tags, self.linked = 1, 0
 
 
 def blocks_of(html: str) -> list[Block]:
-    """Blocks of text in page order. Inline tags do not start one; a block's ``nodes`` number its ancestors."""
+    """Blocks of text in page order. Inline tags do not start one; a block's ``nodes`` number its ancestors, and ``worded`` those whose class words name an aside."""
     blocks: list[Block] = []
-    stack: list[tuple[str, str, bool, tuple[int, ...]]] = [("", "", False, (0,))]  # tag, path, within an aside, numbers from the root
+    stack: list[tuple[str, str, bool, tuple[int, ...], tuple[int, ...]]] = [("", "", False, (), (0,))]  # tag, path, within an aside by its tag, asides by a word, numbers from the root
     made, current, links, skip = 0, None, 0, ""
     tokens = _TOKEN.finditer(html)
     while (m := next(tokens, None)) is not None:
@@ -70,8 +72,8 @@ def blocks_of(html: str) -> list[Block]:
             if skip:
                 continue
             if current is None:
-                _, path, aside, nodes = stack[-1]
-                current = Block(path, nodes, aside)
+                _, path, aside, worded, nodes = stack[-1]
+                current = Block(path, nodes, aside, worded)
                 blocks.append(current)
             current.text.append(token)
             if links:
@@ -132,10 +134,12 @@ def blocks_of(html: str) -> list[Block]:
                     break
         marks = " ".join(x.strip("\"'") for x in _MARKED.findall(token)) if " " in token else ""
         words = {w.lower() for w in _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", marks))} if marks else set()
-        aside = (tag in ASIDE_TAGS and not (tag == "header" and any(x[0] in ("article", "main") for x in stack))) or bool(words & ASIDE_WORDS and tag not in ("html", "body", "main", "article"))
+        aside = tag in ASIDE_TAGS and not (tag == "header" and any(x[0] in ("article", "main") for x in stack))
         made += 1
-        _, path, within, nodes = stack[-1]
-        stack.append((tag, f"{path}/{tag}.{'.'.join(sorted(words))}" if words else f"{path}/{tag}", within or aside, (*nodes, made)))
+        _, path, within, worded, nodes = stack[-1]
+        if words & ASIDE_WORDS and tag not in ("html", "body", "main", "article"):
+            worded = (*worded, made)
+        stack.append((tag, f"{path}/{tag}.{'.'.join(sorted(words))}" if words else f"{path}/{tag}", within or aside, worded, (*nodes, made)))
     return blocks
 
 
@@ -166,9 +170,9 @@ def main_text(html: str | None) -> str:
     """Blocks of the article joined by a line feed, white space inside a block turned into one space."""
     if not html:
         return ""
-    blocks = [b for b in blocks_of(html) if not b.aside]
-    texts = [" ".join(unescape("".join(b.text)).split()) for b in blocks]
-    kept = [(b, t) for b, t in zip(blocks, texts) if t]
+    kept = [(b, t) for b in blocks_of(html) if not b.aside and (t := " ".join(unescape("".join(b.text)).split()))]
+    wrappers = _wrappers(kept)
+    kept = [(b, t) for b, t in kept if wrappers.issuperset(b.worded)]
     if not kept:
         return ""
     blocks, texts = [b for b, _ in kept], [t for _, t in kept]
@@ -197,6 +201,41 @@ def main_text(html: str | None) -> str:
     return "\n".join(t for b, t in zip(blocks, texts) if root in b.nodes)
 
 
+def _wrappers(kept: list[tuple[Block, str]]) -> set[int]:
+    """Elements with an aside's class word that hold the page's articles or most of its content: their words do not count.
+
+    The heaviest is tried first, and what it sets free counts against the others.
+    """
+    targets: dict[int, bool] = {}  # outermost articles, or else main elements; whether some text in them is under no word
+    for name in ("article", "main"):
+        for b, _ in kept:
+            if f"/{name}" in b.path:
+                tags = [x.split(".")[0] for x in b.path.split("/")]
+                if name in tags:
+                    node = b.nodes[tags.index(name)]
+                    targets[node] = targets.get(node, False) or not b.worded
+        if targets:
+            break
+    if any(targets.values()):
+        return set()
+    content = content_paths([b for b, _ in kept], [t for _, t in kept])
+    sizes = [(b, max(0, len(t) - b.linked)) for b, t in kept if b.path in content]
+    weight: dict[int, int] = defaultdict(int)
+    for b, n in sizes:
+        for node in b.worded:
+            weight[node] += n
+    held: dict[int, set[int]] = defaultdict(set)
+    for b, _ in kept:
+        for node in b.worded:
+            held[node].update(targets.keys() & set(b.nodes[b.nodes.index(node) :]))
+    out: set[int] = set()
+    for node in sorted(weight, key=lambda n: (-weight[n], n)):
+        free = sum(n for b, n in sizes if out.issuperset(b.worded))
+        if weight[node] > (free if targets and len(held[node]) == len(targets) else 2 * free):
+            out.add(node)
+    return out
+
+
 def _article(blocks: list[Block]) -> int:
     """The outermost article or else main element with most text, if the page names one."""
     for name in ("article", "main"):
