@@ -82,6 +82,18 @@ def test_against_brute_force(spark):
     assert got == want and len(want) > 15
 
 
+def test_passages_from_every_start():
+    """A verbatim passage of the least length is found wherever it starts in its item."""
+    rng = random.Random(4)
+    items = [(k, words(rng, n)) for k, n in enumerate((18, 25, 45, 70))]
+    index = D.Index(items)
+    for k, item in items:
+        for size in (75, 90, 100, 142):
+            texts = [f"{words(rng, 20)} {item[a : a + size]} {words(rng, 20)}" for a in range(len(item) - size + 1)]
+            assert all(k in {m[0] for m in found} for found in index.matches(texts))
+    assert not any(index.matches([words(rng, 60) for _ in range(200)]))
+
+
 def test_filter_agrees_and_keeps_columns(spark, sf):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet").withColumnRenamed("lang", "start"), spark.read.parquet(f"{sf}/benchmark.parquet")
     bad = {r.doc_id for r in D.contaminated(docs, bench).collect()}

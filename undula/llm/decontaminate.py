@@ -1,7 +1,9 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts are compared as lower-case words, one space between them.  Each benchmark
-item is cut into overlapping windows of ``window`` characters.  An occurrence of
+item is cut into windows of ``window`` characters, half a window apart, so that
+every verbatim passage of ``PASSAGE`` characters (some 13 words), wherever it
+starts, holds a whole window.  An occurrence of
 a window of m characters with at most e edits shares at least
 m - q + 1 - q * e of its q-grams with the document, all on diagonals at most e
 apart.  So shared q-grams are counted in overlapping bands of diagonals, each as
@@ -29,7 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Q = 12
-WINDOW = 100
+#: Least length of a passage that is always found, in characters of normalized text.
+PASSAGE = 75
+#: A window and half a window less one character fit into such a passage.
+WINDOW = 2 * (PASSAGE + 1) // 3
 EDITS = 0.06
 #: Characters of benchmark text indexed at once.
 PIECE = 4_000_000
