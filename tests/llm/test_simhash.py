@@ -108,6 +108,29 @@ def test_near_duplicates_match_exact_similarity(docs):
     assert got == components(sets, links)
 
 
+def made_pairs(kinds):
+    """Texts of n words and the same with the last k replaced, which are 0.8 alike for these n and k, among others."""
+    rng = random.Random(9)
+    rows, want = [], 0
+    for copy in range(60):
+        for n, k, more in kinds:
+            base = [f"v{rng.randrange(10**9)}" for _ in range(n)]
+            rows += [(2 * want, " ".join(base)), (2 * want + 1, " ".join(base[: n - k] + [f"u{rng.randrange(10**9)}" for _ in range(k + more)]))]
+            want += 1
+    return rows
+
+
+@pytest.mark.parametrize("limit", [4096, 3])
+def test_pairs_just_at_the_similarity(spark, monkeypatch, limit):
+    """4 shingles against 5, and 9 or 45 of which one or 5 differ on either side: exactly 0.8; none is lost."""
+    monkeypatch.setattr(S, "LIST", limit, raising=False)
+    rows = made_pairs([(8, 0, 1), (13, 1, 0), (49, 5, 0)])
+    rows += [(10_000 + k, f"a common text that very many others hold too and tell at length so it is {k}") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in S.near_duplicates(df).collect()}
+    assert got == {i: 10_000 if i >= 10_000 else i - i % 2 for i in got} and len(got) == len(rows)
+
+
 def test_drop_keeps_one_of_each_group_and_all_columns(docs):
     df, _ = docs
     groups = {r["id"]: r["component"] for r in S.near_duplicates(df).collect()}

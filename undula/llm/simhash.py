@@ -16,14 +16,15 @@ Inside a subtrie only connectivity matters: a pair of nodes whose leaves are all
 in one component already is dropped too, so a dense group of near copies costs
 no more than its links need, and a star of links per component leaves the task.
 
-``near_duplicates`` is the same for shingle similarity, which 64 bits can tell
-only roughly: at a similarity of 0.8, fingerprints differ in about 15 % of their
-bits.  It takes wider fingerprints (signed random sums of the shingle set) and as
-many tries as reach pairs at the wanted similarity with the wanted recall.  What
-they link within a budget with room for chance forms candidate groups.  Inside a
-group the shingle sets decide: groups are cut into blocks, each pair of blocks is
-a unit of work, and a unit compares only documents it has not linked yet.  So a
-group of any size is spread over units, and what is sent is rows, not pairs.
+``near_duplicates`` is for shingle similarity, and exact.  Two sets of a similarity
+share a shingle of their prefixes: the first n - ceil(similarity * n) + 1 of n
+shingles in any one order, here with common ones last.  Documents are listed by
+the shingles of their prefix; pairs of a list that sizes and parities do not rule
+out (a lower bound of the shingles that differ) form candidate groups.  Long lists
+are split over tasks.  Inside a group the shingle sets decide: groups are cut into
+blocks, each pair of blocks is a unit of work, and a unit compares only documents
+it has not linked yet.  So a group of any size is spread over units, and what is
+sent is rows, not pairs.
 
 Defined results: a null text is empty; texts without words have fingerprint zero
 and are linked like any other; repeated rows and rows with one id get one
@@ -243,63 +244,75 @@ def simhash_groups(docs: DataFrame, *, words: int = 4, max_bits: int = 4, id_col
     return prints.join(labels, "fingerprint").select("id", "fingerprint", "component")
 
 
-#: Counters to which the shingle set is folded before it is projected.
-SKETCH = 2048
+WORDS = 8  # 64-bit words of parities of a shingle set
+COMPARED = 4  # those that travel with a row of a list
+BLOCK = 512  # documents in a block of a candidate group
+#: Rows of a list that one task compares; longer lists are split.
+LIST = 4096
+#: Documents on which common shingles are counted. They only order the shingles; no result depends on them.
+SAMPLED = 20_000
+
+
+def common_shingles(docs: DataFrame, *, words: int, text_col: str, n: int) -> np.ndarray:
+    """Shingles of several in ten thousand documents, the rarest first, by a sample."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"token": np.concatenate([np.zeros(0, np.uint64), *(np.unique(shingle_hashes(t, words)) for t in batch["text"])]).view(np.int64)})
+
+    some = docs.sample(min(1.0, SAMPLED / max(n, 1)), SEED).select(F.col(text_col).alias("text"))
+    found = some.mapInPandas(run, "token long").groupBy("token").count().filter("count >= 10").orderBy(F.desc("count"), "token").limit(100_000)
+    return np.array([r.token for r in found.collect()][::-1], np.int64).view(np.uint64)
 
 
-def _signs(bits: int) -> np.ndarray:
-    return (np.random.default_rng(SEED).integers(0, 2, (SKETCH, bits), dtype=np.int8) * 2 - 1).astype(np.float32)
+def prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set: two sets of at least ``similarity`` share one of them, whatever the order is.  Common ones come last."""
+    size = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1 if len(found) else 0
+    if not len(common):
+        return found[:size]
+    rank = np.argsort(common)
+    at = np.minimum(np.searchsorted(common[rank], found), len(common) - 1)
+    is_common = common[rank][at] == found
+    late = found[is_common][np.argsort(rank[at[is_common]])]
+    return np.concatenate([found[~is_common], late])[:size]
 
 
-def wide_fingerprints(docs: DataFrame, bits: int, *, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, x0, x1, w0 ...): a digest of the words and ``bits`` signed random sums of the shingle set, 64 to a column.
+def set_prints(docs: DataFrame, common: np.ndarray, similarity: float, *, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, x0, x1, n, w0 ..., prefix): a digest of the words, and of the shingle set its size, parities and prefix.
 
-    The sums are whole numbers below 2^24, so they are exact in single precision and do not depend on the batch.
+    A bit is the parity of the shingles that fall on it, so two sets differ in at least as many shingles as their prints in bits.
     """
-    n_words = bits // 64
+
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signs = _signs(bits)
         for batch in batches:
             for at in range(0, len(batch), 512):
                 cut = batch.iloc[at : at + 512]
-                sketch, digest = np.zeros((len(cut), SKETCH), np.float32), []
+                bits, digest, sizes, first = np.zeros((len(cut), 64 * WORDS), np.uint8), [], [], []
                 for k, text in enumerate(cut["text"]):
                     found = np.unique(shingle_hashes(text, words))
-                    sketch[k] = np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), 1.0 - 2.0 * (found >> np.uint64(63)).astype(np.float64), SKETCH)
+                    bits[k] = np.bincount((found & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+                    sizes.append(len(found))
+                    first.append(prefix(found, shared.value, similarity).view(np.int64))
                     digest.append(xxhash.xxh3_128_digest(b" ".join((text or "").encode().lower().split())))
-                made = np.packbits(sketch @ signs > 0, axis=1).view(">i8").astype(np.int64)
+                made = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
                 x = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-                yield pd.DataFrame({"id": cut["id"].to_numpy(), "x0": x[:, 0], "x1": x[:, 1]} | {f"w{j}": made[:, j] for j in range(n_words)})
+                yield pd.DataFrame({"id": cut["id"].to_numpy(), "x0": x[:, 0], "x1": x[:, 1], "n": sizes} | {f"w{j}": made[:, j] for j in range(WORDS)} | {"prefix": first})
 
-    schema = "id string, x0 long, x1 long, " + ", ".join(f"w{j} long" for j in range(n_words))
+    schema = "id string, x0 long, x1 long, n int, " + ", ".join(f"w{j} long" for j in range(WORDS)) + ", prefix array<long>"
     return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema).withColumn("id", F.col("id").cast("long"))
 
 
-def plan_tries(n: int, similarity: float, recall: float) -> tuple[int, int, int]:
-    """(leading bits, tries, 64-bit words) for n distinct texts: the leading bits grow with log2 n, and the tries so that ``recall`` holds."""
-    lead = max(8, math.ceil(math.log2(max(n, 2))) - 5)
-    agree = (1 - bit_rate(similarity)) ** lead
-    tries = math.ceil(math.log(1 - recall) / math.log(1 - agree))
-    return lead, tries, max(8, math.ceil(tries / (64 // lead)))
-
-
-def bit_rate(similarity: float) -> float:
-    """Share of differing bits that is expected at a Jaccard similarity of two sets of like size."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-COMPARED = 4  # words of a fingerprint that travel with a row of a trie
-BLOCK = 512  # documents in a block of a candidate group
-
-
-def _within(w: np.ndarray, a: np.ndarray, b: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows whose differing bits, added up word by word, stay within ``budget``, and those bits."""
-    bits = np.zeros(len(a), np.int64)
+def _within(w: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows whose sizes and differing bits do not rule ``similarity`` out, and those bits.  No pair that has it is lost."""
+    live = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
+    a, b = a[live], b[live]
+    bits, most = np.zeros(len(a), np.int64), (1 - similarity) / (1 + similarity) * (n[a] + n[b]) + 1e-9
     for j in range(w.shape[1]):
         bits += np.bitwise_count(w[a, j] ^ w[b, j])
-        live = bits <= budget
-        a, b, bits = a[live], b[live], bits[live]
+        live = bits <= most
+        a, b, bits, most = a[live], b[live], bits[live], most[live]
     return a, b, bits
 
 
@@ -317,34 +330,73 @@ def _block_pairs(start: np.ndarray, end: np.ndarray, side: int, size: int) -> It
         yield a[a < b], b[a < b]
 
 
-def wide_links(prints: DataFrame, lead: int, tries: int, budget: int) -> DataFrame:
-    """(rep, w0 ...) -> links (a, b) with the components of the pairs that some trie brings together and whose first words differ within ``budget``."""
-    each = 64 // lead
-    keys = F.array(*(F.struct(F.lit(t).alias("trie"), F.shiftrightunsigned(F.shiftleft(F.col(f"w{t // each}"), lead * (t % each)), 64 - lead).cast("int").alias("lead")) for t in range(tries)))
+def list_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """(token, rep, n, w0 ...) -> links (a, b) with the components of the pairs that share a token and may be similar enough."""
     cols = [f"w{j}" for j in range(COMPARED)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _in_groups(batches, ["trie", "lead"], 1 << 17):
-            w = group[cols].to_numpy(np.int64).view(np.uint64)
-            first = _starts(group["trie"].to_numpy(), group["lead"].to_numpy())
-            links = _Links(len(group))
+        for group in _in_groups(batches, ["token"], 1 << 17):
+            w, n = group[cols].to_numpy(np.int64).view(np.uint64), group["n"].to_numpy(np.int64)
+            first = _starts(group["token"].to_numpy())
+            rep, links = np.unique(group["rep"].to_numpy(np.int64), return_inverse=True)
+            joined = _Links(len(rep))
             for a, b in _block_pairs(first, np.append(first[1:], len(group)), 1024, 1 << 21):
-                apart = links.label[a] != links.label[b]
-                a, b, _ = _within(w, a[apart], b[apart], budget)
-                links.join(a, b)
-            yield _star(links.label, group["rep"].to_numpy(np.int64))
+                apart = joined.label[links[a]] != joined.label[links[b]]
+                a, b, _ = _within(w, n, a[apart], b[apart], similarity)
+                joined.join(links[a], links[b])
+            yield _star(joined.label, rep)
 
-    rows = prints.select("rep", *cols, F.inline(keys))
-    dealt = rows.repartition(partitions(prints.sparkSession), "trie", "lead").sortWithinPartitions("trie", "lead")
+    dealt = rows.repartition(partitions(rows.sparkSession), "token").sortWithinPartitions("token")
     return dealt.mapInPandas(run, "a long, b long")
 
 
-def checked_links(groups: DataFrame, prints: DataFrame, sets: DataFrame, similarity: float, budget: int, n_words: int) -> DataFrame:
+def split_links(rows: DataFrame, big: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
+    """The same for the long lists ``big`` (token, count), given links ``near`` of the others.
+
+    All rows of a list are first compared with one of them.  Rows of the component that then holds most of a list need no
+    pairs among themselves: they are dealt over blocks, and only the rest of the list goes to every block.
+    """
+    cols = [f"w{j}" for j in range(COMPARED)]
+    rows = rows.join(big, "token")
+    pivot = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n", *cols)).alias("p"))
+    small, large = F.least("n", "p.n"), F.greatest("n", "p.n")
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p.{c}"))) for c in cols), F.lit(0))
+    may = (small >= similarity * large - 1e-9) & (differ <= (1 - similarity) / (1 + similarity) * (small + large) + 1e-9)
+    near = checkpoint(near.union(rows.join(pivot, "token").filter(may).select(F.col("rep").alias("a"), F.col("p.rep").alias("b"))).filter("a <> b").distinct())
+    found = components(near)
+    held = checkpoint(rows.join(found, rows["rep"] == found["node"], "left").select("token", "count", "rep", "n", *cols, F.coalesce("component", "rep").alias("label")))
+    most = held.groupBy("token", "label").agg(F.count("*").alias("m")).groupBy("token").agg(F.max(F.struct("m", "label")).alias("most"))
+    held = held.join(most, "token").filter("most.m < count").withColumn("rest", F.col("label") != F.col("most.label"))
+    blocks = F.ceil(F.col("count") / LIST).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    units = held.select("token", "rep", "n", *cols, "label", "rest", own.alias("own"), F.explode(F.when(F.col("rest"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))).alias("block"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _in_groups(batches, ["token", "block"], 1 << 15):
+            w, n = group[cols].to_numpy(np.int64).view(np.uint64), group["n"].to_numpy(np.int64)
+            rep, label, rest = (group[c].to_numpy() for c in ("rep", "label", "rest"))
+            mine = group["own"].to_numpy() == group["block"].to_numpy()
+            first = _starts(group["token"].to_numpy(), group["block"].to_numpy())
+            joined = _Links(len(group))
+            for lo, hi in zip(first.tolist(), np.append(first[1:], len(group)).tolist()):
+                loose, here = lo + np.flatnonzero(rest[lo:hi]), lo + np.flatnonzero(mine[lo:hi])
+                for part in np.array_split(loose, max(1, len(loose) * len(here) >> 21)):
+                    a, b = np.repeat(part, len(here)), np.tile(here, len(part))
+                    apart = (label[a] != label[b]) & (joined.label[a] != joined.label[b])
+                    a, b, _ = _within(w, n, a[apart], b[apart], similarity)
+                    joined.join(a, b)
+            yield _star(joined.label, rep.astype(np.int64))
+
+    dealt = units.repartition(partitions(rows.sparkSession), "token", "block").sortWithinPartitions("token", "block")
+    return near.union(dealt.mapInPandas(run, "a long, b long"))
+
+
+def checked_links(groups: DataFrame, prints: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Candidate groups (node, component) -> links (a, b) with the components of the pairs whose shingle sets are similar enough.
 
     A member goes to a unit for each block of its group, so a group of n is n / BLOCK rows a member.
     """
-    cols = [f"w{j}" for j in range(n_words)]
+    cols = [f"w{j}" for j in range(WORDS)]
     size = groups.groupBy("component").agg(F.count("*").alias("n"))
     member = groups.join(size, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     units = member.select("component", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -353,21 +405,20 @@ def checked_links(groups: DataFrame, prints: DataFrame, sets: DataFrame, similar
     rows = units.join(held, F.col("node") == F.col("id")).select("component", "p", "q", "own", "node", "shingles", *cols)
 
     def similar(x: np.ndarray, y: np.ndarray) -> bool:
-        if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-            return False
         shared = len(np.intersect1d(x, y, assume_unique=True))
-        return shared >= similarity * (len(x) + len(y) - shared)
+        return shared + 1e-9 >= similarity * (len(x) + len(y) - shared)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _in_groups(batches, ["component", "p", "q"], 1 << 11):
             w = group[cols].to_numpy(np.int64).view(np.uint64)
             own, p, q = (group[c].to_numpy() for c in ("own", "p", "q"))
             shingles = group["shingles"].to_list()
+            n = np.array([len(x) for x in shingles], np.int64)
             first = _starts(group["component"].to_numpy(), p, q)
             links = _Links(len(group))
             for a, b in _block_pairs(first, np.append(first[1:], len(group)), 256, 1 << 20):
                 cross = (p[a] == q[a]) | (own[a] != own[b])
-                a, b, bits = _within(w, a[cross], b[cross], budget)
+                a, b, bits = _within(w, n, a[cross], b[cross], similarity)
                 order = np.argsort(bits, kind="stable")
                 a, b = a[order], b[order]
                 at, step = 0, 256
@@ -401,27 +452,23 @@ def shingle_sets(docs: DataFrame, *, words: int, id_col: str, text_col: str) ->
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, shingles array<int>")
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component long): groups of documents linked by a similarity of their word shingles of at least ``similarity``.
 
-    ``recall``: the share of pairs just at ``similarity`` that the tries reach; closer pairs are reached more surely.
     Texts with the same words always share a group.
     """
-    n = docs.count()
-    lead, tries, n_words = plan_tries(n, similarity, recall)
-    prints = checkpoint(wide_fingerprints(docs, 64 * n_words, words=words, id_col=id_col, text_col=text_col))
-    columns = [f"w{j}" for j in range(n_words)]
-    reps = checkpoint(prints.groupBy("x0", "x1").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in columns)))
-    rate = bit_rate(similarity)
-
-    def budget(words_: int, spreads: float) -> int:
-        bits = 64 * words_
-        return math.ceil(bits * rate + spreads * math.sqrt(bits * rate * (1 - rate)))
-
+    common = common_shingles(docs, words=words, text_col=text_col, n=docs.count())
+    prints = checkpoint(set_prints(docs, common, similarity, words=words, id_col=id_col, text_col=text_col))
+    reps = checkpoint(prints.groupBy("x0", "x1").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", *(f"w{j}" for j in range(WORDS)), "prefix"))))
     known = reps.filter("rep IS NOT NULL")
-    groups = checkpoint(components(checkpoint(wide_links(known, lead, tries, budget(COMPARED, 2.5)))))
+    rows = known.select("rep", "n", *(f"w{j}" for j in range(COMPARED)), F.explode("prefix").alias("token"))
+    big = checkpoint(rows.groupBy("token").count().filter(F.col("count") > LIST))
+    near = checkpoint(list_links(rows.join(big, "token", "left_anti"), similarity))
+    if not big.isEmpty():
+        near = checkpoint(split_links(rows, big, near, similarity))
+    groups = checkpoint(components(near))
     sets = shingle_sets(of_ids(docs, groups.select("node"), id_col, "left_semi"), words=words, id_col=id_col, text_col=text_col).dropDuplicates(["id"])
-    found = components(checkpoint(checked_links(groups, known, sets, similarity, budget(n_words, 3.0), n_words)))
+    found = components(checkpoint(checked_links(groups, known, sets, similarity)))
     labels = reps.join(found, reps["rep"] == found["node"], "left").select("x0", "x1", F.coalesce("component", "rep").alias("component"))
     return prints.join(labels, ["x0", "x1"]).select("id", "component")
 
