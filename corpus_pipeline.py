@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept
 and returns a DataFrame; it is written as Parquet and read again for the next.
 
     quality        importance resampling keeps the documents drawn
-    near_dups      SimHash groups at 0.8 similarity of five-word shingles; the smallest id of each group stays
+    near_dups      SimHash groups at 0.8 similarity of five-word shingles; one row of each group stays, that with the smallest id
     decontaminate  documents that hold a passage of the benchmark go
     pii            personal data get pseudonyms
     mix            each document gets the number of times the mix repeats it
@@ -30,7 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs, words=5, similarity=0.8)
+    return simhash.keep_one_row(docs, words=5, similarity=0.8)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -150,6 +150,16 @@ def test_empty_and_null_ids(spark):
     assert S.drop_near_duplicates(odd).count() == 4
 
 
+def test_one_row_stays_where_ids_repeat_or_are_null(spark):
+    import corpus_pipeline
+
+    text = "a b c d e f"
+    rows = [(None, text), (4, text), (4, text), (None, "z"), (None, "z"), (7, "y"), (7, "x"), (None, "A  b c d e F")]
+    kept = corpus_pipeline.near_dups_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert kept.columns == ["doc_id", "text"]
+    assert sorted(((r.doc_id or 0), r.text) for r in kept.collect()) == [(0, "z"), (4, text), (7, "x"), (7, "y")]
+
+
 def test_very_long_text(spark):
     rng = random.Random(1)
     long = " ".join(rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(90_000))

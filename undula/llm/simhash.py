@@ -480,6 +480,23 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options)
     return of_ids(docs, others, id_col, "left_anti")
 
 
+def keep_one_row(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, that with the smallest id; also where ids repeat or are null.
+
+    Such rows get a key of their own, which is stored with them, so that it stays the same.
+    """
+    ids = docs.select(F.col(id_col).cast("long").alias("id")).groupBy("id").count()
+    if ids.filter("id IS NULL OR count > 1").isEmpty():
+        return drop_near_duplicates(docs, id_col=id_col, **options)
+    keyed = checkpoint(docs.withColumn("__u_row", F.monotonically_increasing_id()))
+    groups = near_duplicates(keyed, id_col="__u_row", **options)
+    rank = F.struct(F.col(id_col).cast("long").isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.col("__u_row").alias("row"))
+    rows = checkpoint(groups.join(keyed.select(F.col("__u_row").alias("id"), rank.alias("rank")), "id"))
+    best = rows.groupBy("component").agg(F.min("rank").alias("best"))
+    others = checkpoint(rows.join(best, "component").filter("id <> best.row").select("id"))
+    return of_ids(keyed, others, "__u_row", "left_anti").drop("__u_row")
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     from undula.llm.common import read
 
