@@ -90,13 +90,46 @@ def test_hot_group_keeps_its_links(spark):
     assert components(range(len(prints)), links) == components(range(len(prints)), brute)
 
 
+def test_hub_of_a_graph(spark, monkeypatch):
+    """A hub's edges are joined by broadcast, others by shuffle; the components are the same."""
+    from undula.llm import common
+
+    monkeypatch.setattr(common, "hot_limit", lambda rows, least=256: 3)
+    monkeypatch.setattr("undula.llm.components.hot_limit", lambda rows, least=256: 3)
+    rng = random.Random(4)
+    edges = [(0, k) for k in range(5, 60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(59, 150), (7, 8), (7, 7)]
+    got = {r["node"]: r["component"] for r in S.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    nodes = {x for e in edges for x in e if e[0] != e[1]}
+    assert got == components(nodes, [e for e in edges])
+    rows = spark.createDataFrame([(k % 7 if k < 40 else 3, k) for k in range(90)] + [(None, 90)], "key int, v int")
+    values = spark.createDataFrame([(k, f"n{k}") for k in range(5)], "key int, name string")
+    for how, n in (("inner", 30 + 50), ("left", 91)):
+        out = common.join_split(rows, values, ["key"], how=how).collect()
+        assert len(out) == n and all(r["name"] == (f"n{r['key']}" if r["key"] is not None and r["key"] < 5 else None) for r in out)
+
+
+def test_shared_tokens_streams_runs(spark):
+    rows = [(t, k) for t, n in enumerate((1, 2, 1, 7, 1, 1, 3)) for k in range(n)]
+    df = spark.createDataFrame(rows, "token long, rep long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        got = sorted(map(tuple, S.shared_tokens(df).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(x for x in rows if x[0] in (1, 3, 6))
+
+
 def test_too_few_segments_are_refused(spark):
     df = spark.createDataFrame([(1, 1)], "rep long, fingerprint long")
     with pytest.raises(ValueError):
         S.hamming_links(df, max_bits=4, segments=4)
 
 
-def test_near_duplicates_match_exact_similarity(docs):
+@pytest.mark.parametrize("block,pivots,salt,limit", [(512, 8, 4096, 4096), (3, 2, 2, 3)])
+def test_near_duplicates_match_exact_similarity(docs, monkeypatch, block, pivots, salt, limit):
+    """Also where groups and lists are cut into small blocks."""
+    for name, v in (("BLOCK", block), ("PIVOTS", pivots), ("SALT", salt), ("LIST", limit)):
+        monkeypatch.setattr(S, name, v)
     df, texts = docs
     got = {r["id"]: r["component"] for r in S.near_duplicates(df, words=5, similarity=0.8).collect()}
     sets = {}

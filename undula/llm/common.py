@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: At most so many keys are told to all tasks at once.
+MANY_KEYS = 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,3 +36,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hot_limit(rows: int, *, least: int = 256) -> int:
+    """The number of rows beyond which a key is hot: of ``rows`` rows, fewer than MANY_KEYS keys can have more."""
+    return max(least, rows // MANY_KEYS)
+
+
+def join_split(rows: DataFrame, values: DataFrame, keys: list[str], *, how: str = "inner", total: int | None = None) -> DataFrame:
+    """``rows`` joined with ``values`` (one row a key) on ``keys``, inner or left, without gathering a hot key's rows in one task.
+
+    The values of hot keys, fewer than MANY_KEYS, are broadcast, so that those rows stay where they are; other keys are
+    shuffled.  Rows with a null in a key match nothing.
+    """
+    limit = hot_limit(rows.count() if total is None else total)
+    hot = checkpoint(rows.groupBy(*keys).count().filter(F.col("count") > limit).drop("count"))
+    if hot.isEmpty():
+        return rows.join(values, keys, how)
+    known = rows.join(F.broadcast(hot.join(values, keys, how)), keys)
+    others = rows.join(F.broadcast(hot), keys, "left_anti")
+    return known.unionByName(others.join(values, keys, how))
+
+
+def told(values: DataFrame) -> DataFrame:
+    """``values`` marked to be broadcast if they are at most MANY_KEYS rows; beyond, they are joined by shuffle."""
+    return F.broadcast(values) if values.count() <= MANY_KEYS else values

@@ -16,15 +16,17 @@ Inside a subtrie only connectivity matters: a pair of nodes whose leaves are all
 in one component already is dropped too, so a dense group of near copies costs
 no more than its links need, and a star of links per component leaves the task.
 
-``near_duplicates`` is for shingle similarity, and exact.  Two sets of a similarity
-share a shingle of their prefixes: the first n - ceil(similarity * n) + 1 of n
-shingles in any one order, here with common ones last.  Documents are listed by
-the shingles of their prefix; pairs of a list that sizes and parities do not rule
-out (a lower bound of the shingles that differ) form candidate groups.  Long lists
-are split over tasks.  Inside a group the shingle sets decide: groups are cut into
-blocks, each pair of blocks is a unit of work, and a unit compares only documents
-it has not linked yet.  So a group of any size is spread over units, and what is
-sent is rows, not pairs.
+``near_duplicates`` is for shingle similarity, and exact.  The trie join over fingerprints
+of five-word shingles gives candidate groups: dense groups of near copies are found
+there, at the cost of their links.  No Hamming budget that a trie can meet covers all
+pairs at 0.8, so a prefix filter adds what may be missing: two sets of a similarity
+share a shingle of their prefixes, the first n - ceil(similarity * n) + 1 of n
+shingles in any one order, here with common ones last.  Shingles that only one prefix
+holds are dropped first; pairs of the other lists that sizes and parities do not rule
+out (a lower bound of the shingles that differ) join the candidate groups.  Long lists
+are split over tasks.  Inside a group the shingle sets decide.  The members of a large
+group are first compared with a few of them; those that this links need no pairs among
+themselves, and the rest is compared in blocks, each pair of blocks a unit of work.
 
 Defined results: a null text is empty; texts without words have fingerprint zero
 and are linked like any other; repeated rows and rows with one id get one
@@ -43,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import checkpoint, partitions
+from undula.llm.common import checkpoint, join_split, partitions, told
 from undula.llm.components import components
 
 #: Up to so many ids (8 bytes each) a list of ids is broadcast; beyond, it is joined by shuffle.
@@ -128,11 +130,12 @@ def _expand(pl, ph, ql, qh):
     return pl[which] + k // n[which], ql[which] + k % n[which]
 
 
-def trie_links(value: np.ndarray, start: np.ndarray, end: np.ndarray, depth: int, budget: int, *, leaf: int = 1024, step: int = 1 << 22) -> np.ndarray:
+def trie_links(value: np.ndarray, start: np.ndarray, end: np.ndarray, depth: int, budget: int, *, leaf: int = 1024, step: int = 1 << 22, frontier: int = 1 << 20) -> np.ndarray:
     """Component labels of rows linked within ``budget`` bits.
 
     ``value``: sorted uint64; ``start``, ``end``: the intervals of rows that share their first ``depth`` bits.
-    Pairs of nodes are intervals of rows.  A pair of at most ``leaf`` pairs of rows is compared at once, ``step`` at a time.
+    Pairs of nodes are intervals of rows, at most ``frontier`` pairs of a depth are walked down at a time.
+    A pair of at most ``leaf`` pairs of rows is compared at once, ``step`` at a time.
     """
     links = _Links(len(value))
     if len(value) > 1:
@@ -140,12 +143,16 @@ def trie_links(value: np.ndarray, start: np.ndarray, end: np.ndarray, depth: int
         near = np.flatnonzero((same[1:] == same[:-1]) & (np.bitwise_count(value[1:] ^ value[:-1]) <= budget))
         links.join(near, near + 1)
     keep = end - start > 1
-    pl, ph = start[keep], end[keep]
-    ql, qh, err = pl, ph, np.zeros(len(pl), np.int64)
-    while len(pl):
+    waiting = [(depth, np.stack([start[keep], end[keep], start[keep], end[keep], np.zeros(keep.sum(), np.int64)]))]
+    while waiting:
+        depth, pairs = waiting.pop()
+        if pairs.shape[1] > frontier:
+            waiting.append((depth, pairs[:, frontier:]))
+            pairs = pairs[:, :frontier]
         runs = links.run_ends()
+        pl, ph, ql, qh, _ = pairs
         known = (runs[pl] >= ph) & (runs[ql] >= qh) & (links.label[pl] == links.label[ql])
-        pl, ph, ql, qh, err = (x[~known] for x in (pl, ph, ql, qh, err))
+        pl, ph, ql, qh, err = pairs[:, ~known]
         small = ((ph - pl) * (qh - ql) <= leaf) | (depth >= 64)
         for part in np.array_split(np.flatnonzero(small), max(1, int(((ph - pl) * (qh - ql))[small].sum() // step))):
             a, b = _expand(pl[part], ph[part], ql[part], qh[part])
@@ -153,7 +160,7 @@ def trie_links(value: np.ndarray, start: np.ndarray, end: np.ndarray, depth: int
             links.join(a[ok], b[ok])
         pl, ph, ql, qh, err = (x[~small] for x in (pl, ph, ql, qh, err))
         if not len(pl):
-            break
+            continue
         bit = np.uint64(1) << np.uint64(63 - depth)
         below = np.uint64(2**64 - 1) << np.uint64(63 - depth)
 
@@ -163,10 +170,9 @@ def trie_links(value: np.ndarray, start: np.ndarray, end: np.ndarray, depth: int
         pm, qm, own = middle(pl, ph), middle(ql, qh), pl == ql
         made = [(pl, pm, ql, qm, err), (pm, ph, qm, qh, err), (pl, pm, qm, qh, err + 1)]
         made.append(tuple(x[~own] for x in (pm, ph, ql, qm, err + 1)))
-        pl, ph, ql, qh, err = (np.concatenate(x) for x in zip(*made))
-        live = (pl < ph) & (ql < qh) & (err <= budget) & ~((pl == ql) & (ph - pl < 2))
-        pl, ph, ql, qh, err = (x[live] for x in (pl, ph, ql, qh, err))
-        depth += 1
+        pairs = np.concatenate([np.stack(x) for x in made], axis=1)
+        pl, ph, ql, qh, err = pairs
+        waiting.append((depth + 1, pairs[:, (pl < ph) & (ql < qh) & (err <= budget) & ~((pl == ql) & (ph - pl < 2))]))
     return links.label
 
 
@@ -177,16 +183,17 @@ def _in_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int) -> I
     for batch in batches:
         if not len(batch):
             continue
+        k = batch[keys].to_numpy()
+        last = np.flatnonzero((k != k[-1]).any(axis=1))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if not cut and held and (held[-1][keys].iloc[-1].to_numpy() != k[0]).any() and count >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, count = [], 0
+        if cut and count + len(batch) >= rows:
+            yield pd.concat([*held, batch.iloc[:cut]], ignore_index=True)
+            held, count, batch = [], 0, batch.iloc[cut:]
         held.append(batch)
         count += len(batch)
-        if count >= rows:
-            whole = pd.concat(held, ignore_index=True)
-            k = whole[keys].to_numpy()
-            last = np.flatnonzero((k != k[-1]).any(axis=1))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield whole.iloc[:cut].reset_index(drop=True)
-            held, count = [whole.iloc[cut:]], len(whole) - cut
     if count:
         yield pd.concat(held, ignore_index=True)
 
@@ -241,12 +248,14 @@ def simhash_groups(docs: DataFrame, *, words: int = 4, max_bits: int = 4, id_col
     reps = checkpoint(prints.groupBy("fingerprint").agg(F.min("id").alias("rep")))
     found = components(hamming_links(reps.filter("rep IS NOT NULL"), max_bits=max_bits))
     labels = reps.join(found, reps["rep"] == found["node"], "left").select("fingerprint", F.coalesce("component", "rep").alias("component"))
-    return prints.join(labels, "fingerprint").select("id", "fingerprint", "component")
+    return join_split(prints, labels, ["fingerprint"]).select("id", "fingerprint", "component")
 
 
 WORDS = 8  # 64-bit words of parities of a shingle set
 COMPARED = 4  # those that travel with a row of a list
 BLOCK = 512  # documents in a block of a candidate group
+PIVOTS = 8  # members of a large candidate group that all others are compared with first
+SALT = 4096  # members that one task compares with them
 #: Rows of a list that one task compares; longer lists are split.
 LIST = 4096
 #: Documents on which common shingles are counted. They only order the shingles; no result depends on them.
@@ -265,20 +274,22 @@ def common_shingles(docs: DataFrame, *, words: int, text_col: str, n: int) -> np
     return np.array([r.token for r in found.collect()][::-1], np.int64).view(np.uint64)
 
 
-def prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a set: two sets of at least ``similarity`` share one of them, whatever the order is.  Common ones come last."""
+def prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """The first shingles of a set, and how many of them are not common: two sets of at least ``similarity`` share one of
+    them, whatever the order is.  Common ones come last."""
     size = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1 if len(found) else 0
     if not len(common):
-        return found[:size]
+        return found[:size], size
     rank = np.argsort(common)
     at = np.minimum(np.searchsorted(common[rank], found), len(common) - 1)
     is_common = common[rank][at] == found
     late = found[is_common][np.argsort(rank[at[is_common]])]
-    return np.concatenate([found[~is_common], late])[:size]
+    return np.concatenate([found[~is_common], late])[:size], min(size, len(found) - len(late))
 
 
 def set_prints(docs: DataFrame, common: np.ndarray, similarity: float, *, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, x0, x1, n, w0 ..., prefix): a digest of the words, and of the shingle set its size, parities and prefix.
+    """(id, x0, x1, fingerprint, n, w0 ..., rare, prefix): a digest of the words, the SimHash, and of the shingle set its size, parities and
+    prefix, of which the first ``rare`` are not common.
 
     A bit is the parity of the shingles that fall on it, so two sets differ in at least as many shingles as their prints in bits.
     """
@@ -289,21 +300,44 @@ def set_prints(docs: DataFrame, common: np.ndarray, similarity: float, *, words:
         for batch in batches:
             for at in range(0, len(batch), 512):
                 cut = batch.iloc[at : at + 512]
-                bits, digest, sizes, first = np.zeros((len(cut), 64 * WORDS), np.uint8), [], [], []
+                bits, made = np.zeros((len(cut), 64 * WORDS), np.uint8), []
                 for k, text in enumerate(cut["text"]):
-                    found = np.unique(shingle_hashes(text, words))
+                    hashes = shingle_hashes(text, words)
+                    found = np.unique(hashes)
                     bits[k] = np.bincount((found & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
-                    sizes.append(len(found))
-                    first.append(prefix(found, shared.value, similarity).view(np.int64))
-                    digest.append(xxhash.xxh3_128_digest(b" ".join((text or "").encode().lower().split())))
-                made = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
-                x = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-                yield pd.DataFrame({"id": cut["id"].to_numpy(), "x0": x[:, 0], "x1": x[:, 1], "n": sizes} | {f"w{j}": made[:, j] for j in range(WORDS)} | {"prefix": first})
-
-    schema = "id string, x0 long, x1 long, n int, " + ", ".join(f"w{j} long" for j in range(WORDS)) + ", prefix array<long>"
+                    first, rare = prefix(found, shared.value, similarity)
+                    x = np.frombuffer(xxhash.xxh3_128_digest(b" ".join((text or "").encode().lower().split())), np.int64)
+                    made.append((cut["id"].iloc[k], x[0], x[1], simhash(hashes), len(found), rare, first.view(np.int64)))
+                out = pd.DataFrame(made, columns=["id", "x0", "x1", "fingerprint", "n", "rare", "prefix"])
+                packed = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+                yield out.assign(**{f"w{j}": packed[:, j] for j in range(WORDS)})[names]
+
+    names = ["id", "x0", "x1", "fingerprint", "n", *(f"w{j}" for j in range(WORDS)), "rare", "prefix"]
+    schema = "id string, x0 long, x1 long, fingerprint long, n int, " + ", ".join(f"w{j} long" for j in range(WORDS)) + ", rare int, prefix array<long>"
     return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema).withColumn("id", F.col("id").cast("long"))
 
 
+def shared_tokens(rows: DataFrame) -> DataFrame:
+    """The rows (token, rep) whose token another row has too; runs of equal tokens are passed through, not held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, told = None, False  # the last row, and whether it has been given out
+        for batch in batches:
+            if not len(batch):
+                continue
+            whole = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            token = whole["token"].to_numpy()
+            same = token[1:] == token[:-1]
+            keep = np.append(same, False) | np.append(False, same)
+            if told:
+                keep[0] = False
+            held, told = whole.iloc[-1:], bool(keep[-1]) or (told and len(whole) == 1)
+            yield whole[keep]
+
+    dealt = rows.repartition(partitions(rows.sparkSession), "token").sortWithinPartitions("token")
+    return dealt.mapInPandas(run, "token long, rep long")
+
+
 def _within(w: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows whose sizes and differing bits do not rule ``similarity`` out, and those bits.  No pair that has it is lost."""
     live = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
@@ -331,7 +365,7 @@ def _block_pairs(start: np.ndarray, end: np.ndarray, side: int, size: int) -> It
 
 
 def list_links(rows: DataFrame, similarity: float) -> DataFrame:
-    """(token, rep, n, w0 ...) -> links (a, b) with the components of the pairs that share a token and may be similar enough."""
+    """(token, rep, n, label, w0 ...) -> links (a, b) with the components of the pairs that share a token and may be similar enough, or a label."""
     cols = [f"w{j}" for j in range(COMPARED)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -340,6 +374,8 @@ def list_links(rows: DataFrame, similarity: float) -> DataFrame:
             first = _starts(group["token"].to_numpy())
             rep, links = np.unique(group["rep"].to_numpy(np.int64), return_inverse=True)
             joined = _Links(len(rep))
+            _, at, label = np.unique(group["label"].to_numpy(np.int64), return_index=True, return_inverse=True)
+            joined.join(links, links[at][label])
             for a, b in _block_pairs(first, np.append(first[1:], len(group)), 1024, 1 << 21):
                 apart = joined.label[links[a]] != joined.label[links[b]]
                 a, b, _ = _within(w, n, a[apart], b[apart], similarity)
@@ -357,16 +393,16 @@ def split_links(rows: DataFrame, big: DataFrame, near: DataFrame, similarity: fl
     pairs among themselves: they are dealt over blocks, and only the rest of the list goes to every block.
     """
     cols = [f"w{j}" for j in range(COMPARED)]
-    rows = rows.join(big, "token")
-    pivot = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n", *cols)).alias("p"))
+    rows = rows.join(told(big), "token")
+    pivot = checkpoint(rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n", *cols)).alias("p")))
     small, large = F.least("n", "p.n"), F.greatest("n", "p.n")
     differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p.{c}"))) for c in cols), F.lit(0))
     may = (small >= similarity * large - 1e-9) & (differ <= (1 - similarity) / (1 + similarity) * (small + large) + 1e-9)
-    near = checkpoint(near.union(rows.join(pivot, "token").filter(may).select(F.col("rep").alias("a"), F.col("p.rep").alias("b"))).filter("a <> b").distinct())
+    near = checkpoint(near.union(rows.join(told(pivot), "token").filter(may).select(F.col("rep").alias("a"), F.col("p.rep").alias("b"))).filter("a <> b").distinct())
     found = components(near)
     held = checkpoint(rows.join(found, rows["rep"] == found["node"], "left").select("token", "count", "rep", "n", *cols, F.coalesce("component", "rep").alias("label")))
-    most = held.groupBy("token", "label").agg(F.count("*").alias("m")).groupBy("token").agg(F.max(F.struct("m", "label")).alias("most"))
-    held = held.join(most, "token").filter("most.m < count").withColumn("rest", F.col("label") != F.col("most.label"))
+    most = checkpoint(held.groupBy("token", "label").agg(F.count("*").alias("m")).groupBy("token").agg(F.max(F.struct("m", "label")).alias("most")))
+    held = held.join(told(most), "token").filter("most.m < count").withColumn("rest", F.col("label") != F.col("most.label"))
     blocks = F.ceil(F.col("count") / LIST).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     units = held.select("token", "rep", "n", *cols, "label", "rest", own.alias("own"), F.explode(F.when(F.col("rest"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))).alias("block"))
@@ -391,47 +427,74 @@ def split_links(rows: DataFrame, big: DataFrame, near: DataFrame, similarity: fl
     return near.union(dealt.mapInPandas(run, "a long, b long"))
 
 
+def pivot_links(members: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of the members (component, node, count, shingles) of large groups with PIVOTS members of their group, where the sets are similar enough."""
+    lot = F.xxhash64("node", F.lit("pivot"))
+    chosen = members.groupBy("component", F.pmod(lot, F.lit(PIVOTS)).alias("j")).agg(F.min(F.struct(lot.alias("h"), "node")).alias("p"), F.first("count").alias("count"))
+    pivots = chosen.select(F.col("p.node").alias("pivot"), F.ceil(F.col("count") / SALT).cast("int").alias("salts")).join(members.select("component", F.col("node").alias("pivot"), F.col("shingles").alias("other")), "pivot")
+    pivots = pivots.select("component", "pivot", "other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.ceil(F.col("count") / SALT)).cast("int"))
+    n, m = F.size("shingles"), F.size("other")
+    shared = F.size(F.array_intersect("shingles", "other"))
+    alike = (F.least(n, m) + 1e-9 >= similarity * F.greatest(n, m)) & (shared + 1e-9 >= similarity * (n + m - shared))
+    return salted.join(pivots, ["component", "salt"]).filter((F.col("node") != F.col("pivot")) & alike).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+
+
 def checked_links(groups: DataFrame, prints: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Candidate groups (node, component) -> links (a, b) with the components of the pairs whose shingle sets are similar enough.
 
-    A member goes to a unit for each block of its group, so a group of n is n / BLOCK rows a member.
+    The largest component that the pivots of a large group make is settled; each other member, the rest, is compared with
+    all.  Both are cut into blocks, and a block of the rest with a block of all is a unit of work of bounded size.
     """
     cols = [f"w{j}" for j in range(WORDS)]
-    size = groups.groupBy("component").agg(F.count("*").alias("n"))
-    member = groups.join(size, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    units = member.select("component", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    units = units.select("component", "node", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    size = groups.groupBy("component").count()
     held = sets.join(prints.select(F.col("rep").alias("id"), *cols), "id")
-    rows = units.join(held, F.col("node") == F.col("id")).select("component", "p", "q", "own", "node", "shingles", *cols)
+    members = checkpoint(join_split(groups, size, ["component"]).join(held, F.col("node") == F.col("id")).select("component", "node", "count", "shingles", *cols))
+    large = F.col("count") > BLOCK
+    found = checkpoint(pivot_links(members.filter(large), similarity))
+    label = components(found)
+    labelled = checkpoint(members.filter(large).select("component", "node").join(label.withColumnRenamed("component", "label"), "node", "left").select("component", "node", F.coalesce("label", "node").alias("label")))
+    parts = labelled.groupBy("component", "label").count()
+    most = parts.groupBy("component").agg(F.max(F.struct("count", "label")).alias("most"), F.sum("count").alias("all"))
+    most = most.select("component", F.col("most.label").alias("most"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("most.count")) / BLOCK).cast("int").alias("rests"))
+    dealt = join_split(labelled, most, ["component"]).filter("rests > 0").withColumn("rest", F.col("label") != F.col("most"))
+    of_large = dealt.select("node", "component", "label", "rest", "blocks", "rests", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"), F.pmod(F.xxhash64("node", F.lit("rest")), F.col("rests")).cast("int").alias("mine"))
+    of_small = members.filter(~large).select("node", "component", F.col("node").alias("label"), F.lit(True).alias("rest"), *(F.lit(v).alias(c) for c, v in (("blocks", 1), ("rests", 1), ("own", 0), ("mine", 0))))
+    down = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: F.struct(F.col("own").alias("block"), r.alias("part")))
+    across = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.col("mine").alias("part")))
+    places = F.inline(F.when(F.col("rest"), F.array_union(down, across)).otherwise(down))
+    units = of_large.union(of_small).select("node", "component", "label", "rest", "own", "mine", places)
+    rows = units.join(members.select("node", "shingles", *cols), "node")
 
     def similar(x: np.ndarray, y: np.ndarray) -> bool:
         shared = len(np.intersect1d(x, y, assume_unique=True))
         return shared + 1e-9 >= similarity * (len(x) + len(y) - shared)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _in_groups(batches, ["component", "p", "q"], 1 << 11):
+        for group in _in_groups(batches, ["component", "block", "part"], 1 << 11):
             w = group[cols].to_numpy(np.int64).view(np.uint64)
-            own, p, q = (group[c].to_numpy() for c in ("own", "p", "q"))
+            node, label, rest = (group[c].to_numpy() for c in ("node", "label", "rest"))
+            own, mine, block, part = (group[c].to_numpy() for c in ("own", "mine", "block", "part"))
             shingles = group["shingles"].to_list()
             n = np.array([len(x) for x in shingles], np.int64)
-            first = _starts(group["component"].to_numpy(), p, q)
+            first = _starts(group["component"].to_numpy(), block, part)
             links = _Links(len(group))
-            for a, b in _block_pairs(first, np.append(first[1:], len(group)), 256, 1 << 20):
-                cross = (p[a] == q[a]) | (own[a] != own[b])
-                a, b, bits = _within(w, n, a[cross], b[cross], similarity)
+            for lo, hi in zip(first.tolist(), np.append(first[1:], len(group)).tolist()):
+                loose, here = lo + np.flatnonzero(rest[lo:hi] & (mine[lo:hi] == part[lo])), lo + np.flatnonzero(own[lo:hi] == block[lo])
+                a, b = np.repeat(loose, len(here)), np.tile(here, len(loose))
+                apart = (label[a] != label[b]) & (~rest[b] | (node[a] < node[b]))
+                a, b, bits = _within(w, n, a[apart], b[apart], similarity)
                 order = np.argsort(bits, kind="stable")
                 a, b = a[order], b[order]
-                at, step = 0, 256
-                while at < len(a):  # the closest first; what they link needs no check any more
-                    x, y = a[at : at + step], b[at : at + step]
+                for at in range(0, len(a), 256):  # the closest first; what they link needs no check any more
+                    x, y = a[at : at + 256], b[at : at + 256]
                     apart = np.flatnonzero(links.label[x] != links.label[y])
                     good = [k for k in apart.tolist() if similar(shingles[x[k]], shingles[y[k]])]
                     links.join(x[good], y[good])
-                    at += step
-            yield _star(links.label, group["node"].to_numpy(np.int64))
+            yield _star(links.label, node.astype(np.int64))
 
-    dealt = rows.repartition(partitions(groups.sparkSession), "component", "p", "q").sortWithinPartitions("component", "p", "q")
-    return dealt.mapInPandas(run, "a long, b long")
+    dealt = rows.repartition(partitions(groups.sparkSession), "component", "block", "part").sortWithinPartitions("component", "block", "part")
+    return found.union(dealt.mapInPandas(run, "a long, b long"))
 
 
 def of_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
@@ -459,18 +522,25 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     """
     common = common_shingles(docs, words=words, text_col=text_col, n=docs.count())
     prints = checkpoint(set_prints(docs, common, similarity, words=words, id_col=id_col, text_col=text_col))
-    reps = checkpoint(prints.groupBy("x0", "x1").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", *(f"w{j}" for j in range(WORDS)), "prefix"))))
+    features = ["fingerprint", "n", *(f"w{j}" for j in range(WORDS)), "rare", "prefix"]
+    reps = checkpoint(prints.groupBy("x0", "x1").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in features)))
     known = reps.filter("rep IS NOT NULL")
-    rows = known.select("rep", "n", *(f"w{j}" for j in range(COMPARED)), F.explode("prefix").alias("token"))
-    big = checkpoint(rows.groupBy("token").count().filter(F.col("count") > LIST))
-    near = checkpoint(list_links(rows.join(big, "token", "left_anti"), similarity))
+    close = checkpoint(hamming_links(known.select("rep", "fingerprint")))
+    label = checkpoint(components(close))
+    rare = known.select("rep", F.explode(F.slice("prefix", 1, F.col("rare"))).alias("token"))
+    often = known.select("rep", F.explode(F.slice("prefix", F.col("rare") + 1, F.size("prefix"))).alias("token"))
+    tokens = checkpoint(shared_tokens(rare).union(often.select("token", "rep")))
+    light = known.join(label, F.col("rep") == F.col("node"), "left").select("rep", "n", F.coalesce("component", "rep").alias("label"), *(f"w{j}" for j in range(COMPARED)))
+    rows = tokens.join(light, "rep")
+    big = checkpoint(tokens.groupBy("token").count().filter(F.col("count") > LIST))
+    near = checkpoint(list_links(rows.join(told(big), "token", "left_anti"), similarity).union(close))
     if not big.isEmpty():
         near = checkpoint(split_links(rows, big, near, similarity))
     groups = checkpoint(components(near))
     sets = shingle_sets(of_ids(docs, groups.select("node"), id_col, "left_semi"), words=words, id_col=id_col, text_col=text_col).dropDuplicates(["id"])
     found = components(checkpoint(checked_links(groups, known, sets, similarity)))
     labels = reps.join(found, reps["rep"] == found["node"], "left").select("x0", "x1", F.coalesce("component", "rep").alias("component"))
-    return prints.join(labels, ["x0", "x1"]).select("id", "component")
+    return join_split(prints.select("id", "x0", "x1"), labels, ["x0", "x1"]).select("id", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
