@@ -94,3 +94,77 @@ def test_given_pages_give_their_articles(spark, sf):
         inner = r.html[r.html.find("<article>") + 9 :].split("</article>")[0]
         parts = re.split(r"</?(?:p|h1)>", inner.replace("<b>", "").replace("</b>", "").replace("<br>", " "))
         assert main_text(r.html) == "\n".join(t for t in (" ".join(H.unescape(p).split()) for p in parts) if t)
+
+
+BROKEN = {
+    "unclosed quote": ("<p>hello there, reader.</p><img src=\"a.png\" width=640 data-large-url=\"http://x" + "y" * 50_000, "hello there, reader."),
+    "quote that ends nowhere": ("<article>" + "<p class='x>Some text.</p>" * 2001 + "</article>", None),
+    "open quotes": ("<p class=\"a" * 50_000, None),
+    "deep": ("<div>" * 100_000 + "text, here.", "text, here."),
+    "end tags": ("<p>Text, first.</p>" + "<div>" * 3000 + "</span>" * 50_000 + "</p>" * 50_000, None),
+    "comments": ("<p>Text, first.</p>" + "<!--" * 50_000, "Text, first."),
+}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_broken_markup_takes_time_in_proportion(name):
+    import time
+
+    html, want = BROKEN[name]
+    start = time.process_time()
+    got = main_text(html)
+    assert time.process_time() - start < 20 and (want is None or got == want)
+
+
+LONG = "A paragraph, with some words in it; and then more of them, as it goes on. " * 3
+
+
+def test_paths_decide_where_nothing_has_a_name():
+    page = "<body><div><a href=a>Link one</a> <a href=b>Link two</a> <a href=c>Three</a></div><h2>Head</h2>" + f"<p>{LONG}</p><p>Short one.</p><p>{LONG}</p><ul><li>first item</li><li>second</li></ul><div>We use cookies. OK?</div></body>"
+    assert main_text(page) == "\n".join(["Head", LONG.strip(), "Short one.", LONG.strip(), "first item", "second"])
+    nested = f"<body><div><div><a href=a>Link one</a></div><div><p>{LONG}</p><p>{LONG}</p></div><div>We use cookies, as you know. <button>OK</button></div></div></body>"
+    assert main_text(nested) == "\n".join([LONG.strip()] * 2)
+
+
+def test_words_weigh_and_do_not_decide():
+    want = f"{LONG.strip()}\nThe results, as they are noted, and more of them."
+    assert main_text(f"<article><p>{LONG}</p><section class='notice-of-results'><p>The results, as they are noted, and more of them.</p></section></article>") == want
+    assert main_text(f"<body><form class='search'><div><p>{LONG}</p><p>{LONG}</p></div></form></body>") == "\n".join([LONG.strip()] * 2)
+    assert main_text("<body><div class='cookie-notice'>We use cookies, as you know.</div><div class=menu><a href=x>X</a></div></body>") == ""
+    assert main_text("<article><p>x <math><mi>y</mi><mo>=</mo><mn>2</mn></math>.</p></article>") == "x y=2."
+    assert main_text("<article><h1>The end.</h1><p><b>The end.<br></article><div class='ad'>Buy a very long thing now, please. Or more of them.</div>") == "The end.\nThe end."
+
+
+def test_content_paths_against_a_plain_count():
+    """Pages of random parts; the twin adds up what was put in, path by path."""
+    import random
+
+    from undula.llm.html_text import blocks_of, content_paths
+
+    rng = random.Random(3)
+    weights = {"": 1.0, "ad": 0.03, "reader-comments": 0.1, "text": 1.0, "has-menu": 1.0, "old news notice": 0.03, "notice-of-results": 0.6}
+    for _ in range(200):
+        rows, page = [], []
+        for _ in range(rng.randint(1, 12)):
+            name, tag, links = rng.choice(list(weights)), rng.choice(("p", "div", "h2")), rng.random() < 0.3
+            words = sorted({w for c in name.split() for w in c.split("-")})
+            for _ in range(rng.randint(1, 3)):
+                text = " ".join(rng.choice(("word", "a", "longer,", "end.")) for _ in range(rng.randint(1, 40)))
+                page.append(f"<section class='{name}'><{tag}>{'<a href=x>' if links else ''}{text}{'</a>' if links else ''}</{tag}></section>")
+                rows.append((f"/body/section{'.' * bool(words)}{'.'.join(words)}/{tag}", text, links, weights[name]))
+        paths = list(dict.fromkeys(r[0] for r in rows))
+        level = {}
+        ratio = lambda p, f: sum(f(r) for r in rows if r[0] == p) / sum(2 if r[2] and r[1] and False else 1 + r[2] for r in rows if r[0] == p)  # noqa: E731  the block's tag, and the link's end tag
+        for f in (lambda r: 0 if r[2] else len(r[1]), lambda r: r[1].count(",") + r[1].count(".")):
+            x = [ratio(p, f) for p in paths]
+            for k, p in enumerate(paths):
+                near = [x[j] for j in (k - 1, k + 1) if 0 <= j < len(x) and paths[j].rsplit("/", 1)[0] == p.rsplit("/", 1)[0]]
+                level.setdefault(p, []).append(x[k] * (1 - len(near) / 16) + sum(near) / 16)
+        level = {p: a * (1 + b) * next(r[3] for r in rows if r[0] == p) for p, (a, b) in level.items()}
+        total = sum(level[r[0]] * len(r[1]) for r in rows)
+        mean = sum(level[r[0]] ** 2 * len(r[1]) for r in rows) / total if total else 0
+        want = {p for p, v in level.items() if v > 0 and v >= 0.3 * mean}
+        blocks = blocks_of(f"<body>{''.join(page)}</body>")
+        assert [b.path for b in blocks] == [r[0] for r in rows]
+        got = content_paths(blocks, ["".join(b.text) for b in blocks])
+        assert got == want or all(abs(level[p] - 0.3 * mean) < 1e-9 * mean for p in got ^ want)
