@@ -259,18 +259,18 @@ SALT = 4096  # members that one task compares with them
 #: Rows of a list that one task compares; longer lists are split.
 LIST = 4096
 #: Documents on which common shingles are counted. They only order the shingles; no result depends on them.
-SAMPLED = 20_000
+SAMPLED = 4_000
 
 
 def common_shingles(docs: DataFrame, *, words: int, text_col: str, n: int) -> np.ndarray:
-    """Shingles of several in ten thousand documents, the rarest first, by a sample."""
+    """Shingles of some in a thousand documents, the rarest first, by a sample."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"token": np.concatenate([np.zeros(0, np.uint64), *(np.unique(shingle_hashes(t, words)) for t in batch["text"])]).view(np.int64)})
 
     some = docs.sample(min(1.0, SAMPLED / max(n, 1)), SEED).select(F.col(text_col).alias("text"))
-    found = some.mapInPandas(run, "token long").groupBy("token").count().filter("count >= 10").orderBy(F.desc("count"), "token").limit(100_000)
+    found = some.mapInPandas(run, "token long").groupBy("token").count().filter("count >= 4").orderBy(F.desc("count"), "token").limit(100_000)
     return np.array([r.token for r in found.collect()][::-1], np.int64).view(np.uint64)
 
 
@@ -459,12 +459,12 @@ def checked_links(groups: DataFrame, prints: DataFrame, sets: DataFrame, similar
     most = most.select("component", F.col("most.label").alias("most"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("most.count")) / BLOCK).cast("int").alias("rests"))
     dealt = join_split(labelled, most, ["component"]).filter("rests > 0").withColumn("rest", F.col("label") != F.col("most"))
     of_large = dealt.select("node", "component", "label", "rest", "blocks", "rests", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"), F.pmod(F.xxhash64("node", F.lit("rest")), F.col("rests")).cast("int").alias("mine"))
-    of_small = members.filter(~large).select("node", "component", F.col("node").alias("label"), F.lit(True).alias("rest"), *(F.lit(v).alias(c) for c, v in (("blocks", 1), ("rests", 1), ("own", 0), ("mine", 0))))
+    of_small = members.filter(~large).select("node", "component", F.col("node").alias("label"), F.lit(True).alias("rest"), *(F.lit(0).alias(c) for c in ("own", "mine", "block", "part")), "shingles", *cols)
     down = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: F.struct(F.col("own").alias("block"), r.alias("part")))
     across = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.col("mine").alias("part")))
     places = F.inline(F.when(F.col("rest"), F.array_union(down, across)).otherwise(down))
-    units = of_large.union(of_small).select("node", "component", "label", "rest", "own", "mine", places)
-    rows = units.join(members.select("node", "shingles", *cols), "node")
+    units = of_large.select("node", "component", "label", "rest", "own", "mine", places).join(members.filter(large).select("node", "shingles", *cols), "node")
+    rows = units.unionByName(of_small)
 
     def similar(x: np.ndarray, y: np.ndarray) -> bool:
         shared = len(np.intersect1d(x, y, assume_unique=True))
@@ -520,15 +520,22 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
 
     Texts with the same words always share a group.
     """
-    common = common_shingles(docs, words=words, text_col=text_col, n=docs.count())
+    ids = docs.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count("*").alias("n"))
+    n, repeated = ids.agg(F.sum("n"), F.max(F.when(F.col("id").isNotNull(), F.col("n")))).first()
+    common = common_shingles(docs, words=words, text_col=text_col, n=n or 0)
     prints = checkpoint(set_prints(docs, common, similarity, words=words, id_col=id_col, text_col=text_col))
-    features = ["fingerprint", "n", *(f"w{j}" for j in range(WORDS)), "rare", "prefix"]
-    reps = checkpoint(prints.groupBy("x0", "x1").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in features)))
+    reps = checkpoint(prints.groupBy("x0", "x1").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("fingerprint", "n", *(f"w{j}" for j in range(WORDS))))))
     known = reps.filter("rep IS NOT NULL")
     close = checkpoint(hamming_links(known.select("rep", "fingerprint")))
     label = checkpoint(components(close))
-    rare = known.select("rep", F.explode(F.slice("prefix", 1, F.col("rare"))).alias("token"))
-    often = known.select("rep", F.explode(F.slice("prefix", F.col("rare") + 1, F.size("prefix"))).alias("token"))
+    own = join_split(prints.filter("id IS NOT NULL"), known.select("x0", "x1", "rep"), ["x0", "x1"])
+    if (repeated or 0) > 1:
+        lists = own.filter("id = rep").dropDuplicates(["x0", "x1"]).select("rep", "rare", "prefix")
+    else:
+        copies = checkpoint(own.filter("id <> rep").select("id"))
+        lists = of_ids(prints.filter("id IS NOT NULL").select(F.col("id").alias("rep"), "rare", "prefix"), copies, "rep", "left_anti")
+    rare = lists.select("rep", F.explode(F.slice("prefix", 1, F.col("rare"))).alias("token"))
+    often = lists.select("rep", F.explode(F.slice("prefix", F.col("rare") + 1, F.size("prefix"))).alias("token"))
     tokens = checkpoint(shared_tokens(rare).union(often.select("token", "rep")))
     light = known.join(label, F.col("rep") == F.col("node"), "left").select("rep", "n", F.coalesce("component", "rep").alias("label"), *(f"w{j}" for j in range(COMPARED)))
     rows = tokens.join(light, "rep")
@@ -537,8 +544,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     if not big.isEmpty():
         near = checkpoint(split_links(rows, big, near, similarity))
     groups = checkpoint(components(near))
-    sets = shingle_sets(of_ids(docs, groups.select("node"), id_col, "left_semi"), words=words, id_col=id_col, text_col=text_col).dropDuplicates(["id"])
-    found = components(checkpoint(checked_links(groups, known, sets, similarity)))
+    sets = shingle_sets(of_ids(docs, groups.select("node"), id_col, "left_semi"), words=words, id_col=id_col, text_col=text_col)
+    found = components(checkpoint(checked_links(groups, known, sets.dropDuplicates(["id"]) if (repeated or 0) > 1 else sets, similarity)))
     labels = reps.join(found, reps["rep"] == found["node"], "left").select("x0", "x1", F.coalesce("component", "rep").alias("component"))
     return join_split(prints.select("id", "x0", "x1"), labels, ["x0", "x1"]).select("id", "component")
 
