@@ -7,6 +7,8 @@ windows and aggregates, for all files at once.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,7 +26,7 @@ from undula.operators import spectrum as SP
 
 def mixed(chunks: DataFrame) -> DataFrame:
     """The mean of all channels, as channel 0.  A chunk has a row for each channel, so what is gathered is bounded."""
-    both = chunks.groupBy("file", "chunk").agg(F.max("sr").alias("sr"), F.collect_list("x").alias("xs"))
+    both = chunks.groupBy("file", "chunk").agg(F.max("sr").alias("sr"), F.transform(F.array_sort(F.collect_list(F.struct("ch", "x"))), lambda s: s["x"]).alias("xs"))
     total = F.aggregate(F.slice("xs", 2, F.greatest(F.size("xs") - 1, F.lit(0))), F.transform(F.get("xs", F.lit(0)), lambda v: v.cast("double")), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
     return both.select("file", F.lit(0).alias("ch"), "chunk", "sr", F.transform(total, lambda v: (v / F.size("xs")).cast("float")).alias("x"))
 
@@ -114,13 +116,13 @@ def impulse_scan(chunks: DataFrame, sr: int, chunk: int, *, threshold_db: float
     widest = max(1, int(max_ms / frame_ms))
     found = EV.hysteresis_events(over, "over_h", threshold_db, companions=("over_l",))
     found = found.filter((F.col("frames") <= widest) & (F.col("peak") - F.col("peak_over_l") >= lf_margin))
-    events = found.select("file", F.round(F.col("first") * hop / F.lit(float(sr)), 3).alias("t"), F.round("peak", 1).alias("db"), F.round(F.col("frames") * F.lit(frame_ms), 2).alias("ms"))
+    events = found.select("file", F.bround(F.col("first") * hop / F.lit(float(sr)), 3).alias("t"), F.bround("peak", 1).alias("db"), F.bround(F.col("frames") * F.lit(frame_ms), 2).alias("ms"))
     length = mono.groupBy("file").agg((F.sum(F.size("x")) / F.lit(float(sr))).alias("seconds"))
     counts = events.groupBy("file").agg(F.count("*").alias("count"), F.count_if(F.col("db") >= 25).alias("strong_count"))
     out = length.join(counts, "file", "left").withColumn("count", F.coalesce("count", F.lit(0))).withColumn("strong_count", F.coalesce("strong_count", F.lit(0)))
     rate = F.col("count") / (F.col("seconds") / 60)
     key = F.when(rate < 2, "imp.none").when(rate < 20, "imp.few").when(rate < 100, "imp.many").otherwise("imp.constant")
-    return events, out.select("file", "count", F.round(rate, 1).alias("per_minute"), "strong_count", F.round("seconds", 2).alias("analysed_seconds"), *verdict(key, F.when(rate < 20, "ok").otherwise("warn")))
+    return events, out.select("file", "count", F.bround(rate, 1).alias("per_minute"), "strong_count", F.bround("seconds", 2).alias("analysed_seconds"), *verdict(key, F.when(rate < 20, "ok").otherwise("warn")))
 
 
 def strongest_events(events: DataFrame, most: int = 300) -> DataFrame:
@@ -151,8 +153,8 @@ def lowfreq_scan(chunks: DataFrame, sr: int, chunk: int, *, nfft: int = 16384) -
     asked = [a for a in asked if a[2] < nfft // 2 - 1]
     near = F.filter(F.array(*(F.struct(F.lit(f).alias("f0"), F.lit(k).alias("k"), F.lit(i).alias("i")) for f, k, i in asked)), lambda h: F.abs(F.col("bin") - h["i"]) <= 3)
     peaks = med.withColumn("h", F.explode(near)).groupBy("file", "h").agg(F.max(F.struct("db", (-F.col("bin")).alias("b"), "prominence")).alias("m"))
-    peak = F.struct(F.col("h.k").alias("k"), F.round(-F.col("m.b") * F.lit(df_hz), 2).alias("hz"), F.round("m.prominence", 1).alias("prominence_db"), F.round("m.db", 1).alias("level_db"))
-    mains = peaks.groupBy("file", F.col("h.f0").alias("f0")).agg(F.sum(F.greatest(F.lit(0.0), F.round("m.prominence", 1))).alias("score"), F.array_sort(F.collect_list(peak)).alias("hum"))
+    peak = F.struct(F.col("h.k").alias("k"), F.bround(-F.col("m.b") * F.lit(df_hz), 2).alias("hz"), F.bround("m.prominence", 1).alias("prominence_db"), F.bround("m.db", 1).alias("level_db"))
+    mains = peaks.groupBy("file", F.col("h.f0").alias("f0")).agg(F.sum(F.greatest(F.lit(0.0), F.bround("m.prominence", 1))).alias("score"), F.array_sort(F.collect_list(peak)).alias("hum"))
     best = mains.groupBy("file").agg(F.max(F.struct("score", (-F.col("f0")).alias("f"), F.filter("hum", lambda h: (h["prominence_db"] >= 14) & (h["level_db"] > -95)).alias("hum"))).alias("m"))
     out = med.groupBy("file").agg(band(1, 20).alias("subsonic"), band(20, 200).alias("bass"), band(1, 2000).alias("total")).join(best.select("file", (-F.col("m.f")).alias("mains"), F.col("m.hum").alias("hum")), "file")
     strong = F.size("hum") > 0
@@ -162,24 +164,50 @@ def lowfreq_scan(chunks: DataFrame, sr: int, chunk: int, *, nfft: int = 16384) -
     rumble = F.when((F.col("subsonic") > -55) & (rel > -12), "low.rumble").when((F.col("subsonic") > -55) & (rel > -25), "low.rumble_mild")
     keys = F.array_compact(F.array(hum_key, rumble))
     return out.select(
-        "file", *(F.round(c, 1).alias(f"{c}_db") for c in ("subsonic", "bass", "total")), F.round(rel, 1).alias("subsonic_rel_db"), F.when(strong, F.col("mains")).alias("mains_hz"), "hum",
+        "file", *(F.bround(c, 1).alias(f"{c}_db") for c in ("subsonic", "bass", "total")), F.bround(rel, 1).alias("subsonic_rel_db"), F.when(strong, F.col("mains")).alias("mains_hz"), "hum",
         F.when(F.size(keys) > 0, keys).otherwise(F.array(F.lit("low.clean"))).alias("verdict_keys"), F.when((hum_key == "low.hum") | (rumble == "low.rumble"), "warn").otherwise("ok").alias("level"),
     )
 
 
-WOW = "file string, carrier_hz double, wow_pct double, flutter_pct double, combined_pct double, dominant_mod_hz double, analysed_seconds double"
+def steady_tones(chunks: DataFrame, sr: int, chunk: int, *, least_share: float = 0.2) -> DataFrame:
+    """(file, carrier): the strongest tone of each file from 25 Hz on, if it holds that share of the power, by the mean spectrum of its chunks."""
+
+    @F.pandas_udf("array<double>")
+    def power(x: pd.Series) -> pd.Series:
+        return pd.Series([dsp.magnitudes(np.pad(np.asarray(v, np.float64), (0, chunk - len(v)))[None])[0] ** 2 for v in x])
+
+    hz = F.col("bin") * F.lit(sr / chunk)
+    rows = chunks.select("file", F.posexplode(power("x")).alias("bin", "p")).groupBy("file", "bin").agg(F.sum("p").alias("p"))
+    peak = rows.groupBy("file").agg(F.max(F.when(hz >= 25, F.struct("p", (-F.col("bin")).alias("b")))).alias("m"), F.sum("p").alias("all"))
+    near = rows.join(peak, "file").filter(F.abs(F.col("bin") + F.col("m.b")) <= 3)
+    tone = near.groupBy("file").agg(F.sum("p").alias("part"), F.sum(hz * F.col("p")).alias("moment"), F.max("all").alias("all"))
+    return tone.filter((F.col("part") >= least_share * (F.col("all") + F.lit(dsp.EPS)))).select("file", (F.col("moment") / F.col("part")).alias("carrier")).filter("carrier >= 40")
 
 
 def wow_flutter(chunks: DataFrame, sr: int, chunk: int, *, nominal_hz: float | None = None, seconds: float = 30.0) -> DataFrame:
-    """Speed and its variation at a steady tone.  A file is one group, of at most ``seconds``: the phase runs through it."""
+    """Speed and its variation at a steady tone, of an excerpt of at most ``seconds``.
+
+    Each chunk gives the tone's frequency a thousand times a second, which is all that is gathered for a file.
+    """
+    step = max(1, sr // 1000)
+    edge, least = sr // (4 * step), 1000
+
+    @F.pandas_udf("array<double>")
+    def ticks(x: pd.Series, at: pd.Series, own: pd.Series, carrier: pd.Series) -> pd.Series:
+        return pd.Series([dsp.tick_frequencies(np.asarray(v, np.float64), int(k) * chunk, int(n), sr, c, step) for v, k, n, c in zip(x, at, own, carrier)])
 
-    def measure(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.concatenate(rows.sort_values("chunk")["x"].to_list()).astype(np.float64)
-        found = dsp.wow(x, sr)
-        return pd.DataFrame([{"file": rows["file"].iloc[0]} | (found or {})], columns=[c.split()[0] for c in WOW.split(", ")])
+    @F.pandas_udf("struct<wow_pct:double,flutter_pct:double,combined_pct:double,dominant_mod_hz:double>")
+    def varies(hz: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([dsp.modulation(np.asarray(v, np.float64), sr / step) for v in hz], columns=["wow_pct", "flutter_pct", "combined_pct", "dominant_mod_hz"])
 
     held = excerpt(mixed(chunks), chunk, sr, seconds=seconds)
-    out = held.groupBy("file").applyInPandas(measure, WOW)
+    followed = with_head(held, chunk).join(steady_tones(held, sr, chunk), "file").select("file", "chunk", ticks("x", "chunk", "own", "carrier").alias("hz"))
+    whole = followed.groupBy("file").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "hz"))), lambda s: s["hz"])).alias("hz"))
+    n = F.size("hz")
+    whole = whole.withColumn("hz", F.when(n > 2 * edge + least, F.slice("hz", edge + 1, n - 2 * edge)).otherwise(F.col("hz"))).filter(n >= least)
+    mean = F.aggregate("hz", F.lit(0.0), lambda s, v: s + v) / n
+    found = whole.withColumn("m", varies("hz")).select("file", mean.alias("carrier_hz"), "m.*", (n * F.lit(step / sr)).alias("analysed_seconds"))
+    out = held.select("file").distinct().join(found, "file", "left")
     carrier = F.col("carrier_hz")
     if nominal_hz is None:
         nearest = F.array_min(F.array(*(F.struct(F.abs(carrier / n - 1).alias("d"), F.lit(n).alias("n")) for n in P.NOMINAL_TONES)))
@@ -193,8 +221,8 @@ def wow_flutter(chunks: DataFrame, sr: int, chunk: int, *, nominal_hz: float | N
     for hz in (1.3, 0.75, 0.555):
         turns = F.when((F.abs(F.col("dominant_mod_hz") - hz) < 0.15) & (F.col("wow_pct") > 0.03), "wow.eccentric").otherwise(turns)
     return out.select(
-        "file", F.round(carrier, 3).alias("carrier_hz"), nominal.alias("nominal_hz"), F.round(deviation, 3).alias("speed_deviation_pct"), *(F.round(c, 4).alias(c) for c in ("wow_pct", "flutter_pct", "combined_pct")),
-        F.round("dominant_mod_hz", 2).alias("dominant_mod_hz"), F.round("analysed_seconds", 1).alias("analysed_seconds"), F.array_compact(F.array(speed, total, turns)).alias("verdict_keys"),
+        "file", F.bround(carrier, 3).alias("carrier_hz"), nominal.alias("nominal_hz"), F.bround(deviation, 3).alias("speed_deviation_pct"), *(F.bround(c, 4).alias(c) for c in ("wow_pct", "flutter_pct", "combined_pct")),
+        F.bround("dominant_mod_hz", 2).alias("dominant_mod_hz"), F.bround("analysed_seconds", 1).alias("analysed_seconds"), F.array_compact(F.array(speed, total, turns)).alias("verdict_keys"),
         F.when(carrier.isNull(), "error").when(total == "wow.poor", "warn").otherwise("ok").alias("level"),
     )
 
@@ -207,20 +235,28 @@ def tone_steps(chunks: DataFrame, sr: int, chunk: int, *, block: float = 0.25, l
     both = chunks.groupBy("file", "chunk").agg(F.array_sort(F.collect_list(F.struct("ch", "x"))).alias("c"))
     both = both.select("file", "chunk", F.get("c", F.lit(0))["x"].alias("l"), F.coalesce(F.get("c", F.lit(1))["x"], F.get("c", F.lit(0))["x"]).alias("r"))
 
-    @F.pandas_udf("array<struct<hz:double,l:double,r:double>>")
-    def tones(l: pd.Series, r: pd.Series) -> pd.Series:  # noqa: E741
+    @F.pandas_udf("array<struct<m:array<double>,l:array<double>,r:array<double>>>")
+    def spectra(l: pd.Series, r: pd.Series) -> pd.Series:  # noqa: E741
         out = []
         for a, b in zip(l, r):
             m = len(a) // n
-            x = np.stack([np.asarray(a[: m * n]).reshape(m, n), np.asarray(b[: m * n]).reshape(m, n)], axis=2).astype(np.float64)
-            hz, levels = dsp.block_tones(x, sr) if m else (np.zeros(0), np.zeros((0, 2)))
-            out.append([{"hz": None if np.isnan(h) else float(h), "l": float(v[0]), "r": float(v[1])} for h, v in zip(hz, levels)])
+            x = [np.asarray(v[: m * n], np.float64).reshape(m, n) for v in (a, b)]
+            each = [dsp.magnitudes(v) ** 2 for v in (sum(x) / 2, *x)]
+            out.append([dict(zip("mlr", one)) for one in zip(*each)])
         return pd.Series(out)
 
-    rows = both.select("file", "chunk", F.posexplode(tones("l", "r")).alias("k", "t")).select("file", (F.col("chunk") * (chunk // n) + F.col("k")).alias("frame"), "t.hz", F.col("t.l").alias("level_0"), F.col("t.r").alias("level_1"))
+    first = math.ceil(25 * n / sr)  # the lowest bin of a tone
+    place = F.array_position(F.slice("s.m", first + 1, n), F.array_max(F.slice("s.m", first + 1, n))).cast("int") + first - 1
+    blocks = both.select("file", "chunk", F.posexplode(spectra("l", "r")).alias("k", "s")).withColumn("from", F.greatest(place - 2, F.lit(0)))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    near = {c: F.slice(f"s.{c}", F.col("from") + 1, 5) for c in "mlr"}
+    centre = total(F.transform(near["m"], lambda v, i: v * (F.col("from") + i))) / (total(near["m"]) + F.lit(dsp.EPS)) * F.lit(sr / n)
+    rules = total(near["m"]) >= F.lit(0.5) * (total(F.col("s.m")) + F.lit(dsp.EPS))
+    level = lambda c: F.when(rules, 20 * F.log10(F.sqrt(total(near[c])) / n + F.lit(dsp.EPS)))
+    rows = blocks.select("file", (F.col("chunk") * (chunk // n) + F.col("k")).alias("frame"), F.when(rules, centre).alias("hz"), level("l").alias("level_0"), level("r").alias("level_1"))
     runs = EV.stable_runs(rows, "hz", 0.03, also=("level_0", "level_1"))
     seconds = F.col("frames") * F.lit(block)
-    return runs.filter(seconds >= least).select("file", F.round(F.col("first") * F.lit(block), 2).alias("start"), F.round(seconds, 2).alias("seconds"), F.round("median", 1).alias("hz"), F.round("level_0", 1).alias("level_0"), F.round("level_1", 1).alias("level_1"))
+    return runs.filter(seconds >= least).select("file", F.bround(F.col("first") * F.lit(block), 2).alias("start"), F.bround(seconds, 2).alias("seconds"), F.bround("median", 1).alias("hz"), F.bround("level_0", 1).alias("level_0"), F.bround("level_1", 1).alias("level_1"))
 
 
 def _close(a: Column, b: Column) -> Column:
@@ -232,7 +268,7 @@ def merged_steps(steps: Column) -> Column:
 
     def add(done: Column, s: Column) -> Column:
         last = F.element_at(done, -1)
-        both = F.struct(last["hz"].alias("hz"), F.round((last["db"] + s["db"]) / 2, 1).alias("db"))
+        both = F.struct(last["hz"].alias("hz"), F.bround((last["db"] + s["db"]) / 2, 1).alias("db"))
         return F.when((F.size(done) > 0) & _close(s["hz"], F.get(done, F.size(done) - 1)["hz"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(done, F.array(s)))
 
     return F.aggregate(steps, F.array().cast("array<struct<hz:double,db:double>>"), lambda d, s: F.when(F.size(d) == 0, F.array(s)).otherwise(add(d, s)))
@@ -259,20 +295,20 @@ def tone_sweep(chunks: DataFrame, sr: int, chunk: int, *, reference_hz: float =
     left = F.col("level_0") >= F.col("level_1")
     two = chunks.groupBy("file").agg((F.max("ch") > 0).alias("two"))
     steps = steps.join(two, "file").withColumn("channel", F.when(~F.col("two"), "M").when(left, "L").otherwise("R")).withColumn("level_db", F.greatest("level_0", "level_1"))
-    steps = steps.withColumn("crosstalk_db", F.when(F.col("two"), F.round(F.greatest("level_0", "level_1") - F.least("level_0", "level_1"), 1)))
+    steps = steps.withColumn("crosstalk_db", F.when(F.col("two"), F.bround(F.greatest("level_0", "level_1") - F.least("level_0", "level_1"), 1)))
     ladder = F.transform(F.array_sort(F.collect_list(F.struct("start", F.col("hz").alias("hz"), F.col("level_db").alias("db")))), lambda s: F.struct(s["hz"].alias("hz"), s["db"].alias("db")))
     runs = steps.groupBy("file", "channel").agg(F.count("*").alias("n"), ladder.alias("s")).filter("n >= 4").withColumn("best", longest_run(merged_steps(F.col("s")))).filter(F.size("best") >= 4)
     ref = F.array_min(F.transform("best", lambda s: F.struct(F.abs(s["hz"] - reference_hz).alias("d"), s["db"].alias("db"))))
     runs = runs.withColumn("ref", ref).filter(F.col("ref.d") <= reference_hz * 0.2)
-    curve = F.array_sort(F.transform("best", lambda s: F.struct(s["hz"].alias("hz"), F.round(s["db"] - F.col("ref.db"), 1).alias("db"))))
+    curve = F.array_sort(F.transform("best", lambda s: F.struct(s["hz"].alias("hz"), F.bround(s["db"] - F.col("ref.db"), 1).alias("db"))))
     runs = runs.withColumn("curve", curve)
     inside = F.transform(F.filter("curve", lambda s: s["hz"].between(40, 10000)), lambda s: s["db"])
     highs = F.array_min(F.transform(F.filter("curve", lambda s: s["hz"] > 10000), lambda s: s["db"]))
-    span = F.round(F.array_max(inside) - F.array_min(inside), 1)
+    span = F.bround(F.array_max(inside) - F.array_min(inside), 1)
     response = runs.select("file", "channel", "curve", span.alias("span_db"), F.when(highs < -6, "sweep.highs").alias("highs_key"), F.when(span > 6, "warn").otherwise("ok").alias("level"))
     apart = steps.filter(F.col("crosstalk_db").isNotNull() & F.col("hz").between(200, 8000)).groupBy("file").agg(F.percentile("crosstalk_db", 0.5).alias("m"), F.min("crosstalk_db").alias("low"))
     key = F.when(F.col("m") >= 25, "sweep.sep_good").when(F.col("m") >= 15, "sweep.sep_fair").otherwise("sweep.sep_poor")
-    return response, apart.select("file", F.round("m", 1).alias("channel_separation_db"), F.round("low", 1).alias("channel_separation_min_db"), *verdict(key, F.when(F.col("m") < 15, "warn").otherwise("ok")))
+    return response, apart.select("file", F.bround("m", 1).alias("channel_separation_db"), F.bround("low", 1).alias("channel_separation_min_db"), *verdict(key, F.when(F.col("m") < 15, "warn").otherwise("ok")))
 
 
 def loudness(chunks: DataFrame, chunk: int) -> DataFrame:
@@ -310,7 +346,7 @@ def loudness(chunks: DataFrame, chunk: int) -> DataFrame:
     spans = short.join(mean, "file").filter(lufs(F.col("p")) > F.col("l") - 20).groupBy("file").agg(F.percentile(lufs(F.col("p")), F.array(F.lit(0.1), F.lit(0.95))).alias("q"))
     tops = chunks.select("file", peak("x").alias("t")).groupBy("file").agg((20 * F.log10(F.max("t") + F.lit(dsp.EPS))).alias("true_peak_dbfs"))
     out = tops.join(whole, "file", "left").join(spans, "file", "left")
-    return out.select("file", F.round("lufs_integrated", 1).alias("lufs_integrated"), F.round(F.get("q", F.lit(1)) - F.get("q", F.lit(0)), 1).alias("lra"), F.round("true_peak_dbfs", 1).alias("true_peak_dbfs"))
+    return out.select("file", F.bround("lufs_integrated", 1).alias("lufs_integrated"), F.bround(F.get("q", F.lit(1)) - F.get("q", F.lit(0)), 1).alias("lra"), F.bround("true_peak_dbfs", 1).alias("true_peak_dbfs"))
 
 
 def null_test_chunks(a: DataFrame, b: DataFrame, sr: int, chunk: int, *, seconds: float = 30.0) -> DataFrame:
@@ -318,7 +354,7 @@ def null_test_chunks(a: DataFrame, b: DataFrame, sr: int, chunk: int, *, seconds
 
     def lag(rows: pd.DataFrame) -> pd.DataFrame:
         x, y = (np.concatenate(r["x"].to_list()).astype(np.float64) for r in (rows[rows["side"] == s].sort_values("chunk") for s in ("a", "b")))
-        return pd.DataFrame([{"file": rows["file"].iloc[0], "lag": dsp.coarse_lag(x, y)}])
+        return pd.DataFrame([{"file": rows["file"].iloc[0], "lag": dsp.strongest_lag(x, y)}])
 
     both = excerpt(mixed(a), chunk, sr, seconds=seconds).withColumn("side", F.lit("a")).unionByName(excerpt(mixed(b), chunk, sr, seconds=seconds).withColumn("side", F.lit("b")))
     return both.groupBy("file").applyInPandas(lag, "file string, lag long")

@@ -22,7 +22,7 @@ def level_stats(samples: DataFrame, *by: str) -> DataFrame:
     peak = samples.groupBy(*by).agg(F.max(F.abs(_x())).alias("peak"), F.sqrt(F.avg(_x() * _x())).alias("rms"), F.avg(_x()).alias("dc_offset"), F.count("x").alias("samples"))
     at = samples.join(peak.select(*by, "peak"), list(by)).filter(F.abs(_x()) == F.col("peak")).groupBy(*by).agg(F.count("*").alias("abs_peak_count"))
     out = peak.join(at, list(by), "left").withColumn("peak_dbfs", db20(F.col("peak"))).withColumn("rms_dbfs", db20(F.col("rms")))
-    return out.withColumn("crest_db", F.round(F.col("peak_dbfs") - F.col("rms_dbfs"), 2)).withColumn("abs_peak_count", F.coalesce("abs_peak_count", F.lit(0)))
+    return out.withColumn("crest_db", F.bround(F.col("peak_dbfs") - F.col("rms_dbfs"), 2)).withColumn("abs_peak_count", F.coalesce("abs_peak_count", F.lit(0)))
 
 
 def flat_runs(samples: DataFrame, *by: str, order: str = "pos") -> DataFrame:
@@ -53,7 +53,7 @@ def clipping_verdict(levels: DataFrame, seconds: Column) -> DataFrame:
     rate = F.when(seconds > 0, F.coalesce("abs_peak_count", F.lit(0)) / (seconds / 60)).otherwise(0.0)
     clipped = (F.col("peak_dbfs") > -1.0) & ((F.coalesce("flat_factor", F.lit(0.0)) > 0) | (rate >= 30))
     key = F.when(clipped, "clip.clipped").when(F.col("true_peak_dbfs") > -0.1, "clip.truepeak")
-    return levels.withColumn("rate_per_min", F.round(rate, 1)).withColumn("clip_key", key).withColumn("clip_level", F.when(key.isNotNull(), "warn"))
+    return levels.withColumn("rate_per_min", F.bround(rate, 1)).withColumn("clip_key", key).withColumn("clip_level", F.when(key.isNotNull(), "warn"))
 
 
 def dynamics_note(levels: DataFrame) -> DataFrame:

@@ -29,11 +29,23 @@ def lag_scores(a: DataFrame, b: DataFrame, lags: range, *, least: int, col: str
     return scored.filter(F.col("cols") >= least)
 
 
-def align_lag(a: DataFrame, b: DataFrame, n_a: int, n_b: int, *, most: int = 600, value: str = "db") -> DataFrame:
+def band_pooled(rows: DataFrame, bins: int, bands: int = 64, *, col: str = "col", value: str = "db") -> DataFrame:
+    """(col, bin, value) with the means of ``bands`` nearly equal runs of bins in place of the bins; fewer bins stay as they are."""
+    if bins <= bands:
+        return rows
+    # band k holds the bins from floor(k * bins / bands) on
+    band = F.floor(((F.col("bin") + 1) * bands - 1) / F.lit(bins)).cast("long")
+    return rows.groupBy(col, band.alias("bin")).agg(F.avg(value).alias(value))
+
+
+def align_lag(a: DataFrame, b: DataFrame, n_a: int, n_b: int, *, most: int = 600, value: str = "db", bins: int | None = None) -> DataFrame:
     """One row: the lag in columns of the least penalised distance; 0 unless it is beaten by more than 2 %.
 
     The search space is a quarter of the shorter recording; with many columns it goes from pooled columns to single ones.
+    Spectra of ``bins`` bins are compared by 64 bands.
     """
+    if bins is not None:
+        a, b = band_pooled(a, bins, value=value), band_pooled(b, bins, value=value)
     n = min(n_a, n_b)
     limit = int(min(most, 0.25 * n))
     spark = a.sparkSession
@@ -59,7 +71,7 @@ def align_lag(a: DataFrame, b: DataFrame, n_a: int, n_b: int, *, most: int = 600
 
 
 def cross_correlation(a: DataFrame, b: DataFrame, lags: range, *, value: str = "x", pos: str = "pos") -> DataFrame:
-    """(lag, product): sums of products of the mean-free series, ``a`` at p + lag against ``b`` at p.  For long series use ``functions.dsp.coarse_lag``."""
+    """(lag, product): sums of products of the mean-free series, ``a`` at p + lag against ``b`` at p.  For long series use ``functions.dsp.strongest_lag``."""
     free = lambda df: df.crossJoin(F.broadcast(df.agg(F.avg(value).alias("_m")))).select(pos, (F.col(value) - F.col("_m")).alias("v"))  # noqa: E731  one row
     y = free(b).select((F.col(pos)).alias("_q"), F.col("v").alias("w"), F.explode(F.array(*(F.lit(k) for k in lags))).alias("lag"))
     both = free(a).join(y.withColumn("_p", F.col("_q") + F.col("lag")), F.col(pos) == F.col("_p"))

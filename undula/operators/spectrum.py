@@ -78,7 +78,7 @@ def signal_bandwidth(db: Column, df_hz: float, drop_db: float = 50.0) -> Column:
         floor = F.array_max(s) - drop_db
         return F.array_max(F.filter(F.transform(s, lambda v, i: F.when(v > floor, i)), lambda i: i.isNotNull())) * F.lit(df_hz)
 
-    return F.round(A.let(sm, last), 1)
+    return F.bround(A.let(sm, last), 1)
 
 
 def spectral_edge(db: Column, df_hz: float, nyquist: float, *, min_drop: float = 15.0, min_hz: float = 7000.0, min_steepness: float = 10.0, below_hz: float = 1500.0, above_hz: tuple[float, float] = (300.0, 4000.0)) -> Column:
@@ -121,7 +121,7 @@ def spectral_edge(db: Column, df_hz: float, nyquist: float, *, min_drop: float =
         a = F.greatest(F.lit(1), F.floor((hz - 500) / df_hz).cast("int"))
         b = F.least(F.size(sm) - 1, F.floor((hz + 500) / df_hz).cast("int"))
         slope = (F.get(sm, a) - F.get(sm, b)) / F.greatest((b - a) * F.lit(df_hz / 1000), F.lit(1e-6))
-        return F.when(slope >= min_steepness, F.struct(F.round(hz, 1).alias("hz"), F.round(best["drop"], 1).alias("drop_db"), F.round(best["floor"], 1).alias("floor_db"), F.round(slope, 1).alias("steepness")))
+        return F.when(slope >= min_steepness, F.struct(F.bround(hz, 1).alias("hz"), F.bround(best["drop"], 1).alias("drop_db"), F.bround(best["floor"], 1).alias("floor_db"), F.bround(slope, 1).alias("steepness")))
 
     return A.let(A.moving_mean(db, max(1, int(150 / df_hz))), edge)
 
@@ -158,7 +158,7 @@ def band_analysis(rows: DataFrame, codecs: DataFrame, sr: int, nfft: int, **edge
     top = A.median(F.filter("sm", lambda _, i: i >= F.floor(F.size("sm") * 0.98)))
     stop = F.coalesce(first_below(F.get("sm", start) - 40), first_below(top + 6)) * F.lit(df_hz)
     rates = [r for r in P.SOURCE_RATES if sr > 1.5 * r]
-    out = whole.join(stats, "file", "left").join(codecs, "file", "left").withColumn("stopband_hz", F.when(below, F.round(F.coalesce(stop, F.col("full.hz")), 1)))
+    out = whole.join(stats, "file", "left").join(codecs, "file", "left").withColumn("stopband_hz", F.when(below, F.bround(F.coalesce(stop, F.col("full.hz")), 1)))
     if rates:
         nearest = F.array_min(F.array(*(F.struct(F.abs(F.col("stopband_hz") - r / 2).alias("d"), F.lit(r).alias("r")) for r in rates)))
         out = out.withColumn("source_rate_hint", F.when(below & (nearest["d"] < 1800), nearest["r"]))
@@ -171,16 +171,16 @@ def band_analysis(rows: DataFrame, codecs: DataFrame, sr: int, nfft: int, **edge
         .when(below & lossless, "band.transcode").when(below, "band.limited")
         .when(F.col("signal_bandwidth_hz").isNull(), "band.none_nobw").otherwise("band.none")
     )
-    edge_hz = F.when(below, F.col("full.hz")).otherwise(F.round("edge_hz", 1))
+    edge_hz = F.when(below, F.col("full.hz")).otherwise(F.bround("edge_hz", 1))
     hint = F.lit(None).cast("string")
     for bound, name in reversed(P.EDGE_HINTS):
         hint = F.when(edge_hz / 1000 < bound, name).otherwise(hint)
     return out.select(
         "file", "codec", "signal_bandwidth_hz", edge_hz.alias("edge_hz"),
-        F.round(F.coalesce(F.col("blocks_with_edge") / F.nullif("blocks", F.lit(0)), F.lit(0.0)), 2).alias("edge_share"),
-        F.round(F.when(F.col("blocks_with_edge") > 2, F.get("q", F.lit(1)) - F.get("q", F.lit(0))).otherwise(0.0), 1).alias("edge_spread_hz"),
-        F.when(up, F.col("full.drop_db")).otherwise(F.round("edge_drop_db", 1)).alias("edge_drop_db"),
-        F.when(up, F.col("full.floor_db")).otherwise(F.round("floor_db", 1)).alias("floor_db"),
+        F.bround(F.coalesce(F.col("blocks_with_edge") / F.nullif("blocks", F.lit(0)), F.lit(0.0)), 2).alias("edge_share"),
+        F.bround(F.when(F.col("blocks_with_edge") > 2, F.get("q", F.lit(1)) - F.get("q", F.lit(0))).otherwise(0.0), 1).alias("edge_spread_hz"),
+        F.when(up, F.col("full.drop_db")).otherwise(F.bround("edge_drop_db", 1)).alias("edge_drop_db"),
+        F.when(up, F.col("full.floor_db")).otherwise(F.bround("floor_db", 1)).alias("floor_db"),
         F.coalesce("blocks", F.lit(0)).alias("blocks"), F.coalesce("blocks_with_edge", F.lit(0)).alias("blocks_with_edge"), "stopband_hz", "source_rate_hint",
         F.when(up, "upsampled").when(below, "constant").otherwise("full").alias("pattern"), hint.alias("hint_key"), key.alias("verdict_key"),
         F.when(up | (below & lossless), "warn").otherwise("ok").alias("level"),
@@ -213,6 +213,6 @@ def tonal_peaks(rows: DataFrame, sr: int, nfft: int, *, min_hz: float = 5000.0,
     ).withColumn("width", right - left).filter(F.col("width") <= widest)
     keyed = peaks.withColumn("hz", F.col("bin") * F.lit(df_hz)).groupBy("file", F.bround(F.col("hz") / raster_hz).cast("long").alias("key"))
     found = keyed.agg(F.percentile("hz", 0.5).alias("hz"), F.percentile("prominence", 0.5).alias("p"), F.percentile("lvl", 0.5).alias("l"), (F.countDistinct("block") / F.max("blocks")).alias("share"))
-    found = found.filter(F.col("share") >= min_share).select("file", F.round("hz", 1).alias("hz"), F.round("p", 1).alias("prominence_db"), F.round("l", 1).alias("level_db"), F.round("share", 2).alias("share"))
+    found = found.filter(F.col("share") >= min_share).select("file", F.bround("hz", 1).alias("hz"), F.bround("p", 1).alias("prominence_db"), F.bround("l", 1).alias("level_db"), F.bround("share", 2).alias("share"))
     rank = W.partitionBy("file").orderBy(F.col("prominence_db").desc(), "hz")
     return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= limit)

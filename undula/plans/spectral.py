@@ -70,7 +70,7 @@ def smoothed_spectrum(spark, sf):
     return m.select("file", "bin", r6(SP.smoothed(m, "db", 6)).alias("db"))
 
 
-@query(sql("SELECT file, round(max(bin) FILTER (db > -1.2) * 100.0::DOUBLE, 1) AS bandwidth_hz FROM reldb GROUP BY file"))
+@query(sql("SELECT file, round_even(max(bin) FILTER (db > -1.2) * 100.0::DOUBLE, 1) AS bandwidth_hz FROM reldb GROUP BY file"))
 def signal_bandwidth(spark, sf):
     return SP.relative_db(SP.median_power(spectra(spark, sf))).select("file", SP.signal_bandwidth(F.col("db"), DF, 1.2).alias("bandwidth_hz"))
 
@@ -125,12 +125,12 @@ EDGE_CTES = (
     """slopes AS (SELECT b.file, b.ib, b.d, b.floor_, x.bin AS j, x.db - y.db AS g FROM best b JOIN reldb x ON x.file = b.file AND x.bin >= greatest(1, b.ib - 5) AND x.bin < least(62, b.ib + 40) - 2
        JOIN reldb y ON y.file = b.file AND y.bin = x.bin + 2)""",
     """steepest AS (SELECT file, d, floor_, j FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY g DESC, j) AS r FROM slopes) WHERE r = 1)""",
-    """edges AS (SELECT s.file, s.j * 100.0::DOUBLE AS hz, round(s.d, 1) AS drop_db, round(s.floor_, 1) AS floor_db, (a.db - b.db) / ((b.bin - a.bin) * 0.1::DOUBLE) AS slope
+    """edges AS (SELECT s.file, s.j * 100.0::DOUBLE AS hz, round_even(s.d, 1) AS drop_db, round_even(s.floor_, 1) AS floor_db, (a.db - b.db) / ((b.bin - a.bin) * 0.1::DOUBLE) AS slope
        FROM steepest s JOIN reldb a ON a.file = s.file AND a.bin = greatest(1, s.j - 5) JOIN reldb b ON b.file = s.file AND b.bin = least(63, s.j + 5))""",
 )
 
 
-@query(sql("SELECT file, hz, drop_db, floor_db, round(slope, 1) AS steepness FROM edges WHERE slope >= 0.2", *EDGE_CTES))
+@query(sql("SELECT file, hz, drop_db, floor_db, round_even(slope, 1) AS steepness FROM edges WHERE slope >= 0.2", *EDGE_CTES))
 def spectral_edge(spark, sf):
     db = SP.relative_db(SP.median_power(spectra(spark, sf)))
     return db.select("file", SP.spectral_edge(F.col("db"), DF, RATE / 2, **EDGE).alias("e")).filter("e IS NOT NULL").select("file", "e.*")
@@ -149,7 +149,7 @@ TONES = {"min_hz": 500.0, "min_prominence": 0.3, "min_share": 0.3, "level": (-95
 
 @query(sql("""
 SELECT file, hz, prominence_db, level_db, share, CAST(row_number() OVER (PARTITION BY file ORDER BY prominence_db DESC, hz) AS INTEGER) AS rank FROM (
-  SELECT file, round(median(bin * 100.0::DOUBLE), 1) AS hz, round(median(prom), 1) AS prominence_db, round(median(db - ref), 1) AS level_db, round(count(DISTINCT block) / 4.0::DOUBLE, 2) AS share
+  SELECT file, round_even(median(bin * 100.0::DOUBLE), 1) AS hz, round_even(median(prom), 1) AS prominence_db, round_even(median(db - ref), 1) AS level_db, round_even(count(DISTINCT block) / 4.0::DOUBLE, 2) AS share
   FROM tones GROUP BY file, bin HAVING count(DISTINCT block) / 4.0::DOUBLE >= 0.3) QUALIFY rank <= 6""",
     "blocks_ AS (SELECT file, col, ntile(4) OVER (PARTITION BY file ORDER BY col) - 1 AS block FROM frames)",
     "med AS (SELECT file, block, bin, 10 * log10(median(mag * mag) + 1e-30) AS db FROM spectra JOIN blocks_ USING (file, col) GROUP BY 1, 2, 3)",

@@ -105,7 +105,7 @@ LEVEL_CTES = (
 )
 
 
-@query(sql("SELECT file, round(peak_db, 6) AS peak_dbfs, round(rms_db, 6) AS rms_dbfs, round(peak_db - rms_db, 2) AS crest_db, round(dc, 6) AS dc_offset, n AS samples, hits AS abs_peak_count FROM stats", *LEVEL_CTES))
+@query(sql("SELECT file, round(peak_db, 6) AS peak_dbfs, round(rms_db, 6) AS rms_dbfs, round_even(peak_db - rms_db, 2) AS crest_db, round(dc, 6) AS dc_offset, n AS samples, hits AS abs_peak_count FROM stats", *LEVEL_CTES))
 def level_stats(spark, sf):
     out = LV.level_stats(_loud(spark, sf), "file")
     return out.select("file", r6("peak_dbfs").alias("peak_dbfs"), r6("rms_dbfs").alias("rms_dbfs"), "crest_db", r6("dc_offset").alias("dc_offset"), "samples", "abs_peak_count")
@@ -121,14 +121,14 @@ def flat_runs(spark, sf):
 
 
 @query(sql("""
-SELECT file, hits AS abs_peak_count, round(hits / 5.0::DOUBLE, 1) AS rate_per_min, CASE WHEN peak_db > -1.0 AND hits / 5.0::DOUBLE >= 30 THEN 'clip.clipped' WHEN peak_db + 0.2 > -0.1 THEN 'clip.truepeak' END AS clip_key,
+SELECT file, hits AS abs_peak_count, round_even(hits / 5.0::DOUBLE, 1) AS rate_per_min, CASE WHEN peak_db > -1.0 AND hits / 5.0::DOUBLE >= 30 THEN 'clip.clipped' WHEN peak_db + 0.2 > -0.1 THEN 'clip.truepeak' END AS clip_key,
   CASE WHEN (peak_db > -1.0 AND hits / 5.0::DOUBLE >= 30) OR peak_db + 0.2 > -0.1 THEN 'warn' END AS clip_level FROM stats""", *LEVEL_CTES))
 def clipping_verdict(spark, sf):
     levels = LV.level_stats(_loud(spark, sf), "file").withColumn("true_peak_dbfs", F.col("peak_dbfs") + 0.2).withColumn("flat_factor", F.lit(0.0))
     return LV.clipping_verdict(levels, F.lit(300.0)).select("file", "abs_peak_count", "rate_per_min", "clip_key", "clip_level")
 
 
-@query(sql("SELECT file, CASE WHEN round(peak_db - rms_db, 2) < 12.5 AND rms_db - 0.7 > -12 THEN 'dyn.compressed' END AS dyn_key FROM stats", *LEVEL_CTES))
+@query(sql("SELECT file, CASE WHEN round_even(peak_db - rms_db, 2) < 12.5 AND rms_db - 0.7 > -12 THEN 'dyn.compressed' END AS dyn_key FROM stats", *LEVEL_CTES))
 def dynamics_note(spark, sf):
     levels = LV.level_stats(_loud(spark, sf), "file").withColumn("lufs_integrated", F.col("rms_dbfs") - 0.7)
     return LV.dynamics_note(levels).select("file", "dyn_key")

@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 
 CHUNKS = "file string, ch int, chunk long, sr int, x array<float>"
 PROBE = "path string, name string, sample_rate int, channels int, bits int, sample_fmt string, container string, codec string, duration double, size long, error string"
+#: Bytes of a file in which its format is looked for.
+HEAD = 1 << 20
 #: File name extensions that a folder is searched for: sound, and containers that may hold some.
 EXTENSIONS = tuple("wav wave aif aiff flac alac ape wv tta mp3 m4a aac ogg oga opus wma ac3 dts mka mp4 mkv mov webm".split())
 
 
-def parse_wav(content: bytes) -> dict:
-    """Format and place of the samples of a RIFF WAVE file; raises ValueError with the reason."""
+def parse_wav(content: bytes, length: int | None = None) -> dict:
+    """Format and place of the samples of a RIFF WAVE file of ``length`` bytes, of which ``content`` may be the head; raises ValueError with the reason."""
+    length = len(content) if length is None else length
     if len(content) < 12 or content[:4] != b"RIFF" or content[8:12] != b"WAVE":
         raise ValueError("not a WAVE file")
     at, found = 12, {}
@@ -35,7 +38,7 @@ def parse_wav(content: bytes) -> dict:
                 code = struct.unpack("<H", content[at + 32 : at + 34])[0]
             found |= {"code": code, "channels": channels, "rate": rate, "align": align, "bits": bits}
         elif name == b"data":
-            found |= {"at": at + 8, "bytes": min(size, len(content) - at - 8)}
+            found |= {"at": at + 8, "bytes": min(size, length - at - 8)}
         at += 8 + size + size % 2
     if "code" not in found or "at" not in found:
         raise ValueError("no format or no samples")
@@ -87,15 +90,16 @@ def probe(files: DataFrame) -> DataFrame:
             for path, size, content in zip(batch["path"], batch["length"], batch["content"]):
                 row = dict.fromkeys(("path", "name", "sample_rate", "channels", "bits", "sample_fmt", "container", "codec", "duration", "size", "error")) | {"path": path, "name": path.rpartition("/")[2], "size": int(size)}
                 try:
-                    f = parse_wav(bytes(content))
-                    kind = "flt" if f["code"] == 3 else {8: "u8", 16: "s16"}.get(f["bits"], "s32")
-                    row |= {"sample_rate": f["rate"], "channels": f["channels"], "bits": f["bits"], "sample_fmt": kind, "container": "wav", "codec": f"pcm_{kind}", "duration": f["bytes"] / f["align"] / f["rate"]}
+                    f = parse_wav(bytes(content), int(size))
+                    kind = {32: "flt", 64: "dbl"}[f["bits"]] if f["code"] == 3 else {8: "u8", 16: "s16"}.get(f["bits"], "s32")
+                    codec = "pcm_u8" if kind == "u8" else f"pcm_{'f' if f['code'] == 3 else 's'}{f['bits']}le"
+                    row |= {"sample_rate": f["rate"], "channels": f["channels"], "bits": f["bits"], "sample_fmt": kind, "container": "wav", "codec": codec, "duration": f["bytes"] / f["align"] / f["rate"]}
                 except (ValueError, struct.error) as e:
                     row["error"] = str(e)[:200]
                 rows.append(row)
             yield pd.DataFrame(rows)
 
-    return files.select("path", "length", "content").mapInPandas(run, PROBE)
+    return files.select("path", "length", F.substring("content", 1, HEAD).alias("content")).mapInPandas(run, PROBE)
 
 
 def read_samples(files: DataFrame, *, chunk: int = 1 << 16, start: float = 0.0, seconds: float | None = None) -> DataFrame:
