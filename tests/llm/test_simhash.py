@@ -199,3 +199,18 @@ def test_very_long_text(spark):
     got = S.simhash_groups(spark.createDataFrame([(1, long), (2, long + " end")], "doc_id long, text string")).collect()
     assert {r["component"] for r in got} == {1}
     assert {r["id"]: r["fingerprint"] & (2**64 - 1) for r in got}[1] == plain_fingerprint(long)
+
+
+def test_parities_bound_the_difference_after_folding():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 5, 60, 64, 65, 100, 127, 129, 200, 900, 9000, 16000)]
+    sets += [np.unique(np.concatenate([x[: len(x) * 9 // 10], rng.integers(0, 2**63, 1 + len(x) // 20, dtype=np.uint64)])) for x in sets]
+    w = S._Parities([S.parities(x) for x in sets])
+    assert len(S.parities(np.zeros(0, np.uint64))) == 8 and set(w.words) >= {1, 2, 4, 128}
+    pairs = [(a, b) for a in range(len(sets)) for b in range(len(sets)) if max(w.words[a], w.words[b]) <= 2 * min(w.words[a], w.words[b])]
+    a, b = np.array(pairs).T
+    for (x, y), bits in zip(pairs, w.differ(a, b)):
+        apart = len(np.setxor1d(sets[x], sets[y]))
+        assert bits <= apart and bits % 2 == apart % 2
+    low = S._Parities([S.parities(np.sort(x.astype(np.uint32))) for x in sets])
+    assert all((p == q).all() for p, q in zip(w.rows, low.rows))

@@ -251,8 +251,8 @@ def simhash_groups(docs: DataFrame, *, words: int = 4, max_bits: int = 4, id_col
     return join_split(prints, labels, ["fingerprint"]).select("id", "fingerprint", "component")
 
 
-WORDS = 8  # 64-bit words of parities of a shingle set
-COMPARED = 4  # those that travel with a row of a list
+#: Bits of the parities of a shingle set: about one for each shingle, a power of two, at most so many.
+MOST_BITS = 8192
 BLOCK = 512  # documents in a block of a candidate group
 PIVOTS = 8  # members of a large candidate group that all others are compared with first
 SALT = 4096  # members that one task compares with them
@@ -287,33 +287,61 @@ def prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np
     return np.concatenate([found[~is_common], late])[:size], min(size, len(found) - len(late))
 
 
-def set_prints(docs: DataFrame, common: np.ndarray, similarity: float, *, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, x0, x1, fingerprint, n, w0 ..., rare, prefix): a digest of the words, the SimHash, and of the shingle set its size, parities and
-    prefix, of which the first ``rare`` are not common.
+def parities(found: np.ndarray) -> bytes:
+    """Whether the number of shingles whose hash ends in k is odd, for each k below a power of two of about the set's size.
 
-    A bit is the parity of the shingles that fall on it, so two sets differ in at least as many shingles as their prints in bits.
+    Two sets differ in at least as many shingles as their parities in bits, also after folding the longer onto the shorter.
     """
+    size = min(MOST_BITS, max(64, 1 << (len(found) - 1).bit_length())) if len(found) else 64
+    return np.packbits(np.bincount((found & found.dtype.type(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+class _Parities:
+    """Parities of the rows of a task, compared pair by pair."""
+
+    def __init__(self, rows: list[bytes]):
+        self.rows = [np.frombuffer(r, np.uint64) for r in rows]
+        self.words = np.array([len(r) for r in self.rows], np.int64)
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _at(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and parities of the rows that can be compared at so many words: those of that length and of twice."""
+        if words not in self.folded:
+            at = np.flatnonzero((self.words == words) | (self.words == 2 * words))
+            place = np.full(len(self.rows), -1)
+            place[at] = np.arange(len(at))
+            self.folded[words] = place, np.stack([np.bitwise_xor.reduce(self.rows[k].reshape(-1, words), axis=0) for k in at])
+        return self.folded[words]
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Differing bits of the rows a[i] and b[i], whose lengths are at most a factor of two apart."""
+        words, out = np.minimum(self.words[a], self.words[b]), np.zeros(len(a), np.int64)
+        for w in np.unique(words).tolist():
+            mine = np.flatnonzero(words == w)
+            place, data = self._at(w)
+            for part in np.array_split(mine, max(1, len(mine) * w >> 20)):
+                out[part] = np.bitwise_count(data[place[a[part]]] ^ data[place[b[part]]]).sum(axis=1)
+        return out
+
 
+def set_prints(docs: DataFrame, common: np.ndarray, similarity: float, *, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, x0, x1, fingerprint, n, w, rare, prefix): a digest of the words, the SimHash, and of the shingle set its size, parities and
+    prefix, of which the first ``rare`` are not common."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 512):
-                cut = batch.iloc[at : at + 512]
-                bits, made = np.zeros((len(cut), 64 * WORDS), np.uint8), []
-                for k, text in enumerate(cut["text"]):
+                made = []
+                for id_, text in zip(batch["id"].iloc[at : at + 512], batch["text"].iloc[at : at + 512]):
                     hashes = shingle_hashes(text, words)
                     found = np.unique(hashes)
-                    bits[k] = np.bincount((found & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
                     first, rare = prefix(found, shared.value, similarity)
                     x = np.frombuffer(xxhash.xxh3_128_digest(b" ".join((text or "").encode().lower().split())), np.int64)
-                    made.append((cut["id"].iloc[k], x[0], x[1], simhash(hashes), len(found), rare, first.view(np.int64)))
-                out = pd.DataFrame(made, columns=["id", "x0", "x1", "fingerprint", "n", "rare", "prefix"])
-                packed = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
-                yield out.assign(**{f"w{j}": packed[:, j] for j in range(WORDS)})[names]
+                    made.append((id_, x[0], x[1], simhash(hashes), len(found), parities(found), rare, first.view(np.int64)))
+                yield pd.DataFrame(made, columns=["id", "x0", "x1", "fingerprint", "n", "w", "rare", "prefix"])
 
-    names = ["id", "x0", "x1", "fingerprint", "n", *(f"w{j}" for j in range(WORDS)), "rare", "prefix"]
-    schema = "id string, x0 long, x1 long, fingerprint long, n int, " + ", ".join(f"w{j} long" for j in range(WORDS)) + ", rare int, prefix array<long>"
+    schema = "id string, x0 long, x1 long, fingerprint long, n int, w binary, rare int, prefix array<long>"
     return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema).withColumn("id", F.col("id").cast("long"))
 
 
@@ -338,16 +366,13 @@ def shared_tokens(rows: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, "token long, rep long")
 
 
-def _within(w: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _within(w: _Parities, n: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows whose sizes and differing bits do not rule ``similarity`` out, and those bits.  No pair that has it is lost."""
     live = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
     a, b = a[live], b[live]
-    bits, most = np.zeros(len(a), np.int64), (1 - similarity) / (1 + similarity) * (n[a] + n[b]) + 1e-9
-    for j in range(w.shape[1]):
-        bits += np.bitwise_count(w[a, j] ^ w[b, j])
-        live = bits <= most
-        a, b, bits, most = a[live], b[live], bits[live], most[live]
-    return a, b, bits
+    bits = w.differ(a, b)
+    live = bits <= (1 - similarity) / (1 + similarity) * (n[a] + n[b]) + 1e-9
+    return a[live], b[live], bits[live]
 
 
 def _block_pairs(start: np.ndarray, end: np.ndarray, side: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -365,18 +390,17 @@ def _block_pairs(start: np.ndarray, end: np.ndarray, side: int, size: int) -> It
 
 
 def list_links(rows: DataFrame, similarity: float) -> DataFrame:
-    """(token, rep, n, label, w0 ...) -> links (a, b) with the components of the pairs that share a token and may be similar enough, or a label."""
-    cols = [f"w{j}" for j in range(COMPARED)]
+    """(token, rep, n, label, w) -> links (a, b) with the components of the pairs that share a token and may be similar enough, or a label."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _in_groups(batches, ["token"], 1 << 17):
-            w, n = group[cols].to_numpy(np.int64).view(np.uint64), group["n"].to_numpy(np.int64)
+        for group in _in_groups(batches, ["token"], 1 << 15):
+            w, n = _Parities(group["w"].to_list()), group["n"].to_numpy(np.int64)
             first = _starts(group["token"].to_numpy())
             rep, links = np.unique(group["rep"].to_numpy(np.int64), return_inverse=True)
             joined = _Links(len(rep))
             _, at, label = np.unique(group["label"].to_numpy(np.int64), return_index=True, return_inverse=True)
             joined.join(links, links[at][label])
-            for a, b in _block_pairs(first, np.append(first[1:], len(group)), 1024, 1 << 21):
+            for a, b in _block_pairs(first, np.append(first[1:], len(group)), 1024, 1 << 20):
                 apart = joined.label[links[a]] != joined.label[links[b]]
                 a, b, _ = _within(w, n, a[apart], b[apart], similarity)
                 joined.join(links[a], links[b])
@@ -392,31 +416,36 @@ def split_links(rows: DataFrame, big: DataFrame, near: DataFrame, similarity: fl
     All rows of a list are first compared with one of them.  Rows of the component that then holds most of a list need no
     pairs among themselves: they are dealt over blocks, and only the rest of the list goes to every block.
     """
-    cols = [f"w{j}" for j in range(COMPARED)]
+
+    def with_pivot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            k = np.arange(len(batch))
+            w = _Parities([*batch["w"], *batch["pivot_w"]])
+            a, b, _ = _within(w, np.concatenate([batch["n"], batch["pivot_n"]]).astype(np.int64), k, k + len(batch), similarity)
+            yield pd.DataFrame({"a": batch["rep"].to_numpy()[a], "b": batch["pivot"].to_numpy()[a]})
+
     rows = rows.join(told(big), "token")
-    pivot = checkpoint(rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n", *cols)).alias("p")))
-    small, large = F.least("n", "p.n"), F.greatest("n", "p.n")
-    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p.{c}"))) for c in cols), F.lit(0))
-    may = (small >= similarity * large - 1e-9) & (differ <= (1 - similarity) / (1 + similarity) * (small + large) + 1e-9)
-    near = checkpoint(near.union(rows.join(told(pivot), "token").filter(may).select(F.col("rep").alias("a"), F.col("p.rep").alias("b"))).filter("a <> b").distinct())
+    pivot = checkpoint(rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n", "w")).alias("p")))
+    asked = rows.join(told(pivot), "token").select("rep", "n", "w", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.w").alias("pivot_w"))
+    near = checkpoint(near.union(asked.mapInPandas(with_pivot, "a long, b long")).filter("a <> b").distinct())
     found = components(near)
-    held = checkpoint(rows.join(found, rows["rep"] == found["node"], "left").select("token", "count", "rep", "n", *cols, F.coalesce("component", "rep").alias("label")))
+    held = checkpoint(rows.join(found, rows["rep"] == found["node"], "left").select("token", "count", "rep", "n", "w", F.coalesce("component", "rep").alias("label")))
     most = checkpoint(held.groupBy("token", "label").agg(F.count("*").alias("m")).groupBy("token").agg(F.max(F.struct("m", "label")).alias("most")))
     held = held.join(told(most), "token").filter("most.m < count").withColumn("rest", F.col("label") != F.col("most.label"))
     blocks = F.ceil(F.col("count") / LIST).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    units = held.select("token", "rep", "n", *cols, "label", "rest", own.alias("own"), F.explode(F.when(F.col("rest"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))).alias("block"))
+    units = held.select("token", "rep", "n", "w", "label", "rest", own.alias("own"), F.explode(F.when(F.col("rest"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))).alias("block"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _in_groups(batches, ["token", "block"], 1 << 15):
-            w, n = group[cols].to_numpy(np.int64).view(np.uint64), group["n"].to_numpy(np.int64)
+        for group in _in_groups(batches, ["token", "block"], 1 << 14):
+            w, n = _Parities(group["w"].to_list()), group["n"].to_numpy(np.int64)
             rep, label, rest = (group[c].to_numpy() for c in ("rep", "label", "rest"))
             mine = group["own"].to_numpy() == group["block"].to_numpy()
             first = _starts(group["token"].to_numpy(), group["block"].to_numpy())
             joined = _Links(len(group))
             for lo, hi in zip(first.tolist(), np.append(first[1:], len(group)).tolist()):
                 loose, here = lo + np.flatnonzero(rest[lo:hi]), lo + np.flatnonzero(mine[lo:hi])
-                for part in np.array_split(loose, max(1, len(loose) * len(here) >> 21)):
+                for part in np.array_split(loose, max(1, len(loose) * len(here) >> 20)):
                     a, b = np.repeat(part, len(here)), np.tile(here, len(part))
                     apart = (label[a] != label[b]) & (joined.label[a] != joined.label[b])
                     a, b, _ = _within(w, n, a[apart], b[apart], similarity)
@@ -440,16 +469,14 @@ def pivot_links(members: DataFrame, similarity: float) -> DataFrame:
     return salted.join(pivots, ["component", "salt"]).filter((F.col("node") != F.col("pivot")) & alike).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
 
 
-def checked_links(groups: DataFrame, prints: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def checked_links(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Candidate groups (node, component) -> links (a, b) with the components of the pairs whose shingle sets are similar enough.
 
     The largest component that the pivots of a large group make is settled; each other member, the rest, is compared with
     all.  Both are cut into blocks, and a block of the rest with a block of all is a unit of work of bounded size.
     """
-    cols = [f"w{j}" for j in range(WORDS)]
     size = groups.groupBy("component").count()
-    held = sets.join(prints.select(F.col("rep").alias("id"), *cols), "id")
-    members = checkpoint(join_split(groups, size, ["component"]).join(held, F.col("node") == F.col("id")).select("component", "node", "count", "shingles", *cols))
+    members = checkpoint(join_split(groups, size, ["component"]).join(sets, F.col("node") == F.col("id")).select("component", "node", "count", "shingles"))
     large = F.col("count") > BLOCK
     found = checkpoint(pivot_links(members.filter(large), similarity))
     label = components(found)
@@ -459,11 +486,11 @@ def checked_links(groups: DataFrame, prints: DataFrame, sets: DataFrame, similar
     most = most.select("component", F.col("most.label").alias("most"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("most.count")) / BLOCK).cast("int").alias("rests"))
     dealt = join_split(labelled, most, ["component"]).filter("rests > 0").withColumn("rest", F.col("label") != F.col("most"))
     of_large = dealt.select("node", "component", "label", "rest", "blocks", "rests", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"), F.pmod(F.xxhash64("node", F.lit("rest")), F.col("rests")).cast("int").alias("mine"))
-    of_small = members.filter(~large).select("node", "component", F.col("node").alias("label"), F.lit(True).alias("rest"), *(F.lit(0).alias(c) for c in ("own", "mine", "block", "part")), "shingles", *cols)
+    of_small = members.filter(~large).select("node", "component", F.col("node").alias("label"), F.lit(True).alias("rest"), *(F.lit(0).alias(c) for c in ("own", "mine", "block", "part")), "shingles")
     down = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: F.struct(F.col("own").alias("block"), r.alias("part")))
     across = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.col("mine").alias("part")))
     places = F.inline(F.when(F.col("rest"), F.array_union(down, across)).otherwise(down))
-    units = of_large.select("node", "component", "label", "rest", "own", "mine", places).join(members.filter(large).select("node", "shingles", *cols), "node")
+    units = of_large.select("node", "component", "label", "rest", "own", "mine", places).join(members.filter(large).select("node", "shingles"), "node")
     rows = units.unionByName(of_small)
 
     def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -472,10 +499,10 @@ def checked_links(groups: DataFrame, prints: DataFrame, sets: DataFrame, similar
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _in_groups(batches, ["component", "block", "part"], 1 << 11):
-            w = group[cols].to_numpy(np.int64).view(np.uint64)
             node, label, rest = (group[c].to_numpy() for c in ("node", "label", "rest"))
             own, mine, block, part = (group[c].to_numpy() for c in ("own", "mine", "block", "part"))
             shingles = group["shingles"].to_list()
+            w = _Parities([parities(x.view(np.uint32)) for x in shingles])
             n = np.array([len(x) for x in shingles], np.int64)
             first = _starts(group["component"].to_numpy(), block, part)
             links = _Links(len(group))
@@ -524,7 +551,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     n, repeated = ids.agg(F.sum("n"), F.max(F.when(F.col("id").isNotNull(), F.col("n")))).first()
     common = common_shingles(docs, words=words, text_col=text_col, n=n or 0)
     prints = checkpoint(set_prints(docs, common, similarity, words=words, id_col=id_col, text_col=text_col))
-    reps = checkpoint(prints.groupBy("x0", "x1").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("fingerprint", "n", *(f"w{j}" for j in range(WORDS))))))
+    reps = checkpoint(prints.groupBy("x0", "x1").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("fingerprint", "n", "w"))))
     known = reps.filter("rep IS NOT NULL")
     close = checkpoint(hamming_links(known.select("rep", "fingerprint")))
     label = checkpoint(components(close))
@@ -537,7 +564,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     rare = lists.select("rep", F.explode(F.slice("prefix", 1, F.col("rare"))).alias("token"))
     often = lists.select("rep", F.explode(F.slice("prefix", F.col("rare") + 1, F.size("prefix"))).alias("token"))
     tokens = checkpoint(shared_tokens(rare).union(often.select("token", "rep")))
-    light = known.join(label, F.col("rep") == F.col("node"), "left").select("rep", "n", F.coalesce("component", "rep").alias("label"), *(f"w{j}" for j in range(COMPARED)))
+    light = known.join(label, F.col("rep") == F.col("node"), "left").select("rep", "n", F.coalesce("component", "rep").alias("label"), "w")
     rows = tokens.join(light, "rep")
     big = checkpoint(tokens.groupBy("token").count().filter(F.col("count") > LIST))
     near = checkpoint(list_links(rows.join(told(big), "token", "left_anti"), similarity).union(close))
@@ -545,7 +572,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
         near = checkpoint(split_links(rows, big, near, similarity))
     groups = checkpoint(components(near))
     sets = shingle_sets(of_ids(docs, groups.select("node"), id_col, "left_semi"), words=words, id_col=id_col, text_col=text_col)
-    found = components(checkpoint(checked_links(groups, known, sets.dropDuplicates(["id"]) if (repeated or 0) > 1 else sets, similarity)))
+    found = components(checkpoint(checked_links(groups, sets.dropDuplicates(["id"]) if (repeated or 0) > 1 else sets, similarity)))
     labels = reps.join(found, reps["rep"] == found["node"], "left").select("x0", "x1", F.coalesce("component", "rep").alias("component"))
     return join_split(prints.select("id", "x0", "x1"), labels, ["x0", "x1"]).select("id", "component")
 
