@@ -7,9 +7,10 @@ digits found so far, and fixes one digit more.  Then scores above the k-th are
 kept, and ties at it are broken by the smaller id.  Scores are computed anew in
 each round and never stored.
 
-A block sends only the histogram bins that its own scores cannot rule out: if k
-of its scores reach a bin, lower bins cannot hold the k-th largest.  So a task
-sends at most k bins a query, and at the end at most k rows a query.
+A task adds up the bins of a query block over all its blocks of candidates, and
+sends only bins that its own scores cannot rule out: if k of them reach a bin,
+lower bins cannot hold the k-th largest.  So a lane sends at most k bins a query,
+however many candidates it has, and at the end at most k ties a query.
 
 Queries are packed in blocks of rows and each block is sent to every lane of
 candidates by a join on the lane; nothing passes through the driver but bounds.
@@ -24,6 +25,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,47 +82,87 @@ def _pairs(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return qi, ci, s
 
 
-def _highest(values: np.ndarray, k: int) -> np.ndarray:
-    """For each row its k-th largest value, or its smallest if it has fewer."""
-    k = min(k, values.shape[1])
-    return np.partition(values, values.shape[1] - k, axis=1)[:, values.shape[1] - k]
+class _Held(OrderedDict):
+    """What a task has gathered for the query blocks it met last; the order of rows decides only how often one is given out."""
+
+    def __init__(self, start, most: int = 8):
+        super().__init__()
+        self.start, self.most, self.out = start, most, []
+
+    def of(self, row):
+        if row.q_block not in self:
+            self[row.q_block] = self.start(row)
+            if len(self) > self.most:
+                self.out.append(self.popitem(last=False)[1])
+        self.move_to_end(row.q_block)
+        return self[row.q_block]
+
+    def done(self, all_: bool = False):
+        out = self.out + (list(self.values()) if all_ else [])
+        self.out = []
+        return out
 
 
 def _histogram(k: int, shift: int, offset: int):
     """Counts of the digit at ``shift`` among scores whose higher digits are the query's prefix."""
 
+    def given(state) -> pd.DataFrame:
+        ids, counts = state
+        reach = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1]
+        r, digit = np.nonzero((counts > 0) & (reach - counts < k))
+        return pd.DataFrame({"query_id": ids[r], "digit": digit.astype(np.int32), "n": counts[r, digit].astype(np.int64)})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = _Held(lambda row: (np.frombuffer(row.q_ids, np.int64), np.zeros((row.q_n, 1 << DIGIT), np.int64)))
         for batch in batches:
             for row in batch.itertuples(index=False):
-                qi, _, s = _pairs(row)
+                _, counts = held.of(row)
+                _, _, s = _pairs(row)
                 u = s + offset
                 prefix = np.frombuffer(row.q_prefix, np.int64)
                 top = u >> shift
-                inside = (top >> DIGIT == prefix[:, None]) & (u >= 0)
-                digit = np.where(inside, top & ((1 << DIGIT) - 1), -1)
-                keep = digit >= np.maximum(_highest(digit, k), 0)[:, None]
-                r, c = np.nonzero(keep)
-                cells, counts = np.unique(r * (1 << DIGIT) + digit[r, c], return_counts=True)
-                yield pd.DataFrame({"query_id": qi[cells >> DIGIT], "digit": (cells & ((1 << DIGIT) - 1)).astype(np.int32), "n": counts})
+                r, c = np.nonzero((top >> DIGIT == prefix[:, None]) & (u >= 0))
+                cell = r * (1 << DIGIT) + (top[r, c] & ((1 << DIGIT) - 1))
+                counts += np.bincount(cell, minlength=counts.size).reshape(counts.shape)
+                yield from map(given, held.done())
+        yield from map(given, held.done(True))
 
     return run
 
 
 def _select(k: int, offset: int):
-    """Scores above the query's k-th, and the smallest ids at it; at most k of each from a block."""
+    """Scores above the query's k-th, and the smallest ids at it; at most k of each for a query block of a task."""
+
+    def fewest(state) -> None:
+        """Keep the k smallest ids of each query among its ties."""
+        r, c = (np.concatenate(x) for x in state["ties"]) if state["ties"][0] else (np.zeros(0, np.int64),) * 2
+        order = np.lexsort((c, r))
+        r, c = r[order], c[order]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < k
+        state["ties"], state["n"] = ([r[first]], [c[first]]), int(first.sum())
+
+    def given(state) -> pd.DataFrame:
+        fewest(state)
+        (r,), (c,) = state["ties"]
+        return pd.DataFrame({"query_id": state["ids"][r], "vec_id": c, "score": state["kth"][r]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = _Held(lambda row: {"ids": np.frombuffer(row.q_ids, np.int64), "kth": np.frombuffer(row.q_prefix, np.int64) - offset, "ties": ([], []), "n": 0})
         for batch in batches:
             for row in batch.itertuples(index=False):
+                state = held.of(row)
                 qi, ci, s = _pairs(row)
-                kth = np.frombuffer(row.q_prefix, np.int64)[:, None] - offset
-                above_r, above_c = np.nonzero(s > kth)
-                tie_r, tie_c = np.nonzero((s == kth) & (s > -(1 << 61)))
-                order = np.lexsort((ci[tie_c], tie_r))
-                tie_r, tie_c = tie_r[order], tie_c[order]
-                first = np.arange(len(tie_r)) - np.searchsorted(tie_r, tie_r) < k
-                r, c = np.concatenate([above_r, tie_r[first]]), np.concatenate([above_c, tie_c[first]])
+                kth = state["kth"][:, None]
+                r, c = np.nonzero(s > kth)
                 yield pd.DataFrame({"query_id": qi[r], "vec_id": ci[c], "score": s[r, c]})
+                r, c = np.nonzero((s == kth) & (s > -(1 << 61)))
+                state["ties"][0].append(r)
+                state["ties"][1].append(ci[c])
+                state["n"] += len(r)
+                if state["n"] > 4 * k * len(qi) + 10_000:
+                    fewest(state)
+                yield from map(given, held.done())
+        yield from map(given, held.done(True))
 
     return run
 
@@ -153,7 +195,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, *, rows: int = 1024
             held = members.join(state, "query_id").join(asked.select("block", "ids"), "block")
             q = asked.join(held.groupBy("block").applyInPandas(pack, "block string, prefix binary"), "block")
         lane = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
-        return blocks.select("lane", "n", "dim", "ids", "data").join(q.select(lane, *(F.col(c).alias(f"q_{c}") for c in ("n", "dim", "ids", "data", "prefix"))), "lane")
+        # query blocks lead, so that the candidates of a lane come by for one query block after the other
+        return q.select(lane, *(F.col(c).alias(f"q_{c}") for c in ("block", "n", "dim", "ids", "data", "prefix"))).hint("merge").join(blocks.select("lane", "n", "dim", "ids", "data"), "lane")
 
     members = checkpoint(asked.select("block", "ids").mapInPandas(_members, "block string, query_id long"))
     state = None
