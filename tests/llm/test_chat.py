@@ -34,6 +34,10 @@ LAYOUT_CASES = [
     ({"question": "q", "answer": "a"}, [("user", "q"), ("assistant", "a")]),
     ({"context": "c", "question": "q", "answer": "a"}, [("user", "c\n\nq"), ("assistant", "a")]),
     ({"role": "user", "text": "t"}, [("user", "t")]),
+    ({"prompt": 5, "response": "x", "id": 3}, [("user", "5"), ("assistant", "x")]),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "u"}], "name": "n"}]}, [("user", '[{"text": "u", "type": "text"}]')]),
+    ({"messages": []}, []),
+    ({"conversations": [{"from": "gpt", "value": None}, {"from": None, "value": True}], "meta": {"a": [1]}}, [("assistant", ""), ("", "true")]),
 ]
 
 
@@ -44,18 +48,21 @@ def test_layouts(record, want):
 
 
 def test_fingerprints_tell_layouts_apart():
-    assert len(C.BY_FINGERPRINT) == len(C.LAYOUTS)
+    assert len(C.BY_FINGERPRINT) == len(C.LAYOUTS) + 2
+    assert C.turns_of({"messages": [{"role": "u", "content": "c"}, 7]}) == (None, []) and C.turns_of({"messages": None}) == (None, []) and C.turns_of(None) == (None, [])
     assert C.field_paths({"a": [{"b": 1}, {"c": {"d": None}}]}) == {"a[]", "a[].b", "a[].c.d"}
     assert C.turns_of({"what": 1}) == (None, []) and C.turns_of([1]) == (None, []) and C.turns_of("x") == (None, [])
 
 
 def test_records_table(spark):
-    rows = [(k, json.dumps(r), "clash") for k, (r, _) in enumerate(LAYOUT_CASES)] + [(90, '{"what": 1}', ""), (91, None, ""), (None, '{"prompt": "p", "response": "r"}', "")]
+    rows = [(k, json.dumps(r), "clash") for k, (r, _) in enumerate(LAYOUT_CASES)] + [(90, '{"what": 1}', ""), (91, None, ""), (92, '{"prompt": "p", "resp', ""), (93, "[" * 100_000, ""), (None, '{"prompt": "p", "response": "r"}', "")]
     out = C.canonical_turns(spark.createDataFrame(rows, "conv_id long, payload string, layout string")).collect()
     for k, (_, want) in enumerate(LAYOUT_CASES):
-        assert [(r.role, r.text) for r in sorted((r for r in out if r.conv_id == k), key=lambda r: r.part)] == want
-    assert [(r.conv_id, r.layout, r.role) for r in out if r.conv_id in (90, 91)] == [(90, None, None), (91, None, None)]
+        assert [(r.role, r.text) for r in sorted((r for r in out if r.conv_id == k), key=lambda r: r.part)] == (want or [(None, None)])
+    assert [(r.conv_id, r.layout, r.role) for r in out if r.conv_id in (90, 91, 92, 93)] == [(k, None, None) for k in (90, 91, 92, 93)]
     assert len([r for r in out if r.conv_id is None]) == 2
+    counts = {r.layout: (r.without_turns, r.turns) for r in C.layout_counts(C.canonical_turns(spark.createDataFrame(rows, "conv_id long, payload string, layout string"))).collect()}
+    assert counts[None] == (4, 0) and counts["messages"] == (1, 3) and counts["prompt"] == (0, 6)
 
 
 def test_query_against_plain_python(spark, tmp_path):

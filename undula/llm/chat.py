@@ -1,7 +1,7 @@
 """Chat formatting by schema fingerprints.
 
-A record's fingerprint is a hash of its nested field paths.  It selects one of
-the declarative mappings below, which turn prompt, instruction and message
+A record's fingerprint is a hash of its nested field paths, of those that some
+mapping knows.  It selects one of the declarative mappings below, which turn prompt, instruction and message
 layouts into canonical turns (role, text).  New layouts need a new entry, no
 code.  Turns are then rendered one by one with marks for each turn; control
 strings inside texts are escaped reversibly, so the output can be read back.
@@ -11,10 +11,13 @@ strings inside texts are escaped reversibly, so the output can be read back.
 Inside texts ``\\`` becomes ``\\\\`` and every ``<`` and ``[`` is followed by a
 ``\\``, so no control string can occur in one.
 
-Defined results: a null text is the empty text, a null role the empty role; turns
-of one conversation go by turn, then role, then text, repeated rows stay; a record
-whose fingerprint has no mapping gives one row with role and text null (counted,
-never guessed); an empty table gives an empty result; other columns are left aside.
+Defined results: a null text is the empty text, a null role the empty role; a value
+that is no text stands as its JSON; fields that no mapping knows are left aside;
+turns of one conversation go by turn, then role, then text, repeated rows stay.  A
+record without a mapping, without turns or that is no JSON gives one row with role
+and text null (``layout_counts`` counts them; none is guessed).  An empty table
+gives an empty result; other columns are left aside.  A conversation's digest is a
+running one, so its rows stream through one task, in order and without being held.
 """
 
 from __future__ import annotations
@@ -70,26 +73,51 @@ LAYOUTS = {
     "question_context": _fields(user="context+question", assistant="answer"),
 }
 BY_FINGERPRINT = {fingerprint(m["paths"]): name for name, m in LAYOUTS.items()}
+BY_FINGERPRINT |= {fingerprint([f"{m['list']}[]"]): name for name, m in LAYOUTS.items() if m.get("list")}  # lists without items
+KNOWN = frozenset(p for m in LAYOUTS.values() for p in m["paths"])
+
+
+def as_text(value) -> str:
+    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False, sort_keys=True)
+
+
+def known_paths(record) -> set[str]:
+    """Paths of the record's leaves that a mapping knows; what lies below a known leaf counts as that leaf."""
+    out = set()
+    for p in field_paths(record):
+        while p and p not in KNOWN:
+            p = p[:-2] if p.endswith("[]") else p.rpartition(".")[0]
+        out |= {p} if p else set()
+    return out
 
 
 def turns_of(record) -> tuple[str | None, list[tuple[str, str]]]:
     """(layout, turns) of one parsed record; layout None: no mapping has its fingerprint."""
-    layout = BY_FINGERPRINT.get(fingerprint(field_paths(record)))
+    layout = BY_FINGERPRINT.get(fingerprint(known_paths(record))) if isinstance(record, dict) else None
     if layout is None:
         return None, []
     m = LAYOUTS[layout]
     if "fields" in m:
-        texts = [(role, "\n\n".join(t for t in (record[p] or "" for p in f.split("+")) if t)) for role, f in m["fields"]]
+        texts = [(role, "\n\n".join(t for t in (as_text(record[p]) for p in f.split("+")) if t)) for role, f in m["fields"]]
         return layout, [(r, t) for r, t in texts if t]
     items = [record] if m["list"] is None else record[m["list"]]
-    return layout, [(m["roles"].get(r := item.get(m["role"]) or "", r), item.get(m["text"]) or "") for item in items]
+    if not all(isinstance(item, dict) for item in items):
+        return None, []
+    return layout, [(m["roles"].get(r := as_text(item.get(m["role"])), r), as_text(item.get(m["text"]))) for item in items]
+
+
+def _parsed(payload: str | None):
+    try:
+        return json.loads(payload) if payload else None
+    except (ValueError, RecursionError):
+        return None
 
 
 def _canonical(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for conv, turn, payload in zip(batch["conv_id"], batch["turn"], batch["payload"]):
-            layout, turns = turns_of(json.loads(payload)) if payload else (None, [])
+            layout, turns = turns_of(_parsed(payload))
             rows += [(conv, turn, k, layout, role, text) for k, (role, text) in enumerate(turns)] or [(conv, turn, 0, layout, None, None)]
         yield pd.DataFrame(rows, columns=["conv_id", "turn", "part", "layout", "role", "text"])
 
@@ -101,6 +129,11 @@ def canonical_turns(records: DataFrame, *, conv_col: str = "conv_id", order_col:
     return turns.withColumns({c: F.col(c).cast("long") for c in ("conv_id", "turn")})  # as text on the way: nulls would make pandas round whole numbers
 
 
+def layout_counts(turns: DataFrame) -> DataFrame:
+    """(layout, records without turns, turns); layout null: no mapping."""
+    return turns.groupBy("layout").agg(F.count_if(F.col("role").isNull()).alias("without_turns"), F.count("role").alias("turns"))
+
+
 def escape(text: Column) -> Column:
     text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     return F.replace(F.replace(text, F.lit("<"), F.lit("<\\")), F.lit("["), F.lit("[\\"))
@@ -214,9 +247,16 @@ def op8_chat(spark, sf_dir: str) -> DataFrame:
 
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(SAID).alias("text"))
-    payload = F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
-    records = rows.unionByName(extra).withColumn("payload", payload)
-    return digest_conversations(canonical_turns(records, order_col="turn"))
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    # the same turns in three layouts, so that the fingerprint has something to tell apart; a role with a name of its own stays a plain turn
+    said = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    listed = F.when(role.isin("user", "assistant", "system"), F.pmod(F.xxhash64("conv_id"), F.lit(3))).otherwise(0)
+    payload = (
+        F.when(listed == 1, F.to_json(F.struct(F.array(F.struct(role.alias("role"), text.alias("content"))).alias("messages"))))
+        .when(listed == 2, F.to_json(F.struct(F.col("conv_id").alias("id"), F.array(F.struct(said.alias("from"), text.alias("value"))).alias("conversations"))))
+        .otherwise(F.to_json(F.struct(role.alias("role"), text.alias("text"))))
+    )
+    return digest_conversations(canonical_turns(rows.unionByName(extra).withColumn("payload", payload), order_col="turn"))
 
 
 ORACLE = r"""
