@@ -52,7 +52,7 @@ def test_against_brute_force(spark):
     """Every window of every item against every document by full alignment."""
     rng = random.Random(11)
     items = [(k, words(rng, 25)) for k in range(6)] + [(6, "Short item!"), (7, ""), (8, None), (9, words(rng, 60))]
-    docs: list[tuple[int, str | None]] = [(0, None), (1, ""), (2, "a short   ITEM, here"), (3, "a shortitem")]
+    docs: list[tuple[int, str | None]] = [(0, None), (1, ""), (2, "a short   ITEM, here"), (3, " Short.  ITEM"), (100, "shortitem")]
     for k in range(4, 90):
         text = words(rng, rng.randint(5, 60))
         item = rng.choice(items)[1]
@@ -70,8 +70,8 @@ def test_against_brute_force(spark):
             n = D.normalized(item)
             if not n:
                 continue
-            if len(n) < D.Q:
-                if f" {n} " in f" {t} ":
+            if len(n) < D.LEAST:
+                if n == t:
                     want[d, i] = 0
                 continue
             for a in sorted({*range(0, max(1, len(n) - D.WINDOW + 1), D.WINDOW // 2), max(0, len(n) - D.WINDOW)}):
@@ -79,7 +79,28 @@ def test_against_brute_force(spark):
                 e = edits(w, t)
                 if e <= min(int(D.EDITS * len(w)), (len(w) - D.Q) // D.Q):
                     want[d, i] = min(e, want.get((d, i), 99))
-    assert got == want and len(want) > 15
+    assert got == want and len(want) > 15 and (3, 6) in want
+
+
+def test_short_items_do_not_delete_common_speech(spark):
+    bench = spark.createDataFrame([(1, "Yes"), (2, "the United States"), (3, "4")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Well yes I think so"), (2, "Made in the United States, 4 of them."), (3, "YES!"), (4, None)], "doc_id long, text string")
+    assert [r.doc_id for r in D.drop_contaminated(docs, bench).orderBy("doc_id").collect()] == [1, 2, 4]
+
+
+@pytest.mark.parametrize("often", [32, 2])
+def test_prompt_that_all_items_share(monkeypatch, often):
+    """Windows with enough q-grams of their own need no common ones; what is found stays the same."""
+    rng = random.Random(6)
+    prompt = words(rng, 14)
+    items = [(k, f"{words(rng, k % 9)} {prompt} {words(rng, 12)}") for k in range(60)]
+    texts = [f"{words(rng, 9)} {i[1][a : a + 110]} {words(rng, 5)}" for i in items for a in (0, 40, 60)] + [prompt, words(rng, 80)]
+    monkeypatch.setattr(D, "OFTEN", 10**9)
+    plain = D.Index(items)
+    monkeypatch.setattr(D, "OFTEN", often)
+    index = D.Index(items)
+    assert index.matches(texts) == plain.matches(texts)
+    assert len(index.rows) < len(plain.rows) and len({m[0] for m in index.matches([prompt])[0]}) > 5
 
 
 def test_passages_from_every_start():
@@ -114,7 +135,9 @@ def test_index_in_pieces_gives_the_same(spark, sf, monkeypatch):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     whole = sorted(map(tuple, D.contaminated(docs, bench).collect()))
     monkeypatch.setattr(D, "PIECE", 2000)
+    monkeypatch.setattr(D, "PIECES", 3)
     assert sorted(map(tuple, D.contaminated(docs, bench).collect())) == whole and whole
+    assert D.drop_contaminated(docs, bench).count() == docs.count() - len({r[0] for r in whole})
 
 
 def test_very_long_text(spark):
