@@ -51,6 +51,41 @@ def test_every_kind_is_replaced_within_its_format(spark):
     assert out[0] == out[1].replace("-", "")  # one card in two layouts
 
 
+MORE = [
+    "иван@example.com", "ß@example.org", "Ελένη.山田@example.net", "555-123-4567", "212.555.0187", "+442079460958", "+1 212 555 0187", "GB29 NWBK 6016 1331 9268 19", "DE89 3704 0044 0532 0130 00",
+    "12/31/1980", "02/29/1984", "12/13/1999", "3 March 1980", "March 3, 1980", "03 Mar 1980", "31 May 2001", "2001:db8::ff00:42:8329", "2001:0db8:0000:0000:0000:ff00:0042:8329", "fe80::1:2",
+]
+
+
+def test_other_scripts_groups_and_layouts(spark):
+    out = dict(zip(MORE, run(spark, MORE)))
+    assert all(new != old for old, new in out.items()), [o for o, n in out.items() if o == n]
+    assert all(re.sub(r"[^\W_]", "x", new) == re.sub(r"[^\W_]", "x", old) for old, new in out.items() if "20" not in old[:2] and "Ma" not in old and "M" not in old)
+    assert out["+442079460958"].startswith("+44") and len(out["+442079460958"]) == 13 and out["иван@example.com"].endswith("@example.com")
+    for spaced in ("GB29 NWBK 6016 1331 9268 19", "DE89 3704 0044 0532 0130 00"):
+        new = out[spaced].replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1 and new[:2] == spaced[:2]
+        assert run(spark, [spaced.replace(" ", "")]) == [new]
+    for old in ("12/31/1980", "02/29/1984", "12/13/1999"):
+        assert dt.datetime.strptime(out[old], "%m/%d/%Y").day > 12
+    day = dt.datetime.strptime(out["3 March 1980"], "%d %B %Y")
+    assert dt.datetime.strptime(out["March 3, 1980"], "%B %d, %Y") == dt.datetime.strptime(out["03 Mar 1980"], "%d %b %Y") == day == dt.datetime.strptime(run(spark, ["1980-03-03"])[0], "%Y-%m-%d")
+    assert run(spark, ["pay GB29 NWBK 6016 1331 9268 19 now", "std::vector a::b 12:30:45", "31 June 2001", "555-123-456 7555-123-4567"]) == [f"pay {out['GB29 NWBK 6016 1331 9268 19']} now", "std::vector a::b 12:30:45", "31 June 2001", "555-123-456 7555-123-4567"]
+
+
+def test_month_first_dates_are_one_to_one(spark):
+    days = [dt.date(1999, 1, 1) + dt.timedelta(days=k) for k in range(1500)]
+    texts = [f"{d:%m/%d/%Y}" for d in days if d.day > 12] + [f"{d:%d/%m/%Y}" for d in days]
+    out = run(spark, texts)
+    assert len(set(out)) == len(set(texts)) and all(a != b for a, b in zip(out[:50], texts))
+
+
+def test_very_long_text_with_many_values(spark):
+    text = " ".join(f"user{k}@mail.example.com 10.0.{k // 256}.{k % 256} filler words here" for k in range(3000))
+    (out,) = run(spark, [text])
+    assert len(set(re.findall(r"\S+@mail\.example\.com", out))) == 3000 and out.count("filler words here") == 3000
+
+
 def test_what_is_not_valid_stays(spark):
     assert run(spark, KEPT) == KEPT
 

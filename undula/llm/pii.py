@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel networks.
 
-One pattern finds e-mail addresses, IBANs, IPv4 addresses, dates, social security
-numbers, payment card numbers and phone numbers.  Each match is validated (Luhn,
+One pattern finds e-mail addresses, IBANs (also in groups of four), IPv4 and IPv6
+addresses, dates in numbers and with English months, social security numbers,
+payment card numbers and phone numbers.  Each match is validated (Luhn,
 mod 97, octets, calendar, number ranges); what fails stays as it is.  A valid
 value is permuted within its format by a Feistel network whose round function is
 SHA-2 under a key, so the map is one-to-one, equal values get equal pseudonyms in
@@ -9,8 +10,10 @@ all documents, and a pseudonym is valid where its kind has a check.
 
     card, iban   all characters but the check digits, then new check digits
     phone        all digits behind the country code
-    ipv4         the 32 bits; date: the days of 1800-2199; ssn: the valid numbers
-    email        letters and digits of the local part; the domain stays
+    ipv4, ipv6   the 32 bits; the digits and the letters, each among themselves
+    date         the days of 1800-2199; month-first dates that are no day-first ones, among themselves
+    ssn          the valid numbers
+    email        letters and digits of the local part, by script; the domain stays
 
 All of it is DataFrame functions: no Python on the executors.  Texts are split
 at the matches, the matches are mapped, and the parts are joined again.
@@ -26,15 +29,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+MONTHS = "January February March April May June July August September October November December".split()
+_MONTH = f"(?:{'|'.join(MONTHS)}|{'|'.join(m[:3] for m in MONTHS)})"
+# The international calling codes of one and two digits; all others have three.
+_COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: Patterns by kind, in order of preference at one place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: (?=[A-Z]{0,3}[0-9])[A-Z0-9]{4}| [A-Z]{4}(?= [0-9])){2,7}(?: [A-Z0-9]?[0-9]{1,2}[A-Z0-9]?)?)(?![0-9A-Za-z])",
+    "ipv6": r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![0-9A-Za-z:])",
     "ipv4": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z])(?!\.[0-9])",
     "date": r"(?<![0-9A-Za-z./-])(?:(?:18|19|20|21)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./](?:[0-9]{2})[./](?:18|19|20|21)[0-9]{2})(?![0-9A-Za-z])",
+    "written": rf"(?<![0-9A-Za-z])(?:[0-9]{{1,2}} {_MONTH} (?:18|19|20|21)[0-9]{{2}}|{_MONTH} [0-9]{{1,2}}, (?:18|19|20|21)[0-9]{{2}})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{4} [0-9]{6} [0-9]{5})(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}|(?<=\+[0-9]{1,3}[ .-]?)[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){2,3})(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}|(?<=\+[0-9]{1,3}[ .-]?)[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){2,3})(?![0-9A-Za-z])|(?<![0-9A-Za-z.+-])(?:[2-9][0-9]{2}-[0-9]{3}-[0-9]{4}|[2-9][0-9]{2}\.[0-9]{3}\.[0-9]{4})(?![0-9A-Za-z-])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _FIRST_DAY = "1800-01-01"  # 400 years have 146,097 = 189 * 773 days
@@ -57,16 +66,26 @@ def _chars(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def _moved(c: Column, by: Column) -> Column:
+#: Classes that a character stays in: ASCII, then letters of other scripts (code points).
+ASCII = ((97, 122), (65, 90), (48, 57))
+HEX = ((97, 102), (65, 70), (48, 57))
+LETTERS = (
+    (0xDF, 0xF6), (0xF8, 0xFF), (0xC0, 0xD6), (0xD8, 0xDE), (0x100, 0x17F), (0x3B1, 0x3C9), (0x391, 0x3A1), (0x3A3, 0x3A9), (0x430, 0x44F), (0x410, 0x42F), (0x450, 0x45F), (0x400, 0x40F),
+    (0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3),
+)
+
+
+def _moved(c: Column, by: Column, classes: tuple) -> Column:
     """The character ``by`` places on, within its class; other characters stay."""
-    out = c
-    for first, last in (("a", "z"), ("A", "Z"), ("0", "9"), ("à", "ö")):
-        size = ord(last) - ord(first) + 1
-        out = F.when(c.between(first, last), F.char(F.pmod(F.ascii(c) - ord(first) + by, F.lit(size)) + ord(first))).otherwise(out)
+    code, out = F.ascii(c), c
+    for first, last in classes:
+        new = F.pmod(code - first + by, F.lit(last - first + 1)) + first
+        shown = F.char(new) if last < 128 else F.decode(F.unhex(F.lpad(F.hex(new), 4, "0")), "UTF-16BE")
+        out = F.when(code.between(first, last), shown).otherwise(out)
     return out
 
 
-def permute_text(value: Column, key: str, tweak: str) -> Column:
+def permute_text(value: Column, key: str, tweak: str, classes: tuple = ASCII) -> Column:
     """Feistel network over the characters: each half is moved along within its classes by a keyed hash of the other."""
     cut = F.floor(F.length(value) / 2).cast("int")
     start = F.struct(F.substr(value, F.lit(1), cut).alias("a"), F.substr(value, cut + 1).alias("b"))
@@ -74,7 +93,7 @@ def permute_text(value: Column, key: str, tweak: str) -> Column:
     def round_(halves: Column, r: Column) -> Column:
         # 64 bytes; characters beyond the 64th take them again, as the class sizes do not align with that
         keyed = _keyed(key, tweak, r, halves["b"])
-        moved = F.transform(_chars(halves["a"]), lambda c, i: _moved(c, F.conv(F.substr(keyed, 2 * F.pmod(i, F.lit(64)) + 1, F.lit(2)), 16, 10).cast("int")))
+        moved = F.transform(_chars(halves["a"]), lambda c, i: _moved(c, F.conv(F.substr(keyed, 2 * F.pmod(i, F.lit(64)) + 1, F.lit(2)), 16, 10).cast("int"), classes))
         return F.struct(halves["b"].alias("a"), F.array_join(moved, "").alias("b"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_, lambda h: F.concat(h["a"], h["b"]))
@@ -140,22 +159,34 @@ def _mod97(text: Column) -> Column:
 
 
 def _iban(value: Column, key: str) -> Column:
-    country, body = F.substring(value, 1, 2), F.substr(value, F.lit(5))
-    valid = _mod97(F.concat(body, country, F.substring(value, 3, 2))) == 1
+    plain = F.replace(value, F.lit(" "))
+    country, body = F.substring(plain, 1, 2), F.substr(plain, F.lit(5))
+    valid = F.length(plain).between(15, 34) & (_mod97(F.concat(body, country, F.substring(plain, 3, 2))) == 1)
 
     def checked(made: Column) -> Column:
         return F.concat(country, F.lpad((98 - _mod97(F.concat(made, country, F.lit("00")))).cast("string"), 2, "0"), made)
 
-    return F.when(valid, _let(permute_text(body, key, "iban"), checked)).otherwise(value)
+    def spaced(made: Column) -> Column:
+        before = lambda i: F.length(F.replace(F.substr(value, F.lit(1), i), F.lit(" ")))
+        return F.array_join(F.transform(_chars(value), lambda c, i: F.when(c == " ", c).otherwise(F.substr(made, before(i) + 1, F.lit(1)))), "")
+
+    new = _let(permute_text(body, key, "iban"), checked)
+    return F.when(valid, F.when(value.contains(" "), _let(new, spaced)).otherwise(new)).otherwise(value)
 
 
 def _phone(value: Column, key: str) -> Column:
-    country = F.regexp_extract(value, r"^(\+[0-9]{1,3}(?=[ .(-]))?", 0)
+    apart = F.regexp_extract(value, r"^(\+[0-9]{1,3}(?=[ .(-]))?", 0)
+    country = F.when(apart != "", apart).otherwise(F.regexp_extract(value, _COUNTRY, 0))
     rest = F.substr(value, F.length(country) + 1)
     digits = _digits(rest)
     return F.when(F.length(digits).between(7, 14), F.concat(country, _into_format(rest, permute_text(digits, key, "phone")))).otherwise(value)
 
 
+def _ipv6(value: Column, key: str) -> Column:
+    groups = F.size(F.filter(F.split(value, ":"), lambda g: g != ""))
+    return F.when((groups == 8) | (value.contains("::") & (groups < 8)), permute_text(value, key, "ipv6", HEX)).otherwise(value)
+
+
 def _ipv4(value: Column, key: str) -> Column:
     o = F.transform(F.split(value, r"\."), lambda x: x.cast("long"))
     made = permute_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], (65536, 65536), key, "ipv4")
@@ -163,16 +194,51 @@ def _ipv4(value: Column, key: str) -> Column:
     return F.when(F.forall(o, lambda x: x <= 255), out).otherwise(value)
 
 
+def _moved_day(date: Column, key: str) -> Column:
+    """Another day of 1800-2199, as text."""
+    day = F.date_diff(date, F.lit(_FIRST_DAY).cast("date"))
+    made = permute_pair(F.floor(day / 773), F.pmod(day, F.lit(773)), (189, 773), key, "date")
+    return _let(made, lambda p: F.date_add(F.lit(_FIRST_DAY).cast("date"), (p["a"] * 773 + p["b"]).cast("int")).cast("string"))
+
+
+def _month_first(value: Column, key: str) -> Column:
+    """mm/dd/yyyy with a day that is no month: years and months are moved, days from 13 to 28 with them; later days stay."""
+    month, day, year = (value.substr(a, n).cast("int") for a, n in ((1, 2), (4, 2), (7, 4)))
+    sep, out = value.substr(3, 1), value
+    for low, high, months in ((13, 28, range(1, 13)), (29, 29, [m for m in range(1, 13) if m != 2]), (30, 30, [m for m in range(1, 13) if m != 2]), (31, 31, (1, 3, 5, 7, 8, 10, 12))):
+        days, held = high - low + 1, F.array(*map(F.lit, months))
+        made = permute_pair(year - 1800, (F.array_position(held, month).cast("int") - 1) * days + day - low, (400, len(months) * days), key, f"month{low}")
+        shown = lambda p: F.concat(
+            F.lpad(F.element_at(held, F.floor(p["b"] / days).cast("int") + 1).cast("string"), 2, "0"), sep, F.lpad((F.pmod(p["b"], F.lit(days)) + low).cast("string"), 2, "0"), sep, (p["a"] + 1800).cast("string"))
+        out = F.when(day.between(low, high) & F.array_contains(held, month), _let(made, shown)).otherwise(out)
+    leaps = F.array(*(F.lit(y) for y in range(1800, 2200) if y % 4 == 0 and (y % 100 or y % 400 == 0)))
+    other = _let(permute_pair(F.array_position(leaps, year) - 1, F.lit(0), (97, 1), key, "leap"), lambda p: F.concat(value.substr(1, 6), F.element_at(leaps, p["a"].cast("int") + 1).cast("string")))
+    return F.when((month == 2) & (day == 29) & F.array_contains(leaps, year), other).otherwise(out)
+
+
 def _date(value: Column, key: str) -> Column:
     iso = value.substr(5, 1) == "-"
     plain = F.when(iso, value).otherwise(F.concat_ws("-", value.substr(7, 4), value.substr(4, 2), value.substr(1, 2)))
     date = F.try_to_date(plain, "yyyy-MM-dd")
-    day = F.date_diff(date, F.lit(_FIRST_DAY).cast("date"))
-    made = permute_pair(F.floor(day / 773), F.pmod(day, F.lit(773)), (189, 773), key, "date")
-    new = _let(made, lambda p: F.date_add(F.lit(_FIRST_DAY).cast("date"), (p["a"] * 773 + p["b"]).cast("int")).cast("string"))
     sep = value.substr(3, 1)
-    shown = _let(new, lambda d: F.when(iso, d).otherwise(F.concat(d.substr(9, 2), sep, d.substr(6, 2), sep, d.substr(1, 4))))
-    return F.when(date.isNotNull() & (iso | (value.substr(6, 1) == sep)), shown).otherwise(value)
+    shown = _let(_moved_day(date, key), lambda d: F.when(iso, d).otherwise(F.concat(d.substr(9, 2), sep, d.substr(6, 2), sep, d.substr(1, 4))))
+    same = iso | (value.substr(6, 1) == sep)
+    return F.when(date.isNotNull() & same, shown).when(date.isNull() & same & ~iso, _month_first(value, key)).otherwise(value)
+
+
+def _written(value: Column, key: str) -> Column:
+    name, day = F.regexp_extract(value, "[A-Za-z]+", 0), F.regexp_extract(value, r"(?<![0-9])[0-9]{1,2}(?![0-9])", 0)
+    months = F.array(*(F.lit(m[:3]) for m in MONTHS))
+    month = F.array_position(months, F.substring(name, 1, 3)).cast("string")
+    date = F.try_to_date(F.concat_ws("-", value.substr(F.length(value) - 3, F.lit(4)), F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+
+    def shown(d: Column) -> Column:
+        full = F.element_at(F.array(*map(F.lit, MONTHS)), d.substr(6, 2).cast("int"))
+        new = F.when(F.length(name) > 3, full).when(name == "May", full).otherwise(F.substring(full, 1, 3))
+        number = F.when(day.startswith("0"), d.substr(9, 2)).otherwise(d.substr(9, 2).cast("int").cast("string"))
+        return F.when(value.rlike("^[0-9]"), F.concat_ws(" ", number, new, d.substr(1, 4))).otherwise(F.concat(new, F.lit(" "), number, F.lit(", "), d.substr(1, 4)))
+
+    return F.when(date.isNotNull(), _let(_moved_day(date, key), shown)).otherwise(value)
 
 
 def _ssn(value: Column, key: str) -> Column:
@@ -189,15 +255,16 @@ def _ssn(value: Column, key: str) -> Column:
 
 def _email(value: Column, key: str) -> Column:
     local = F.substring_index(value, "@", 1)
-    return F.concat(permute_text(local, key, "email"), F.substr(value, F.length(local) + 1))
+    return F.concat(permute_text(local, key, "email", ASCII + LETTERS), F.substr(value, F.length(local) + 1))
 
 
-_BY_KIND = {"email": _email, "iban": _iban, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
+_BY_KIND = {"email": _email, "iban": _iban, "ipv6": _ipv6, "ipv4": _ipv4, "date": _date, "written": _written, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
 def kind_of(match: Column) -> Column:
     out = F.lit("phone")
-    for kind, test in (("card", r"^[0-9]{4}[0-9 -]{9,15}$"), ("ssn", r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), ("date", r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})$"), ("ipv4", r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"), ("iban", "^[A-Z]{2}[0-9]{2}[A-Z0-9]+$"), ("email", "@")):
+    # the last that fits counts
+    for kind, test in (("card", r"^[0-9]{4}[0-9 -]{9,15}$"), ("ssn", r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), ("date", r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})$"), ("ipv4", r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"), ("iban", "^[A-Z]{2}[0-9]{2}[A-Z0-9 ]+$"), ("ipv6", ":.*:"), ("written", "^(?:[0-9]{1,2} [A-Z][a-z]|[A-Z][a-z]{2,} [0-9])"), ("email", "@")):
         out = F.when(match.rlike(test), kind).otherwise(out)
     return out
 
