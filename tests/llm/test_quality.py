@@ -59,7 +59,12 @@ def test_scores_and_top_k_against_brute_force(tables):
         have = sorted((key[(r.doc_id, r.importance)] for r in got), reverse=True)
         assert np.allclose(have[:k], want, atol=1e-5) and k <= len(have) <= k + 1  # rows with one id are drawn together
     assert Q.select_quality(docs, labels, k=0).count() == 0
-    del F
+    kept = Q.select_quality(docs, labels, k=100)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    drawn = Q.draw(docs, labels, k=100)
+    rows = drawn.rows.filter(drawn.chosen(F.col("key"), F.col("id")))
+    assert sorted((r.id or -1) for r in rows.collect()) == sorted((r.doc_id or -1) for r in kept.collect())
 
 
 @pytest.mark.parametrize("values", [[3, 1, 2], [5] * 40 + [7], list(range(-9000, 9000, 3)), [2**61, -(2**61), 0, 1]])

@@ -3,11 +3,11 @@
 Two bags of hashed word n-grams are generative models: one of target text (the
 documents labelled good) and one of all text.  A document's importance is the
 log ratio of its probabilities under the two.  Documents are sampled without
-replacement by Gumbel top-k: seeded Gumbel noise, scaled by a temperature, is
-added to each log ratio and the k largest sums are kept.  k is the number of
-documents whose importance reaches the cut that tells labelled good documents
-from labelled bad ones best, so at a low temperature the sample is what the
-labels ask for, softened only at the cut.
+replacement by Gumbel top-k: seeded standard Gumbel noise (times a temperature, 1
+by default) is added to each log ratio and the k largest sums are kept, which
+draws documents in proportion to their importance.  k is given, or the number of
+documents whose importance reaches the cut that tells labelled good documents from
+labelled bad ones best.
 
 Counts cover the whole corpus: each task adds up its own and sends at most one
 number for each bucket and model.  The k-th largest sum is found exactly by
@@ -100,7 +100,7 @@ def importance(ratios: np.ndarray):
     def score(text: pd.Series) -> pd.Series:
         return pd.Series([float(ratios[features(t)].sum()) for t in text], dtype=float)
 
-    return score
+    return score.asNondeterministic()  # so that a filter on the score does not score once more
 
 
 def best_cut(score: np.ndarray, label: np.ndarray, clean_weight: float) -> float:
@@ -138,7 +138,20 @@ def _noise(id_col: str, seed: int, temperature: float):
     return F.lit(temperature) * -F.log(-F.log(u))
 
 
-def select_quality(
+class Draw:
+    """A draw of documents: ``rows`` (id, score, key) of all, and the bounds that a key has to reach."""
+
+    def __init__(self, rows: DataFrame, score, key, least: int | None, last: int | None, none: bool = False):
+        self.rows, self.score, self.key, self.least, self.last, self.none = rows, score, key, least, last, none
+
+    def chosen(self, key, id_):
+        """Whether a document of this key and id is drawn; ties go to small ids."""
+        if self.none:
+            return F.lit(False)
+        return F.lit(True) if self.least is None else (key > self.least) | ((key == self.least) & (F.coalesce(id_, F.lit(0)) <= self.last))
+
+
+def draw(
     docs: DataFrame,
     labels: DataFrame,
     *,
@@ -146,42 +159,52 @@ def select_quality(
     id_col: str = "doc_id",
     text_col: str = "text",
     clean_weight: float = 4.0,
-    temperature: float = 0.02,
+    temperature: float = 1.0,
     k: int | None = None,
     seed: int = 7,
     sample: int = SAMPLE,
-    score_col: str | None = None,
-) -> DataFrame:
-    """The documents drawn, with their columns and, if asked for, their log importance in ``score_col``.
+) -> Draw:
+    """Score all documents once and draw k of them.
 
     ``clean_weight``: how many times worse it is to lose a good document than to keep a bad one.
     """
-    drawn = checkpoint(labelled(labels, label_col, id_col=id_col, sample=sample))
-    ratios = log_ratios(docs, drawn, id_col=id_col, text_col=text_col)
-    score = importance(ratios)
+    known = checkpoint(labelled(labels, label_col, id_col=id_col, sample=sample))
+    score = importance(log_ratios(docs, known, id_col=id_col, text_col=text_col))
 
-    def key(id_: str):
-        return F.floor((F.col("__u_score") + _noise(id_, seed, temperature)) / F.lit(UNIT)).cast("long")
+    def key(id_, value):
+        return F.floor((value + _noise(id_, seed, temperature)) / F.lit(UNIT)).cast("long")
 
-    scored = docs.withColumn("__u_score", score(F.col(text_col)))
-    keys = checkpoint(scored.select(F.col(id_col).cast("long").alias("id"), "__u_score").withColumn("key", key("id")))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), score(F.col(text_col)).alias("score"))
+    rows = checkpoint(rows.withColumn("key", key("id", F.col("score"))))
+    n = rows.count()
     if k is None:
-        known = keys.join(F.broadcast(drawn.filter("_fold = 1")), F.col("id") == F.col("_id")).select("__u_score", "_label").toPandas()  # at most ``sample`` ids
-        cut = best_cut(known["__u_score"].to_numpy(), known["_label"].to_numpy() == 1, clean_weight)
-        k = keys.filter(F.col("__u_score") >= F.lit(cut)).count() if np.isfinite(cut) else keys.count()
-    out = scored if score_col is None else scored.withColumn(score_col, F.col("__u_score"))
-    if k >= keys.count():
-        return out.drop("__u_score")
-    if k <= 0:
-        return out.filter(F.lit(False)).drop("__u_score")
-    least, above = kth_largest(keys, "key", k)
-    ties = keys.filter((F.col("key") == least)).select((-F.coalesce("id", F.lit(0))).alias("id"))
-    last = -kth_largest(ties, "id", k - above)[0]
-    chosen = (key(id_col) > least) | ((key(id_col) == least) & (F.coalesce(F.col(id_col), F.lit(0)) <= last))
-    return out.filter(chosen).drop("__u_score")
+        judged = rows.join(F.broadcast(known.filter("_fold = 1")), F.col("id") == F.col("_id")).groupBy("id").agg(F.max("score").alias("score"), F.max("_label").alias("label")).toPandas()  # at most ``sample`` ids
+        cut = best_cut(judged["score"].to_numpy(), judged["label"].to_numpy() == 1, clean_weight)
+        k = rows.filter(F.col("score") >= F.lit(cut)).count() if np.isfinite(cut) else n
+    if k >= n or k <= 0:
+        return Draw(rows, score, key, None, None, none=k <= 0)
+    least, above = kth_largest(rows, "key", k)
+    ties = rows.filter(F.col("key") == least).select((-F.coalesce("id", F.lit(0))).alias("id"))
+    return Draw(rows, score, key, least, -kth_largest(ties, "id", k - above)[0])
+
+
+def select_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", score_col: str | None = None, **options) -> DataFrame:
+    """The documents drawn, with their columns and, if asked for, their log importance in ``score_col``.
+
+    Texts are not moved to the rows of the draw: they are scored once more where they are read.
+    """
+    drawn = draw(docs, labels, id_col=id_col, text_col=text_col, **options)
+    if drawn.none:
+        docs = docs.filter(F.lit(False))
+    if score_col is None and drawn.least is None:
+        return docs
+    scored = docs.withColumn("__u_score", drawn.score(F.col(text_col)))
+    kept = scored.filter(drawn.chosen(drawn.key(id_col, F.col("__u_score")), F.col(id_col)))
+    return (kept if score_col is None else kept.withColumn(score_col, F.col("__u_score"))).drop("__u_score")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
     from undula.llm.common import read
 
-    return select_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), score_col="importance").select("doc_id", "importance")
+    drawn = draw(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return drawn.rows.filter(drawn.chosen(F.col("key"), F.col("id"))).select(F.col("id").alias("doc_id"), F.col("score").alias("importance"))
