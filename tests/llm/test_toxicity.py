@@ -48,15 +48,35 @@ def test_held_out_labels_teach_nothing(spark):
 def test_label_model_finds_accuracies_and_repeats():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.2
-    good = np.where(y, rng.random(4000) < 0.8, rng.random(4000) < 0.02)
-    weak = np.where(y, rng.random(4000) < 0.4, rng.random(4000) < 0.2)
-    other = np.where(y, rng.random(4000) < 0.7, rng.random(4000) < 0.03)
-    votes = np.stack([good, good, good, weak, other, ~(good | weak | other)], axis=1).astype(float)
-    noisy = np.where(rng.random(4000) < 0.1, ~y, y).astype(int)
-    post, found = T.label_model(votes, noisy)
+    voter = lambda a, b: np.where(y, rng.random(4000) < a, rng.random(4000) < b)
+    good, weak, other, third = voter(0.8, 0.02), voter(0.4, 0.2), voter(0.7, 0.03), voter(0.6, 0.05)
+    votes = np.stack([good, good, weak, other, third, ~(good | weak | other | third)], axis=1).astype(float)
+    post, found = T.label_model(votes)
     assert (((post >= 0.5) == y).mean()) > 0.92
-    assert abs(found["fires1"][0] - 0.8) < 0.08 and found["fires0"][0] < 0.06
-    assert found["weight"][0] < 0.5 < found["weight"][4]
+    fires = found["fires1"] - found["fires0"]
+    assert fires[0] > fires[3] > fires[4] > fires[2] > 0 and found["fires0"][0] < 0.06
+    assert found["weight"][0] < found["weight"][2] < found["weight"][4]
+
+
+def test_calibration():
+    rng = np.random.default_rng(1)
+    z = rng.normal(0, 2, 4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(3 * z - 2)))).astype(int)
+    slope, shift = T.calibration(z, y)
+    assert abs(slope - 3) < 0.4 and abs(shift + 2) < 0.4
+    assert T.calibration(np.zeros(5), np.array([0, 0, 0, 0, 1]))[0] >= 0.1
+
+
+def test_ties_and_repeated_ids(spark):
+    """Equal texts get equal scores, and an id that is repeated very often teaches once."""
+    ids = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, "zork zork zork" if i % 3 == 0 else "plain text") for i in ids]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in ids], "doc_id long, toxic int")
+    schema = "doc_id long, text string"
+    one = {r.doc_id: r.score for r in T.score_toxicity(spark.createDataFrame(rows, schema), labels).collect()}
+    many = T.score_toxicity(spark.createDataFrame(rows + [rows[0]] * 2000, schema), labels).collect()
+    assert len(many) == len(rows) + 2000 and len({round(r.score, 12) for r in many}) == len(set(one.values())) == 2
+    assert {r.doc_id: r.predicted for r in many} == {i: int(s >= 0.5) for i, s in one.items()} == {i: int(i % 3 == 0) for i in ids}
 
 
 def test_units_and_empty_table(spark):

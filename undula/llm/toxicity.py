@@ -2,17 +2,17 @@
 
 Voters are lexicon entries and word patterns: a listed insult, or a word or word
 beginning that a bounded sample of labelled rows shows to go with toxicity, each
-seen at least once, twice or three times in a text; a voter for texts in which
-none of them occurs; and the annotators, where a sampled row has their label.  A
-generative label model (two classes, expectation maximisation) estimates how
-often each voter fires in either class and, from the correlations that the class
-does not explain, how much of its evidence repeats that of others.  A linear
-classifier (logistic regression) is trained on the posterior labels and scores
-every text.
+seen at least once, twice or three times in a text; and a voter for texts in which
+none of them occurs.  A generative label model (two classes, expectation
+maximisation) sees only votes, those of unlabelled rows too: it estimates how often
+each voter fires in either class and, from the correlations that the class does not
+explain, how much of its evidence repeats that of others.  A linear classifier
+(logistic regression) is trained on the posterior labels and scores every text.
+Labels choose the candidates and set the scale of the scores; they are no votes.
 
 Candidates are counted by Spark over the sample.  What reaches the driver is
-bounded: the chosen entries (``VOTERS``) and, for each of at most ``sample`` rows,
-which of them occur.  Scoring is one pass over the texts without a shuffle.
+bounded: the chosen entries (``VOTERS``) and, for each of at most ``sample`` labelled
+ids and about ``sample`` others, which of them occur.  Scoring is one pass over the texts without a shuffle.
 
 Only labelled rows with crc32(id as text) mod 5 other than 0 teach; labels, lang,
 source and ids are never inputs of a score.
@@ -117,17 +117,16 @@ class _Sparse:
         return out
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray | None, *, rounds: int = 30) -> tuple[np.ndarray, dict]:
-    """Posterior probability of class 1 for each row of 0/1 votes, and the estimates.
+def label_model(votes: np.ndarray, start: np.ndarray | None = None, *, rounds: int = 30) -> tuple[np.ndarray, dict]:
+    """Posterior probability of class 1 for each row of 0/1 votes (the last voter is for class 0), and the estimates.
 
-    A voter's likelihood ratio counts with the weight 1 / (1 + sum of its absolute correlations with others within the classes):
-    a voter that fires when others do not repeats their evidence as one that fires with them does.
+    A voter's likelihood ratio counts with the weight 1 / sqrt(1 + sum of its absolute correlations with others within the classes),
+    between full evidence (none correlated) and one share of it (all the same); firing when others do not counts as repeating them, too.
     """
     n, m = votes.shape
     v = _Sparse(votes)
-    post = np.clip(votes[:, :-1].mean(axis=1) * 5, 0.02, 0.9) if gold is None else np.where(gold == 1, 0.95, 0.05)
+    post = np.where(votes[:, -1] == 1, 0.02, 0.5) if start is None else start
     weight = np.ones(m)
-    annotator = 0.5
     for k in range(rounds):
         prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
         fires1 = (v.by_col(post) + 0.5) / (post.sum() + 1)
@@ -139,16 +138,38 @@ def label_model(votes: np.ndarray, gold: np.ndarray | None, *, rounds: int = 30)
             sd = np.sqrt(np.maximum(np.diag(cov), 0)) + 1e-9
             corr = np.clip(np.abs(cov / np.outer(sd, sd)), 0, 1)
             np.fill_diagonal(corr, 0)
-            weight = 1 / (1 + corr.sum(axis=1))
+            weight = 1 / np.sqrt(1 + corr.sum(axis=1))
         ratio1, ratio0 = np.log(fires1 / fires0), np.log((1 - fires1) / (1 - fires0))
         log_odds = np.log(prior / (1 - prior)) + v.by_row(weight * (ratio1 - ratio0)) + (weight * ratio0).sum()
-        if gold is not None:
-            right1 = np.clip((post * (gold == 1)).sum() / post.sum(), 0.6, 0.99)
-            right0 = np.clip(((1 - post) * (gold == 0)).sum() / (1 - post).sum(), 0.6, 0.995)
-            log_odds += np.where(gold == 1, np.log(right1 / (1 - right0)), np.log((1 - right1) / right0))
-            annotator = (right1 + right0) / 2
-        post = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
-    return post, {"fires1": fires1, "fires0": fires0, "weight": weight, "prior": prior, "annotator": annotator}
+        was, post = post, 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
+        if k > rounds // 2 and np.abs(post - was).max() < 1e-4:
+            break
+    return post, {"fires1": fires1, "fires0": fires0, "weight": weight, "prior": prior}
+
+
+def calibration(z: np.ndarray, gold: np.ndarray, *, rounds: int = 100) -> tuple[float, float]:
+    """Slope and shift that make 1 / (1 + exp(-(slope * z + shift))) fit the labels best, by damped Newton steps; a score that orders them wrongly keeps a small slope."""
+    centre, spread = float(z.mean()), float(z.std()) + 1e-9
+    x = np.stack([(z - centre) / spread, np.ones(len(z))], axis=1)
+    t = np.where(gold == 1, (gold.sum() + 1) / (gold.sum() + 2), 1 / ((gold == 0).sum() + 2))
+
+    def loss(c: np.ndarray) -> float:
+        y = x @ c
+        return float((np.logaddexp(0, y) - t * y).mean() + 1e-4 * (c @ c))
+
+    c = np.zeros(2)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x / len(z) + 2e-4 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (t - p) / len(z) - 2e-4 * c)
+        size = 1.0
+        while size > 1e-6 and loss(c + size * step) > loss(c):
+            size /= 2
+        c = c + size * step
+        if np.abs(size * step).max() < 1e-7:
+            break
+    slope = max(float(c[0]), 0.01) / spread
+    return slope, float(c[1]) - slope * centre
 
 
 def logistic(x: np.ndarray, target: np.ndarray, *, decay: float = 1e-3, rounds: int = 400, rate: float = 0.5) -> tuple[np.ndarray, float]:
@@ -170,10 +191,16 @@ def logistic(x: np.ndarray, target: np.ndarray, *, decay: float = 1e-3, rounds:
 
 def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> dict:
     """The model: unit -> place, weights by place and level, bias."""
-    rows = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0))
-    rows = rows.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
+    teaches = F.crc32(F.col("_id").cast("string").cast("binary")) % 5 != 0
+    rows = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("label")).filter(teaches)
     drawn = F.broadcast(rows.orderBy(F.xxhash64("_id"), "_id").limit(sample))
-    texts = checkpoint(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(drawn, F.col("id") == F.col("_id")).select("text", "label"))
+    plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(teaches)
+    share = min(1.0, sample / max(plain.count(), 1))
+    some = F.shiftrightunsigned(F.xxhash64(F.lit("pool"), "_id"), 11) < F.lit(int(share * 2**53))
+    # one row an id, however often it is repeated; -1: no label
+    both = plain.join(drawn, "_id", "left").filter(F.col("label").isNotNull() | some).groupBy("_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    held = checkpoint(both.select("text", F.coalesce("label", F.lit(-1)).alias("label")))
+    texts = held.filter("label >= 0")
     positives = texts.filter("label = 1")
     n1, n = positives.count(), texts.count()
     found: list[str] = []
@@ -193,21 +220,23 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_co
     names = list(known)
     chosen = {u: k for k, u in enumerate(dict.fromkeys([names[k] for k in chosen] + [u for u in INSULTS]))}
 
-    held = texts.mapInPandas(_counts_of(chosen), "label int, unit array<int>, n array<int>").toPandas()  # at most ``sample`` rows of chosen entries
+    held = held.mapInPandas(_counts_of(chosen), "label int, unit array<int>, n array<int>").toPandas()  # about 2 * ``sample`` rows of chosen entries
     x = np.zeros((len(held), len(chosen) * LEVELS), np.uint8)
     for k, (us, ns) in enumerate(zip(held["unit"], held["n"])):
         for u, c in zip(us, ns):
             x[k, u * LEVELS : u * LEVELS + c] = 1
-    gold = held["label"].to_numpy()
-    if not len(held) or not 0 < gold.sum() < len(gold):
+    gold = held["label"].to_numpy(np.int64)
+    known = gold >= 0
+    if not len(held) or not 0 < gold[known].sum() < known.sum():
         w = np.zeros(len(chosen) * LEVELS)
         w[::LEVELS] = [6.0 if u in INSULTS else 0.0 for u in chosen]
         return {"units": chosen, "weights": w.reshape(-1, LEVELS), "bias": -3.0}
-    fired = x.sum(axis=0)
-    use = fired >= 3
+    use = x.sum(axis=0) >= 3
     votes = np.concatenate([x[:, use], (x.sum(axis=1) == 0)[:, None].astype(np.uint8)], axis=1)
-    post, _ = label_model(votes, gold)
+    post, _ = label_model(votes)
     w, b = logistic(x, post)
+    slope, shift = calibration(_Sparse(x[known]).by_row(w) + b, gold[known])
+    w, b = slope * w, slope * b + shift
     return {"units": chosen, "weights": w.reshape(-1, LEVELS), "bias": float(b)}
 
 
