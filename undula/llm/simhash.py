@@ -253,8 +253,8 @@ def simhash_groups(docs: DataFrame, *, words: int = 4, max_bits: int = 4, id_col
 
 #: Bits of the parities of a shingle set: about one for each shingle, a power of two, at most so many.
 MOST_BITS = 8192
-BLOCK = 512  # documents in a block of a candidate group
-PIVOTS = 8  # members of a large candidate group that all others are compared with first
+BLOCK = 128  # documents in a block of a candidate group
+PIVOTS = 32  # members of a large candidate group that all others are compared with first
 SALT = 4096  # members that one task compares with them
 #: Rows of a list that one task compares; longer lists are split.
 LIST = 4096
@@ -478,6 +478,9 @@ def checked_links(groups: DataFrame, sets: DataFrame, similarity: float) -> Data
     size = groups.groupBy("component").count()
     members = checkpoint(join_split(groups, size, ["component"]).join(sets, F.col("node") == F.col("id")).select("component", "node", "count", "shingles"))
     large = F.col("count") > BLOCK
+    of_small = members.filter(~large).select("node", "component", F.col("node").alias("label"), F.lit(True).alias("rest"), *(F.lit(0).alias(c) for c in ("own", "mine", "block", "part")), "shingles")
+    if size.filter(large).isEmpty():
+        return unit_links(of_small, similarity)
     found = checkpoint(pivot_links(members.filter(large), similarity))
     label = components(found)
     labelled = checkpoint(members.filter(large).select("component", "node").join(label.withColumnRenamed("component", "label"), "node", "left").select("component", "node", F.coalesce("label", "node").alias("label")))
@@ -486,12 +489,15 @@ def checked_links(groups: DataFrame, sets: DataFrame, similarity: float) -> Data
     most = most.select("component", F.col("most.label").alias("most"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("most.count")) / BLOCK).cast("int").alias("rests"))
     dealt = join_split(labelled, most, ["component"]).filter("rests > 0").withColumn("rest", F.col("label") != F.col("most"))
     of_large = dealt.select("node", "component", "label", "rest", "blocks", "rests", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"), F.pmod(F.xxhash64("node", F.lit("rest")), F.col("rests")).cast("int").alias("mine"))
-    of_small = members.filter(~large).select("node", "component", F.col("node").alias("label"), F.lit(True).alias("rest"), *(F.lit(0).alias(c) for c in ("own", "mine", "block", "part")), "shingles")
     down = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: F.struct(F.col("own").alias("block"), r.alias("part")))
     across = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.col("mine").alias("part")))
     places = F.inline(F.when(F.col("rest"), F.array_union(down, across)).otherwise(down))
     units = of_large.select("node", "component", "label", "rest", "own", "mine", places).join(members.filter(large).select("node", "shingles"), "node")
-    rows = units.unionByName(of_small)
+    return found.union(unit_links(units.unionByName(of_small), similarity))
+
+
+def unit_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """Units of work (component, block, part) -> links (a, b) with the components of their similar pairs."""
 
     def similar(x: np.ndarray, y: np.ndarray) -> bool:
         shared = len(np.intersect1d(x, y, assume_unique=True))
@@ -520,8 +526,8 @@ def checked_links(groups: DataFrame, sets: DataFrame, similarity: float) -> Data
                     links.join(x[good], y[good])
             yield _star(links.label, node.astype(np.int64))
 
-    dealt = rows.repartition(partitions(groups.sparkSession), "component", "block", "part").sortWithinPartitions("component", "block", "part")
-    return found.union(dealt.mapInPandas(run, "a long, b long"))
+    dealt = rows.repartition(partitions(rows.sparkSession), "component", "block", "part").sortWithinPartitions("component", "block", "part")
+    return dealt.mapInPandas(run, "a long, b long")
 
 
 def of_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
@@ -554,7 +560,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     reps = checkpoint(prints.groupBy("x0", "x1").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("fingerprint", "n", "w"))))
     known = reps.filter("rep IS NOT NULL")
     close = checkpoint(hamming_links(known.select("rep", "fingerprint")))
-    label = checkpoint(components(close))
+    # the smallest neighbour stands for what is linked already; that saves comparisons, no more
+    label = close.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    label = label.unionByName(close.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component"))
     own = join_split(prints.filter("id IS NOT NULL"), known.select("x0", "x1", "rep"), ["x0", "x1"])
     if (repeated or 0) > 1:
         lists = own.filter("id = rep").dropDuplicates(["x0", "x1"]).select("rep", "rare", "prefix")
