@@ -201,10 +201,14 @@ def test_identical_recordings(spark):
     moved = a.withColumn("col", F.col("col") - 5).filter("col >= 0")
     for n, bands in ((10, 4), (100, 64), (129, 64), (2049, 64), (5, 64)):
         cuts = np.linspace(0, n, bands + 1).astype(int)
-        got = PR.band_pooled(spark.range(n).select(F.lit(0).alias("col"), F.col("id").alias("bin"), F.col("id").cast("double").alias("db")), n, bands).orderBy("bin").collect()
+        got = PR.band_pooled(spark.range(n).select(F.lit(0).alias("col"), F.col("id").alias("bin"), F.col("id").cast("double").alias("db")), n, bands=bands).orderBy("bin").collect()
         assert [r.db for r in got] == ([np.arange(a, b).mean() for a, b in zip(cuts, cuts[1:])] if n > bands else list(range(n)))
-    assert PR.align_lag(a, moved, 60, 55).first().lag == 5
-    assert PR.align_lag(a, a, 60, 60).first().lag == 0
+    both = a.withColumn("k", F.lit(1)).unionByName(a.withColumn("k", F.lit(2))).unionByName(a.filter("col < 5").withColumn("k", F.lit(3)))
+    other = moved.withColumn("k", F.lit(1)).unionByName(a.withColumn("k", F.lit(2))).unionByName(moved.filter("col < 5").withColumn("k", F.lit(3)))
+    assert {r.k: r.lag for r in PR.align_lags(both, other, "k").collect()} == {1: 5, 2: 0, 3: 0}
+    long_ = np.random.default_rng(6).normal(0, 10, 1000).cumsum()  # of more than 400 columns: pooled ones first
+    wide = spark.createDataFrame([(1, c, 0, float(long_[c])) for c in range(1000)], "k int, col long, bin long, db double")
+    assert PR.align_lags(wide, wide.withColumn("col", F.col("col") - 37).filter("col >= 0"), "k").first().lag == 37
     assert dsp.strongest_lag(np.r_[np.zeros(7), np.sin(np.arange(500.0) ** 1.3)], np.sin(np.arange(500.0) ** 1.3)) == 7
 
 

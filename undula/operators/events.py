@@ -61,10 +61,12 @@ def stable_runs(df: DataFrame, value: str, tolerance: float, *, also: tuple[str,
 
     (file, run, first, last, frames, median, and the medians of the columns ``also``)
     """
-    w = W.partitionBy(file).orderBy(order)
-    before = F.lag(value).over(w)
-    starts = F.when(before.isNull() | (F.abs(F.col(value) - before) / F.greatest(before, F.lit(1.0)) >= tolerance), 1).otherwise(0)
-    marked = df.withColumn("_start", starts).filter(F.col(value).isNotNull()).withColumn("run", F.sum("_start").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    # the value before comes by a join on the frame's number, and runs are counted in spans: no series is sorted in one task
+    last = df.select(file, (F.col(order) + 1).alias(order), F.col(value).alias("_before"))
+    joined = df.join(last, [file, order], "left")
+    near = F.abs(F.col(value) - F.col("_before")) / F.greatest(F.col("_before"), F.lit(1.0)) < tolerance
+    starts = F.when(F.col(value).isNull() | F.coalesce(near, F.lit(False)), 0).otherwise(1)
+    marked = running_sum(joined, starts, "run", file=file, order=order).filter(F.col(value).isNotNull())
     runs = marked.groupBy(file, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("frames"), F.percentile(value, 0.5).alias("median"), *(F.percentile(c, 0.5).alias(c) for c in also))
     return runs.filter(F.col("frames") >= least)
 

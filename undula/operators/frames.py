@@ -13,9 +13,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, file: str, order: str, value: Column) -> DataFrame:
-    """(file, col, x): rows of a file numbered by ``order`` from 0."""
-    return df.select(F.col(file).alias("file"), (F.row_number().over(W.partitionBy(file).orderBy(order)) - 1).cast("long").alias("col"), value.alias("x"))
+def numbered(df: DataFrame, file: str, order: str, value: Column, *, span: Column | None = None) -> DataFrame:
+    """(file, col, x): rows of a file numbered by ``order`` from 0.
+
+    ``span`` rises with ``order``: rows are numbered within spans, and spans by their counts, so that a file is not sorted in one task.
+    """
+    span = F.lit(0) if span is None else span
+    rows = df.select(F.col(file).alias("file"), F.col(order).alias("_order"), span.alias("_span"), value.alias("x"))
+    counts = rows.groupBy("file", "_span").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("_span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    base = counts.select(F.col("file").alias("_file"), F.col("_span").alias("_of"), before.alias("_base"))
+    within = F.row_number().over(W.partitionBy("file", "_span").orderBy("_order")) - 1
+    joined = rows.withColumn("_k", within).join(base, F.col("file").eqNullSafe(F.col("_file")) & F.col("_span").eqNullSafe(F.col("_of")))
+    return joined.select("file", (F.col("_base") + F.col("_k")).cast("long").alias("col"), "x")
 
 
 def hop_frames(chunks: DataFrame, nfft: int, hop: int, chunk: int) -> DataFrame:

@@ -44,14 +44,16 @@ def index_stats(index: DataFrame, size: Column) -> DataFrame:
 def lru_evict(cache: DataFrame, limit: int, *, by: tuple[str, ...] = ("atime", "path")) -> DataFrame:
     """Entries to delete: the oldest, until what is left fits ``limit``.
 
-    Running totals go over ranges of ``atime`` first, so the cache table is not sorted in one task.
+    Running totals go over 4096 ranges of the first key, then within each, so the table is not sorted in one task.
     """
-    total = cache.agg(F.sum("size").alias("_total"))
-    per = cache.groupBy(F.col(by[0]).alias("_t")).agg(F.sum("size").alias("_n"))
-    base = per.select("_t", F.coalesce(F.sum("_n").over(W.orderBy("_t").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    within = W.partitionBy(by[0]).orderBy(*by[1:]).rowsBetween(W.unboundedPreceding, -1)
-    older = cache.join(base, F.col(by[0]) == F.col("_t")).withColumn("_before", F.col("_base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return older.crossJoin(F.broadcast(total)).filter(F.col("_total") - F.col("_before") > limit).drop("_t", "_base", "_before", "_total")  # one row
+    total, low, high = cache.agg(F.sum("size"), F.min(by[0]), F.max(by[0])).first()  # three numbers
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // 4096))
+    ranged = cache.withColumn("_range", F.floor((F.col(by[0]) - F.lit(low or 0)) / F.lit(width)))
+    per = ranged.groupBy("_range").agg(F.sum("size").alias("_n"))  # at most 4096 rows
+    base = per.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    within = W.partitionBy("_range").orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    older = ranged.join(F.broadcast(base), "_range").withColumn("_before", F.col("_base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    return older.filter(F.lit(total or 0) - F.col("_before") > limit).drop("_range", "_base", "_before")
 
 
 def scan_summary(rows: DataFrame) -> DataFrame:

@@ -17,65 +17,67 @@ def difference_stats(a: DataFrame, b: DataFrame, keys: list[str], *by: str) -> D
     return out.withColumn("diff_key", F.when(p < 2, "diff.identical").when(p < 8, "diff.moderate").when(p < 15, "diff.strong").otherwise("diff.very_strong")).withColumn("level", F.when(p < 8, "ok").otherwise("warn"))
 
 
-def lag_scores(a: DataFrame, b: DataFrame, lags: range, *, least: int, col: str = "col", bin_: str = "bin", value: str = "db") -> DataFrame:
-    """(lag, cols, score): mean absolute difference with column c + lag of ``a`` on column c of ``b``; lags with fewer than ``least`` common columns are left out.
+def lag_scores(a: DataFrame, b: DataFrame, lags: range | Column, *by: str, least: int | Column, col: str = "col", bin_: str = "bin", value: str = "db") -> DataFrame:
+    """(keys, lag, cols, score): mean absolute difference with column c + lag of ``a`` on column c of ``b``; lags with fewer than ``least`` common columns are left out.
 
-    The few lags are exploded on one side, so the shift is part of an equi-join key.
+    The few lags (a range, or an array of ``b``) are exploded on one side, so the shift is part of an equi-join key.
     """
-    shifts = F.explode(F.array(*(F.lit(k) for k in lags))).alias("lag")
-    moved = b.select(F.col(bin_).alias("_bin"), F.col(col).alias("_c"), F.col(value).alias("_y"), shifts).withColumn("_col", F.col("_c") + F.col("lag"))
-    both = a.join(moved, (F.col(bin_) == F.col("_bin")) & (F.col(col) == F.col("_col")))
-    scored = both.groupBy("lag").agg(F.countDistinct(col).alias("cols"), F.avg(F.abs(F.col(value) - F.col("_y"))).alias("score"))
-    return scored.filter(F.col("cols") >= least)
+    asked = lags if isinstance(lags, Column) else F.array(*(F.lit(k) for k in lags))
+    moved = b.select(*by, F.col(bin_).alias("_bin"), F.col(col).alias("_c"), F.col(value).alias("_y"), F.explode(asked).alias("lag"), (least if isinstance(least, Column) else F.lit(least)).alias("_least"))
+    both = a.select(*by, F.col(bin_).alias("_bin"), col, value).join(moved.withColumn(col, F.col("_c") + F.col("lag")), [*by, "_bin", col])
+    scored = both.groupBy(*by, "lag").agg(F.countDistinct(col).alias("cols"), F.avg(F.abs(F.col(value) - F.col("_y"))).alias("score"), F.max("_least").alias("_least"))
+    return scored.filter(F.col("cols") >= F.col("_least")).drop("_least")
 
 
-def band_pooled(rows: DataFrame, bins: int, bands: int = 64, *, col: str = "col", value: str = "db") -> DataFrame:
-    """(col, bin, value) with the means of ``bands`` nearly equal runs of bins in place of the bins; fewer bins stay as they are."""
+def band_pooled(rows: DataFrame, bins: int, *by: str, bands: int = 64, col: str = "col", value: str = "db") -> DataFrame:
+    """(keys, col, bin, value) with the means of ``bands`` nearly equal runs of bins in place of the bins; fewer bins stay as they are."""
     if bins <= bands:
         return rows
     # band k holds the bins from floor(k * bins / bands) on
     band = F.floor(((F.col("bin") + 1) * bands - 1) / F.lit(bins)).cast("long")
-    return rows.groupBy(col, band.alias("bin")).agg(F.avg(value).alias(value))
+    return rows.groupBy(*by, col, band.alias("bin")).agg(F.avg(value).alias(value))
 
 
-def align_lag(a: DataFrame, b: DataFrame, n_a: int, n_b: int, *, most: int = 600, value: str = "db", bins: int | None = None) -> DataFrame:
-    """One row: the lag in columns of the least penalised distance; 0 unless it is beaten by more than 2 %.
+def align_lags(a: DataFrame, b: DataFrame, *by: str, most: int = 600, value: str = "db", bins: int | None = None) -> DataFrame:
+    """(keys, lag) for each pair of recordings: the lag in columns of the least penalised distance; 0 unless it is beaten by more than 2 %.
 
     The search space is a quarter of the shorter recording; with many columns it goes from pooled columns to single ones.
     Spectra of ``bins`` bins are compared by 64 bands.
     """
     if bins is not None:
-        a, b = band_pooled(a, bins, value=value), band_pooled(b, bins, value=value)
-    n = min(n_a, n_b)
-    limit = int(min(most, 0.25 * n))
-    spark = a.sparkSession
-    if n < 8 or limit < 1:
-        return spark.range(1).select(F.lit(0).alias("lag"))
-    k = max(1, -(-n // 400))
-    lags: list[int] | range = range(-limit, limit + 1)
-    penalty = F.col("score") * (1.0 + F.lit(0.08) * F.abs("lag") / F.lit(float(limit)))
-    if k > 1:
-
-        def pooled(df: DataFrame, cols: int) -> DataFrame:
-            return df.filter(F.col("col") < cols // k * k).groupBy("bin", F.floor(F.col("col") / k).alias("col")).agg(F.avg(value).alias(value))
-
-        coarse = lag_scores(pooled(a, n_a), pooled(b, n_b), range(-(limit // k), limit // k + 1), least=max(8, int(0.7 * (n // k))), value=value)
-        weighed = F.col("score") * (1.0 + F.lit(0.08) * F.abs(F.col("lag") * k) / F.lit(float(limit)))
-        best = coarse.select(F.min(F.struct(weighed.alias("s"), "lag")).alias("m")).first()["m"]  # one row
-        centre = best["lag"] * k if best else 0
-        lags = [x for x in range(centre - k, centre + k + 1) if abs(x) <= limit]
-    scores = lag_scores(a, b, sorted({*lags, 0}), least=max(8, int(0.7 * n)), value=value).withColumn("penalised", penalty).withColumn("asked", F.col("lag").isin(*lags))
-    best = scores.agg(F.min(F.when(F.col("asked"), F.struct("penalised", "lag"))).alias("m"), F.max(F.when(F.col("lag") == 0, F.col("score"))).alias("zero"))
+        a, b = band_pooled(a, bins, *by, value=value), band_pooled(b, bins, *by, value=value)
+    size = lambda df, name: df.groupBy(*by).agg((F.max("col") + 1).alias(name))
+    n, limit, k = F.least("n_a", "n_b"), F.col("limit"), F.col("k")
+    sizes = size(a, "n_a").join(size(b, "n_b"), list(by)).withColumn("n", n)
+    sizes = sizes.withColumn("limit", F.least(F.lit(most), F.floor(F.col("n") / 4)).cast("int")).withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("n") / 400)).cast("int"))
+    wide = sizes.filter("n >= 8 AND limit >= 1")
+    penalised = lambda lag: F.col("score") * (1.0 + F.lit(0.08) * F.abs(lag) / limit.cast("double"))
+    about = lambda df, of: df.join(of.select(*by, "n_a", "n_b", "n", "limit", "k"), list(by))
+
+    def pooled(df: DataFrame, cols: str) -> DataFrame:
+        part = about(df, wide.filter("k > 1")).filter(F.col("col") < F.floor(F.col(cols) / k) * k)
+        return part.groupBy(*by, "bin", F.floor(F.col("col") / k).alias("col")).agg(F.avg(value).alias(value), *(F.max(c).alias(c) for c in ("n", "limit", "k")))
+
+    reach = F.floor(limit / k).cast("int")
+    coarse = lag_scores(pooled(a, "n_a"), pooled(b, "n_b"), F.sequence(-reach, reach), *by, least=F.greatest(F.lit(8), F.floor(0.7 * F.floor(F.col("n") / k))), value=value)
+    centre = about(coarse, wide).groupBy(*by).agg((F.min(F.struct(penalised(F.col("lag") * k).alias("s"), "lag")).getField("lag") * F.max("k")).alias("centre"))
+    fine = wide.join(centre, list(by), "left").withColumn("centre", F.coalesce("centre", F.lit(0)))
+    fine = fine.withColumn("from", F.when(k > 1, F.greatest(-limit, F.col("centre") - k)).otherwise(-limit)).withColumn("to", F.when(k > 1, F.least(limit, F.col("centre") + k)).otherwise(limit))
+    asked = F.array_distinct(F.concat(F.sequence("from", "to"), F.array(F.lit(0))))
+    scores = lag_scores(a, b.join(fine.select(*by, "n", "from", "to"), list(by)), asked, *by, least=F.greatest(F.lit(8), F.floor(0.7 * F.col("n"))), value=value)
+    scores = scores.join(fine.select(*by, "limit", "from", "to"), list(by)).withColumn("penalised", penalised(F.col("lag")))
+    best = scores.groupBy(*by).agg(F.min(F.when(F.col("lag").between(F.col("from"), F.col("to")), F.struct("penalised", "lag"))).alias("m"), F.max(F.when(F.col("lag") == 0, F.col("score"))).alias("zero"))
     keep = F.col("zero").isNotNull() & F.col("m").isNotNull() & (F.col("zero") <= F.col("m.penalised") * 1.02)
-    return best.select(F.when(keep | F.col("m").isNull(), 0).otherwise(F.col("m.lag")).alias("lag"))
+    found = best.select(*by, F.when(keep | F.col("m").isNull(), 0).otherwise(F.col("m.lag")).alias("lag"))
+    return sizes.select(*by).join(found, list(by), "left").select(*by, F.coalesce("lag", F.lit(0)).alias("lag"))
 
 
-def cross_correlation(a: DataFrame, b: DataFrame, lags: range, *, value: str = "x", pos: str = "pos") -> DataFrame:
-    """(lag, product): sums of products of the mean-free series, ``a`` at p + lag against ``b`` at p.  For long series use ``functions.dsp.strongest_lag``."""
-    free = lambda df: df.crossJoin(F.broadcast(df.agg(F.avg(value).alias("_m")))).select(pos, (F.col(value) - F.col("_m")).alias("v"))  # noqa: E731  one row
-    y = free(b).select((F.col(pos)).alias("_q"), F.col("v").alias("w"), F.explode(F.array(*(F.lit(k) for k in lags))).alias("lag"))
-    both = free(a).join(y.withColumn("_p", F.col("_q") + F.col("lag")), F.col(pos) == F.col("_p"))
-    return both.groupBy("lag").agg(F.sum(F.col("v") * F.col("w")).alias("product"))
+def cross_correlation(a: DataFrame, b: DataFrame, lags: range, *by: str, value: str = "x", pos: str = "pos") -> DataFrame:
+    """(keys, lag, product): sums of products of the mean-free series, ``a`` at p + lag against ``b`` at p.  For long series use ``functions.dsp.strongest_lag``."""
+    free = lambda df: df.withColumn("_all", F.lit(0)).join(F.broadcast(df.groupBy(*by, F.lit(0).alias("_all")).agg(F.avg(value).alias("_m"))), [*by, "_all"]).select(*by, pos, (F.col(value) - F.col("_m")).alias("v"))  # noqa: E731  one row a key
+    y = free(b).select(*by, F.col(pos).alias("_q"), F.col("v").alias("w"), F.explode(F.array(*(F.lit(k) for k in lags))).alias("lag"))
+    both = free(a).join(y.withColumn(pos, F.col("_q") + F.col("lag")), [*by, pos])
+    return both.groupBy(*by, "lag").agg(F.sum(F.col("v") * F.col("w")).alias("product"))
 
 
 def null_test(joined: DataFrame, *by: str) -> DataFrame:
@@ -140,13 +142,13 @@ def remapped_rows(db: DataFrame, axis: DataFrame, df_hz: float, bins: int, *by:
     return hit.groupBy(*by, "row").agg(F.when(F.max("wide"), F.max("db")).otherwise(F.sum(part)).alias("db"))
 
 
-def resampled_columns(db: DataFrame, n_in: int, n_out: int, *by: str) -> DataFrame:
-    """(keys, col, db) stretched or squeezed to ``n_out`` columns by linear interpolation."""
-    if n_in == n_out:
-        return db.select(*by, "col", "db")
-    step = (n_in - 1.000001) / max(n_out - 1, 1)
-    target = db.sparkSession.range(n_out).select(F.col("id").alias("to"), F.least(F.col("id") * F.lit(step), F.lit(n_in - 1.000001)).alias("at"))
+def resampled_columns(db: DataFrame, n_out: int, *by: str) -> DataFrame:
+    """(keys, col, db): the columns of each recording stretched or squeezed to ``n_out`` by linear interpolation."""
+    sizes = db.groupBy(*by).agg((F.max("col") + 1).alias("n"))
+    step = F.greatest(F.col("n") - 1.000001, F.lit(0.0)) / F.lit(float(max(n_out - 1, 1)))
+    target = sizes.select(*by, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_out - 1).cast("long"))).alias("to"), step.alias("step"))
+    target = target.withColumn("at", F.when(F.col("n") == n_out, F.col("to").cast("double")).otherwise(F.least(F.col("to") * F.col("step"), F.greatest(F.col("n") - 1.000001, F.lit(0.0)))))
     target = target.withColumn("i0", F.floor("at").cast("long")).withColumn("frac", F.col("at") - F.col("i0"))
-    need = target.select("to", "frac", "i0", F.explode(F.array(F.col("i0"), F.col("i0") + 1)).alias("col"))
+    need = target.select(*by, "to", "frac", "i0", F.explode(F.array(F.col("i0"), F.col("i0") + 1)).alias("col"))
     part = F.when(F.col("col") == F.col("i0"), F.col("db") * (1 - F.col("frac"))).otherwise(F.col("db") * F.col("frac"))
-    return db.join(need, "col").groupBy(*by, F.col("to").alias("col")).agg(F.sum(part).alias("db"))
+    return db.join(need, [*by, "col"]).groupBy(*by, F.col("to").alias("col")).agg(F.sum(part).alias("db"))

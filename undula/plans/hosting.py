@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.transform("embedding", lambda v: v.cast("double"))
-    return numbered(table(spark, sf_dir, "embeddings"), "label", "vec_id", x)
+    return numbered(table(spark, sf_dir, "embeddings"), "label", "vec_id", x, span=F.floor(F.col("vec_id") / 65_536))
 
 
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbered(table(spark, sf_dir, "events"), "event_type", "ts", F.col("value")).withColumnRenamed("col", "frame")
+    return numbered(table(spark, sf_dir, "events"), "event_type", "ts", F.col("value"), span=F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000)).withColumnRenamed("col", "frame")
 
 
 #: The same in DuckDB SQL.

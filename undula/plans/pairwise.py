@@ -46,41 +46,45 @@ def spectra_diff_stats(spark, sf):
     return out.select("a", "b", *(r6(c).alias(c) for c in ("median_db", "mean_abs_db", "p90_abs_db", "max_abs_db")), "diff_key", "level")
 
 
-def _recording(spark, sf, label):
-    return spectra(spark, sf).filter(F.col("file") == label).select("col", "bin", S.level_db(F.col("mag"), 1.0).alias("db"))
+def _neighbours(spark, sf):
+    """(a, b, col, bin, db) of each recording and of the one that follows it."""
+    rows = spectra(spark, sf).select("file", "col", "bin", S.level_db(F.col("mag"), 1.0).alias("db"))
+    place = lambda k: rows.select((F.col("file") - k).alias("a"), (F.col("file") + 1 - k).alias("b"), "col", "bin", "db")
+    return place(0), place(1)
 
 
 @query(sql("""
-SELECT CAST(lag AS INTEGER) AS lag, cols, round(score, 6) AS score FROM (
-  SELECT lag, count(DISTINCT a.col) AS cols, avg(abs(20 * log10(greatest(a.mag, 1e-12)) - 20 * log10(greatest(b.mag, 1e-12)))) AS score
-  FROM (SELECT unnest(generate_series(-8, 8)) AS lag), spectra a JOIN spectra b ON a.bin = b.bin AND a.file = 0 AND b.file = 1 WHERE a.col = b.col + lag GROUP BY lag) WHERE cols >= 8"""))
+SELECT a, b, CAST(lag AS INTEGER) AS lag, cols, round(score, 6) AS score FROM (
+  SELECT a.file AS a, b.file AS b, lag, count(DISTINCT a.col) AS cols, avg(abs(20 * log10(greatest(a.mag, 1e-12)) - 20 * log10(greatest(b.mag, 1e-12)))) AS score
+  FROM (SELECT unnest(generate_series(-8, 8)) AS lag), spectra a JOIN spectra b ON a.bin = b.bin AND b.file = a.file + 1 WHERE a.col = b.col + lag GROUP BY 1, 2, 3) WHERE cols >= 8"""))
 def lag_scores(spark, sf):
-    """Mean absolute distance of recordings 0 and 1 by lag."""
-    return PR.lag_scores(_recording(spark, sf, 0), _recording(spark, sf, 1), range(-8, 9), least=8).withColumn("score", r6("score"))
+    """Mean absolute distance of each recording and the one that follows it, by lag."""
+    x, y = _neighbours(spark, sf)
+    return PR.lag_scores(x, y, range(-8, 9), "a", "b", least=8).withColumn("score", r6("score"))
 
 
 @query()
 def align_lag(spark, sf):
-    a, b = _recording(spark, sf, 0), _recording(spark, sf, 1)
-    n = [x.agg(F.max("col")).first()[0] + 1 for x in (a, b)]  # one number each
-    return PR.align_lag(a, b, *n, most=8)
+    """The lag of each recording against the one that follows it."""
+    x, y = _neighbours(spark, sf)
+    return PR.align_lags(x, y, "a", "b", most=8)
 
 
 HOURLY = """
 hours AS (SELECT event_type, CAST(epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 3600000000 AS BIGINT) AS pos, count(*)::DOUBLE AS x FROM events GROUP BY 1, 2),
-lo AS (SELECT pos, x - avg(x) OVER () AS v FROM hours WHERE event_type = (SELECT min(event_type) FROM events)),
-hi AS (SELECT pos, x - avg(x) OVER () AS v FROM hours WHERE event_type = (SELECT max(event_type) FROM events))
+free AS (SELECT event_type, pos, x - avg(x) OVER (PARTITION BY event_type) AS v, dense_rank() OVER (ORDER BY event_type) AS k FROM hours)
 """
 
 
-@query(f"WITH {HOURLY} SELECT CAST(lag AS INTEGER) AS lag, round(sum(lo.v * hi.v), 6) AS product FROM (SELECT unnest(generate_series(-12, 12)) AS lag), lo, hi WHERE lo.pos = hi.pos + lag GROUP BY lag")
+@query(f"WITH {HOURLY} SELECT lo.event_type AS a, hi.event_type AS b, CAST(lag AS INTEGER) AS lag, round(sum(lo.v * hi.v), 6) AS product FROM (SELECT unnest(generate_series(-12, 12)) AS lag), free lo, free hi WHERE hi.k = lo.k + 1 AND lo.pos = hi.pos + lag GROUP BY 1, 2, 3")
 def xcorr_lag(spark, sf):
-    """Cross-correlation of two hourly counts by lag."""
+    """Cross-correlation of the hourly counts of each event type and the next one, by lag."""
     e = table(spark, sf, "events")
-    lo, hi = e.agg(F.min("event_type"), F.max("event_type")).first()
     hours = e.groupBy("event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("pos")).agg(F.count("*").cast("double").alias("x"))
-    a, b = (hours.filter(F.col("event_type") == k).select("pos", "x") for k in (lo, hi))
-    return PR.cross_correlation(a, b, range(-12, 13)).withColumn("product", r6("product"))
+    types = hours.select("event_type").distinct()
+    pairs = types.select(F.col("event_type").alias("a")).join(types.select(F.col("event_type").alias("b")), F.col("a") < F.col("b")).groupBy("a").agg(F.min("b").alias("b"))
+    side = lambda c: hours.join(F.broadcast(pairs), F.col("event_type") == F.col(c)).select("a", "b", "pos", "x")  # noqa: E731  a row for each type
+    return PR.cross_correlation(side("a"), side("b"), range(-12, 13), "a", "b").withColumn("product", r6("product"))
 
 
 PAIRED = (
@@ -165,9 +169,9 @@ def remap_axis(spark, sf):
 
 @query(sql("""
 SELECT file, CAST(t AS BIGINT) AS col, round(sum(CASE WHEN e.col = floor(a) THEN v * (1 - (a - floor(a))) ELSE v * (a - floor(a)) END), 6) AS db
-FROM (SELECT t, least(t * (23.999999::DOUBLE / 15), 23.999999) AS a FROM (SELECT unnest(generate_series(0, 15)) AS t)),
-  (SELECT file, col, list_sum(list_transform(x[1:8], lambda v: v * v)) AS v FROM frames WHERE col < 25) e WHERE e.col = floor(a) OR e.col = floor(a) + 1 GROUP BY 1, 2"""))
+FROM (SELECT file, t, least(t * ((n - 1.000001::DOUBLE) / 15), n - 1.000001::DOUBLE) AS a FROM (SELECT file, count(*) AS n, unnest(generate_series(0, 15)) AS t FROM frames GROUP BY file))
+JOIN (SELECT file, col, list_sum(list_transform(x[1:8], lambda v: v * v)) AS v FROM frames) e USING (file) WHERE e.col = floor(a) OR e.col = floor(a) + 1 GROUP BY 1, 2"""))
 def resample_columns(spark, sf):
-    """25 frames squeezed to 16 columns."""
-    e = frames(spark, sf).filter("col < 25").select("file", "col", F.aggregate(F.slice("x", 1, 8), F.lit(0.0), lambda s, v: s + v * v).alias("db"))
-    return PR.resampled_columns(e, 25, 16, "file").withColumn("db", r6("db"))
+    """All frames of each recording squeezed to 16 columns."""
+    e = frames(spark, sf).select("file", "col", F.aggregate(F.slice("x", 1, 8), F.lit(0.0), lambda s, v: s + v * v).alias("db"))
+    return PR.resampled_columns(e, 16, "file").withColumn("db", r6("db"))
