@@ -47,26 +47,26 @@ def align_lags(a: DataFrame, b: DataFrame, *by: str, most: int = 600, value: str
     if bins is not None:
         a, b = band_pooled(a, bins, *by, value=value), band_pooled(b, bins, *by, value=value)
     size = lambda df, name: df.groupBy(*by).agg((F.max("col") + 1).alias(name))
-    n, limit, k = F.least("n_a", "n_b"), F.col("limit"), F.col("k")
-    sizes = size(a, "n_a").join(size(b, "n_b"), list(by)).withColumn("n", n)
-    sizes = sizes.withColumn("limit", F.least(F.lit(most), F.floor(F.col("n") / 4)).cast("int")).withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("n") / 400)).cast("int"))
-    wide = sizes.filter("n >= 8 AND limit >= 1")
+    n, limit, k = F.least("_n_a", "_n_b"), F.col("_limit"), F.col("_k")
+    sizes = size(a, "_n_a").join(size(b, "_n_b"), list(by)).withColumn("_n", n)
+    sizes = sizes.withColumn("_limit", F.least(F.lit(most), F.floor(F.col("_n") / 4)).cast("int")).withColumn("_k", F.greatest(F.lit(1), F.ceil(F.col("_n") / 400)).cast("int"))
+    wide = sizes.filter("_n >= 8 AND _limit >= 1")
     penalised = lambda lag: F.col("score") * (1.0 + F.lit(0.08) * F.abs(lag) / limit.cast("double"))
-    about = lambda df, of: df.join(of.select(*by, "n_a", "n_b", "n", "limit", "k"), list(by))
+    about = lambda df, of: df.join(of.select(*by, "_n_a", "_n_b", "_n", "_limit", "_k"), list(by))
 
     def pooled(df: DataFrame, cols: str) -> DataFrame:
-        part = about(df, wide.filter("k > 1")).filter(F.col("col") < F.floor(F.col(cols) / k) * k)
-        return part.groupBy(*by, "bin", F.floor(F.col("col") / k).alias("col")).agg(F.avg(value).alias(value), *(F.max(c).alias(c) for c in ("n", "limit", "k")))
+        part = about(df, wide.filter("_k > 1")).filter(F.col("col") < F.floor(F.col(cols) / k) * k)
+        return part.groupBy(*by, "bin", F.floor(F.col("col") / k).alias("col")).agg(F.avg(value).alias(value), *(F.max(c).alias(c) for c in ("_n", "_limit", "_k")))
 
     reach = F.floor(limit / k).cast("int")
-    coarse = lag_scores(pooled(a, "n_a"), pooled(b, "n_b"), F.sequence(-reach, reach), *by, least=F.greatest(F.lit(8), F.floor(0.7 * F.floor(F.col("n") / k))), value=value)
-    centre = about(coarse, wide).groupBy(*by).agg((F.min(F.struct(penalised(F.col("lag") * k).alias("s"), "lag")).getField("lag") * F.max("k")).alias("centre"))
-    fine = wide.join(centre, list(by), "left").withColumn("centre", F.coalesce("centre", F.lit(0)))
-    fine = fine.withColumn("from", F.when(k > 1, F.greatest(-limit, F.col("centre") - k)).otherwise(-limit)).withColumn("to", F.when(k > 1, F.least(limit, F.col("centre") + k)).otherwise(limit))
-    asked = F.array_distinct(F.concat(F.sequence("from", "to"), F.array(F.lit(0))))
-    scores = lag_scores(a, b.join(fine.select(*by, "n", "from", "to"), list(by)), asked, *by, least=F.greatest(F.lit(8), F.floor(0.7 * F.col("n"))), value=value)
-    scores = scores.join(fine.select(*by, "limit", "from", "to"), list(by)).withColumn("penalised", penalised(F.col("lag")))
-    best = scores.groupBy(*by).agg(F.min(F.when(F.col("lag").between(F.col("from"), F.col("to")), F.struct("penalised", "lag"))).alias("m"), F.max(F.when(F.col("lag") == 0, F.col("score"))).alias("zero"))
+    coarse = lag_scores(pooled(a, "_n_a"), pooled(b, "_n_b"), F.sequence(-reach, reach), *by, least=F.greatest(F.lit(8), F.floor(0.7 * F.floor(F.col("_n") / k))), value=value)
+    centre = about(coarse, wide).groupBy(*by).agg((F.min(F.struct(penalised(F.col("lag") * k).alias("s"), "lag")).getField("lag") * F.max("_k")).alias("_centre"))
+    fine = wide.join(centre, list(by), "left").withColumn("_centre", F.coalesce("_centre", F.lit(0)))
+    fine = fine.withColumn("_from", F.when(k > 1, F.greatest(-limit, F.col("_centre") - k)).otherwise(-limit)).withColumn("_to", F.when(k > 1, F.least(limit, F.col("_centre") + k)).otherwise(limit))
+    asked = F.array_distinct(F.concat(F.sequence("_from", "_to"), F.array(F.lit(0))))
+    scores = lag_scores(a, b.join(fine.select(*by, "_n", "_from", "_to"), list(by)), asked, *by, least=F.greatest(F.lit(8), F.floor(0.7 * F.col("_n"))), value=value)
+    scores = scores.join(fine.select(*by, "_limit", "_from", "_to"), list(by)).withColumn("penalised", penalised(F.col("lag")))
+    best = scores.groupBy(*by).agg(F.min(F.when(F.col("lag").between(F.col("_from"), F.col("_to")), F.struct("penalised", "lag"))).alias("m"), F.max(F.when(F.col("lag") == 0, F.col("score"))).alias("zero"))
     keep = F.col("zero").isNotNull() & F.col("m").isNotNull() & (F.col("zero") <= F.col("m.penalised") * 1.02)
     found = best.select(*by, F.when(keep | F.col("m").isNull(), 0).otherwise(F.col("m.lag")).alias("lag"))
     return sizes.select(*by).join(found, list(by), "left").select(*by, F.coalesce("lag", F.lit(0)).alias("lag"))
