@@ -100,13 +100,18 @@ def null_test(joined: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def ranked(frames: DataFrame, *by: str) -> DataFrame:
+    """Frames with their rank by ``ea`` in each recording."""
+    return frames.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy("ea", "frame")))
+
+
 def terciles(frames: DataFrame, *by: str) -> DataFrame:
     """(keys, frame, ea, er) -> mean of er - ea over the third of frames with least and with most ea."""
     k = F.greatest(F.lit(1), F.floor(F.col("n") / 3))
     n = frames.groupBy(*by).agg(F.count("*").alias("n"))
-    ranked = frames.join(n, list(by)).withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy("ea", "frame")))
+    placed = ranked(frames.join(n, list(by)), *by)
     d = F.col("er") - F.col("ea")
-    return ranked.groupBy(*by).agg(F.avg(F.when(F.col("rank") <= k, d)).alias("quiet_rel_db"), F.avg(F.when(F.col("rank") > F.col("n") - k, d)).alias("loud_rel_db"))
+    return placed.groupBy(*by).agg(F.avg(F.when(F.col("rank") <= k, d)).alias("quiet_rel_db"), F.avg(F.when(F.col("rank") > F.col("n") - k, d)).alias("loud_rel_db"))
 
 
 def shape_correlation(spectra: DataFrame, *by: str) -> DataFrame:
