@@ -43,7 +43,7 @@ def test_analysis_keeps_channels_and_slice(spark):
 def test_band_report_and_quickcheck(spark):
     for out in (PR.band_report(spark, ""), PR.quickcheck(spark, "")):
         got = {r.file: r for r in out.collect()}
-        assert got["cut"].pattern == "constant" and 2200 < got["cut"].edge_hz < 2700 and got["cut"].verdict_key == "band.transcode"
+        assert got["cut"].pattern == "constant" and 2300 < got["cut"].edge_hz < 2800 and got["cut"].verdict_key == "band.transcode"
         assert got["full"].pattern == "full" and got["full"].edge_hz is None
     assert got["cut"].name == "cut.flac" and got["cut"].cutoff_hz == got["cut"].edge_hz
 
