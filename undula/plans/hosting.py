@@ -9,9 +9,11 @@ the value is a level.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from undula.operators.frames import bins_of, numbered
+from undula.operators.sized import small
 
 #: The sampling rate that 64 bins are read at: nfft 126, 100 Hz a bin.
 NFFT, RATE, DF = 126, 12600, 100.0
@@ -34,6 +36,13 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(table(spark, sf_dir, "events"), "event_type", "ts", F.col("value"), span=F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000)).withColumnRenamed("col", "frame")
 
 
+def neighbours(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` of each file as side ``a`` and as side ``b`` of the pairs (a, b) of a file and the next one there is."""
+    # One narrow row a file.
+    pairs = rows.select(F.col("file").alias("a")).distinct().withColumn("b", F.lead("a").over(W.orderBy("a"))).filter("b IS NOT NULL")
+    return tuple(rows.join(small(pairs.withColumn("file", F.col(side))), "file").drop("file") for side in ("a", "b"))
+
+
 #: The same in DuckDB SQL.
 SQL = """
 frames AS (SELECT label AS file, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS col, embedding::DOUBLE[] AS x FROM embeddings),
