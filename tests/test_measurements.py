@@ -98,6 +98,23 @@ def test_loudness(spark):
     assert abs(got["full"].true_peak_dbfs) < 0.2 and abs(got["low"].true_peak_dbfs + 20) < 0.2
 
 
+@pytest.mark.parametrize("sr,chunk", [(44100, 20000), (96000, 50000)])
+def test_loudness_at_other_rates(spark, sr, chunk):
+    sound = {"full": lambda t, ch: np.sin(2 * np.pi * 997 * t), "low": lambda t, ch: 0.1 * np.sin(2 * np.pi * 997 * t)}
+    rows_ = [(f, 0, k // chunk, sr, x[k : k + chunk].tolist()) for f, make in sound.items() for x in [make(np.arange(5 * sr) / sr, 0)] for k in range(0, len(x), chunk)]
+    got = rows(AU.loudness(spark.createDataFrame(rows_, "file string, ch int, chunk long, sr int, x array<float>"), chunk, sr=sr))
+    assert abs(got["full"].lufs_integrated + 3.0) < 0.1 and abs(got["low"].lufs_integrated + 23.0) < 0.1
+
+
+def test_lag_is_taken_from_the_middle(spark):
+    """A long lead-in of silence on one side, and sides of unlike length."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([np.zeros(3000), rng.normal(0, 1, 5000)])
+    sides = [x, np.concatenate([x[137:], np.zeros(700)])]
+    a, b = (spark.createDataFrame([("f", 0, k // 500, 1000, v[k : k + 500].tolist()) for k in range(0, len(v), 500)], "file string, ch int, chunk long, sr int, x array<float>") for v in sides)
+    assert [tuple(r) for r in AU.null_test_chunks(a, b, 1000, 500, seconds=2.0).collect()] == [("f", 137)]
+
+
 def test_band_edges(spark):
     got = rows(PA.band_edge_audio(spark, ""))
     assert got["cut"].pattern == "constant" and 2700 < got["cut"].edge_hz < 3100 and got["cut"].verdict_key == "band.transcode"

@@ -21,7 +21,9 @@ from undula.functions import dsp
 from undula.functions.scalar import power_db
 from undula.operators import events as EV
 from undula.operators import frames as FR
+from undula.operators import series as SE
 from undula.operators import spectrum as SP
+from undula.operators.sized import small
 
 
 def mixed(chunks: DataFrame) -> DataFrame:
@@ -311,20 +313,11 @@ def tone_sweep(chunks: DataFrame, sr: int, chunk: int, *, reference_hz: float =
     return response, apart.select("file", F.bround("m", 1).alias("channel_separation_db"), F.bround("low", 1).alias("channel_separation_min_db"), *verdict(key, F.when(F.col("m") < 15, "warn").otherwise("ok")))
 
 
-def loudness(chunks: DataFrame, chunk: int) -> DataFrame:
-    """Integrated loudness, loudness range and true peak of 48 kHz sound by the published gating rules.
+def loudness(chunks: DataFrame, chunk: int, *, sr: int = 48000) -> DataFrame:
+    """Integrated loudness, loudness range and true peak of sound of one rate by the published gating rules.
 
-    400 ms blocks every 100 ms are weighted in the frequency domain; gates and percentiles are aggregates over blocks.
+    Sound is weighted by recursive filters in order of time, at any rate; 400 ms blocks every 100 ms, gates and percentiles are aggregates.
     """
-    sr, n, hop = 48000, 19200, 4800
-    framed = FR.hop_frames(chunks.filter("sr = 48000"), n, hop, chunk)
-
-    @F.pandas_udf("double")
-    def power(x: pd.Series) -> pd.Series:
-        gain = dsp.k_weighting(n)
-        twice = np.full(n // 2 + 1, 2.0)
-        twice[0] = twice[-1] = 1
-        return pd.Series([float((np.abs(np.fft.rfft(np.asarray(v, np.float64))) ** 2 * gain * twice).sum() / n**2) for v in x], dtype=float)
 
     @F.pandas_udf("double")
     def peak(x: pd.Series) -> pd.Series:
@@ -335,7 +328,8 @@ def loudness(chunks: DataFrame, chunk: int) -> DataFrame:
         return pd.Series([one(v) for v in x], dtype=float)
 
     lufs = lambda p: F.lit(-0.691) + 10 * F.log10(p + F.lit(1e-30))
-    blocks = framed.select("file", "frame", power("x").alias("p")).groupBy("file", "frame").agg(F.sum("p").alias("p"))
+    chunks = chunks.filter(F.col("sr") == sr)
+    blocks = SE.short_powers(SE.recursive_filter(chunks, SE.k_weighting_sections(sr), chunk), sr, chunk)
     gate1 = blocks.filter(lufs(F.col("p")) > -70)
     level = gate1.groupBy("file").agg(lufs(F.avg("p")).alias("l1"))
     whole = gate1.join(level, "file").filter(lufs(F.col("p")) > F.col("l1") - 10).groupBy("file").agg(lufs(F.avg("p")).alias("lufs_integrated"))
@@ -350,14 +344,25 @@ def loudness(chunks: DataFrame, chunk: int) -> DataFrame:
 
 
 def null_test_chunks(a: DataFrame, b: DataFrame, sr: int, chunk: int, *, seconds: float = 30.0) -> DataFrame:
-    """(file, lag): the lag of ``b`` in samples, by cross-correlation of an excerpt of bounded length."""
+    """(file, lag): the lag of ``b`` in samples, by cross-correlation of excerpts from the middle of both, of equal and bounded length."""
 
     def lag(rows: pd.DataFrame) -> pd.DataFrame:
         x, y = (np.concatenate(r["x"].to_list()).astype(np.float64) for r in (rows[rows["side"] == s].sort_values("chunk") for s in ("a", "b")))
-        return pd.DataFrame([{"file": rows["file"].iloc[0], "lag": dsp.strongest_lag(x, y)}])
+        return pd.DataFrame([{"file": rows["file"].iloc[0], "lag": dsp.strongest_lag(x, y) + int(rows["apart"].iloc[0])}])
+
+    sides = {"a": mixed(a), "b": mixed(b)}
+    sizes = [df.groupBy("file").agg(F.sum(F.size("x")).alias(f"n_{s}")) for s, df in sides.items()]
+    length = F.least(F.lit(int(seconds * sr)), "n_a", "n_b")
+    spans = sizes[0].join(sizes[1], "file").select("file", length.alias("n"), *(F.floor((F.col(f"n_{s}") - length) / 2).alias(f"from_{s}") for s in "ab"))
+
+    def middle(s: str) -> DataFrame:
+        start, end = F.col(f"from_{s}") - F.col("chunk") * chunk, F.col(f"from_{s}") + F.col("n") - F.col("chunk") * chunk
+        met = sides[s].join(small(spans), "file").filter((start < F.size("x")) & (end > 0))
+        first = F.greatest(start, F.lit(0)).cast("int")
+        cut = F.slice("x", first + 1, (F.least(end, F.size("x")) - first).cast("int"))
+        return met.select("file", F.lit(s).alias("side"), "chunk", cut.alias("x"), (F.col("from_a") - F.col("from_b")).alias("apart"))
 
-    both = excerpt(mixed(a), chunk, sr, seconds=seconds).withColumn("side", F.lit("a")).unionByName(excerpt(mixed(b), chunk, sr, seconds=seconds).withColumn("side", F.lit("b")))
-    return both.groupBy("file").applyInPandas(lag, "file string, lag long")
+    return middle("a").unionByName(middle("b")).groupBy("file").applyInPandas(lag, "file string, lag long")
 
 
 def edge_report(chunks: DataFrame, codecs: DataFrame, sr: int, chunk: int) -> DataFrame:

@@ -110,11 +110,11 @@ def summary(chunks: DataFrame, info: DataFrame, p: P.Params, sr: int, chunk: int
     low = AU.lowfreq_scan(AU.decimated(AU.mixed(held), factor, chunk), sr // factor, chunk // factor, nfft=size)
     low = low.select("file", F.struct(*(c for c in low.columns if c != "file")).alias("lowfreq"))
     samples = AU.samples_of(held, chunk)
-    levels = LV.level_stats(samples, "file").join(samples.groupBy("file").agg((F.max("pos") + 1).alias("_n")), "file").withColumn("flat_factor", F.lit(0.0))
-    if sr == 48000:
-        levels = levels.join(AU.loudness(held, chunk).withColumnRenamed("true_peak_dbfs", "_tp"), "file", "left").withColumn("true_peak_dbfs", F.col("_tp")).drop("_tp")
-    else:
-        levels = levels.withColumns({"true_peak_dbfs": F.lit(None).cast("double"), "lufs_integrated": F.lit(None).cast("double"), "lra": F.lit(None).cast("double")})
+    levels = LV.level_stats(samples, "file").join(samples.groupBy("file").agg((F.max("pos") + 1).alias("_n")), "file")
+    # Flat tops: how much longer than a single sample the longest run at the peak of a channel is.
+    flat = LV.flat_runs(samples, "file", "ch").groupBy("file").agg((F.max("longest_flat") - 1).cast("double").alias("flat_factor"))
+    levels = levels.join(flat, "file", "left")
+    levels = levels.join(AU.loudness(held, chunk, sr=sr).withColumnRenamed("true_peak_dbfs", "_tp"), "file", "left").withColumn("true_peak_dbfs", F.col("_tp")).drop("_tp")
     levels = LV.dynamics_note(LV.clipping_verdict(levels, F.col("_n") / sr))
     levels = levels.select("file", F.struct(*(c for c in levels.columns if c not in ("file", "_n"))).alias("levels"), F.bround(F.col("_n") / sr, 3).alias("analysed_duration"))
     two = samples.filter("ch < 2").groupBy("file", "pos").agg(F.max(F.when(F.col("ch") == 0, F.col("x"))).alias("l"), F.max(F.when(F.col("ch") == 1, F.col("x"))).alias("r")).filter("r IS NOT NULL")
