@@ -23,6 +23,7 @@ from undula.operators import events as EV
 from undula.operators import frames as FR
 from undula.operators import series as SE
 from undula.operators import spectrum as SP
+from undula.operators.quantiles import grouped_median
 from undula.operators.sized import small
 
 
@@ -143,7 +144,7 @@ def lowfreq_scan(chunks: DataFrame, sr: int, chunk: int, *, nfft: int = 16384) -
 
     framed = FR.hop_frames(mixed(chunks), nfft, nfft // 2, chunk)
     rows = framed.select("file", F.posexplode(power("x")).alias("bin", "p"))
-    med = rows.groupBy("file", "bin").agg(F.percentile("p", 0.5).alias("power"))
+    med = grouped_median(rows, ["file", "bin"], F.col("p"), "power")
     kernel = int(6 / df_hz) | 1
     med = med.withColumn("db", power_db(F.col("power")))
     med = med.withColumn("prominence", F.col("db") - SP.smoothed(med, "db", kernel))

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from undula.functions.scalar import EPS
+from undula.operators.events import running_sum
+from undula.operators.sized import small
 
 
 def _x() -> Column:
@@ -26,12 +28,16 @@ def level_stats(samples: DataFrame, *by: str) -> DataFrame:
 
 
 def flat_runs(samples: DataFrame, *by: str, order: str = "pos") -> DataFrame:
-    """Longest run and number of runs (of two and more) of equal samples at the peak: the flat tops of clipping."""
-    w = W.partitionBy(*by).orderBy(order)
-    top = samples.withColumn("_peak", F.max(F.abs(_x())).over(W.partitionBy(*by))).withColumn("_top", F.abs(_x()) == F.col("_peak"))
-    run = F.sum(F.when(F.col("_top") & (F.lag("x").over(w) == F.col("x")), 0).otherwise(1)).over(w)
-    tops = top.withColumn("_run", run).filter("_top").groupBy(*by, "_run").agg(F.count("*").alias("n"))
-    return tops.groupBy(*by).agg(F.max("n").alias("longest_flat"), F.count_if(F.col("n") >= 2).alias("flat_runs"))
+    """Longest run and number of runs (of two and more) of equal samples at the peak: the flat tops of clipping.
+
+    Samples are numbered by ``order``; only those at the peak are looked at, each beside the one before it, and runs are numbered in spans.
+    """
+    peaks = samples.groupBy(*by).agg(F.max(F.abs(_x())).alias("_peak"))
+    tops = samples.join(small(peaks), list(by)).filter(F.abs(_x()) == F.col("_peak")).select(*by, order, "x")
+    before = tops.select(*by, (F.col(order) + 1).alias(order), F.col("x").alias("_before"))
+    marked = tops.join(before, [*by, order], "left").select(F.struct(*by).alias("_key"), order, F.when(F.col("_before") == F.col("x"), 0).otherwise(1).alias("_start"))
+    runs = running_sum(marked, F.col("_start"), "_run", file="_key", order=order).groupBy("_key", "_run").agg(F.count("*").alias("n"))
+    return runs.groupBy("_key").agg(F.max("n").alias("longest_flat"), F.count_if(F.col("n") >= 2).alias("flat_runs")).select("_key.*", "longest_flat", "flat_runs")
 
 
 def stereo_stats(pairs: DataFrame, *by: str) -> DataFrame:

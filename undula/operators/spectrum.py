@@ -17,6 +17,7 @@ from undula import params as P
 from undula.functions import arrays as A
 from undula.functions.scalar import power_db
 from undula.operators.frames import block_of, clipped
+from undula.operators.quantiles import grouped_median
 
 
 def _power() -> Column:
@@ -28,8 +29,8 @@ def mean_power(rows: DataFrame) -> DataFrame:
 
 
 def median_power(rows: DataFrame, *by: str) -> DataFrame:
-    """Exact medians of the power of each bin, also by block or other keys."""
-    return rows.groupBy("file", *by, "bin").agg(F.percentile(_power(), 0.5).alias("power"))
+    """Exact medians of the power of each bin, also by block or other keys; of long recordings by histograms."""
+    return grouped_median(rows, ["file", *by, "bin"], _power(), "power")
 
 
 def gathered(spectrum: DataFrame, value: Column, *by: str, name: str = "db") -> DataFrame:

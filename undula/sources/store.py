@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,18 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from undula.operators.index import merge_index
+from undula.operators.sized import shared_base
 
 INDEX = "root string, path string, kind string, analysis_version int, mtime_ns long, size long, level string"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``; only a local master may fall back to a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="undula-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
