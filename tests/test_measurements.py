@@ -106,6 +106,12 @@ def test_loudness_at_other_rates(spark, sr, chunk):
     assert abs(got["full"].lufs_integrated + 3.0) < 0.1 and abs(got["low"].lufs_integrated + 23.0) < 0.1
 
 
+def test_short_recordings_have_one_frame_of_zeros(spark):
+    rows_ = [("short", 0, 0, [1.0] * 9), ("long", 0, 0, [1.0] * 20), ("long", 0, 1, [1.0] * 3), ("empty", 0, 0, [])]
+    got = FR.hop_frames(spark.createDataFrame(rows_, "file string, ch int, chunk long, x array<float>"), 10, 5, 20).collect()
+    assert sorted((r["file"], r["frame"], sum(r["x"])) for r in got) == [("empty", 0, 0.0), ("long", 0, 10.0), ("long", 1, 10.0), ("long", 2, 10.0), ("short", 0, 0.0)]
+
+
 def test_lag_is_taken_from_the_middle(spark):
     """A long lead-in of silence on one side, and sides of unlike length."""
     rng = np.random.default_rng(12)

@@ -29,7 +29,10 @@ def numbered(df: DataFrame, file: str, order: str, value: Column, *, span: Colum
 
 
 def hop_frames(chunks: DataFrame, nfft: int, hop: int, chunk: int) -> DataFrame:
-    """(file, ch, frame, x array of nfft): frame f starts at sample f * hop; what is left at the end is dropped."""
+    """(file, ch, frame, x array of nfft): frame f starts at sample f * hop; what is left at the end is dropped.
+
+    A recording shorter than a frame has one frame of zeros.
+    """
     if chunk < nfft:
         raise ValueError("a chunk must hold a frame")
     head = chunks.select("file", "ch", (F.col("chunk") - 1).alias("chunk"), F.slice("x", 1, nfft - 1).alias("head"))
@@ -39,7 +42,13 @@ def hop_frames(chunks: DataFrame, nfft: int, hop: int, chunk: int) -> DataFrame:
     has = F.size("x") + F.coalesce(F.size("head"), F.lit(0))
     last = F.floor((at + F.least(F.lit(chunk - 1), has - nfft)) / hop).cast("long")
     joined = F.concat("x", F.coalesce("head", F.array().cast("array<float>")))
-    cut = both.filter(has >= nfft).select("file", "ch", "chunk", joined.alias("x"), first.alias("first"), last.alias("last")).filter("last >= first")
+    # Chunks hold a frame, so only the first and only chunk of a short recording has less at frame 0.
+    short = (F.col("chunk") == 0) & (has < nfft)
+    zero = F.lit(0).cast("long")
+    both = both.filter((has >= nfft) | short)
+    cut = both.select(
+        "file", "ch", "chunk", F.when(short, F.array_repeat(F.lit(0.0).cast("float"), nfft)).otherwise(joined).alias("x"), F.when(short, zero).otherwise(first).alias("first"), F.when(short, zero).otherwise(last).alias("last")
+    ).filter("last >= first")
     framed = cut.select("file", "ch", "chunk", "x", F.explode(F.sequence("first", "last")).alias("frame"))
     return framed.select("file", "ch", "frame", F.slice("x", (F.col("frame") * hop - F.col("chunk") * chunk + 1).cast("int"), nfft).alias("x"))
 

@@ -16,8 +16,11 @@ from undula.operators import audio as AU
 from undula.operators import frames as FR
 from undula.operators import index as IX
 from undula.operators import levels as LV
+from undula.operators import nulls as NU
 from undula.operators import pairs as PR
+from undula.operators import series as SE
 from undula.operators import spectrum as SP
+from undula.operators.sized import kept
 
 _PART = "\x1f"
 
@@ -159,54 +162,49 @@ def compare(a: DataFrame, b: DataFrame, codecs: DataFrame, p: P.Params, sr: int,
     return out.select("file", "offset_s", "cutoff_a", "cutoff_b", "verdict_a", "verdict_b", F.bround("band_hz", 1).alias("band_hz"), *(F.bround(c, 2).alias(c) for c in ("median_db", "mean_abs_db", "p90_abs_db", "max_abs_db")), "diff_key", "level")
 
 
-def _aligned(a: DataFrame, b: DataFrame, lags: DataFrame, chunk: int) -> DataFrame:
-    """(file, ch, pos, x, y): samples of both on the time of ``b`` from where both have begun."""
-    x = AU.samples_of(a, chunk).join(lags, "file").select("file", "ch", (F.col("pos") - F.col("lag")).alias("pos"), "x")
-    return x.join(AU.samples_of(b, chunk).withColumnRenamed("x", "y"), ["file", "ch", "pos"])
-
-
-def null_report(a: DataFrame, b: DataFrame, p: P.Params, sr: int, chunk: int, *, max_seconds: float = 300.0) -> DataFrame:
+def null_report(a: DataFrame, b: DataFrame, p: P.Params, sr: int, chunk: int, *, max_seconds: float = 300.0, least_seconds: float = 1.0) -> DataFrame:
     """What is left of each recording when the other, aligned and levelled, is taken away."""
     p = p.validated()
     p = P.Params(**{**p.__dict__, "duration": min(p.duration or max_seconds, max_seconds)})
     a, b = (AU.mixed(sliced(x, p, chunk)) for x in (a, b))
-    lags = AU.null_test_chunks(a, b, sr, chunk)
-    out = PR.null_test(_aligned(a, b, lags, chunk), "file").filter(F.col("n") >= sr).join(lags, "file")
+    lags = kept(AU.null_test_chunks(a, b, sr, chunk))
+    out = NU.null_test(kept(NU.aligned(a, b, lags, chunk))).filter(F.col("n") >= least_seconds * sr).join(lags, "file")
     return out.select("file", F.col("lag").alias("offset_samples"), F.bround(F.col("lag") / sr * 1000, 3).alias("offset_ms"), F.bround("gain_db", 3).alias("gain_db"), F.bround("correlation", 5).alias("correlation"), F.bround("residual_db", 2).alias("residual_db"), F.bround("residual_peak_db", 2).alias("residual_peak_db"), F.bround(F.col("n") / sr, 2).alias("analysed_seconds"), "verdict_key", "level")
 
 
-def residual(a: DataFrame, b: DataFrame, p: P.Params, sr: int, chunk: int, *, max_seconds: float = 900.0, gain_db: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """(chunks of the residual, ready to be written as a table; a row for each recording with what explains it)."""
+def residual(a: DataFrame, b: DataFrame, p: P.Params, sr: int, chunk: int, *, max_seconds: float = 900.0, gain_db: float = 0.0, half: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """(chunks of the residual, ready to be written as sound or as a table; a row for each recording with what explains it)."""
     p = p.validated()
     p = P.Params(**{**p.__dict__, "duration": min(p.duration or max_seconds, max_seconds)})
     a, b = (sliced(x, p, chunk) for x in (a, b))
-    lags = AU.null_test_chunks(a, b, sr, chunk)
-    both = _aligned(a, b, lags, chunk)
-    start = both.groupBy("file").agg(F.min("pos").alias("_from"))
-    both = both.join(start, "file").select("file", "ch", (F.col("pos") - F.col("_from")).alias("pos"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    sums = both.groupBy("file").agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.max(F.abs("x")).alias("peak_a"))
+    lags = kept(AU.null_test_chunks(a, b, sr, chunk))
+    both = kept(NU.from_start(kept(NU.aligned(a, b, lags, chunk))))
+    sums = NU.pair_sums(both)
     gain = F.col("xy") / (F.col("yy") + PR.EPS)
     sums = sums.withColumn("gain", F.when((F.abs(gain) > 1e-3) & (F.abs(gain) < 1e3), gain).otherwise(1.0))
-    left = both.join(sums.select("file", "gain"), "file").withColumn("r", F.col("x") - F.col("gain") * F.col("y"))
+    left = kept(NU.with_residual(both, sums))
     boost = 10 ** (gain_db / 20)
-    put = F.array_sort(F.collect_list(F.struct("pos", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r") * boost)).cast("float").alias("v"))))
-    sound = left.groupBy("file", "ch", F.floor(F.col("pos") / chunk).alias("chunk")).agg(F.transform(put, lambda s: s["v"]).alias("x")).select("file", "ch", "chunk", F.lit(sr).alias("sr"), "x")
-    half = 2048
-    mono = left.groupBy("file", "pos").agg(F.avg("x").alias("x"), F.avg("r").alias("r"))
-    energy = mono.groupBy("file", F.floor(F.col("pos") / half).alias("frame")).agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("ea"), F.sum(F.col("r") * F.col("r")).alias("er")).filter(F.col("n") == half)
+    loud_ = F.transform("r", lambda v: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v * boost)))
+    sound = SE.rechunked(left.select("file", "ch", "first", loud_.alias("x")), chunk).select("file", "ch", "chunk", F.lit(sr).alias("sr"), F.col("x").cast("array<float>").alias("x"))
+    # The mean of the channels: what is taken as channel 0, its residual as channel 1, in chunks of whole half frames.
+    size = -(-chunk // half) * half
+    mono = kept(SE.rechunked(NU.two_means(left), size))
+    energy = NU.half_frames(mono, size, half)
     after = energy.select("file", (F.col("frame") - 1).alias("frame"), F.col("ea").alias("_a"), F.col("er").alias("_r"))
     db = lambda x, y: 10 * F.log10((F.col(x) + F.col(y)) / (2 * half) + F.lit(1e-30))
     frames = energy.join(after, ["file", "frame"]).select("file", "frame", db("ea", "_a").alias("ea"), db("er", "_r").alias("er"))
     terciles = PR.terciles(frames, "file")
-    rest = left.groupBy("file").agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.max(F.abs("r")).alias("peak_r"))
+    rest = left.groupBy("file").agg(F.sum("rr").alias("rr"), F.max("peak_r").alias("peak_r"))
     # the shapes of both in the third of frames with most level
     n = frames.groupBy("file").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 3)).alias("k"), F.count("*").alias("m"))
-    loud = PR.ranked(frames, "file").join(n, "file").filter(F.col("rank") > F.col("m") - F.col("k")).select("file", F.col("frame").alias("col"))
-    made = lambda c: mono.groupBy("file", F.floor(F.col("pos") / chunk).alias("chunk")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col(c).cast("float").alias("v")))), lambda s: s["v"]).alias("x")).select("file", F.lit(0).alias("ch"), "chunk", F.lit(sr).alias("sr"), "x")
-    shape = lambda c, name: FR.bins_of(AU.stft(FR.hop_frames(made(c), 2 * half, half, chunk))).join(loud, ["file", "col"]).groupBy("file", "bin").agg((10 * F.log10(F.avg(F.col("mag").cast("double") ** 2) + F.lit(1e-30))).alias(name))
+    loud = PR.ranked(frames, "file").join(n, "file").filter(F.col("rank") > F.col("m") - F.col("k")).select("file", "frame")
+    framed = FR.hop_frames(mono.withColumn("x", F.col("x").cast("array<float>")), 2 * half, half, size).join(loud, ["file", "frame"])
+    rows = FR.bins_of(AU.stft(framed.withColumn("file", F.struct("file", "ch")))).select("file.*", "bin", "mag")
+    of = lambda ch, name: F.avg(F.when(F.col("ch") == ch, F.col("mag").cast("double") ** 2)).alias(name)
+    power = rows.groupBy("file", "bin").agg(of(0, "pa"), of(1, "pr")).select("file", "bin", (10 * F.log10(F.col("pa") + F.lit(1e-30))).alias("sa"), (10 * F.log10(F.col("pr") + F.lit(1e-30))).alias("sb"))
     df_hz = sr / (2 * half)
     inside = F.col("bin").between(int(200 / df_hz), int(min(8000, sr / 2 - 100) / df_hz) - 1)
-    shapes = PR.shape_correlation(shape("x", "sa").join(shape("r", "sb"), ["file", "bin"]).filter(inside), "file")
+    shapes = PR.shape_correlation(power.filter(inside), "file")
     out = sums.join(rest, "file").join(lags, "file").join(terciles, "file", "left").join(shapes, "file", "left")
     rms_a, rms_r = F.sqrt(F.col("xx") / F.col("n")) + F.lit(PR.EPS), F.sqrt(F.col("rr") / F.col("n")) + F.lit(PR.EPS)
     crest_r, crest_a = 20 * F.log10((F.col("peak_r") + F.lit(PR.EPS)) / rms_r), 20 * F.log10((F.col("peak_a") + F.lit(PR.EPS)) / rms_a)
@@ -214,6 +212,6 @@ def residual(a: DataFrame, b: DataFrame, p: P.Params, sr: int, chunk: int, *, ma
     row = out.select(
         "file", F.bround(crest_r, 1).alias("crest_db"), F.bround(crest_a, 1).alias("source_crest_db"), F.bround("quiet_rel_db", 1).alias("quiet_rel_db"), F.bround("loud_rel_db", 1).alias("loud_rel_db"), F.bround("shape_correlation", 3).alias("shape_correlation"),
         F.col("lag").alias("offset_samples"), F.bround(F.col("lag") / sr * 1000, 3).alias("offset_ms"), F.bround(20 * F.log10(F.abs("gain") + F.lit(PR.EPS)), 3).alias("gain_db"), F.bround(20 * F.log10(rms_r / rms_a), 2).alias("residual_db"),
-        F.bround(20 * F.log10(F.col("peak_r") + F.lit(PR.EPS)), 2).alias("residual_peak_db"), F.bround((F.col("last") + 1) / sr, 2).alias("seconds"), keys.alias("verdict_keys"), level.alias("level"),
+        F.bround(20 * F.log10(F.col("peak_r") + F.lit(PR.EPS)), 2).alias("residual_peak_db"), F.bround(F.col("last") / sr, 2).alias("seconds"), keys.alias("verdict_keys"), level.alias("level"),
     )
     return sound, row

@@ -42,14 +42,18 @@ def as_pieces(chunks: DataFrame, size: int) -> DataFrame:
     return chunks.select(*KEYS, (F.col("chunk") * size).cast("long").alias("first"), F.col("x").cast("array<double>").alias("x"))
 
 
-def rechunked(pieces: DataFrame, size: int) -> DataFrame:
-    """Chunks of ``size`` of pieces of any lengths: each piece is cut at the borders, and each chunk put together from its cuts."""
+def rechunked(pieces: DataFrame, size: int, *, with_first: bool = False) -> DataFrame:
+    """Chunks of ``size`` of pieces of any lengths: each piece is cut at the borders, and each chunk put together from its cuts.
+
+    Pieces may start anywhere; ``with_first`` adds the sample that a chunk begins with.
+    """
     end = F.col("first") + F.size("x")
     cuts = pieces.filter(F.size("x") > 0).withColumn("chunk", F.explode(F.sequence(F.floor(F.col("first") / size), F.floor((end - 1) / size))))
     start = F.greatest(F.col("first"), F.col("chunk") * size)
     length = F.least(end, (F.col("chunk") + 1) * size) - start
     cut = cuts.select(*KEYS, "chunk", F.struct(start.alias("p"), F.slice("x", (start - F.col("first") + 1).cast("int"), length.cast("int")).alias("x")).alias("s"))
-    return cut.groupBy(*KEYS, "chunk").agg(F.array_sort(F.collect_list("s")).alias("s")).select(*KEYS, "chunk", F.flatten(F.transform("s", lambda s: s["x"])).alias("x"))
+    put = cut.groupBy(*KEYS, "chunk").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    return put.select(*KEYS, "chunk", *([F.get("s", F.lit(0))["p"].alias("first")] if with_first else []), F.flatten(F.transform("s", lambda s: s["x"])).alias("x"))
 
 
 def with_margins(chunks: DataFrame, before: int, after: int) -> DataFrame:

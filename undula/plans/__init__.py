@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("spectral", "timeline", "pairwise", "catalog", "audio", "reports", "series", "streams")
+MODULES = ("spectral", "timeline", "pairwise", "catalog", "recordings", "series", "streams")
 
 
 def _all(name: str) -> dict:

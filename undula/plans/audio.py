@@ -1,4 +1,4 @@
-"""Measurements of made-up sound with known answers; SQL has no transforms or filters, so tests check the answers."""
+"""Made-up sound with known answers, for tests; the queries themselves measure the recordings of ``plans.recordings``."""
 
 from __future__ import annotations
 
@@ -8,15 +8,9 @@ from pyspark.sql import functions as F
 from undula.operators import audio as AU
 from undula.sources.pcm import synthetic
 
-QUERIES, ORACLE = {}, {}
 TAU = 6.283185307179586
 
 
-def query(f):
-    QUERIES[f.__name__] = f
-    return f
-
-
 def tone(t, hz: float, level: float = 0.2):
     return F.sin(t * F.lit(TAU * hz)) * F.lit(level)
 
@@ -38,24 +32,20 @@ def clicks(spark: SparkSession) -> DataFrame:
     return synthetic(spark, {"clicks": 8.0, "quiet": 8.0}, {"clicks": sound, "quiet": lambda t: [hiss(t, 8, 0.01) + tone(t, 300, 0.15)]}, sr=44100, chunk=16384)
 
 
-@query
 def impulse_scan(spark, sf):
     return AU.impulse_scan(clicks(spark), 44100, 16384)[1]
 
 
-@query
 def impulse_events(spark, sf):
     return AU.strongest_events(AU.impulse_scan(clicks(spark), 44100, 16384)[0])
 
 
-@query
 def lowfreq_scan(spark, sf):
     hum = lambda f: lambda t: [hiss(t, 3, 0.0005) + tone(t, f, 0.02) + tone(t, 2 * f, 0.008) + tone(t, 3 * f, 0.012)]
     sound = {"hum50": hum(50), "hum60": hum(60), "clean": lambda t: [hiss(t, 4, 0.05)], "rumble": lambda t: [hiss(t, 5, 0.002) + tone(t, 8, 0.5) + tone(t, 1000, 0.1)]}
     return AU.lowfreq_scan(synthetic(spark, dict.fromkeys(sound, 20.0), sound, sr=4000, chunk=16384), 4000, 16384)
 
 
-@query
 def wow_flutter(spark, sf):
     """A 315 Hz tone whose frequency varies by 0.1 % (RMS) at 0.55 Hz, and a steady one."""
 
@@ -80,25 +70,21 @@ def ladder(spark: SparkSession) -> DataFrame:
     return synthetic(spark, {"ladder": 25.0}, {"ladder": sound}, sr=48000, chunk=12000)
 
 
-@query
 def tone_sweep(spark, sf):
     response, apart = AU.tone_sweep(ladder(spark), 48000, 12000)
     return response.join(apart.select("file", "channel_separation_db", "channel_separation_min_db", "verdict_key"), "file")
 
 
-@query
 def tone_steps(spark, sf):
     return AU.tone_steps(ladder(spark), 48000, 12000)
 
 
-@query
 def loudness_r128(spark, sf):
     """A 997 Hz sine of full scale in one channel is defined as -3.01 LUFS; one 20 dB lower is -23.01."""
     sound = {"full": lambda t: [tone(t, 997, 1.0)], "low": lambda t: [tone(t, 997, 0.1)]}
     return AU.loudness(synthetic(spark, dict.fromkeys(sound, 8.0), sound, sr=48000, chunk=24000), 24000)
 
 
-@query
 def band_edge_audio(spark, sf):
     """Noise of many tones up to 3 kHz only, and up to the top, at 8 kHz."""
 

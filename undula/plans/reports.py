@@ -1,4 +1,4 @@
-"""Whole reports on made-up recordings; SQL has no transforms, so tests check the known answers."""
+"""Whole reports on made-up recordings with known answers, for tests; the queries themselves report on the recordings of ``plans.recordings``."""
 
 from __future__ import annotations
 
@@ -10,17 +10,11 @@ from undula.plans.audio import TAU, hiss
 from undula.sources import store
 from undula.sources.pcm import synthetic
 
-QUERIES, ORACLE = {}, {}
 SR, CHUNK = 8000, 8192
 EDGE = {"min_hz": 1000.0}
 INFO = "file string, name string, codec string, sample_rate int, channels int, duration double, size long"
 
 
-def query(f):
-    QUERIES[f.__name__] = f
-    return f
-
-
 def _band(t, top: int, seed: int):
     """Four sweeps a second from 0 up to a frequency, over a little noise."""
     u = t - F.floor(t * 4) / 4
@@ -45,7 +39,6 @@ def versions(spark):
     return make(lambda t: [music(t) + clicks(t)]), make(lambda t: [music(t + 0.1) * 0.5])
 
 
-@query
 def analyse(spark, sf):
     """Level of each channel's loudest bin over a slice of time."""
     chunks, _ = collection(spark)
@@ -53,25 +46,21 @@ def analyse(spark, sf):
     return rows.groupBy("file", "ch").agg((F.max("col") + 1).alias("columns"), F.bround(F.max("db"), 3).alias("top_db"))
 
 
-@query
 def band_report(spark, sf):
     chunks, info = collection(spark)
     return RP.band_report(chunks, info.select("file", "codec"), P.Params(start=1.0), SR, CHUNK, **EDGE)
 
 
-@query
 def quickcheck(spark, sf):
     chunks, info = collection(spark)
     return RP.quickcheck(chunks, info, SR, CHUNK, seconds=4.0, **EDGE)
 
 
-@query
 def summary(spark, sf):
     chunks, info = collection(spark)
     return RP.summary(chunks, info, P.Params(nfft=1024), SR, CHUNK, **EDGE)
 
 
-@query
 def scan_folder(spark, sf):
     """A scan of which one of two results is stored already."""
     chunks, info = collection(spark)
@@ -80,13 +69,11 @@ def scan_folder(spark, sf):
     return RP.scan(files, index, chunks, info, SR, CHUNK, seconds=4.0, **EDGE)[2]
 
 
-@query
 def null_report(spark, sf):
     a, b = versions(spark)
     return RP.null_report(a, b, P.Params(), SR, CHUNK)
 
 
-@query
 def null_residual(spark, sf):
     a, b = versions(spark)
     return RP.residual(a, b, P.Params(), SR, CHUNK)[1]
