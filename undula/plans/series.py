@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from undula.operators import series as SE
 from undula.plans import hosting as H
 from undula.plans.hosting import sql
+from undula.sources import store, wav
 
 QUERIES, ORACLE = {}, {}
 
@@ -120,3 +121,14 @@ def recursive_levels(spark, sf):
         return out.select(F.lit(size).alias("chunk"), "file", (F.col("chunk") * size + F.col("k")).alias("pos"), rounded("y"))
 
     return by(64).unionByName(by(1000))
+
+
+@query(sql("SELECT file, col, round(list_sum(list_transform(x, lambda v: v)), 6) + 0.0 AS total, round(list_sum(list_transform(x, lambda v, i: v * i)), 6) + 0.0 AS moment FROM frames"))
+def wav_round_trip(spark, sf):
+    """The recordings written as WAV sound to the shared folder and read back by ranges of bytes: two sums of each frame."""
+    folder = store.shared_folder(spark, "wav")
+    wav.write_wav(vectors(spark, sf).withColumn("sr", F.lit(8000)), folder, CHUNK)
+    read = wav.read_wav(spark, folder, chunk=CHUNK, split=CHUNK * 4 * 5)
+    x = F.transform("x", lambda v: v.cast("double"))
+    total = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, v: s + v), 6) + 0.0
+    return read.select(F.col("file").cast("int").alias("file"), F.col("chunk").alias("col"), total(x).alias("total"), total(F.transform(x, lambda v, i: v * (i + 1))).alias("moment"))

@@ -52,7 +52,11 @@ def decode_wav(content: bytes, start: float = 0.0, seconds: float | None = None)
     f = parse_wav(content)
     first = int(start * f["rate"]) * f["align"]
     size = f["bytes"] if seconds is None else min(f["bytes"], first + int(seconds * f["rate"]) * f["align"])
-    raw = content[f["at"] + first : f["at"] + size]
+    return f["rate"], samples_of_bytes(content[f["at"] + first : f["at"] + size], f)
+
+
+def samples_of_bytes(raw: bytes, f: dict) -> np.ndarray:
+    """Samples by channel, from -1 to 1, of a piece of the data of a file with format ``f``; a broken last sample is left out."""
     raw = raw[: len(raw) // f["align"] * f["align"]]
     if f["code"] == 3:
         x = np.frombuffer(raw, "<f4" if f["bits"] == 32 else "<f8").astype(np.float32)
@@ -63,7 +67,7 @@ def decode_wav(content: bytes, start: float = 0.0, seconds: float | None = None)
         x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8).astype(np.float32) / 2**23
     else:
         x = np.frombuffer(raw, f"<i{f['bits'] // 8}").astype(np.float32) / 2.0 ** (f["bits"] - 1)
-    return f["rate"], x.reshape(-1, f["channels"]).T
+    return x.reshape(-1, f["channels"]).T
 
 
 def encode_wav(rate: int, samples: np.ndarray) -> bytes:
