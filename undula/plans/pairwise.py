@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from undula.functions import scalar as S
 from undula.operators import pairs as PR
 from undula.operators import spectrum as SP
-from undula.plans.hosting import DF, frames, spectra, sql, table
+from undula.plans.hosting import DF, frames, neighbours, spectra, sql, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -47,16 +47,15 @@ def spectra_diff_stats(spark, sf):
 
 
 def _neighbours(spark, sf):
-    """(a, b, col, bin, db) of each recording and of the one that follows it."""
+    """(a, b, col, bin, db) of each recording and of the next one there is."""
     rows = spectra(spark, sf).select("file", "col", "bin", S.level_db(F.col("mag"), 1.0).alias("db"))
-    place = lambda k: rows.select((F.col("file") - k).alias("a"), (F.col("file") + 1 - k).alias("b"), "col", "bin", "db")
-    return place(0), place(1)
+    return neighbours(rows)
 
 
 @query(sql("""
 SELECT a, b, CAST(lag AS INTEGER) AS lag, cols, round(score, 6) AS score FROM (
   SELECT a.file AS a, b.file AS b, lag, count(DISTINCT a.col) AS cols, avg(abs(20 * log10(greatest(a.mag, 1e-12)) - 20 * log10(greatest(b.mag, 1e-12)))) AS score
-  FROM (SELECT unnest(generate_series(-8, 8)) AS lag), spectra a JOIN spectra b ON a.bin = b.bin AND b.file = a.file + 1 WHERE a.col = b.col + lag GROUP BY 1, 2, 3) WHERE cols >= 8"""))
+  FROM (SELECT unnest(generate_series(-8, 8)) AS lag), spectra a JOIN nexts n ON n.a = a.file JOIN spectra b ON a.bin = b.bin AND b.file = n.b WHERE a.col = b.col + lag GROUP BY 1, 2, 3) WHERE cols >= 8""", "nexts AS (SELECT file AS a, lead(file) OVER (ORDER BY file) AS b FROM (SELECT DISTINCT file FROM frames))"))
 def lag_scores(spark, sf):
     """Mean absolute distance of each recording and the one that follows it, by lag."""
     x, y = _neighbours(spark, sf)
@@ -170,8 +169,8 @@ def remap_axis(spark, sf):
 @query(sql("""
 SELECT file, CAST(t AS BIGINT) AS col, round(sum(CASE WHEN e.col = floor(a) THEN v * (1 - (a - floor(a))) ELSE v * (a - floor(a)) END), 6) AS db
 FROM (SELECT file, t, least(t * ((n - 1.000001::DOUBLE) / 15), n - 1.000001::DOUBLE) AS a FROM (SELECT file, count(*) AS n, unnest(generate_series(0, 15)) AS t FROM frames GROUP BY file))
-JOIN (SELECT file, col, list_sum(list_transform(x[1:8], lambda v: v * v)) AS v FROM frames) e USING (file) WHERE e.col = floor(a) OR e.col = floor(a) + 1 GROUP BY 1, 2"""))
+JOIN (SELECT file, col, list_sum(list_transform(x, lambda v: v * v)) AS v FROM frames) e USING (file) WHERE e.col = floor(a) OR e.col = floor(a) + 1 GROUP BY 1, 2"""))
 def resample_columns(spark, sf):
     """All frames of each recording squeezed to 16 columns."""
-    e = frames(spark, sf).select("file", "col", F.aggregate(F.slice("x", 1, 8), F.lit(0.0), lambda s, v: s + v * v).alias("db"))
+    e = frames(spark, sf).select("file", "col", F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v).alias("db"))
     return PR.resampled_columns(e, 16, "file").withColumn("db", r6("db"))

@@ -30,12 +30,12 @@ def r6(c):
 
 @query(sql("""
 SELECT file, col, round(db, 6) AS energy_db FROM (
-  SELECT file, col, 10 * log10(list_sum(list_transform(x[1:32], lambda v: v * v)) + 1e-30) AS db,
+  SELECT file, col, 10 * log10(list_sum(list_transform(x, lambda v: v * v)) + 1e-30) AS db,
     row_number() OVER (PARTITION BY file ORDER BY list_sum(list_transform(x, lambda v: v * abs(v))) DESC, col) AS rank FROM frames)
 WHERE rank <= 5"""))
 def frame_energy(spark, sf):
-    """The five frames of each recording with the largest signed energy, and the energy of its first half in dB."""
-    e = frames(spark, sf).withColumn("e", A.total(F.transform(F.slice("x", 1, 32), lambda v: v * v))).withColumn("s", A.total(F.transform("x", lambda v: v * F.abs(v))))
+    """The five frames of each recording with the largest signed energy, and their energy in dB."""
+    e = frames(spark, sf).withColumn("e", A.total(F.transform("x", lambda v: v * v))).withColumn("s", A.total(F.transform("x", lambda v: v * F.abs(v))))
     rank = F.row_number().over(W.partitionBy("file").orderBy(F.col("s").desc(), "col"))
     return e.withColumn("rank", rank).filter("rank <= 5").select("file", "col", r6(S.power_db(F.col("e"))).alias("energy_db"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from undula.operators import events as EV
 from undula.operators import levels as LV
-from undula.plans.hosting import series, sql, table
+from undula.plans.hosting import neighbours, series, sql, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -135,18 +135,19 @@ def dynamics_note(spark, sf):
 
 
 @query("""
-SELECT count(*) AS n, round(sum(l * r) / (sqrt(sum(l * l) * sum(r * r)) + 1e-12), 6) AS correlation,
+WITH hours AS (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS h, sum(value) AS v FROM events GROUP BY 1, 2),
+nexts AS (SELECT event_type AS a, lead(event_type) OVER (ORDER BY event_type) AS b FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL))
+SELECT a, b, count(*) AS n, round(sum(l * r) / (sqrt(sum(l * l) * sum(r * r)) + 1e-12), 6) AS correlation,
   round(10 * log10((sum(pow((l - r) / 2, 2)) + 1e-12) / (sum(pow((l + r) / 2, 2)) + 1e-12)), 6) AS side_ratio_db, sum(pow((l - r) / 2, 2)) < 1e-9 * (sum(pow((l + r) / 2, 2)) + 1e-12) AS identical_channels
-FROM (SELECT h, sum(value) FILTER (event_type = lo) AS l, sum(value) FILTER (event_type = hi) AS r FROM (
-  SELECT time_bucket(INTERVAL 1 HOUR, ts) AS h, event_type, value, min(event_type) OVER () AS lo, max(event_type) OVER () AS hi FROM events) GROUP BY h) WHERE l IS NOT NULL AND r IS NOT NULL""")
+FROM (SELECT a, b, x.v AS l, y.v AS r FROM nexts JOIN hours x ON x.event_type = a JOIN hours y ON y.event_type = b AND y.h = x.h) GROUP BY a, b""")
 def stereo_stats(spark, sf):
-    """Two event types, summed by the hour, as the channels of one recording."""
-    e = table(spark, sf, "events")
-    lo, hi = e.agg(F.min("event_type"), F.max("event_type")).first()
+    """Each event type and the next one, summed by the hour, as the channels of one recording."""
     hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
-    pairs = e.groupBy(hour.alias("h")).agg(F.sum(F.when(F.col("event_type") == lo, F.col("value"))).alias("l"), F.sum(F.when(F.col("event_type") == hi, F.col("value"))).alias("r"))
-    out = LV.stereo_stats(pairs.filter("l IS NOT NULL AND r IS NOT NULL"))
-    return out.select("n", r6("correlation").alias("correlation"), r6("side_ratio_db").alias("side_ratio_db"), "identical_channels")
+    hours = table(spark, sf, "events").filter("event_type IS NOT NULL").groupBy(F.col("event_type").alias("file"), hour.alias("h")).agg(F.sum("value").alias("v"))
+    left, right = neighbours(hours)
+    pairs = left.withColumnRenamed("v", "l").join(right.withColumnRenamed("v", "r"), ["a", "b", "h"])
+    out = LV.stereo_stats(pairs, "a", "b")
+    return out.select("a", "b", "n", r6("correlation").alias("correlation"), r6("side_ratio_db").alias("side_ratio_db"), "identical_channels")
 
 
 @query("""
