@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from undula.functions import scalar as S
+from undula.functions import templates
 from undula.operators import index as IX
 from undula.plans.hosting import table
 
@@ -156,3 +157,25 @@ def upload_totals(spark, sf):
 @query("SELECT doc_id, sha1('{\"lang\":\"' || lang || '\",\"n\":' || n_chars || '}') AS key FROM documents")
 def cache_keys(spark, sf):
     return table(spark, sf, "documents").select("doc_id", IX.cache_key(F.col("lang").alias("lang"), F.col("n_chars").alias("n")).alias("key"))
+
+
+TEMPLATES = [
+    ("en", "doc.long", "{source}: {kilo:.1f} thousand characters, {change:+.2f} dB, rate {rate:g}"), ("de", "doc.long", "{source}: {kilo:.1f} Tausend Zeichen, {change:+.2f} dB, Rate {rate:g}"),
+    ("de", "doc.short", "{n:.0f} Zeichen in {{{source}}}"), ("en", "doc.odd", "no {field} here"),
+]
+
+
+@query("""
+WITH rows AS (SELECT doc_id, source, n_chars / 1000.0::DOUBLE AS kilo, n_chars::DOUBLE AS n, (n_chars % 997 - 450) / 8.0::DOUBLE AS change, n_chars / 4.0::DOUBLE AS rate,
+  CASE WHEN n_chars % 5 = 0 THEN 'doc.odd' WHEN n_chars >= 1000 THEN 'doc.long' WHEN n_chars % 7 = 0 THEN 'doc.none' ELSE 'doc.short' END AS key FROM documents),
+texts AS (SELECT *, printf('%.1f', round_even(kilo, 1)) AS k1, CASE WHEN change < 0 THEN '-' ELSE '+' END || printf('%.2f', abs(round_even(change, 2))) AS c2, printf('%g', rate) AS g FROM rows)
+SELECT doc_id, lang, key, CASE key WHEN 'doc.none' THEN key WHEN 'doc.odd' THEN CASE lang WHEN 'en' THEN 'no {field} here' ELSE key END WHEN 'doc.short' THEN printf('%.0f', n) || ' Zeichen in {' || source || '}'
+  ELSE CASE lang WHEN 'en' THEN source || ': ' || k1 || ' thousand characters, ' || c2 || ' dB, rate ' || g ELSE source || ': ' || replace(k1, '.', ',') || ' Tausend Zeichen, ' || replace(c2, '.', ',') || ' dB, Rate ' || replace(g, '.', ',') END END AS text
+FROM texts, (VALUES ('en'), ('de')) l(lang)""")
+def message_texts(spark, sf):
+    """A message for every document in two languages, from templates that a table holds."""
+    n = F.col("n_chars")
+    key = F.when(n % 5 == 0, "doc.odd").when(n >= 1000, "doc.long").when(n % 7 == 0, "doc.none").otherwise("doc.short")
+    rows = table(spark, sf, "documents").select("doc_id", "source", (n / 1000.0).alias("kilo"), n.cast("double").alias("n"), ((n % 997 - 450) / 8.0).alias("change"), (n / 4.0).alias("rate"), key.alias("key"))
+    both = rows.withColumn("lang", F.explode(F.array(F.lit("en"), F.lit("de"))))
+    return templates.rendered(both, spark.createDataFrame(TEMPLATES, "lang string, key string, template string")).select("doc_id", "lang", "key", "text")
