@@ -72,3 +72,11 @@ def test_no_files(spark, tmp_path):
     assert wav.read_wav(spark, str(tmp_path)).count() == 0
     with pytest.raises(Exception, match="append"):
         table(spark, sound(), 64).write.format("wav").option("path", str(tmp_path)).mode("overwrite").save()
+
+
+def test_files_of_all_extensions_are_found(spark, tmp_path):
+    names = ["a.wav", "b.FLAC", "c.mp+", "d.8svx", "e.m2ts", "f.txt", "g", "h.mp4x", ".hidden.wav"]
+    for n in names:
+        (tmp_path / n).write_bytes(b"x")
+    got = {r["path"].rpartition("/")[2] for r in pcm.media_files(spark, str(tmp_path)).select("path").collect()}
+    assert got == {"a.wav", "b.FLAC", "c.mp+", "d.8svx", "e.m2ts"}

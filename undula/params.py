@@ -43,8 +43,8 @@ RULES = (
 
 @dataclass(frozen=True)
 class Params:
-    nfft: int = 4096
-    overlap: float = 0.5
+    nfft: int = 2048
+    overlap: float = 0.75
     window: str = "hann"
     channel: str = "mix"
     scale: str = "linear"
@@ -52,13 +52,13 @@ class Params:
     duration: float | None = None
     fmin: float = 0.0
     fmax: float | None = None
-    db_range: float = 96.0
+    db_range: float = 100.0
     db_top: float = 0.0
     normalize: bool = True
-    max_cols: int = 1200
+    max_cols: int = 4000
     rows: int = 550
     sr: int | None = None
-    lang: str = "en"
+    lang: str = "de"
 
     def validated(self) -> Params:
         """Numbers clamped to CLAMPED, frequency bounds put right; what breaks a rule of RULES raises."""

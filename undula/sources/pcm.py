@@ -20,8 +20,12 @@ CHUNKS = "file string, ch int, chunk long, sr int, x array<float>"
 PROBE = "path string, name string, sample_rate int, channels int, bits int, sample_fmt string, container string, codec string, duration double, size long, error string"
 #: Bytes of a file in which its format is looked for.
 HEAD = 1 << 20
-#: File name extensions that a folder is searched for: sound, and containers that may hold some.
-EXTENSIONS = tuple("wav wave aif aiff flac alac ape wv tta mp3 m4a aac ogg oga opus wma ac3 dts mka mp4 mkv mov webm".split())
+#: File name extensions that a folder is searched for; sound without loss, sound with loss, containers that may hold some.
+EXTENSIONS = (
+    "flac", "wav", "w64", "rf64", "aiff", "aif", "aifc", "caf", "au", "snd", "alac", "ape", "wv", "tta", "tak", "shn", "als", "mlp", "thd", "truehd", "dsf", "dff", "dsdiff", "bwf", "8svx", "voc", "sln", "pcm", "raw",
+    "mp3", "mp2", "mp1", "m4a", "m4b", "aac", "adts", "ogg", "oga", "opus", "spx", "vorbis", "wma", "asf", "ac3", "eac3", "dts", "dtshd", "amr", "awb", "gsm", "mpc", "mp+", "ra", "rm", "qcp", "aa", "aax", "sbc",
+    "mka", "mkv", "mp4", "mov", "m4v", "webm", "avi", "ts", "m2ts", "mts", "vob", "flv", "3gp", "3g2", "wtv", "ogv", "mxf",
+)
 
 
 def parse_wav(content: bytes, length: int | None = None) -> dict:
