@@ -42,7 +42,7 @@ def versions(spark):
 def analyse(spark, sf):
     """Level of each channel's loudest bin over a slice of time."""
     chunks, _ = collection(spark)
-    rows = RP.panels(RP.spectra(chunks, P.Params(nfft=512, channel="all", start=1.5, duration=2.0), CHUNK))
+    rows = RP.panels(RP.spectra(chunks, P.Params(nfft=512, overlap=0.5, channel="all", start=1.5, duration=2.0), CHUNK))
     return rows.groupBy("file", "ch").agg((F.max("col") + 1).alias("columns"), F.bround(F.max("db"), 3).alias("top_db"))
 
 
@@ -58,7 +58,7 @@ def quickcheck(spark, sf):
 
 def summary(spark, sf):
     chunks, info = collection(spark)
-    return RP.summary(chunks, info, P.Params(nfft=1024), SR, CHUNK, **EDGE)
+    return RP.summary(chunks, info, P.Params(nfft=1024, overlap=0.5), SR, CHUNK, **EDGE)
 
 
 def scan_folder(spark, sf):
