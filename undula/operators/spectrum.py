@@ -92,15 +92,14 @@ def spectral_edge(db: Column, df_hz: float, nyquist: float, *, min_drop: float =
     if last <= first:
         return F.lit(None).cast("struct<hz:double,drop_db:double,floor_db:double,steepness:double>")
 
-    def bounds(i: int) -> tuple[int, int, int]:
-        f = i * df_hz
-        return max(4, int((f - below_hz) / df_hz)), int((f + above_hz[0]) / df_hz), int(min(f + above_hz[1], nyquist) / df_hz)
-
-    usable = [(i, *bounds(i)) for i in range(first, last)]
-    usable = [u for u in usable if u[0] - u[1] >= 3 and u[3] - u[2] >= 3]
-    if not usable:
-        return F.lit(None).cast("struct<hz:double,drop_db:double,floor_db:double,steepness:double>")
-    ask = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("i", "b0", "a0", "a1"), u))) for u in usable))
+    def candidate(i: Column) -> Column:
+        """Bins from ``b0`` to the candidate and from ``a0`` to ``a1``: what lies just below and what lies above."""
+        f = i * F.lit(df_hz)
+        whole = lambda x: (x / F.lit(df_hz)).cast("int")
+        return F.struct(i.alias("i"), F.greatest(F.lit(4), whole(f - below_hz)).alias("b0"), whole(f + above_hz[0]).alias("a0"), whole(F.least(f + above_hz[1], F.lit(float(nyquist)))).alias("a1"))
+
+    # A rule over bin numbers, so that the expression stays small however many bins there are.
+    ask = F.filter(F.transform(F.sequence(F.lit(first), F.lit(last - 1)), candidate), lambda u: (u["i"] - u["b0"] >= 3) & (u["a1"] - u["a0"] >= 3))
 
     def edge(sm: Column) -> Column:
         def drop(u: Column) -> Column:
