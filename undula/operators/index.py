@@ -120,3 +120,38 @@ def limited(df: DataFrame, n: int, *order: str) -> tuple[DataFrame, bool]:
 
 def named_paths(paths: DataFrame, path: str) -> DataFrame:
     return paths.withColumn("name", base_name(F.col(path))).withColumn("slug", slug(F.col(path)))
+
+
+def delete_named(files: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, status) of each name asked for, once: ``delete`` if a file of that name exists, else ``unknown``.
+
+    ``files`` and ``names`` have a column ``name``.  Folders before a name asked for are ignored, as only the one folder is searched;
+    null and empty names are unknown under the name as asked.
+    """
+    asked = names.select(F.coalesce(F.nullif(base_name(F.col("name")), F.lit("")), F.col("name")).alias("name")).distinct()
+    there = files.select(F.col("name").alias("_name"), F.lit(True).alias("_there")).distinct()
+    found = asked.join(there, F.col("name") == F.col("_name"), "left")
+    return found.select("name", F.when(F.col("_there"), "delete").otherwise("unknown").alias("status"))
+
+
+def requested_missing(requested: DataFrame, existing: DataFrame, *keys: str) -> DataFrame:
+    """Rows of ``requested``, each once, whose keys ``existing`` lacks; null keys are equal to null keys."""
+    return requested.select(*keys).subtract(existing.select(*keys))
+
+
+def walk_order(path: Column) -> Column:
+    """Sorts paths folder by folder: the files of a folder by name, then its subfolders by name, each with all below it."""
+    parts = F.split(path, "/")
+    return F.transform(parts, lambda name, i: F.concat(F.when(i == F.size(parts) - 1, "0").otherwise("1"), name))
+
+
+def walked(files: DataFrame, limit: int, *, path: str = "path") -> tuple[DataFrame, DataFrame]:
+    """(the first ``limit`` visible files in folder order with ``place`` from 1, one row ``truncated``).
+
+    Names that begin with a dot, and all below such folders, are left out; null paths too.  Each task keeps its first
+    limit + 1 rows, so no whole sort takes place.
+    """
+    shown = files.filter(F.col(path).isNotNull() & ~F.exists(F.split(path, "/"), lambda name: name.startswith(".")))
+    first = shown.withColumn("_walk", walk_order(F.col(path))).orderBy("_walk").limit(limit + 1)
+    placed = first.withColumn("place", F.row_number().over(W.orderBy("_walk"))).drop("_walk")  # limit + 1 rows
+    return placed.filter(F.col("place") <= limit), placed.agg((F.count("*") > limit).alias("truncated"))

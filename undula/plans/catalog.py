@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from undula.functions import scalar as S
 from undula.functions import templates
 from undula.operators import index as IX
+from undula.operators import nested
 from undula.plans.hosting import table
 
 QUERIES, ORACLE = {}, {}
@@ -179,3 +180,55 @@ def message_texts(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "source", (n / 1000.0).alias("kilo"), n.cast("double").alias("n"), ((n % 997 - 450) / 8.0).alias("change"), (n / 4.0).alias("rate"), key.alias("key"))
     both = rows.withColumn("lang", F.explode(F.array(F.lit("en"), F.lit("de"))))
     return templates.rendered(both, spark.createDataFrame(TEMPLATES, "lang string, key string, template string")).select("doc_id", "lang", "key", "text")
+
+
+_NESTED = """
+WITH e AS (SELECT event_id, event_type, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+p AS (SELECT *, '/media/' || event_type || '/' || k || '.wav' AS own, '/media/' || event_type || '/' || user_id || '.wav' AS other FROM e),
+known AS (SELECT DISTINCT own AS path, 'lib/' || event_type || '/' || k AS shown FROM p WHERE k % 3 <> 0)
+SELECT event_id, '{"deep":{"list":[{"path":"' || coalesce(b.shown, other) || '"},"path",{"path":7}],"note":"{\\"path\\":\\"' || own || '\\"}","path":"' || coalesce(a.shown, own) || '"},"k":' || k || ',"path":"' || coalesce(a.shown, own) || '"}' AS stripped
+FROM p LEFT JOIN known a ON a.path = own LEFT JOIN known b ON b.path = other"""
+
+
+@query(_NESTED.replace("\\\\", "\\"))
+def strip_nested_paths(spark, sf):
+    """Server paths three deep in a document of each event, replaced where they are known."""
+    e = table(spark, sf, "events").select("event_id", "event_type", "user_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    place = lambda name: F.concat(F.lit("/media/"), "event_type", F.lit("/"), F.col(name).cast("string"), F.lit(".wav"))
+    own = e.withColumn("own", place("k")).withColumn("other", place("user_id"))
+    doc = F.concat(
+        F.lit('{ "path" : "'), "own", F.lit('", "deep": {"path":"'), "own", F.lit('", "list":[{"path": "'), "other", F.lit('"}, "path", {"path": 7}], "note":"{\\"path\\":\\"'), "own", F.lit('\\"}"}, "k": '), F.col("k").cast("string"), F.lit("}")
+    )
+    known = own.filter("k % 3 <> 0").select(F.col("own").alias("path"), F.concat(F.lit("lib/"), "event_type", F.lit("/"), F.col("k").cast("string")).alias("shown")).distinct()
+    return nested.strip_paths(own.withColumn("doc", doc), "doc", known).select("event_id", "stripped")
+
+
+@query("""WITH asked AS (SELECT DISTINCT CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE '' END || doc_id || '.flac' AS name FROM labels)
+SELECT name, CASE WHEN name IN (SELECT doc_id || '.flac' FROM documents WHERE doc_id % 7 <> 0) THEN 'delete' ELSE 'unknown' END AS status FROM asked""")
+def delete_by_name(spark, sf):
+    """Labelled files asked for by name, some with folders before it, some that never were there."""
+    doc = F.concat(F.col("doc_id").cast("string"), F.lit(".flac"))
+    files = table(spark, sf, "documents").filter("doc_id % 7 <> 0").select(doc.alias("name"))
+    names = table(spark, sf, "labels").select(F.concat(F.when(F.col("doc_id") % 2 == 0, "../a/").otherwise(""), F.when(F.col("doc_id") % 5 == 0, "x").otherwise(""), doc).alias("name"))
+    return IX.delete_named(files, names)
+
+
+
+@query("SELECT user_id, event_type FROM events WHERE value > 10 EXCEPT SELECT user_id, event_type FROM events WHERE value <= 10")
+def requested_missing(spark, sf):
+    """Users' event types with a level above 10 that have none at or below it."""
+    e = table(spark, sf, "events")
+    return IX.requested_missing(e.filter("value > 10"), e.filter("value <= 10"), "user_id", "event_type")
+
+
+@query("""
+WITH files AS (SELECT doc_id, source || '/' || CASE WHEN doc_id % 11 = 0 THEN '.cache/' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang || '/' END || doc_id || '.flac' AS path FROM documents),
+visible AS (SELECT *, string_split(path, '/') AS parts FROM files WHERE path NOT LIKE '%/.%'),
+placed AS (SELECT *, row_number() OVER (ORDER BY list_transform(parts, lambda name, i: CASE WHEN i = len(parts) THEN '0' ELSE '1' END || name)) AS place FROM visible)
+SELECT doc_id, path, place, (SELECT count(*) FROM visible) > 2000 AS truncated FROM placed WHERE place <= 2000""")
+def folder_walk(spark, sf):
+    """The first 2000 files, as a scan takes them, folder by folder, and whether there are more."""
+    some = lambda cond, text: F.when(cond, text).otherwise("")
+    path = F.concat("source", F.lit("/"), some(F.col("doc_id") % 11 == 0, ".cache/"), some(F.col("doc_id") % 3 != 0, F.concat("lang", F.lit("/"))), F.col("doc_id").cast("string"), F.lit(".flac"))
+    rows, more = IX.walked(table(spark, sf, "documents").select("doc_id", path.alias("path")), 2000)
+    return rows.join(F.broadcast(more))  # one row
