@@ -13,6 +13,11 @@ from undula.operators.quantiles import grouped_quantiles
 def difference_stats(a: DataFrame, b: DataFrame, keys: list[str], *by: str) -> DataFrame:
     """(keys, db) each -> median, mean, 90 % and largest absolute difference over the common keys, and a class."""
     d = a.withColumnRenamed("db", "_a").join(b.withColumnRenamed("db", "_b"), [*by, *keys]).withColumn("d", F.col("_a") - F.col("_b"))
+    return deviation_stats(d.select(*by, "d"), *by)
+
+
+def deviation_stats(d: DataFrame, *by: str) -> DataFrame:
+    """(by, d) -> median, mean, 90 % and largest absolute value of ``d``, and a class."""
     both = d.select(*by, F.explode(F.array(F.struct(F.lit(False).alias("_abs"), F.col("d").alias("_d")), F.struct(F.lit(True).alias("_abs"), F.abs("d").alias("_d"))))).select(*by, "col.*")
     q = grouped_quantiles(both, [*by, "_abs"], F.col("_d"), [0.5, 0.9], name="_q").groupBy(*by).agg(F.max(F.when(~F.col("_abs"), F.col("_q")[0])).alias("median_db"), F.max(F.when(F.col("_abs"), F.col("_q")[1])).alias("p90_abs_db"))
     sums = d.groupBy(*by).agg(F.avg(F.abs("d")).alias("mean_abs_db"), F.max(F.abs("d")).alias("max_abs_db"))

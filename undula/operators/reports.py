@@ -142,26 +142,6 @@ def scan(files: DataFrame, index: DataFrame, chunks: DataFrame, info: DataFrame,
     return rows, fresh, IX.scan_summary(rows)
 
 
-def compare(a: DataFrame, b: DataFrame, codecs: DataFrame, p: P.Params, sr: int, chunk: int, *, align: bool = True, **edge) -> DataFrame:
-    """Recordings of ``a`` against those of the same file in ``b``: offset, and how their spectra differ in the band that both fill.
-
-    Both are taken at one hop, so their columns stand for the same times.
-    """
-    p = p.validated()
-    p = P.Params(**{**p.__dict__, "channel": "mix" if p.channel == "all" else p.channel})
-    sides = [panels(spectra(x, p, chunk, pooled=False)).drop("ch") for x in (a, b)]
-    bands = [band_report(x, codecs, p, sr, chunk, **edge).select("file", F.coalesce("edge_hz", "signal_bandwidth_hz").alias(f"cutoff_{n}"), F.col("verdict_key").alias(f"verdict_{n}")) for n, x in (("a", a), ("b", b))]
-    lags = PR.align_lags(*sides, "file", bins=p.nfft // 2 + 1) if align else sides[0].select("file").distinct().withColumn("lag", F.lit(0))
-    about = lags.join(bands[0], "file").join(bands[1], "file").withColumn("band_hz", F.least("cutoff_a", "cutoff_b", F.lit(sr / 2)))
-    most = F.greatest(F.lit(4), F.floor(F.col("band_hz") / (sr / p.nfft)))
-    low = p.db_top - p.db_range
-    clipped = lambda df: df.withColumn("db", F.greatest("db", F.lit(low)))
-    left = clipped(sides[0]).join(about.select("file", "lag", most.alias("_most")), "file").filter(F.col("bin") < F.col("_most")).select("file", (F.col("col") - F.col("lag")).alias("col"), "bin", "db")
-    stats = PR.difference_stats(left, clipped(sides[1]), ["col", "bin"], "file")
-    out = about.join(stats, "file", "left").withColumn("offset_s", F.bround(F.col("lag") * F.lit(p.hop / sr), 4))
-    return out.select("file", "offset_s", "cutoff_a", "cutoff_b", "verdict_a", "verdict_b", F.bround("band_hz", 1).alias("band_hz"), *(F.bround(c, 2).alias(c) for c in ("median_db", "mean_abs_db", "p90_abs_db", "max_abs_db")), "diff_key", "level")
-
-
 def null_report(a: DataFrame, b: DataFrame, p: P.Params, sr: int, chunk: int, *, max_seconds: float = 300.0, least_seconds: float = 1.0) -> DataFrame:
     """What is left of each recording when the other, aligned and levelled, is taken away."""
     p = p.validated()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from undula import params as P
 from undula.operators import audio as AU
+from undula.operators import comparison as CM
 from undula.operators import frames as FR
 from undula.operators import reports as RP
 from undula.operators import series as SE
@@ -155,3 +156,18 @@ def null_report(spark, sf):
 def null_residual(spark, sf):
     a, b = versions(spark, sf)
     return RP.residual(a, b, P.Params(), SR, CHUNK, half=256)[1]
+
+
+@query
+def compare(spark, sf):
+    """Each recording against the next one there is: offset, band, and how their spectra differ."""
+    a, b = (_sound(df.select(F.col("a").alias("file"), "ch", "first", "x"), REPORT_SR) for df in H.neighbours(_pieces(spark, sf)))
+    return CM.compare(a, b, info(spark, sf).select("file", "codec"), SHORT, REPORT_SR, CHUNK)[0]
+
+
+@query
+def compare_panels(spark, sf):
+    """How many columns each panel of the comparison with the own later version has, and its loudest level."""
+    a, b = versions(spark, sf)
+    panels = CM.compare(a, b, info(spark, sf).select("file", "codec"), P.Params(nfft=64, overlap=0.5), SR, CHUNK, **EDGE)[1]
+    return panels.groupBy("file", "panel").agg(F.count("*").alias("columns"), F.bround(F.max(F.array_max("db")), 2).alias("top_db"))
