@@ -235,15 +235,19 @@ def tone_steps(chunks: DataFrame, sr: int, chunk: int, *, block: float = 0.25, l
     n = int(sr * block)
     if chunk % n:
         raise ValueError("a chunk must be a multiple of a block")
-    both = chunks.groupBy("file", "chunk").agg(F.array_sort(F.collect_list(F.struct("ch", "x"))).alias("c"))
-    both = both.select("file", "chunk", F.get("c", F.lit(0))["x"].alias("l"), F.coalesce(F.get("c", F.lit(1))["x"], F.get("c", F.lit(0))["x"]).alias("r"))
+    # One narrow row a file; a recording of one channel has it on both sides, and a side that ends before the other is silent from there on.
+    two = chunks.groupBy("file").agg((F.max("ch") > 0).alias("_two"))
+    side = lambda ch: F.max(F.when(F.col("ch") == ch, F.col("x")))  # noqa: E731  a chunk has one row for each channel
+    both = chunks.groupBy("file", "chunk").agg(side(0).alias("l"), side(1).alias("r")).join(small(two), "file")
+    none = F.array().cast("array<float>")
+    both = both.select("file", "chunk", F.coalesce("l", none).alias("l"), F.when(F.col("_two"), F.coalesce("r", none)).otherwise(F.coalesce("l", none)).alias("r"))
 
     @F.pandas_udf("array<struct<m:array<double>,l:array<double>,r:array<double>>>")
     def spectra(l: pd.Series, r: pd.Series) -> pd.Series:  # noqa: E741
         out = []
         for a, b in zip(l, r):
-            m = len(a) // n
-            x = [np.asarray(v[: m * n], np.float64).reshape(m, n) for v in (a, b)]
+            m = max(len(a), len(b)) // n
+            x = [np.pad(np.asarray(v[: m * n], np.float64), (0, max(0, m * n - len(v)))).reshape(m, n) for v in (a, b)]
             each = [dsp.magnitudes(v) ** 2 for v in (sum(x) / 2, *x)]
             out.append([dict(zip("mlr", one)) for one in zip(*each)])
         return pd.Series(out)
