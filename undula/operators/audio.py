@@ -24,7 +24,7 @@ from undula.operators import frames as FR
 from undula.operators import series as SE
 from undula.operators import spectrum as SP
 from undula.operators.quantiles import grouped_median
-from undula.operators.sized import small
+from undula.operators.sized import kept, small
 
 
 def mixed(chunks: DataFrame) -> DataFrame:
@@ -58,7 +58,11 @@ def stft(frames: DataFrame, window: str = "hann") -> DataFrame:
 
     @F.pandas_udf("array<float>")
     def mags(x: pd.Series) -> pd.Series:
-        return pd.Series(list(dsp.magnitudes(np.stack(x.to_numpy()).astype(np.float64), window).astype(np.float32))) if len(x) else pd.Series([], dtype=object)
+        out: list[np.ndarray] = []
+        # A few frames at a time, so that a task holds little besides its batch.
+        for at in range(0, len(x), 256):
+            out.extend(dsp.magnitudes(np.stack(x.iloc[at : at + 256].to_numpy()).astype(np.float64), window).astype(np.float32))
+        return pd.Series(out, dtype=object)
 
     return frames.select("file", "ch", F.col("frame").alias("col"), mags("x").alias("mags"))
 
@@ -372,8 +376,8 @@ def null_test_chunks(a: DataFrame, b: DataFrame, sr: int, chunk: int, *, seconds
 
 def edge_report(chunks: DataFrame, codecs: DataFrame, sr: int, chunk: int) -> DataFrame:
     """Band analysis at its fixed frame size, whatever the size of the picture."""
-    rows = FR.bins_of(stft(FR.hop_frames(mixed(chunks), P.REFERENCE_NFFT, P.REFERENCE_NFFT // 2, chunk)))
-    return SP.band_analysis(rows, codecs, sr, P.REFERENCE_NFFT)
+    columns = kept(stft(FR.hop_frames(mixed(chunks), P.REFERENCE_NFFT, P.REFERENCE_NFFT // 2, chunk)))
+    return SP.band_analysis(columns, codecs, sr, P.REFERENCE_NFFT)
 
 
 def samples_of(chunks: DataFrame, chunk: int) -> DataFrame:

@@ -61,14 +61,23 @@ def sliced(chunks: DataFrame, p: P.Params, chunk: int) -> DataFrame:
     return cut(chunks, chunk, F.lit(p.start or 0.0), None if p.duration is None else F.lit(p.duration))
 
 
-def spectra(chunks: DataFrame, p: P.Params, chunk: int, *, pooled: bool = True) -> DataFrame:
-    """(file, ch, col, bin, mag) of the channel and slice of time that ``p`` asks for."""
+def spectra_columns(chunks: DataFrame, p: P.Params, chunk: int, *, pooled: bool = True) -> DataFrame:
+    """(file, ch, col, mags) of the channel and slice of time that ``p`` asks for, stored: what follows reads it several times."""
     p = p.validated()
     held = projected(sliced(chunks, p, chunk), p.channel).withColumn("file", F.concat_ws(_PART, F.col("file").cast("string"), "ch"))
-    rows = FR.bins_of(AU.stft(FR.hop_frames(held, p.nfft, p.hop, chunk), p.window))
-    rows = FR.max_pool(rows, p.max_cols) if pooled else rows
+    columns = kept(AU.stft(FR.hop_frames(held, p.nfft, p.hop, chunk), p.window))
+    columns = SP.pooled_columns(columns, p.max_cols) if pooled else columns
     parts = F.split("file", _PART)
-    return rows.select(parts[0].alias("file"), parts[1].cast("int").alias("ch"), "col", "bin", "mag")
+    return columns.select(parts[0].alias("file"), parts[1].cast("int").alias("ch"), "col", "mags")
+
+
+def spectra(chunks: DataFrame, p: P.Params, chunk: int, *, pooled: bool = True) -> DataFrame:
+    """(file, ch, col, bin, mag) of the channel and slice of time that ``p`` asks for."""
+    return spectra_rows(spectra_columns(chunks, p, chunk, pooled=pooled))
+
+
+def spectra_rows(columns: DataFrame) -> DataFrame:
+    return columns.select("file", "ch", "col", F.posexplode("mags").alias("bin", "mag")).withColumn("bin", F.col("bin").cast("long"))
 
 
 def panels(rows: DataFrame, *, normalize: bool = True) -> DataFrame:
@@ -82,7 +91,7 @@ def panels(rows: DataFrame, *, normalize: bool = True) -> DataFrame:
 def band_report(chunks: DataFrame, codecs: DataFrame, p: P.Params, sr: int, chunk: int, **edge) -> DataFrame:
     """Band analysis of the mix at its fixed frame size, whatever that of ``p`` is, over the slice of time of ``p``."""
     fixed = P.Params(nfft=P.REFERENCE_NFFT, overlap=0.5, channel="mix", start=p.start, duration=p.duration)
-    return SP.band_analysis(spectra(chunks, fixed, chunk, pooled=False), codecs, sr, P.REFERENCE_NFFT, **edge)
+    return SP.band_analysis(spectra_columns(chunks, fixed, chunk, pooled=False), codecs, sr, P.REFERENCE_NFFT, **edge)
 
 
 def _with_band(info: DataFrame, band: DataFrame) -> DataFrame:
@@ -93,8 +102,8 @@ def quickcheck(chunks: DataFrame, info: DataFrame, sr: int, chunk: int, *, secon
     """A row for each recording (file, name, codec, duration, ...) from an excerpt of its middle."""
     starts = info.select("file", AU.centre(F.coalesce("duration", F.lit(0.0)), seconds).alias("_start"))
     middle = cut(chunks.join(starts, "file"), chunk, F.col("_start"), F.lit(seconds))
-    rows = spectra(middle, P.Params(nfft=nfft, overlap=0.5, max_cols=800), chunk)
-    band = SP.band_analysis(rows, info.select("file", "codec"), sr, nfft, **edge)
+    columns = spectra_columns(middle, P.Params(nfft=nfft, overlap=0.5, max_cols=800), chunk)
+    band = SP.band_analysis(columns, info.select("file", "codec"), sr, nfft, **edge)
     return _with_band(info, band).select(*info.columns, "cutoff_hz", "edge_hz", "pattern", "verdict_key", "level")
 
 

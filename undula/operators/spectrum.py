@@ -1,6 +1,6 @@
 """Long-term spectra, smoothing, band shares, band edges, steady tones.
 
-Spectra are rows (file, col, bin, mag).  Long-term spectra are aggregated by
+Spectra are rows (file, col, bin, mag), or columns (file, col, mags array).  Long-term spectra are aggregated by
 (file, bin) with partial aggregation; only then, with one row per bin, are they
 gathered into one array per file, whose length is fixed by the frame size.
 """
@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,8 +18,12 @@ from pyspark.sql import functions as F
 from undula import params as P
 from undula.functions import arrays as A
 from undula.functions.scalar import power_db
-from undula.operators.frames import block_of, clipped
+from undula.operators.frames import block_of, clipped, pool_factor
 from undula.operators.quantiles import grouped_median
+from undula.operators.sized import kept, small
+
+#: Bins of a column that go together.
+SLAB = 64
 
 
 def _power() -> Column:
@@ -33,6 +39,55 @@ def median_power(rows: DataFrame, *by: str) -> DataFrame:
     return grouped_median(rows, ["file", *by, "bin"], _power(), "power")
 
 
+def slabs(columns: DataFrame, *keys: str) -> DataFrame:
+    """(keys, slab, x): columns of magnitudes cut in runs of SLAB bins."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("mags") - 1) / SLAB).cast("int")), lambda s: F.struct(s.alias("slab"), F.slice("mags", s * SLAB + 1, SLAB).alias("x")))
+    return columns.select(*keys, F.explode(cut).alias("_s")).select(*keys, "_s.slab", "_s.x")
+
+
+def median_columns(columns: DataFrame, *by: str, most: int = 100_000) -> DataFrame:
+    """(file, keys, power array): ``median_power`` of columns as arrays, gathered; of groups beyond ``most`` columns by histograms."""
+    keys = ["file", *by]
+
+    @F.pandas_udf("array<double>")
+    def medians(x: pd.Series, n: pd.Series) -> pd.Series:
+        def one(v, k: int) -> np.ndarray:
+            places = (k - 1) // 2, k // 2
+            p = np.partition(np.asarray(v, np.float64).reshape(k, -1) ** 2, places, axis=0)
+            return p[places[0]] * 0.5 + p[places[1]] * 0.5
+
+        return pd.Series([one(v, k) for v, k in zip(x, n)], dtype=object)
+
+    large = kept(columns.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).drop("_n"))
+    long_ = not large.isEmpty()
+    few = columns.join(small(large), keys, "left_anti") if long_ else columns
+    # A slab of at most ``most`` columns is gathered.
+    met = slabs(few, *keys).groupBy(*keys, "slab").agg(F.collect_list("x").alias("x"))
+    met = met.select(*keys, "slab", medians(F.flatten("x"), F.size("x")).alias("p"))
+    out = met.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slab", "p"))), lambda s: s["p"])).alias("power"))
+    if long_:
+        rows = columns.join(small(large), keys, "left_semi").select(*keys, F.posexplode("mags").alias("bin", "mag"))
+        out = out.unionByName(gathered(median_power(rows, *by), F.col("power"), *by, name="power"))
+    return out
+
+
+def pooled_columns(columns: DataFrame, max_cols: int) -> DataFrame:
+    """``frames.max_pool`` of columns as arrays: (file, col, mags)."""
+
+    @F.pandas_udf("array<float>")
+    def largest(x: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(v, np.float32).reshape(k, -1).max(axis=0) for v, k in zip(x, n)], dtype=object)
+
+    n = kept(columns.groupBy("file").agg((F.max("col") + 1).alias("n")).withColumn("p", pool_factor(F.col("n"), max_cols)))
+    if n.filter("p > 1").isEmpty():
+        return columns.select("file", "col", "mags")
+    sized = columns.join(small(n.drop("n")), "file")
+    short = sized.filter("p = 1").select("file", "col", "mags")
+    runs = slabs(sized.filter("p > 1").withColumn("col", F.floor(F.col("col") / F.col("p")).cast("long")), "file", "col").groupBy("file", "col", "slab").agg(F.collect_list("x").alias("x"))
+    top = runs.select("file", "col", "slab", largest(F.flatten("x"), F.size("x")).alias("m"))
+    return short.unionByName(top.groupBy("file", "col").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slab", "m"))), lambda s: s["m"])).alias("mags")))
+
+
 def gathered(spectrum: DataFrame, value: Column, *by: str, name: str = "db") -> DataFrame:
     """One row for each file (and key): the values in order of bins."""
     pairs = spectrum.groupBy("file", *by).agg(F.array_sort(F.collect_list(F.struct("bin", value.alias("v")))).alias("p"))
@@ -40,8 +95,8 @@ def gathered(spectrum: DataFrame, value: Column, *by: str, name: str = "db") ->
 
 
 def relative_db(spectrum: DataFrame, *by: str) -> DataFrame:
-    """(file, keys, db array): dB below the strongest bin."""
-    found = gathered(spectrum, power_db(F.col("power")), *by)
+    """(file, keys, db array): dB below the strongest bin, of a row for each bin or of arrays."""
+    found = gathered(spectrum, power_db(F.col("power")), *by) if "bin" in spectrum.columns else spectrum.select("file", *by, F.transform("power", lambda v: power_db(v)).alias("db"))
     return found.select("file", *by, A.let(F.array_max("db"), lambda m: F.transform("db", lambda v: v - m)).alias("db"))
 
 
@@ -130,18 +185,24 @@ def with_blocks(rows: DataFrame, per_block: int, most: int) -> DataFrame:
     """Add ``block``, of clip(columns // per_block, 1, most) nearly equal runs of columns."""
     n = rows.groupBy("file").agg((F.max("col") + 1).alias("n"))
     blocks = clipped(F.floor(F.col("n") / per_block), 1, most)
-    return rows.join(n, "file").withColumn("blocks", blocks).withColumn("block", block_of(F.col("col"), F.col("n"), F.col("blocks")))
+    return rows.join(small(n) if "mags" in rows.columns else n, "file").withColumn("blocks", blocks).withColumn("block", block_of(F.col("col"), F.col("n"), F.col("blocks")))
 
 
 def band_analysis(rows: DataFrame, codecs: DataFrame, sr: int, nfft: int, **edge) -> DataFrame:
-    """(file, codec) with bandwidth, edges by block, pattern and verdict key of each file."""
+    """(file, codec) with bandwidth, edges by block, pattern and verdict key of each file.
+
+    ``rows`` is read several times: columns as arrays, stored before, are the quick form.
+    """
     df_hz, nyquist = sr / nfft, sr / 2
     near = P.NEAR_NYQUIST * nyquist
-    whole = relative_db(median_power(rows))
+    medians = median_columns if "mags" in rows.columns else median_power
+    # A search for an edge takes long for its few bytes, so the spectra are dealt out by number.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = relative_db(medians(rows)).repartition(tasks, "file")
     whole = whole.select("file", signal_bandwidth(F.col("db"), df_hz).alias("signal_bandwidth_hz"), spectral_edge(F.col("db"), df_hz, nyquist, **edge).alias("full"), A.moving_mean(F.col("db"), max(1, int(150 / df_hz))).alias("sm"))
     blocked = with_blocks(rows, 25, 16)
     sizes = blocked.groupBy("file", "block").agg(F.countDistinct("col").alias("cols")).filter("cols >= 3")
-    per_block = relative_db(median_power(blocked, "block"), "block").join(sizes, ["file", "block"])
+    per_block = relative_db(medians(blocked, "block"), "block").join(sizes, ["file", "block"]).repartition(tasks, "file", "block")
     per_block = per_block.select("file", spectral_edge(F.col("db"), df_hz, nyquist, **edge).alias("e"))
     hit = F.col("e").isNotNull() & (F.col("e.hz") < near)
     stats = per_block.groupBy("file").agg(

@@ -16,6 +16,7 @@ from undula.operators import frames as FR
 from undula.operators import reports as RP
 from undula.operators import series as SE
 from undula.operators import spectrum as SP
+from undula.operators.sized import kept
 from undula.plans import hosting as H
 from undula.sources import store
 
@@ -110,8 +111,8 @@ def loudness_r128(spark, sf):
 
 @query
 def band_edge_audio(spark, sf):
-    rows = FR.bins_of(AU.stft(FR.hop_frames(mono(spark, sf), 512, 256, CHUNK)))
-    return SP.band_analysis(rows, info(spark, sf).select("file", "codec"), SR, 512, **EDGE)
+    columns = kept(AU.stft(FR.hop_frames(mono(spark, sf), 512, 256, CHUNK)))
+    return SP.band_analysis(columns, info(spark, sf).select("file", "codec"), SR, 512, **EDGE)
 
 
 @query
