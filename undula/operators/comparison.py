@@ -13,7 +13,7 @@ from undula.operators import pairs as PR
 from undula.operators import reports as RP
 from undula.operators import series as SE
 from undula.operators import spectrum as SP
-from undula.operators.sized import kept
+from undula.operators.sized import kept, small
 
 BANDS = 64
 
@@ -47,7 +47,7 @@ def compare(a: DataFrame, b: DataFrame, codecs: DataFrame, p: P.Params, sr: int,
     of common columns, in the band that both fill.  If a side is down to one column, that one stands against all of the other.
 
     Each side is cut and transformed once, into a stored table of arrays, a row a column; offsets, levels and panels come from
-    it.  Only the 64 band means of the offset search and the differences become rows of single values.
+    it.  The offset search works on blocks of columns; only its pooled columns and the differences become rows of single values.
     """
     p = p.validated()
     p = P.Params(**{**p.__dict__, "channel": "mix" if p.channel == "all" else p.channel})
@@ -55,14 +55,15 @@ def compare(a: DataFrame, b: DataFrame, codecs: DataFrame, p: P.Params, sr: int,
     both = kept(both)
     bins = p.nfft // 2 + 1
     columns = kept(AU.stft(FR.hop_frames(both, p.nfft, p.hop, chunk), p.window))
-    top = columns.groupBy("file").agg(F.max(F.array_max("mags")).cast("double").alias("_top"))
+    top = kept(columns.groupBy("file").agg(F.max(F.array_max("mags")).cast("double").alias("_top")))
     scale = F.when(F.col("_top") > 0, F.col("_top")).otherwise(1.0)
-    levels = _named(columns.join(top, "file").select("file", "col", F.transform("mags", lambda v: level_db(v / scale, 1.0)).alias("db")))
+    held = _named(columns.join(small(top), "file").select("file", "col", "mags", scale.alias("_scale")))
+    level = lambda mags, by: F.transform(mags, lambda v: level_db(v / F.col(by), 1.0))
 
     fixed = p.nfft == P.REFERENCE_NFFT and p.overlap == 0.5 and p.window == "hann"
-    framed = columns if fixed else AU.stft(FR.hop_frames(both, P.REFERENCE_NFFT, P.REFERENCE_NFFT // 2, chunk))
+    framed = columns if fixed else kept(AU.stft(FR.hop_frames(both, P.REFERENCE_NFFT, P.REFERENCE_NFFT // 2, chunk)))
     known = codecs.select("codec", F.explode(F.array(*(F.concat(F.lit(s), F.col("file").cast("string")) for s in "ab"))).alias("file"))
-    bands = kept(_named(SP.band_analysis(FR.bins_of(framed), known, sr, P.REFERENCE_NFFT, **edge).select("file", F.coalesce("edge_hz", "signal_bandwidth_hz").alias("cutoff"), "verdict_key")))
+    bands = kept(_named(SP.band_analysis(framed, known, sr, P.REFERENCE_NFFT, **edge).select("file", F.coalesce("edge_hz", "signal_bandwidth_hz").alias("cutoff"), "verdict_key")))
     of = lambda s: bands.filter(F.col("side") == s).select("file", F.col("cutoff").alias(f"cutoff_{s}"), F.col("verdict_key").alias(f"verdict_{s}"))
 
     sizes = _named(columns.groupBy("file").agg((F.max("col") + 1).alias("n")))
@@ -70,9 +71,8 @@ def compare(a: DataFrame, b: DataFrame, codecs: DataFrame, p: P.Params, sr: int,
     for s in "ab":
         about = about.join(sizes.filter(F.col("side") == s).select("file", F.col("n").alias(f"_n_{s}")), "file")
     if align:
-        means = kept(levels.select("side", "file", "col", _band_means(F.col("db"), bins).alias("m")))
-        rows = lambda s: means.filter(F.col("side") == s).select("file", "col", F.posexplode("m").alias("bin", "db"))
-        about = about.join(PR.align_lags(rows("a"), rows("b"), "file"), "file")
+        means = lambda s: held.filter(F.col("side") == s).select("file", "col", _band_means(level("mags", "_scale"), bins).alias("v"))
+        about = about.join(PR.align_columns(means("a"), means("b"), "file"), "file")
     else:
         about = about.withColumn("lag", F.lit(0).cast("long"))
     late = {"a": F.greatest(F.col("lag"), F.lit(0)), "b": F.greatest(-F.col("lag"), F.lit(0))}
@@ -81,14 +81,16 @@ def compare(a: DataFrame, b: DataFrame, codecs: DataFrame, p: P.Params, sr: int,
     about = kept(about)
 
     narrow = about.select("file", "lag", "_most", "_one")
-    shifted = levels.join(narrow, "file").withColumn("col", F.col("col") - F.when(F.col("side") == "a", late["a"]).otherwise(late["b"])).filter("col >= 0")
+    shifted = held.join(small(narrow), "file").withColumn("col", F.col("col") - F.when(F.col("side") == "a", late["a"]).otherwise(late["b"])).filter("col >= 0")
     shifted = shifted.withColumn("_key", F.when(F.col("_one"), 0).otherwise(F.col("col")))
     left, right = (shifted.filter(F.col("side") == s) for s in "ab")
-    matched = left.join(right.select("file", "_key", F.col("col").alias("_col"), F.col("db").alias("_db")), ["file", "_key"])
+    # Magnitudes are sent, half as wide as their levels.
+    matched = left.join(right.select("file", "_key", F.col("col").alias("_col"), F.col("mags").alias("_mags"), F.col("_scale").alias("_scale_b")), ["file", "_key"])
     low = p.db_top - p.db_range
     clip = lambda v: F.greatest(v, F.lit(float(low)))
-    matched = matched.select("file", F.greatest("col", "_col").alias("col"), "_most", F.zip_with("db", "_db", lambda x, y: clip(x) - clip(y)).alias("db"))
+    # The differences are read many times for their quantiles.
+    matched = kept(matched.select("file", F.greatest("col", "_col").alias("col"), "_most", F.zip_with(level("mags", "_scale"), level("_mags", "_scale_b"), lambda x, y: clip(x) - clip(y)).alias("db")))
     stats = PR.deviation_stats(matched.select("file", F.explode(F.slice("db", 1, F.col("_most"))).alias("d")), "file")
-    panels = shifted.select("file", F.col("side").alias("panel"), "col", "db").unionByName(matched.select("file", F.lit("diff").alias("panel"), "col", "db"))
+    panels = shifted.select("file", F.col("side").alias("panel"), "col", level("mags", "_scale").alias("db")).unionByName(matched.select("file", F.lit("diff").alias("panel"), "col", "db"))
     out = about.join(stats, "file", "left").withColumn("offset_s", F.bround(F.col("lag") * F.lit(p.hop / sr), 4))
     return out.select("file", "offset_s", "cutoff_a", "cutoff_b", "verdict_a", "verdict_b", F.bround("band_hz", 1).alias("band_hz"), *(F.bround(c, 2).alias(c) for c in ("median_db", "mean_abs_db", "p90_abs_db", "max_abs_db")), "diff_key", "level"), panels

@@ -49,8 +49,9 @@ def hop_frames(chunks: DataFrame, nfft: int, hop: int, chunk: int) -> DataFrame:
     cut = both.select(
         "file", "ch", "chunk", F.when(short, F.array_repeat(F.lit(0.0).cast("float"), nfft)).otherwise(joined).alias("x"), F.when(short, zero).otherwise(first).alias("first"), F.when(short, zero).otherwise(last).alias("last")
     ).filter("last >= first")
-    framed = cut.select("file", "ch", "chunk", "x", F.explode(F.sequence("first", "last")).alias("frame"))
-    return framed.select("file", "ch", "frame", F.slice("x", (F.col("frame") * hop - F.col("chunk") * chunk + 1).cast("int"), nfft).alias("x"))
+    # Frames are cut before they become rows: a row with its whole chunk would be held, and spilled, for each frame.
+    frames = F.transform(F.sequence("first", "last"), lambda f: F.struct(f.alias("frame"), F.slice("x", (f * hop - F.col("chunk") * chunk + 1).cast("int"), nfft).alias("x")))
+    return cut.select("file", "ch", F.inline(frames))
 
 
 def project_channel(left: Column, right: Column | None, channel: str) -> Column:

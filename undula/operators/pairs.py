@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from undula.functions.scalar import EPS
 from undula.operators.quantiles import grouped_quantiles
+from undula.operators.sized import kept, small
 
 
 def difference_stats(a: DataFrame, b: DataFrame, keys: list[str], *by: str) -> DataFrame:
@@ -47,6 +50,56 @@ def band_pooled(rows: DataFrame, bins: int, *by: str, bands: int = 64, col: str
     return rows.groupBy(*by, col, band.alias("bin")).agg(F.avg(value).alias(value))
 
 
+def column_arrays(rows: DataFrame, *by: str, value: str = "db") -> DataFrame:
+    """(keys, col, v): the values of a column in order of bins, with nulls for bins that it lacks."""
+    width = (rows.agg(F.max("bin").alias("n")).first()["n"] or 0) + 1
+    found = rows.groupBy(*by, "col").agg(F.map_from_entries(F.collect_list(F.struct(F.col("bin").cast("int").alias("k"), F.col(value).cast("double").alias("v")))).alias("m"))
+    return found.select(*by, "col", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.col("m")[k]).alias("v"))
+
+
+def _block_sums(i: int, j: int, first: int, last: int, a: np.ndarray, b: np.ndarray, block: int) -> list[dict]:
+    """For each lag of ``first`` to ``last``, and 0, that leads from block j of ``b`` into block i of ``a``: common columns, values, sum of absolute differences."""
+    out, whole = [], not (np.isnan(a).any() or np.isnan(b).any())
+    nearest, furthest = max(1 - block, first - (i - j) * block), min(block - 1, last - (i - j) * block)
+    apart = {*range(nearest, furthest + 1), *((k for k in ((j - i) * block,) if abs(k) < block))}
+    for d in sorted(apart):
+        n = block - abs(d)
+        diff = np.abs(a[max(d, 0) : max(d, 0) + n] - b[max(-d, 0) : max(-d, 0) + n])
+        met = np.full(n, diff.shape[1]) if whole else (~np.isnan(diff)).sum(axis=1)
+        if met.any():
+            out.append({"lag": (i - j) * block + d, "cols": int((met > 0).sum()), "n": int(met.sum()), "s": float(diff.sum() if whole else np.nansum(diff))})
+    return out
+
+
+def block_lag_scores(a: DataFrame, b: DataFrame, *by: str, block: int = 1024) -> DataFrame:
+    """(keys, lag, cols, score): ``lag_scores`` of columns as arrays, (keys, col, v), for the lags from ``_from`` to ``_to`` of ``b``, and 0, with at least its ``_least`` common columns.
+
+    Columns are put together in blocks, and a block of ``b`` meets the blocks of ``a`` that its lags reach, by an equi-join on the
+    block; so what is sent grows with the columns and not with the lags.
+    """
+
+    def blocks(df: DataFrame, *also: str) -> DataFrame:
+        # A block has a row for each of its columns, so what is gathered is bounded.
+        held = df.groupBy(*by, F.floor(F.col("col") / block).cast("long").alias("at")).agg(F.array_sort(F.collect_list(F.struct("col", "v"))).alias("c"), *(F.max(c).alias(c) for c in also))
+        return held.select(*by, "at", F.transform("c", lambda c: c["col"]).alias("cols"), F.flatten(F.transform("c", lambda c: c["v"])).alias("v"), *also)
+
+    @F.pandas_udf("array<struct<lag: long, cols: long, n: long, s: double>>")
+    def met(i: pd.Series, j: pd.Series, first: pd.Series, last: pd.Series, ca: pd.Series, va: pd.Series, cb: pd.Series, vb: pd.Series) -> pd.Series:
+        def matrix(at: int, cols, v) -> np.ndarray:
+            m = np.full((block, len(v) // len(cols)), np.nan)
+            m[np.asarray(cols) - at * block] = np.asarray(v, np.float64).reshape(len(cols), -1)
+            return m
+
+        return pd.Series([_block_sums(p, q, x, y, matrix(p, c, u), matrix(q, d, w), block) for p, q, x, y, c, u, d, w in zip(i, j, first, last, ca, va, cb, vb)])
+
+    low, high = F.floor((F.col("_j") * block + F.col("_from")) / block), F.floor((F.col("_j") * block + block - 1 + F.col("_to")) / block)
+    asked = blocks(b, "_from", "_to", "_least").withColumnsRenamed({"at": "_j", "cols": "_cols", "v": "_v"})
+    asked = asked.withColumn("at", F.explode(F.array_union(F.sequence(low.cast("long"), high.cast("long")), F.array("_j"))))
+    sums = blocks(a).join(asked, [*by, "at"]).select(*by, "_least", F.explode(met("at", "_j", "_from", "_to", "cols", "v", "_cols", "_v")).alias("r"))
+    scored = sums.groupBy(*by, "r.lag").agg(F.sum("r.cols").alias("cols"), (F.sum("r.s") / F.sum("r.n")).alias("score"), F.max("_least").alias("_least"))
+    return scored.filter(F.col("cols") >= F.col("_least")).drop("_least")
+
+
 def align_lags(a: DataFrame, b: DataFrame, *by: str, most: int = 600, value: str = "db", bins: int | None = None) -> DataFrame:
     """(keys, lag) for each pair of recordings: the lag in columns of the least penalised distance; 0 unless it is beaten by more than 2 %.
 
@@ -55,25 +108,32 @@ def align_lags(a: DataFrame, b: DataFrame, *by: str, most: int = 600, value: str
     """
     if bins is not None:
         a, b = band_pooled(a, bins, *by, value=value), band_pooled(b, bins, *by, value=value)
+    return align_columns(column_arrays(a, *by, value=value), column_arrays(b, *by, value=value), *by, most=most)
+
+
+def align_columns(a: DataFrame, b: DataFrame, *by: str, most: int = 600) -> DataFrame:
+    """``align_lags`` of columns as arrays (keys, col, v)."""
     size = lambda df, name: df.groupBy(*by).agg((F.max("col") + 1).alias(name))
     n, limit, k = F.least("_n_a", "_n_b"), F.col("_limit"), F.col("_k")
-    sizes = size(a, "_n_a").join(size(b, "_n_b"), list(by)).withColumn("_n", n)
+    sizes = kept(size(a, "_n_a").join(size(b, "_n_b"), list(by)).withColumn("_n", n))
     sizes = sizes.withColumn("_limit", F.least(F.lit(most), F.floor(F.col("_n") / 4)).cast("int")).withColumn("_k", F.greatest(F.lit(1), F.ceil(F.col("_n") / 400)).cast("int"))
     wide = sizes.filter("_n >= 8 AND _limit >= 1")
     penalised = lambda lag: F.col("score") * (1.0 + F.lit(0.08) * F.abs(lag) / limit.cast("double"))
-    about = lambda df, of: df.join(of.select(*by, "_n_a", "_n_b", "_n", "_limit", "_k"), list(by))
+    about = lambda df, of: df.join(small(of.select(*by, "_n_a", "_n_b", "_n", "_limit", "_k")), list(by))
 
     def pooled(df: DataFrame, cols: str) -> DataFrame:
         part = about(df, wide.filter("_k > 1")).filter(F.col("col") < F.floor(F.col(cols) / k) * k)
-        return part.groupBy(*by, "bin", F.floor(F.col("col") / k).alias("col")).agg(F.avg(value).alias(value), *(F.max(c).alias(c) for c in ("_n", "_limit", "_k")))
+        means = part.select(*by, F.floor(F.col("col") / k).alias("col"), F.posexplode("v").alias("bin", "v")).groupBy(*by, "col", "bin").agg(F.avg("v").alias("v"))
+        return means.groupBy(*by, "col").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "v"))), lambda s: s["v"]).alias("v"))
 
     reach = F.floor(limit / k).cast("int")
-    coarse = lag_scores(pooled(a, "_n_a"), pooled(b, "_n_b"), F.sequence(-reach, reach), *by, least=F.greatest(F.lit(8), F.floor(0.7 * F.floor(F.col("_n") / k))), value=value)
-    centre = about(coarse, wide).groupBy(*by).agg((F.min(F.struct(penalised(F.col("lag") * k).alias("s"), "lag")).getField("lag") * F.max("_k")).alias("_centre"))
+    asked = about(pooled(b, "_n_b"), wide).select(*by, "col", "v", (-reach).alias("_from"), reach.alias("_to"), F.greatest(F.lit(8), F.floor(0.7 * F.floor(F.col("_n") / k))).alias("_least"))
+    coarse = block_lag_scores(pooled(a, "_n_a"), asked, *by)
+    centre = about(coarse, wide).filter(F.abs("lag") <= reach).groupBy(*by).agg((F.min(F.struct(penalised(F.col("lag") * k).alias("s"), "lag")).getField("lag") * F.max("_k")).alias("_centre"))
     fine = wide.join(centre, list(by), "left").withColumn("_centre", F.coalesce("_centre", F.lit(0)))
     fine = fine.withColumn("_from", F.when(k > 1, F.greatest(-limit, F.col("_centre") - k)).otherwise(-limit)).withColumn("_to", F.when(k > 1, F.least(limit, F.col("_centre") + k)).otherwise(limit))
-    asked = F.array_distinct(F.concat(F.sequence("_from", "_to"), F.array(F.lit(0))))
-    scores = lag_scores(a, b.join(fine.select(*by, "_n", "_from", "_to"), list(by)), asked, *by, least=F.greatest(F.lit(8), F.floor(0.7 * F.col("_n"))), value=value)
+    fine = kept(fine.withColumn("_least", F.greatest(F.lit(8), F.floor(0.7 * F.col("_n")))))
+    scores = block_lag_scores(a, b.join(small(fine.select(*by, "_from", "_to", "_least")), list(by)), *by)
     scores = scores.join(fine.select(*by, "_limit", "_from", "_to"), list(by)).withColumn("penalised", penalised(F.col("lag")))
     best = scores.groupBy(*by).agg(F.min(F.when(F.col("lag").between(F.col("_from"), F.col("_to")), F.struct("penalised", "lag"))).alias("m"), F.max(F.when(F.col("lag") == 0, F.col("score"))).alias("zero"))
     keep = F.col("zero").isNotNull() & F.col("m").isNotNull() & (F.col("zero") <= F.col("m.penalised") * 1.02)
