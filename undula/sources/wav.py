@@ -24,7 +24,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from undula.sources.pcm import CHUNKS, HEAD, encode_wav, parse_wav, samples_of_bytes
 
 WRITTEN = "file string, first long, sr int, x array<array<float>>"
+#: A read has about so many tasks at most, and each at least as many ranges as that takes.
+MOST_TASKS = 256
 #: Names of parts: the first sample, in so many digits that names sort like numbers.
 _PART = re.compile(r"(.*)/(\d{15})\.wav$")
 
@@ -65,7 +67,7 @@ def _head(store: fs.FileSystem, path: str, size: int) -> dict:
 
 @dataclass
 class Range(InputPartition):
-    """Samples ``first`` to ``end`` of a file, which are ``base`` further on in their recording."""
+    """Samples ``first`` to ``end`` of a file, which are ``base`` further on in their recording, and ranges that the same task reads after it."""
 
     path: str
     file: str
@@ -73,6 +75,7 @@ class Range(InputPartition):
     base: int
     first: int
     end: int
+    more: tuple[Range, ...] = ()
 
 
 class WavReader(DataSourceReader):
@@ -93,9 +96,17 @@ class WavReader(DataSourceReader):
             each = max(1, self.split // (head["align"] * self.chunk)) * self.chunk
             total = head["bytes"] // head["align"]
             out += [Range(path, file.rpartition("/")[2], head, base, first, min(total, first + each)) for first in range(0, total, each)]
+        # However small a range is, the tasks do not grow with the sound.
+        each = -(-len(out) // MOST_TASKS)
+        if each > 1:
+            out = [replace(out[k], more=tuple(out[k + 1 : k + each])) for k in range(0, len(out), each)]
         return out or [Range("", "", {}, 0, 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        for one in (partition, *partition.more):
+            yield from self._read(one)
+
+    def _read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
         head = partition.head
