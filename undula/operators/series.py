@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from undula.operators.batches import DOUBLES, by_slices
 from undula.operators.events import running_sum
 from undula.operators.sized import small
 
@@ -96,8 +97,7 @@ def resampled(chunks: DataFrame, up: int, down: int, chunk: int, *, half: int =
     if reach > chunk:
         raise ValueError("the filter does not fit a chunk")
 
-    @F.pandas_udf("array<double>")
-    def filtered(at: pd.Series, left: pd.Series, x: pd.Series, right: pd.Series) -> pd.Series:
+    def samples(at: pd.Series, left: pd.Series, x: pd.Series, right: pd.Series) -> list[np.ndarray]:
         out = []
         for k, a, v, b in zip(at, left, x, right):
             a, v, b = _array(a), _array(v), _array(b)
@@ -106,8 +106,9 @@ def resampled(chunks: DataFrame, up: int, down: int, chunk: int, *, half: int =
             m = np.arange(-(-start * up // down), -(-(start + len(v)) * up // down))
             place, phase = np.divmod(m * down, up)
             out.append((padded[(place - start)[:, None] + np.arange(2 * reach + 1)] * taps[phase]).sum(1))
-        return pd.Series(out)
+        return out
 
+    filtered = by_slices(samples, "array<double>", DOUBLES)
     first = F.expr(f"(cast(chunk AS long) * {chunk * up}L + {down - 1}) div {down}")
     return with_margins(chunks, reach, reach).select(*KEYS, first.alias("first"), filtered("chunk", "left", "x", "right").alias("x"))
 
