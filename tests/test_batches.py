@@ -35,3 +35,14 @@ def test_rates_are_made_by_slices(spark, monkeypatch):
     series = lambda: np.concatenate([r.x for r in SE.resampled(chunks, 3, 2, 16, half=4).orderBy("first").collect()])
     whole, made = series(), sliced(monkeypatch, SE)
     assert np.array_equal(series(), whole) and made
+
+
+def test_a_long_series_is_sent_by_spans(spark):
+    x = np.random.default_rng(6).normal(size=4 * 700)
+    chunks = spark.createDataFrame([(1, 0, k, x[k * 4 : k * 4 + 4].tolist()) for k in range(700)], "file int, ch int, chunk long, x array<double>")
+    rows = chunks.select("file", "ch", F.lit(700).cast("long").alias("n1"), F.col("chunk").alias("row"), F.col("x").alias("re"))
+    assert SE._sent(rows, 4, 2).count() == 2 * -(-700 // SE.SPAN)  # two blocks of columns, and no row for each chunk
+    signed = np.abs(np.fft.fftfreq(len(x)))
+    want = np.fft.ifft(np.where((signed >= 0.1) & (signed <= 0.2), np.fft.fft(x), 0)).real
+    out = np.concatenate([r.x for r in SE.band_passed(chunks, 4, 0.1, 0.2, cells=1 << 10).orderBy("chunk").collect()])
+    assert np.allclose(out, want, atol=1e-9)

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +122,11 @@ def to_rate(chunks: DataFrame, rate: int, wanted: int, chunk: int) -> DataFrame:
 # -- whole transforms --------------------------------------------------------------
 
 CUT = "file {file}, ch {ch}, n1 long, of long, to long, re array<double>, im array<double>"
+#: Rows of a matrix that are sent as one.
+SPAN = 256
+#: How many numbers a task holds.
+CELLS = 1 << 18
+
 SPECTRUM = "file {file}, ch {ch}, n1 long, row long, re array<double>, im array<double>"
 
 
@@ -129,15 +135,28 @@ def _types(df: DataFrame) -> dict[str, str]:
 
 
 def _sent(df: DataFrame, width: int, block: int) -> DataFrame:
-    """Rows cut in blocks of columns, each to its own key ``to``: the transpose of a matrix that no task holds."""
-    cut = F.transform(F.sequence(F.lit(0), F.lit((width - 1) // block)), lambda b: F.struct(b.cast("long").alias("to"), F.slice("re", b * block + 1, block).alias("re"), F.slice("im", b * block + 1, block).alias("im")))
-    return df.select(*KEYS, "n1", "row", F.explode(cut).alias("c")).select(*KEYS, "n1", "row", "c.*")
+    """Rows cut in blocks of columns, each to its own key ``to``: the transpose of a matrix that no task holds.
+
+    Rows go together by spans, so that a group has a row for each span and not for each row of a long series.  Without ``im`` it is zero.
+    """
+    met = df.groupBy(*KEYS, "n1", F.floor(F.col("row") / SPAN).alias("span")).agg(F.array_sort(F.collect_list(F.struct("row", *(c for c in ("re", "im") if c in df.columns)))).alias("s"))
+    met = met.withColumn("at", F.transform("s", lambda r: (r["row"] - F.col("span") * SPAN).cast("int")))
+
+    def part(name: str, b: Column) -> Column:
+        cut = F.flatten(F.transform("s", lambda r: F.slice(r[name], b * block + 1, block))) if name in df.columns else F.lit(None).cast("array<double>")
+        return cut.alias(name)
+
+    cut = F.transform(F.sequence(F.lit(0), F.lit((width - 1) // block)), lambda b: F.struct(b.cast("long").alias("to"), part("re", b), part("im", b)))
+    return met.select(*KEYS, "n1", "span", "at", F.explode(cut).alias("c")).select(*KEYS, "n1", "span", "at", "c.*")
 
 
 def _matrix(rows: pd.DataFrame, height: int) -> np.ndarray:
-    out = np.zeros((height, max(len(v) for v in rows["re"])), complex)
-    for k, re, im in zip(rows["row"], rows["re"], rows["im"]):
-        out[int(k), : len(re)] = _array(re) + 1j * _array(im)
+    out = np.zeros((height, len(rows["re"].iloc[0]) // len(rows["at"].iloc[0])), complex)
+    for span, at, re, im in zip(rows["span"], rows["at"], rows["re"], rows["im"]):
+        k = int(span) * SPAN + np.asarray(at)
+        out.real[k] = _array(re).reshape(len(k), -1)
+        if im is not None:
+            out.imag[k] = _array(im).reshape(len(k), -1)
     return out
 
 
@@ -176,13 +195,13 @@ def _rows(n2: int, block: int, rows_each: int, *, transform):
     return run
 
 
-def columns_each(chunks: DataFrame, chunk: int, cells: int = 1 << 20) -> int:
+def columns_each(chunks: DataFrame, chunk: int, cells: int = CELLS) -> int:
     """How many columns a task takes so that it holds about ``cells`` numbers of the longest series, at least one column."""
     longest = chunks.agg(F.max("chunk").alias("n")).first()["n"] or 0
     return max(1, min(chunk, cells // (longest + 1)))
 
 
-def whole_spectrum(chunks: DataFrame, chunk: int, *, block: int, cells: int = 1 << 20) -> DataFrame:
+def whole_spectrum(chunks: DataFrame, chunk: int, *, block: int, cells: int = CELLS) -> DataFrame:
     """The Fourier transform of each whole series, padded by zeros to whole chunks: (file, ch, n1, row, re, im), n1 chunks of n2 = ``chunk`` samples.
 
     Row r holds the bins r, r + n1, r + 2 * n1, ...  Four steps: transforms down the columns of the matrix of chunks, twiddles,
@@ -192,20 +211,20 @@ def whole_spectrum(chunks: DataFrame, chunk: int, *, block: int, cells: int = 1
     n1 = chunks.groupBy(*KEYS).agg((F.max("chunk") + 1).cast("long").alias("n1"))
     rows = chunks.join(small(n1), KEYS).select(*KEYS, "n1", F.col("chunk").alias("row"), F.col("x").cast("array<double>").alias("re"))
     padded = F.concat("re", F.array_repeat(F.lit(0.0), F.lit(chunk) - F.size("re")))
-    rows = rows.withColumn("re", F.transform(padded, lambda v: F.coalesce(v, F.lit(0.0)))).withColumn("im", F.array_repeat(F.lit(0.0), chunk))
+    rows = rows.withColumn("re", F.transform(padded, lambda v: F.coalesce(v, F.lit(0.0))))
     turned = _sent(rows, chunk, block).groupBy(*KEYS, "to").applyInPandas(_columns(chunk, block, r, inverse=False), CUT.format(**types))
     return turned.groupBy(*KEYS, "to").applyInPandas(_rows(chunk, block, r, transform=lambda m: np.fft.fft(m, axis=1)), SPECTRUM.format(**types))
 
 
-def whole_series(spectrum: DataFrame, chunk: int, *, block: int, cells: int = 1 << 20) -> DataFrame:
+def whole_series(spectrum: DataFrame, chunk: int, *, block: int, cells: int = CELLS) -> DataFrame:
     """The inverse of ``whole_spectrum``: chunks (file, ch, chunk, re, im) in order of time, by the same steps backwards."""
     types, r = _types(spectrum), max(1, cells // chunk)
 
-    @F.pandas_udf("struct<re: array<double>, im: array<double>>")
-    def along(re: pd.Series, im: pd.Series) -> pd.DataFrame:
+    def inverse(re: pd.Series, im: pd.Series) -> list[dict]:
         m = [np.fft.ifft(np.asarray(a) + 1j * np.asarray(c)) for a, c in zip(re, im)]
-        return pd.DataFrame({"re": [v.real for v in m], "im": [v.imag for v in m]})
+        return [{"re": v.real, "im": v.imag} for v in m]
 
+    along = by_slices(inverse, "struct<re: array<double>, im: array<double>>", pa.struct([("re", DOUBLES), ("im", DOUBLES)]))
     rows = spectrum.select(*KEYS, "n1", "row", along("re", "im").alias("v")).select(*KEYS, "n1", "row", "v.*")
     turned = _sent(rows, chunk, block).groupBy(*KEYS, "to").applyInPandas(_columns(chunk, block, r, inverse=True), CUT.format(**types))
     back = turned.groupBy(*KEYS, "to").applyInPandas(_rows(chunk, block, r, transform=lambda m: m), SPECTRUM.format(**types))
@@ -232,14 +251,14 @@ def weighted_bins(spectrum: DataFrame, chunk: int, weight) -> DataFrame:
     return spectrum.select(*KEYS, "n1", "row", scaled("re"), scaled("im"))
 
 
-def band_passed(chunks: DataFrame, chunk: int, low: float, high: float, *, cells: int = 1 << 20) -> DataFrame:
+def band_passed(chunks: DataFrame, chunk: int, low: float, high: float, *, cells: int = CELLS) -> DataFrame:
     """Chunks of the part of each series between two frequencies (cycles a sample, both inclusive), without delay; padded to whole chunks."""
     block = columns_each(chunks, chunk, cells)
     spectrum = weighted_bins(whole_spectrum(chunks, chunk, block=block, cells=cells), chunk, lambda f: F.when(F.abs(f).between(low, high), 1.0).otherwise(0.0))
     return whole_series(spectrum, chunk, block=block, cells=cells).select(*KEYS, "chunk", F.col("re").alias("x"))
 
 
-def analytic(chunks: DataFrame, chunk: int, low: float = 0.0, high: float = 0.5, *, cells: int = 1 << 20) -> DataFrame:
+def analytic(chunks: DataFrame, chunk: int, low: float = 0.0, high: float = 0.5, *, cells: int = CELLS) -> DataFrame:
     """Chunks (re, im) of the analytic signal of each series within a band: positive frequencies twice, negative ones not at all."""
     twice = lambda f: F.when((f == 0) | (f == 0.5), 1.0).when(f > 0, 2.0).otherwise(0.0)
     block = columns_each(chunks, chunk, cells)
@@ -256,8 +275,7 @@ def unwrapped_phase(signal: DataFrame) -> DataFrame:
     angle = F.transform(F.arrays_zip("re", "im"), lambda v: F.atan2(v["im"], v["re"]))
     phases = signal.select(*KEYS, "chunk", angle.alias("x"))
 
-    @F.pandas_udf("array<double>")
-    def added(left: pd.Series, x: pd.Series) -> pd.Series:
+    def phase_sums(left: pd.Series, x: pd.Series) -> list[np.ndarray]:
         out = []
         for a, v in zip(left, x):
             v = np.asarray(v, np.float64)
@@ -266,8 +284,9 @@ def unwrapped_phase(signal: DataFrame) -> DataFrame:
             if not len(a) and len(v):
                 steps[0] = v[0]  # the first step of a series is its first phase
             out.append(np.cumsum(steps))
-        return pd.Series(out)
+        return out
 
+    added = by_slices(phase_sums, "array<double>", DOUBLES)
     summed = with_margins(phases, 1, 0).select(*KEYS, "chunk", added("left", "x").alias("x"))
     totals = summed.select(F.struct(*KEYS).alias("_key"), "chunk", F.element_at("x", -1).alias("_total"))
     before_ = running_sum(totals, F.col("_total"), "_sum", file="_key", order="chunk").select("_key.*", "chunk", (F.col("_sum") - F.col("_total")).alias("_base"))
