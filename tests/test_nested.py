@@ -43,6 +43,16 @@ def test_any_depth(spark):
             assert json.loads(got[k]) == want
 
 
+def test_a_small_mapping_needs_no_shuffle(spark):
+    rng = random.Random(8)
+    table = spark.createDataFrame([(k, json.dumps(made(rng, 5))) for k in range(200)] + [(200, "no json"), (201, None), (202, '{"path":"/srv/a.wav"}'), (203, '{"path":"/srv/a.wav"}')], "id int, doc string")
+    mapping = spark.createDataFrame(list(KNOWN.items()), "path string, shown string")
+    looked_up = strip_paths(table, "doc", mapping)
+    assert "Exchange" not in looked_up._jdf.queryExecution().executedPlan().toString()
+    joined = strip_paths(table, "doc", mapping, most=1)
+    assert {r.id: r.stripped for r in looked_up.collect()} == {r.id: r.stripped for r in joined.collect()}
+
+
 def test_empty_and_repeated(spark):
     mapping = spark.createDataFrame([], "path string, shown string")
     one = spark.createDataFrame([("{}",), ("{}",), ('{"path":"x"}',), ('{"path":"x"}',)], "doc string").selectExpr("doc", "doc AS path", "1 AS shown")
