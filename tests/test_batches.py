@@ -5,7 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from undula.operators import audio as AU
+from undula.operators import pairs as PR
 from undula.operators import series as SE
+from undula.operators import spectrum as SP
 from undula.operators.batches import DOUBLES, SLICE, by_slices
 
 
@@ -46,3 +49,20 @@ def test_a_long_series_is_sent_by_spans(spark):
     want = np.fft.ifft(np.where((signed >= 0.1) & (signed <= 0.2), np.fft.fft(x), 0)).real
     out = np.concatenate([r.x for r in SE.band_passed(chunks, 4, 0.1, 0.2, cells=1 << 10).orderBy("chunk").collect()])
     assert np.allclose(out, want, atol=1e-9)
+
+
+def test_columns_are_compared_by_slices(spark, monkeypatch):
+    x = np.abs(np.random.default_rng(7).normal(size=(2, 60, 40)))
+    frames = spark.createDataFrame([(f, 0, k, x[f, k].tolist()) for f in range(2) for k in range(60)], "file int, ch int, frame long, x array<float>").coalesce(1)
+
+    def found():
+        columns = AU.stft(frames).cache()
+        mags = np.array([r.mags for r in columns.orderBy("file", "col").collect()])
+        power = np.array([r.power for r in SP.median_columns(columns.select("file", "col", "mags")).orderBy("file").collect()])
+        one = columns.select("file", "col", F.transform("mags", lambda v: v.cast("double")).alias("v"))
+        lags = PR.align_columns(one, one.withColumn("col", F.col("col") + 3), "file").orderBy("file").collect()
+        return mags, power, [r.lag for r in lags]
+
+    whole, made = found(), [sliced(monkeypatch, m, rows=3) for m in (AU, SP, PR)]
+    again = found()
+    assert all(made) and np.array_equal(whole[0], again[0]) and np.array_equal(whole[1], again[1]) and whole[2] == again[2] == [-3, -3]

@@ -23,6 +23,7 @@ from undula.operators import events as EV
 from undula.operators import frames as FR
 from undula.operators import series as SE
 from undula.operators import spectrum as SP
+from undula.operators.batches import FLOATS, by_slices
 from undula.operators.quantiles import grouped_median
 from undula.operators.sized import kept, small
 
@@ -56,14 +57,11 @@ def with_head(chunks: DataFrame, n: int) -> DataFrame:
 def stft(frames: DataFrame, window: str = "hann") -> DataFrame:
     """(file, ch, frame, x) -> (file, ch, col, mags)"""
 
-    @F.pandas_udf("array<float>")
-    def mags(x: pd.Series) -> pd.Series:
-        out: list[np.ndarray] = []
-        # A few frames at a time, so that a task holds little besides its batch.
-        for at in range(0, len(x), 256):
-            out.extend(dsp.magnitudes(np.stack(x.iloc[at : at + 256].to_numpy()).astype(np.float64), window).astype(np.float32))
-        return pd.Series(out, dtype=object)
+    def spectra(x: pd.Series) -> list[np.ndarray]:
+        return list(dsp.magnitudes(np.stack(x.to_numpy()).astype(np.float64), window).astype(np.float32))
 
+    # A few frames at a time, so that a task holds little besides its batch.
+    mags = by_slices(spectra, "array<float>", FLOATS)
     return frames.select("file", "ch", F.col("frame").alias("col"), mags("x").alias("mags"))
 
 

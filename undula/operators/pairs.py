@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from undula.functions.scalar import EPS
+from undula.operators.batches import by_slices
 from undula.operators.quantiles import grouped_quantiles
 from undula.operators.sized import kept, small
 
 
+LAG_SUMS = pa.list_(pa.struct([("lag", pa.int64()), ("cols", pa.int64()), ("n", pa.int64()), ("s", pa.float64())]))
+
+
 def difference_stats(a: DataFrame, b: DataFrame, keys: list[str], *by: str) -> DataFrame:
     """(keys, db) each -> median, mean, 90 % and largest absolute difference over the common keys, and a class."""
     d = a.withColumnRenamed("db", "_a").join(b.withColumnRenamed("db", "_b"), [*by, *keys]).withColumn("d", F.col("_a") - F.col("_b"))
@@ -83,14 +88,16 @@ def block_lag_scores(a: DataFrame, b: DataFrame, *by: str, block: int = 1024) ->
         held = df.groupBy(*by, F.floor(F.col("col") / block).cast("long").alias("at")).agg(F.array_sort(F.collect_list(F.struct("col", "v"))).alias("c"), *(F.max(c).alias(c) for c in also))
         return held.select(*by, "at", F.transform("c", lambda c: c["col"]).alias("cols"), F.flatten(F.transform("c", lambda c: c["v"])).alias("v"), *also)
 
-    @F.pandas_udf("array<struct<lag: long, cols: long, n: long, s: double>>")
-    def met(i: pd.Series, j: pd.Series, first: pd.Series, last: pd.Series, ca: pd.Series, va: pd.Series, cb: pd.Series, vb: pd.Series) -> pd.Series:
-        def matrix(at: int, cols, v) -> np.ndarray:
-            m = np.full((block, len(v) // len(cols)), np.nan)
-            m[np.asarray(cols) - at * block] = np.asarray(v, np.float64).reshape(len(cols), -1)
-            return m
+    def matrix(at: int, cols, v) -> np.ndarray:
+        m = np.full((block, len(v) // len(cols)), np.nan)
+        m[np.asarray(cols) - at * block] = np.asarray(v, np.float64).reshape(len(cols), -1)
+        return m
+
+    def sums_of(*columns: pd.Series) -> list[list[dict]]:
+        return [_block_sums(p, q, x, y, matrix(p, c, u), matrix(q, d, w), block) for p, q, x, y, c, u, d, w in zip(*columns)]
 
-        return pd.Series([_block_sums(p, q, x, y, matrix(p, c, u), matrix(q, d, w), block) for p, q, x, y, c, u, d, w in zip(i, j, first, last, ca, va, cb, vb)])
+    # A row holds two blocks, so a few are unpacked together.
+    met = by_slices(sums_of, "array<struct<lag: long, cols: long, n: long, s: double>>", LAG_SUMS, rows=4)
 
     low, high = F.floor((F.col("_j") * block + F.col("_from")) / block), F.floor((F.col("_j") * block + block - 1 + F.col("_to")) / block)
     asked = blocks(b, "_from", "_to", "_least").withColumnsRenamed({"at": "_j", "cols": "_cols", "v": "_v"})

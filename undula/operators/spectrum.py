@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from undula import params as P
 from undula.functions import arrays as A
 from undula.functions.scalar import power_db
+from undula.operators.batches import DOUBLES, FLOATS, by_slices
 from undula.operators.frames import block_of, clipped, pool_factor
 from undula.operators.quantiles import grouped_median
 from undula.operators.sized import kept, small
@@ -49,14 +49,13 @@ def median_columns(columns: DataFrame, *by: str, most: int = 100_000) -> DataFra
     """(file, keys, power array): ``median_power`` of columns as arrays, gathered; of groups beyond ``most`` columns by histograms."""
     keys = ["file", *by]
 
-    @F.pandas_udf("array<double>")
-    def medians(x: pd.Series, n: pd.Series) -> pd.Series:
-        def one(v, k: int) -> np.ndarray:
-            places = (k - 1) // 2, k // 2
-            p = np.partition(np.asarray(v, np.float64).reshape(k, -1) ** 2, places, axis=0)
-            return p[places[0]] * 0.5 + p[places[1]] * 0.5
+    def middle(v, k: int) -> np.ndarray:
+        places = (k - 1) // 2, k // 2
+        p = np.partition(np.asarray(v, np.float64).reshape(k, -1) ** 2, places, axis=0)
+        return p[places[0]] * 0.5 + p[places[1]] * 0.5
 
-        return pd.Series([one(v, k) for v, k in zip(x, n)], dtype=object)
+    # A slab may be large, so only a few are unpacked together.
+    medians = by_slices(lambda x, n: [middle(v, k) for v, k in zip(x, n)], "array<double>", DOUBLES, rows=8)
 
     large = kept(columns.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).drop("_n"))
     long_ = not large.isEmpty()
@@ -74,9 +73,7 @@ def median_columns(columns: DataFrame, *by: str, most: int = 100_000) -> DataFra
 def pooled_columns(columns: DataFrame, max_cols: int) -> DataFrame:
     """``frames.max_pool`` of columns as arrays: (file, col, mags)."""
 
-    @F.pandas_udf("array<float>")
-    def largest(x: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(v, np.float32).reshape(k, -1).max(axis=0) for v, k in zip(x, n)], dtype=object)
+    largest = by_slices(lambda x, n: [np.asarray(v, np.float32).reshape(k, -1).max(axis=0) for v, k in zip(x, n)], "array<float>", FLOATS)
 
     n = kept(columns.groupBy("file").agg((F.max("col") + 1).alias("n")).withColumn("p", pool_factor(F.col("n"), max_cols)))
     if n.filter("p > 1").isEmpty():
