@@ -66,3 +66,13 @@ def test_columns_are_compared_by_slices(spark, monkeypatch):
     whole, made = found(), [sliced(monkeypatch, m, rows=3) for m in (AU, SP, PR)]
     again = found()
     assert all(made) and np.array_equal(whole[0], again[0]) and np.array_equal(whole[1], again[1]) and whole[2] == again[2] == [-3, -3]
+
+
+def test_tones_of_columns_as_of_rows(spark):
+    rng = np.random.default_rng(8)
+    mags = rng.uniform(0.5e-3, 1e-3, size=(90, 129))
+    mags[:, 5], mags[:, 70] = 10, 0.05
+    columns = spark.createDataFrame([("a", k, mags[k].tolist()) for k in range(90)], "file string, col long, mags array<float>")
+    rows = columns.select("file", "col", F.posexplode("mags").alias("bin", "mag"))
+    tones = [[tuple(r) for r in SP.tonal_peaks(df, 48000, 256).orderBy("rank").collect()] for df in (columns, rows)]
+    assert tones[0] == tones[1] and len(tones[0]) > 0

@@ -110,26 +110,31 @@ def quickcheck(chunks: DataFrame, info: DataFrame, sr: int, chunk: int, *, secon
 def summary(chunks: DataFrame, info: DataFrame, p: P.Params, sr: int, chunk: int, **edge) -> DataFrame:
     """A row for each recording with all measurements: band, tones, shares, low end, levels, stereo, clipping, dynamics.  Loudness is measured at 48 kHz only."""
     p = p.validated()
+    # Sound and spectra are read many times, so each is stored once; spectra stay arrays.
+    chunks = kept(chunks)
     held = sliced(chunks, p, chunk)
-    rows = spectra(chunks, p, chunk).filter("ch = 0")
-    columns = rows.groupBy("file").agg((F.max("col") + 1).alias("columns"))
+    spectra_ = kept(spectra_columns(chunks, p, chunk).filter("ch = 0").select("file", "col", "mags"))
+    columns = spectra_.groupBy("file").agg((F.max("col") + 1).alias("columns"))
     band = band_report(chunks, info.select("file", "codec"), p, sr, chunk, **edge)
     band = band.select("file", F.coalesce("edge_hz", "signal_bandwidth_hz").alias("cutoff_hz"), F.struct(*(c for c in band.columns if c != "file")).alias("band"))
-    tones = SP.tonal_peaks(rows, sr, p.nfft).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("rank", "hz", "prominence_db", "level_db", "share"))).alias("tones"))
-    shares = SP.band_shares(rows, sr / p.nfft, sr / 2).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("band", "lo_hz", "share"))).alias("bands"))
+    tones = SP.tonal_peaks(spectra_, sr, p.nfft).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("rank", "hz", "prominence_db", "level_db", "share"))).alias("tones"))
+    shares = SP.band_shares(FR.bins_of(spectra_), sr / p.nfft, sr / 2).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("band", "lo_hz", "share"))).alias("bands"))
     factor = max(d for d in range(1, max(2, sr // 4000 + 1)) if chunk % d == 0)
     size = min(16384, 1 << int(math.log2(chunk // factor)))
     low = AU.lowfreq_scan(AU.decimated(AU.mixed(held), factor, chunk), sr // factor, chunk // factor, nfft=size)
     low = low.select("file", F.struct(*(c for c in low.columns if c != "file")).alias("lowfreq"))
     samples = AU.samples_of(held, chunk)
-    levels = LV.level_stats(samples, "file").join(samples.groupBy("file").agg((F.max("pos") + 1).alias("_n")), "file")
+    levels = LV.level_stats(samples, "file").join(held.filter(F.size("x") > 0).groupBy("file").agg(F.max(F.col("chunk") * chunk + F.size("x")).alias("_n")), "file")
     # Flat tops: how much longer than a single sample the longest run at the peak of a channel is.
     flat = LV.flat_runs(samples, "file", "ch").groupBy("file").agg((F.max("longest_flat") - 1).cast("double").alias("flat_factor"))
     levels = levels.join(flat, "file", "left")
     levels = levels.join(AU.loudness(held, chunk, sr=sr).withColumnRenamed("true_peak_dbfs", "_tp"), "file", "left").withColumn("true_peak_dbfs", F.col("_tp")).drop("_tp")
     levels = LV.dynamics_note(LV.clipping_verdict(levels, F.col("_n") / sr))
     levels = levels.select("file", F.struct(*(c for c in levels.columns if c not in ("file", "_n"))).alias("levels"), F.bround(F.col("_n") / sr, 3).alias("analysed_duration"))
-    two = samples.filter("ch < 2").groupBy("file", "pos").agg(F.max(F.when(F.col("ch") == 0, F.col("x"))).alias("l"), F.max(F.when(F.col("ch") == 1, F.col("x"))).alias("r")).filter("r IS NOT NULL")
+    # The chunks of both channels meet, and only those of two channels become samples.
+    both = held.filter("ch < 2").groupBy("file", "chunk").agg(F.max(F.when(F.col("ch") == 0, F.col("x"))).alias("l"), F.max(F.when(F.col("ch") == 1, F.col("x"))).alias("r")).filter("r IS NOT NULL")
+    none = F.array().cast("array<float>")
+    two = both.select("file", F.inline(F.arrays_zip(F.coalesce("l", none).alias("l"), F.col("r").alias("r")))).filter("r IS NOT NULL")
     stereo = LV.stereo_stats(two, "file").select("file", F.struct("correlation", "side_ratio_db", "identical_channels").alias("stereo"))
     out = info
     for part in (columns, band, tones, shares, low, levels, stereo):

@@ -453,13 +453,9 @@ def recursive_filter(chunks: DataFrame, sections: list[Section], chunk: int, *,
     space = state_space(sections)
     dim = len(space[1])
 
-    @F.pandas_udf("array<double>")
-    def ends(x: pd.Series) -> pd.Series:
-        return pd.Series(list(_run_filter([_array(v) for v in x], np.zeros((len(x), dim)), space)[1]))
-
-    @F.pandas_udf("array<double>")
-    def filtered(x: pd.Series, start: pd.Series) -> pd.Series:
-        return pd.Series(_run_filter([_array(v) for v in x], np.stack(start.to_list()), space)[0]) if len(x) else pd.Series([], dtype=object)
+    # Chunks go forward together, a few at a time.
+    ends = by_slices(lambda x: list(_run_filter([_array(v) for v in x], np.zeros((len(x), dim)), space)[1]), "array<double>", DOUBLES, rows=64)
+    filtered = by_slices(lambda x, start: _run_filter([_array(v) for v in x], np.stack(start.to_list()), space)[0], "array<double>", DOUBLES, rows=64)
 
     states = carried_states(chunks.select(*KEYS, F.col("chunk").cast("long").alias("chunk"), ends("x").alias("v")), np.linalg.matrix_power(space[0], chunk), span=span)
     return chunks.join(states, [*KEYS, "chunk"]).select(*KEYS, "chunk", filtered("x", "start").alias("x"))

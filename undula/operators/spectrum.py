@@ -246,13 +246,20 @@ def band_analysis(rows: DataFrame, codecs: DataFrame, sr: int, nfft: int, **edge
 
 
 def tonal_peaks(rows: DataFrame, sr: int, nfft: int, *, min_hz: float = 5000.0, min_prominence: float = 10.0, min_share: float = 0.8, level: tuple[float, float] = (-95.0, -30.0), blocks: int = 8, limit: int = 6, kernel_hz: float = 400.0, width_hz: float = 60.0, raster_hz: float = 25.0, per_block: int = 20, least_cols: int = 24) -> DataFrame:
-    """Steady narrow tones: (file, hz, prominence_db, level_db, share), strongest first, at most ``limit`` for each file."""
+    """Steady narrow tones: (file, hz, prominence_db, level_db, share), strongest first, at most ``limit`` for each file.
+
+    Columns as arrays, stored before, are the quick form of ``rows``.
+    """
     df_hz = sr / nfft
     top = nfft // 2 + 1
     lo, hi = max(2, int(min_hz / df_hz)), min(top - 2, int(0.98 * (sr / 2) / df_hz))
     kernel, widest = max(3, int(kernel_hz / df_hz)) | 1, max(2, math.ceil(width_hz / df_hz))
     blocked = with_blocks(rows, per_block, blocks).filter((F.col("blocks") >= 3) & (F.col("n") >= least_cols))
-    med = median_power(blocked, "blocks", "block").withColumn("db", power_db(F.col("power")))
+    if "mags" in rows.columns:
+        med = median_columns(blocked, "blocks", "block").select("file", "blocks", "block", F.posexplode("power").alias("bin", "power")).withColumn("bin", F.col("bin").cast("long"))
+    else:
+        med = median_power(blocked, "blocks", "block")
+    med = med.withColumn("db", power_db(F.col("power")))
     whole = W.partitionBy("file", "block")
     seg = med.withColumn("ref", F.max("db").over(whole)).filter(F.col("bin").between(lo, hi - 1) & F.lit(hi - lo >= 8))
     by_bin = whole.orderBy("bin")
