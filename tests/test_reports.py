@@ -49,6 +49,18 @@ def test_scan_computes_only_what_is_not_stored(spark):
     assert (r.files, r.computed, r.cached, r.errors, r.warnings) == (2, 1, 1, 0, 1)
 
 
+def test_a_scan_takes_as_much_of_long_recordings_as_of_short_ones(spark, monkeypatch):
+    lengths = {"a": 16000, "b": 20000, "c": 64000}
+    chunks = spark.createDataFrame([(f, 0, k, 8000, [float(v) for v in range(k * 4096, min((k + 1) * 4096, n))]) for f, n in lengths.items() for k in range(-(-n // 4096))], pcm.CHUNKS)
+    info = spark.createDataFrame([(f, f, "mp3", 8000, 1, n / 8000, n) for f, n in lengths.items()], PR.INFO)
+    taken, transform = [], RP.AU.stft
+    monkeypatch.setattr(RP.AU, "stft", lambda frames, *rest: taken.append(frames.select("file", "frame", F.col("x")[0].alias("first"))) or transform(frames, *rest))
+    assert RP.quickcheck(chunks, info, 8000, 4096, seconds=2.0, **PR.EDGE).count() == 3
+    got = {(r.file.split(RP._PART)[0], r.frame): int(r.first) for r in taken[0].collect()}
+    # Two seconds of the middle: six frames, whatever the length.
+    assert len(taken) == 1 and got == {(f, k): (n - 16000) // 2 + k * 2048 for f, n in lengths.items() for k in range(6)}
+
+
 def test_versions_are_aligned(spark):
     r = PR.null_report(spark, "").first()
     assert r.offset_samples == 800 and r.correlation > 0.9 and r.residual_db < -3
