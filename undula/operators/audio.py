@@ -23,7 +23,7 @@ from undula.operators import events as EV
 from undula.operators import frames as FR
 from undula.operators import series as SE
 from undula.operators import spectrum as SP
-from undula.operators.batches import FLOATS, by_slices
+from undula.operators.batches import DOUBLES, FLOATS, by_slices
 from undula.operators.quantiles import grouped_median
 from undula.operators.sized import kept, small
 
@@ -135,30 +135,56 @@ def strongest_events(events: DataFrame, most: int = 300) -> DataFrame:
     return events.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
 
 
-def lowfreq_scan(chunks: DataFrame, sr: int, chunk: int, *, nfft: int = 16384) -> DataFrame:
-    """Rumble and hum of sound thinned to about 4 kHz: levels, mains frequency, harmonics that stand out, verdict keys."""
-    df_hz = sr / nfft
+def _longest_frames(chunks: DataFrame, sizes: list[int], chunk: int) -> DataFrame:
+    """(file, x): frames at half overlap, of the first of the falling ``sizes`` that a recording fills; one that fills none has a frame of zeros."""
+    nfft, least = sizes[0], sizes[-1]
+    if chunk < nfft:
+        # Chunks that hold a frame; an empty recording stays one.
+        empty = chunks.filter((F.col("chunk") == 0) & (F.size("x") == 0)).select("file", "ch", "chunk", "x")
+        chunks = SE.rechunked(chunks.withColumn("first", F.col("chunk") * chunk), nfft).unionByName(empty)
+        chunk = nfft
+    # Read three times below, so that it is stored.
+    chunks = kept(chunks)
+    n, size = F.size("x"), F.col("size")
+    # All chunks but the last are full, so a first one without a frame is the whole recording.
+    whole = (F.col("chunk") == 0) & (n < nfft)
+    long_ = FR.hop_frames(chunks.filter(~whole), nfft, nfft // 2, chunk).select("file", "x")
+    short = chunks.filter(whole).select("file", F.coalesce(*(F.when(n >= s, s) for s in sizes), F.lit(least)).alias("size"), F.when(n < least, F.array_repeat(F.lit(0.0).cast("float"), least)).otherwise(F.col("x")).alias("x"))
+    hop = (size / 2).cast("int")
+    frames = F.transform(F.sequence(F.lit(0), F.floor((n - size) / hop).cast("int")), lambda f: F.slice("x", f * hop + 1, size))
+    return long_.unionByName(short.select("file", F.explode(frames).alias("x")))
+
+
+def lowfreq_scan(chunks: DataFrame, sr: int, chunk: int, *, nfft: int = 16384, least: int = 1024) -> DataFrame:
+    """Rumble and hum of sound thinned to about 4 kHz: levels, mains frequency, harmonics that stand out, verdict keys.
+
+    Recordings shorter than a frame of ``nfft`` have frames of a half, a quarter and so on, down to ``least``, and so wider bins.
+    """
+    sizes = [nfft >> k for k in range(nfft.bit_length()) if nfft >> k >= min(least, nfft)]
+    df_hz = F.lit(float(sr)) / F.col("size")
 
-    @F.pandas_udf("array<double>")
-    def power(x: pd.Series) -> pd.Series:
-        w = np.hanning(nfft)
-        return pd.Series(list((dsp.magnitudes(np.stack(x.to_numpy()).astype(np.float64)) / (w.sum() / 2)) ** 2)) if len(x) else pd.Series([], dtype=object)
+    def spectra(x: pd.Series) -> list[np.ndarray]:
+        return [(dsp.magnitudes(np.asarray(v, np.float64)[None])[0] / (np.hanning(len(v)).sum() / 2)) ** 2 for v in x]
 
-    framed = FR.hop_frames(mixed(chunks), nfft, nfft // 2, chunk)
-    rows = framed.select("file", F.posexplode(power("x")).alias("bin", "p"))
-    med = grouped_median(rows, ["file", "bin"], F.col("p"), "power")
-    kernel = int(6 / df_hz) | 1
+    power = by_slices(spectra, "array<double>", DOUBLES, rows=64)
+    framed = _longest_frames(mixed(chunks), sizes, chunk)
+    rows = framed.select("file", F.size("x").alias("size"), power("x").alias("p")).select("file", "size", F.posexplode("p").alias("bin", "p"))
+    med = grouped_median(rows, ["file", "size", "bin"], F.col("p"), "power")
     med = med.withColumn("db", power_db(F.col("power")))
-    med = med.withColumn("prominence", F.col("db") - SP.smoothed(med, "db", kernel))
+    # What surrounds a tone: 6 Hz, but more than twice the four bins that a tone fills itself, or nothing could stand out.
+    around = {s: max(9, int(6 / (sr / s)) | 1) for s in sizes}
+    base = F.coalesce(*(F.when(F.col("size").isin([s for s in sizes if around[s] == k]), SP.smoothed(med, "db", k)) for k in sorted(set(around.values()))))
+    med = med.withColumn("prominence", F.col("db") - base)
 
     def band(lo: float, hi: float) -> Column:
-        return power_db(F.coalesce(F.sum(F.when((F.col("bin") >= int(lo / df_hz)) & (F.col("bin") < int(hi / df_hz)), F.col("power"))), F.lit(0.0)))
-
-    asked = [(f0, k, round(f0 * k / df_hz)) for f0 in (50, 60) for k in range(1, 7)]
-    asked = [a for a in asked if a[2] < nfft // 2 - 1]
-    near = F.filter(F.array(*(F.struct(F.lit(f).alias("f0"), F.lit(k).alias("k"), F.lit(i).alias("i")) for f, k, i in asked)), lambda h: F.abs(F.col("bin") - h["i"]) <= 3)
-    peaks = med.withColumn("h", F.explode(near)).groupBy("file", "h").agg(F.max(F.struct("db", (-F.col("bin")).alias("b"), "prominence")).alias("m"))
-    peak = F.struct(F.col("h.k").alias("k"), F.bround(-F.col("m.b") * F.lit(df_hz), 2).alias("hz"), F.bround("m.prominence", 1).alias("prominence_db"), F.bround("m.db", 1).alias("level_db"))
+        return power_db(F.coalesce(F.sum(F.when((F.col("bin") >= F.floor(lo / df_hz)) & (F.col("bin") < F.floor(hi / df_hz)), F.col("power"))), F.lit(0.0)))
+
+    # A harmonic is looked for in three bins on either side, in wide bins no further than half way from 50 to 60 Hz.
+    reach = F.least(F.lit(3), F.greatest(F.lit(1), F.floor(5 / df_hz)))
+    asked = F.array(*(F.struct(F.lit(f0).alias("f0"), F.lit(k).alias("k"), F.rint(f0 * k / df_hz).cast("int").alias("i")) for f0 in (50, 60) for k in range(1, 7)))
+    near = F.filter(asked, lambda h: (h["i"] < F.col("size") / 2 - 1) & (F.abs(F.col("bin") - h["i"]) <= reach))
+    peaks = med.withColumn("h", F.explode(near)).groupBy("file", "size", "h").agg(F.max(F.struct("db", (-F.col("bin")).alias("b"), "prominence")).alias("m"))
+    peak = F.struct(F.col("h.k").alias("k"), F.bround(-F.col("m.b") * df_hz, 2).alias("hz"), F.bround("m.prominence", 1).alias("prominence_db"), F.bround("m.db", 1).alias("level_db"))
     mains = peaks.groupBy("file", F.col("h.f0").alias("f0")).agg(F.sum(F.greatest(F.lit(0.0), F.bround("m.prominence", 1))).alias("score"), F.array_sort(F.collect_list(peak)).alias("hum"))
     best = mains.groupBy("file").agg(F.max(F.struct("score", (-F.col("f0")).alias("f"), F.filter("hum", lambda h: (h["prominence_db"] >= 14) & (h["level_db"] > -95)).alias("hum"))).alias("m"))
     out = med.groupBy("file").agg(band(1, 20).alias("subsonic"), band(20, 200).alias("bass"), band(1, 2000).alias("total")).join(best.select("file", (-F.col("m.f")).alias("mains"), F.col("m.hum").alias("hum")), "file")

@@ -5,8 +5,6 @@ Each is one plan over tables of chunks, with a row for each recording or pair.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,8 +118,7 @@ def summary(chunks: DataFrame, info: DataFrame, p: P.Params, sr: int, chunk: int
     tones = SP.tonal_peaks(spectra_, sr, p.nfft).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("rank", "hz", "prominence_db", "level_db", "share"))).alias("tones"))
     shares = SP.band_shares(FR.bins_of(spectra_), sr / p.nfft, sr / 2).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("band", "lo_hz", "share"))).alias("bands"))
     factor = max(d for d in range(1, max(2, sr // 4000 + 1)) if chunk % d == 0)
-    size = min(16384, 1 << int(math.log2(chunk // factor)))
-    low = AU.lowfreq_scan(AU.decimated(AU.mixed(held), factor, chunk), sr // factor, chunk // factor, nfft=size)
+    low = AU.lowfreq_scan(AU.decimated(AU.mixed(held), factor, chunk), sr // factor, chunk // factor)
     low = low.select("file", F.struct(*(c for c in low.columns if c != "file")).alias("lowfreq"))
     samples = AU.samples_of(held, chunk)
     levels = LV.level_stats(samples, "file").join(held.filter(F.size("x") > 0).groupBy("file").agg(F.max(F.col("chunk") * chunk + F.size("x")).alias("_n")), "file")
