@@ -136,7 +136,7 @@ def strongest_events(events: DataFrame, most: int = 300) -> DataFrame:
 
 
 def _longest_frames(chunks: DataFrame, sizes: list[int], chunk: int) -> DataFrame:
-    """(file, x): frames at half overlap, of the first of the falling ``sizes`` that a recording fills; one that fills none has a frame of zeros."""
+    """(file, size, x): frames at half overlap, of the first of the falling ``sizes`` that a recording fills; one that fills none has a frame of zeros."""
     nfft, least = sizes[0], sizes[-1]
     if chunk < nfft:
         # Chunks that hold a frame; an empty recording stays one.
@@ -148,11 +148,11 @@ def _longest_frames(chunks: DataFrame, sizes: list[int], chunk: int) -> DataFram
     n, size = F.size("x"), F.col("size")
     # All chunks but the last are full, so a first one without a frame is the whole recording.
     whole = (F.col("chunk") == 0) & (n < nfft)
-    long_ = FR.hop_frames(chunks.filter(~whole), nfft, nfft // 2, chunk).select("file", "x")
+    long_ = FR.hop_frames(chunks.filter(~whole), nfft, nfft // 2, chunk).select("file", F.lit(nfft).alias("size"), "x")
     short = chunks.filter(whole).select("file", F.coalesce(*(F.when(n >= s, s) for s in sizes), F.lit(least)).alias("size"), F.when(n < least, F.array_repeat(F.lit(0.0).cast("float"), least)).otherwise(F.col("x")).alias("x"))
     hop = (size / 2).cast("int")
     frames = F.transform(F.sequence(F.lit(0), F.floor((n - size) / hop).cast("int")), lambda f: F.slice("x", f * hop + 1, size))
-    return long_.unionByName(short.select("file", F.explode(frames).alias("x")))
+    return long_.unionByName(short.select("file", "size", F.explode(frames).alias("x")))
 
 
 def lowfreq_scan(chunks: DataFrame, sr: int, chunk: int, *, nfft: int = 16384, least: int = 1024) -> DataFrame:
@@ -168,7 +168,7 @@ def lowfreq_scan(chunks: DataFrame, sr: int, chunk: int, *, nfft: int = 16384, l
 
     power = by_slices(spectra, "array<double>", DOUBLES, rows=64)
     framed = _longest_frames(mixed(chunks), sizes, chunk)
-    rows = framed.select("file", F.size("x").alias("size"), power("x").alias("p")).select("file", "size", F.posexplode("p").alias("bin", "p"))
+    rows = framed.select("file", "size", F.posexplode(power("x")).alias("bin", "p"))
     med = grouped_median(rows, ["file", "size", "bin"], F.col("p"), "power")
     med = med.withColumn("db", power_db(F.col("power")))
     # What surrounds a tone: 6 Hz, but more than twice the four bins that a tone fills itself, or nothing could stand out.
